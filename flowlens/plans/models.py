@@ -1 +1,106 @@
-"""placeholder"""
+"""Model queries (M1-M7, M13, K9, K10): rows-only checks (learned models).
+
+Training data: the 78-slot features of the closed flows, label 1 for
+attack flows (substring rule), stratified 80/20 split by flow id.
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowlens.functions import labels as L
+from flowlens.functions import votes as V
+from flowlens.operators import features as feat
+from flowlens.operators import metrics as MT
+from flowlens.operators import models as MD
+from flowlens.operators import sampling as SM
+from flowlens.plans import flows as FL
+from flowlens.plans.registry import query
+from flowlens.session import checkpoint_dir, reliable_checkpoint
+
+FEATURES = feat.FEATURE_NAMES
+
+
+def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = FL._flows(spark, sf_dir)
+    x = feat.flow_features_78(f, keep=["close_id", "label"])
+    x = x.withColumn("y", L.binary_contains(F.col("label")).cast("double")).drop("label")
+    # the models scan this many times: cut the lineage once, reliably
+    return reliable_checkpoint(SM.stratified_split(x, "y", "close_id", 0.2, MD.SEED))
+
+
+def _fit_score(spark, sf_dir, kind, **kw):
+    data = training_set(spark, sf_dir)
+    train = data.where("split = 'train'").drop("split")
+    test = data.where("split = 'test'").drop("split")
+    model = MD.make_pipeline(train, FEATURES, kind, **kw).fit(train)
+    return MD.score(model, test, kind).select("close_id", "y", f"pred_{kind}", f"conf_{kind}")
+
+
+@query("model_rf")
+def model_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: random forest (100 trees, seed 42), test-split predictions."""
+    return _fit_score(spark, sf_dir, "rf")
+
+
+@query("model_lr")
+def model_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2: logistic regression (1000 iterations, C = 1)."""
+    return _fit_score(spark, sf_dir, "lr")
+
+
+@query("model_mlp")
+def model_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: multilayer perceptron (100, 50), 500 iterations."""
+    return _fit_score(spark, sf_dir, "mlp")
+
+
+@query("pipeline_rf")
+def pipeline_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaler + RF (200 trees) pipeline saved, loaded back, applied."""
+    data = training_set(spark, sf_dir)
+    train = data.where("split = 'train'").drop("split")
+    model = MD.make_pipeline(train, FEATURES, "rf", trees=MD.RF_TREES_FLOW).fit(train)
+    path = os.path.join(checkpoint_dir(spark), "models", f"rf-{uuid.uuid4().hex}")
+    MD.save_model(model, path)
+    loaded = MD.load_models({"rf": path, "missing": path + "-absent"})["rf"]
+    return MD.score(loaded, data, "rf").select("close_id", "split", "pred_rf", "conf_rf")
+
+
+@query("score_confidence")
+def score_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All flows scored by three models, plus the ensemble."""
+    data = training_set(spark, sf_dir)
+    train = data.where("split = 'train'").drop("split")
+    out = data
+    for kind in ("rf", "lr", "mlp"):
+        out = MD.score(MD.make_pipeline(train, FEATURES, kind).fit(train), out, kind)
+    names = ("rf", "lr", "mlp")
+    return out.select("close_id", "split", "y", *[c for n in names for c in (f"pred_{n}", f"conf_{n}")],
+                      V.plurality_vote([f"pred_{n}" for n in names]).alias("pred_ensemble"),
+                      V.mean_ignoring_nan([f"conf_{n}" for n in names]).alias("conf_ensemble"))
+
+
+@query("model_eval")
+def model_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and weighted F1 of each model on the test split."""
+    s = score_confidence(spark, sf_dir).where("split = 'test'")
+    lp = MT.long_predictions(s, "y", {n: F.col(f"pred_{n}").cast("double")
+                                      for n in ("rf", "lr", "mlp", "ensemble")})
+    cc = MT.confusion_counts(lp)
+    return MT.accuracy(lp).join(MT.f1_weighted(cc), "model")
+
+
+@query("epoch_log")
+def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5/K9: 80 warm-started epochs of the fast MLP (48, 24), positional
+    90/10 train/validation cut, loss / val_loss / seconds per epoch."""
+    data = training_set(spark, sf_dir).where("split = 'train'").drop("split")
+    pos = reliable_checkpoint(SM.split_positional(data, "close_id", 0.9))
+    train = MD.scaler_stage(pos, FEATURES).transform(pos)
+    _, rows = MD.train_epochs(train.where("split = 'train'"), train.where("split = 'val'"), FEATURES)
+    return spark.createDataFrame(rows, "epoch int, loss double, val_loss double, epoch_time double")
