@@ -1 +1,62 @@
-"""placeholder"""
+"""Streaming queries: the packet table replayed as a file stream.
+
+Each builder stages the packets (derived from ``events``) as files in id
+order under the shared checkpoint folder, runs the streaming job until the
+input is drained, and returns what the sink holds.  Stream results must
+equal the batch results, so the batch oracles apply unchanged.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from flowlens.plans import flows as FL
+from flowlens.plans import rules as RL
+from flowlens.plans.registry import ORACLE, query
+from flowlens.sources import fixtures as fx
+from flowlens.streaming import jobs as J
+
+
+def _staged_stream(spark: SparkSession, sf_dir: str, name: str):
+    pk = fx.packets(spark, sf_dir)
+    folder = J.stage_packet_files(pk, J.scratch(spark, f"{name}-in"), n_files=4)
+    return J.packet_stream(spark, folder, pk.schema, files_per_batch=1)
+
+
+@query("stream_flow_features", ORACLE["flow_features_78"])
+def stream_flow_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1/ST2/ST5: stateful stream assembly (4 micro-batches) -> features;
+    equals the batch flow_features_78."""
+    s = _staged_stream(spark, sf_dir, "features")
+    out = FL._round_std(J.flow_feature_stream(s, FL.TIMEOUT_S))
+    sink = J.scratch(spark, "features-out")
+    J.run_available(out, sink, sink + "-ckpt")
+    return spark.read.parquet(sink)
+
+
+@query("stream_flow_log", ORACLE["flow_log"])
+def stream_flow_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST4/K6/R1: foreachBatch scoring of closed flows -> flow log (+ rules)."""
+    s = _staged_stream(spark, sf_dir, "log")
+    feats = J.flow_feature_stream(s, FL.TIMEOUT_S, keep=[*FL.KEY5, "seg_no", "close_id", "end_us"])
+    base = J.scratch(spark, "log-out")
+    sink = J.decision_sink(base + "/flow_log", base + "/rules")
+    q = (feats.writeStream.foreachBatch(sink).option("checkpointLocation", base + "/ckpt")
+              .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(base + "/flow_log").drop("batch_id")
+
+
+@query("stream_block_rules")
+def stream_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST4/R1: rules appended by the streaming scorer for DROP flows."""
+    s = _staged_stream(spark, sf_dir, "rules")
+    feats = J.flow_feature_stream(s, FL.TIMEOUT_S, keep=[*FL.KEY5, "seg_no", "close_id", "end_us"])
+    base = J.scratch(spark, "rules-out")
+    q = (feats.writeStream.foreachBatch(J.decision_sink(base + "/flow_log", base + "/rules"))
+              .option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(base + "/rules").drop("batch_id")
+
+
+_ = RL  # rule plans register first so their oracles exist
