@@ -29,7 +29,7 @@ from typing import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -183,13 +183,15 @@ def segment_flows(
 def closed_flow_rows(segmented: DataFrame, key: Sequence[str] = KEY5, emit_open: bool = False) -> DataFrame:
     """Keep rows of emitted flows: closed ones, plus open ones if ``emit_open``.
 
-    A flow is closed iff one of its rows has ``closes``; that row is the
-    flow's last one, so a semi join against the closing rows selects them
-    without a window over the key.
+    A flow is closed iff one of its rows has ``closes``.  Whether a row's
+    flow closes is only known after the flow's last row, so the per-packet
+    listing takes ``bool_or(closes)`` over the flow (a window on
+    (key, seg_no): one more shuffle of the packet rows, spill-safe, and the
+    sweep runs once).  Per-flow results do not need this: they aggregate
+    first and filter on the aggregated flag.
     """
     if emit_open:
         return segmented
-    key = list(key)
-    closing = segmented.where("closes").select(*key, "seg_no")
-    return segmented.join(closing, on=[segmented[c].eqNullSafe(closing[c]) for c in key]
-                          + [segmented["seg_no"] == closing["seg_no"]], how="left_semi")
+    w = Window.partitionBy(*key, "seg_no")
+    return (segmented.withColumn("_flow_closed", F.max(F.col("closes")).over(w))
+                     .where("_flow_closed").drop("_flow_closed"))

@@ -107,16 +107,16 @@ def _round_std(df: DataFrame) -> DataFrame:
 SELECT id, seg_no FROM fp""", "packets"))
 def flow_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every packet of a closed flow with its flow number (T = 21600 s)."""
-    seg = segment_flows(fx.packets(spark, sf_dir), TIMEOUT_S)
-    return closed_flow_rows(seg).select("id", "seg_no")
+    pk = fx.packets(spark, sf_dir).select(*KEY5, "id", "ts_us")  # prune before the sweep
+    return closed_flow_rows(segment_flows(pk, TIMEOUT_S)).select("id", "seg_no")
 
 
 @query("flow_segments_t10", fx.with_views(_flow_rows_sql(TIMEOUT_SHORT_S) + """
 SELECT id, seg_no FROM fp""", "packets"))
 def flow_segments_t10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W3 with the short offline timeout (mostly two-packet flows)."""
-    seg = segment_flows(fx.packets(spark, sf_dir), TIMEOUT_SHORT_S)
-    return closed_flow_rows(seg).select("id", "seg_no")
+    pk = fx.packets(spark, sf_dir).select(*KEY5, "id", "ts_us")
+    return closed_flow_rows(segment_flows(pk, TIMEOUT_SHORT_S)).select("id", "seg_no")
 
 
 @query("flow_totals", fx.with_views(_flow_rows_sql(TIMEOUT_S) + """
@@ -192,7 +192,8 @@ def flow_features_78_t10(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, seg_no, 1 AS is_fwd FROM fp""", "packets"))
 def flow_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packet direction inside its flow (directed key: always forward)."""
-    seg = closed_flow_rows(segment_flows(fx.packets(spark, sf_dir), TIMEOUT_S))
+    pk = fx.packets(spark, sf_dir).select(*KEY5, "id", "ts_us")
+    seg = closed_flow_rows(segment_flows(pk, TIMEOUT_S))
     return seg.select("id", "seg_no", feat.direction_column("directed").cast("int").alias("is_fwd"))
 
 
