@@ -12,13 +12,13 @@ from flowlens.functions import packets as PK
 
 # Defaults for flow-CSV columns that are absent.
 FLOW_ROW_DEFAULTS = {
-    "Source IP": ("src_ip", F.lit("0.0.0.0")),
-    "Destination IP": ("dst_ip", F.lit("0.0.0.0")),
-    "Source Port": ("src_port", F.lit(0)),
-    "Destination Port": ("dst_port", F.lit(0)),
-    "Protocol": ("protocol", F.lit(6)),
-    "Total Length of Fwd Packets": ("length", F.lit(0.0)),
-    "Timestamp": ("timestamp", F.lit(0.0)),
+    "Source IP": ("src_ip", "0.0.0.0"),
+    "Destination IP": ("dst_ip", "0.0.0.0"),
+    "Source Port": ("src_port", 0),
+    "Destination Port": ("dst_port", 0),
+    "Protocol": ("protocol", 6),
+    "Total Length of Fwd Packets": ("length", 0.0),
+    "Timestamp": ("timestamp", 0.0),
 }
 
 
@@ -57,7 +57,7 @@ def flow_row_projection(df: DataFrame, keep: Sequence[str] = (), label_col: str
     ports become 0 and the protocol is 6 if it is 6, else 17."""
     cols = list(keep)
     for src, (name, default) in FLOW_ROW_DEFAULTS.items():
-        c = F.col(f"`{src}`") if src in df.columns else default
+        c = F.col(f"`{src}`") if src in df.columns else F.lit(default)
         if name in ("src_port", "dst_port"):
             c = F.coalesce(c, F.lit(0)).cast("int")
         elif name == "protocol":

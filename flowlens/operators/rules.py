@@ -88,15 +88,35 @@ def active_at(rules: DataFrame, t_us) -> DataFrame:
     return rules.where((F.col("added_at_us") <= t) & (F.col("expiry_us").isNull() | (F.col("expiry_us") > t)))
 
 
-def blocked_intervals(rules: DataFrame) -> DataFrame:
+def blocked_intervals(rules: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
     """Per address, the union of its rule intervals [added, expiry) as
-    disjoint intervals (touching ones merged; NULL end = still blocked)."""
+    disjoint intervals (touching ones merged; NULL end = still blocked).
+
+    Gaps and islands without a window over a whole address (one address may
+    own a third of all rules): rows are ordered inside (address, hour
+    bucket) windows, and what precedes a bucket comes from a running max
+    over the per-bucket table (one row per address and hour).  A row opens
+    an island when it starts after every earlier row has ended; its island
+    is the latest island start at or before it.
+    """
     end = F.coalesce(F.col("expiry_us"), F.lit(_OPEN_END))
     r = rules.select("src_ip", F.col("added_at_us").alias("s"), end.alias("e"), "rule_id")
-    w = Window.partitionBy("src_ip").orderBy("s", "e", "rule_id")
-    prev_end = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    r = r.withColumn("_new", F.when(prev_end.isNull() | (F.col("s") > prev_end), 1).otherwise(0))
-    r = r.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    r = r.withColumn("_b", F.floor(F.col("s") / bucket_us))
+    wb = Window.partitionBy("src_ip", "_b").orderBy("s", "e", "rule_id")
+    before = wb.rowsBetween(Window.unboundedPreceding, -1)
+    upto = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wip = Window.partitionBy("src_ip").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+
+    r = r.withColumn("_pin", F.max("e").over(before))
+    bt = r.groupBy("src_ip", "_b").agg(F.max("e").alias("_bmax"))
+    bt = bt.select("src_ip", "_b", F.max("_bmax").over(wip).alias("_pb"))
+    r = r.join(bt, ["src_ip", "_b"])
+    prev = F.greatest(F.col("_pin"), F.col("_pb"))  # NULL only when nothing precedes
+    r = r.withColumn("_ns", F.when(prev.isNull() | (F.col("s") > prev), F.col("s")))
+    r = r.withColumn("_is_in", F.max("_ns").over(upto))
+    bt2 = r.groupBy("src_ip", "_b").agg(F.max("_ns").alias("_bns"))
+    bt2 = bt2.select("src_ip", "_b", F.max("_bns").over(wip).alias("_pbs"))
+    r = r.join(bt2, ["src_ip", "_b"]).withColumn("_island", F.coalesce("_is_in", "_pbs"))
     iv = r.groupBy("src_ip", "_island").agg(F.min("s").alias("start_us"), F.max("e").alias("_e"),
                                              F.count(F.lit(1)).alias("n_rules"))
     return iv.select("src_ip", "start_us",

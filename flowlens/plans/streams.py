@@ -47,7 +47,18 @@ def stream_flow_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(base + "/flow_log").drop("batch_id")
 
 
-@query("stream_block_rules")
+STREAM_RULES_SQL = fx.with_views(FL._flow_rows_sql(FL.TIMEOUT_S) + """,
+v AS (SELECT *, CASE WHEN bytes > 400 THEN 1 ELSE 0 END AS pred_rf,
+        CASE WHEN f_syn > 0 THEN 1 ELSE 0 END AS pred_lr,
+        CASE WHEN (CASE WHEN iat_n > 0 THEN iat_sum::DOUBLE / iat_n / 1000000.0 ELSE 0 END) < 3600 THEN 1 ELSE 0 END AS pred_mlp
+      FROM agg)
+SELECT close_id AS rule_id, end_us AS added_at_us, src_ip, NULL::VARCHAR AS dst_ip, NULL::INTEGER AS src_port,
+  NULL::INTEGER AS dst_port, NULL::INTEGER AS protocol, 'DROP' AS action,
+  end_us + 600::BIGINT * 1000000 AS expiry_us, 'auto-detect' AS reason
+FROM v WHERE pred_rf + pred_lr + pred_mlp > 1""", "packets")
+
+
+@query("stream_block_rules", STREAM_RULES_SQL)
 def stream_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST4/R1: rules appended by the streaming scorer for DROP flows."""
     s = _staged_stream(spark, sf_dir, "rules")

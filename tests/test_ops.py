@@ -105,3 +105,23 @@ def test_blocked_intervals_merge(spark):
     r = _rules(spark, [(1, 0, "a", 10), (2, 5_000_000, "a", 10), (3, 30_000_000, "a", 1), (4, 40_000_000, "a", 0)])
     iv = sorted((x["start_us"], x["end_us"]) for x in R.blocked_intervals(r).collect())
     assert iv == [(0, 15_000_000), (30_000_000, 31_000_000), (40_000_000, None)]
+
+
+def test_blocked_intervals_random_small_buckets(spark):
+    rnd = random.Random(11)
+    rules = [(i, rnd.randint(0, 10**9), rnd.choice("ab"), rnd.choice([0, 1, 30, 120, 400])) for i in range(300)]
+    r = _rules(spark, rules)
+    got = sorted((x["src_ip"], x["start_us"], x["end_us"]) for x in R.blocked_intervals(r, bucket_us=10**7).collect())
+    want = []
+    for ip in "ab":
+        iv = sorted((a, a + ttl * 1_000_000 if ttl else None) for _, a, rip, ttl in rules if rip == ip)
+        cur = None
+        for s, e in iv:
+            if cur and (cur[1] is None or s <= cur[1]):
+                cur[1] = None if (cur[1] is None or e is None) else max(cur[1], e)
+            else:
+                if cur:
+                    want.append((ip, *cur))
+                cur = [s, e]
+        want.append((ip, *cur))
+    assert got == sorted(want)
