@@ -89,7 +89,9 @@ def flow_aggregates(segmented: DataFrame, key: Sequence[str] = KEY5, direction:
             bit = flag_bit(name)
             aggs.append(F.sum(F.when(F.col("_fwd"), bit).otherwise(0)).alias(f"fwd_{name.lower()}"))
             aggs.append(F.sum(F.when(~F.col("_fwd"), bit).otherwise(0)).alias(f"bwd_{name.lower()}"))
-    if with_label:
+    if with_label and "_label_code" in segmented.columns:
+        aggs.append(F.max_by("_label_code", order_col).alias("_label_code"))
+    elif with_label:
         aggs.append(F.max_by("label", order_col).alias("label"))
     for c in ("anchor_src_ip", "anchor_src_port"):
         if c in segmented.columns:
@@ -164,14 +166,26 @@ FEATURE_NAMES = [f"f{i}" for i in range(78)]
 
 def packet_flows(packets: DataFrame, timeout_s: float, key: Sequence[str] = KEY5,
                  direction: str = "directed", emit_open: bool = False, live: bool = False) -> DataFrame:
-    """Packets -> one aggregate row per emitted flow (segmentation + A1-A4)."""
+    """Packets -> one aggregate row per emitted flow (segmentation + A1-A4).
+
+    The text label rides through the sweep and the aggregate as a 64-bit
+    hash code (fixed-width buffers keep the aggregate hash-based instead of
+    sort-based) and is decoded afterwards by joining the distinct labels,
+    a class-name table that AQE broadcasts when it is small.
+    """
     anchor = ("src_ip", "src_port", "dst_port") if direction != "directed" else ()
     if direction != "directed":
         packets = bidirectional_key(packets)
         key = BIDIR_KEY
+    has_label = "label" in packets.columns
+    labels = None
+    if has_label:
+        labels = packets.select("label").distinct().withColumn("_label_code", F.xxhash64("label"))
+        packets = packets.withColumn("_label_code", F.xxhash64("label")).drop("label")
     seg = segment_flows(packets, timeout_s, key=key, anchor_cols=anchor)
-    flows = flow_aggregates(seg, key=key, direction=direction, live=live,
-                            with_label="label" in packets.columns)
+    flows = flow_aggregates(seg, key=key, direction=direction, live=live, with_label=has_label)
     if not emit_open:
         flows = flows.where("closed")
+    if has_label:
+        flows = flows.join(labels, "_label_code", "left").drop("_label_code")
     return flows
