@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # TCP flag names in the order the feature slots use them, and
 # their bits in the TCP header flags byte.
@@ -49,6 +50,35 @@ def canonical_ipv4(ip) -> Column:
     return F.when(is_valid_ipv4(ip), canon)
 
 
+@F.pandas_udf(T.StringType())
+def _canonical_ip_any(ips):
+    """Arrow-batched: canonical text of a v4 or v6 address, NULL if invalid."""
+    import ipaddress
+
+    import pandas as pd
+
+    def one(x):
+        if x is None:
+            return None
+        try:
+            return str(ipaddress.ip_address(x))
+        except ValueError:
+            return None
+    return pd.Series([one(x) for x in ips], dtype=object)
+
+
+def canonical_ip(df, ip_col: str, out: str = "ip_canonical"):
+    """P18 (v4 and v6): canonical address text, NULL when invalid.
+
+    The Python parser runs once per *distinct* address (an address set is
+    far smaller than the packet table), then a join puts the result back on
+    every row; the join side is left to AQE (broadcast when small).
+    """
+    distinct = df.select(F.col(ip_col).alias("_ip")).where(F.col("_ip").isNotNull()).distinct()
+    canon = distinct.select("_ip", _canonical_ip_any(F.col("_ip")).alias(out))
+    return df.join(canon, df[ip_col] == canon["_ip"], "left").drop("_ip")
+
+
 def port_of(tcp_col: str, udp_col: str, default: int | None = 0) -> Column:
     """Port from the TCP field, else the UDP field, else ``default``."""
     cols = [F.col(tcp_col), F.col(udp_col)]

@@ -161,6 +161,32 @@ def write_predictions_csv(df: DataFrame, path: str) -> DataFrame:
     return df.limit(10)
 
 
+def write_observed(df: DataFrame, path: str, name: str = "write_stats", mode: str = "overwrite") -> dict:
+    """Row count (and label balance when a ``Label`` column exists)
+    collected during the write itself via ``observe`` (no second scan)."""
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    metrics = [F.count(F.lit(1)).alias("rows")]
+    if "Label" in df.columns:
+        metrics.append(F.count_if(F.col("Label") == "BENIGN").alias("benign"))
+    df.observe(obs, *metrics).write.mode(mode).parquet(path)
+    return obs.get
+
+
+def parse_timestamp_column(df: DataFrame, col: str = "Timestamp", out: str = "ts_us") -> DataFrame:
+    """A CSV timestamp given as epoch seconds *or* as date text ->
+    microseconds (LONG); unparsable values become NULL (count them with
+    ``where(out IS NULL)`` instead of failing the job)."""
+    c = F.col(f"`{col}`").cast("string")
+    as_num = c.try_cast("double")
+    as_text = F.coalesce(F.try_to_timestamp(c, F.lit("d/M/yyyy H:mm:ss")),
+                         F.try_to_timestamp(c, F.lit("d/M/yyyy H:mm")),
+                         F.try_to_timestamp(c))
+    micros = F.when(as_num.isNotNull(), (as_num * 1_000_000).cast("long")) \
+              .otherwise(F.unix_micros(as_text))
+    return df.withColumn(out, micros)
+
+
 def append(df: DataFrame, path: str) -> None:
     """K5-K7, K9: append rows to a table."""
     df.write.mode("append").parquet(path)

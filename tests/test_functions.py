@@ -63,3 +63,11 @@ def test_round_half_away(spark):
     df = spark.createDataFrame([(0.5,), (-1.5,), (2.4,), (None,)], "x double")
     r = [x[0] for x in df.select(round_half_away("x", 0)).collect()]
     assert r == [1.0, -2.0, 2.0, None]
+
+
+def test_canonical_ip_v4_v6(spark):
+    df = spark.createDataFrame([("10.0.0.1",), ("FE80:0:0:0:0:0:0:1",), ("::1",), ("01.2.3.4",), ("junk",), (None,)],
+                               "ip string")
+    got = {r["ip"]: r["ip_canonical"] for r in PK.canonical_ip(df, "ip").collect()}
+    assert got == {"10.0.0.1": "10.0.0.1", "FE80:0:0:0:0:0:0:1": "fe80::1", "::1": "::1",
+                   "01.2.3.4": None, "junk": None, None: None}

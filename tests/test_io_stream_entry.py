@@ -74,3 +74,33 @@ def test_entry_and_registry(spark):
     assert df.count() > 0 and "decision" in df.columns
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 60
+
+
+def test_observed_write_and_timestamp_parse(spark, tmp):
+    df = spark.createDataFrame([("BENIGN", "1499340000.5"), ("DDoS", "7/7/2017 8:59:50"), ("BENIGN", "bad")],
+                               "Label string, Timestamp string")
+    stats = IO.write_observed(df, os.path.join(tmp, "obs"))
+    assert stats["rows"] == 3 and stats["benign"] == 2
+    ts = [r["ts_us"] for r in IO.parse_timestamp_column(df).collect()]
+    assert ts[0] == 1499340000500000 and ts[1] is not None and ts[2] is None
+
+
+def test_idle_flow_expires_with_event_time_timeout(spark):
+    from flowlens.streaming.flow_state import assemble_flows
+    schema = "src_ip string, dst_ip string, src_port int, dst_port int, protocol int, id long, ts_us long, " \
+             "length int, tcp_flags int, label string"
+    s = 1_000_000
+    t0 = 1_700_000_000 * s  # event time must be after the initial watermark (epoch 0)
+    part1 = [("a", "x", 1, 2, 6, 0, t0, 50, 0, "BENIGN"), ("a", "x", 1, 2, 6, 1, t0 + s, 60, 0, "BENIGN")]
+    part2 = [("b", "x", 1, 2, 6, 2, t0 + 1000 * s, 70, 0, "BENIGN"),
+             ("b", "x", 1, 2, 6, 3, t0 + 1001 * s, 80, 0, "BENIGN")]
+    folder = J.scratch(spark, "idle-in")
+    for part in (part1, part2):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = J.packet_stream(spark, folder, spark.read.parquet(folder).schema)
+    flows = assemble_flows(stream, 10, idle_timeout_s=5, emit_idle=True, watermark="1 second")
+    sink = J.scratch(spark, "idle-out")
+    J.run_available(flows.select("src_ip", "n_pkts", "closed"), sink, sink + "-ckpt")
+    got = {(r["src_ip"], r["n_pkts"], r["closed"]) for r in spark.read.parquet(sink).collect()}
+    assert ("a", 2, False) in got            # idle flow emitted on timeout, marked open
+    assert not any(ip == "b" for ip, _, _ in got)  # b is still open and not yet idle

@@ -70,3 +70,19 @@ def test_closing_row_label_and_stats(spark):
     assert f["label"] == "DDoS" and f["closed"]
     assert f["iat_n"] == 2 and f["iat_sum"] == 30 and f["iat_min"] == 5 and f["iat_max"] == 25
     assert f["fwd_bytes"] == 60 and f["bwd_pkts"] == 0
+
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(gaps=st.lists(st.integers(min_value=0, max_value=40), min_size=1, max_size=120),
+       keys=st.lists(st.sampled_from(["a", "b", None]), min_size=120, max_size=120),
+       t=st.integers(min_value=0, max_value=60), batch=st.integers(min_value=1, max_value=9))
+def test_property_sweep_equals_loop(spark, gaps, keys, t, batch):
+    ts, rows = 0, []
+    for i, g in enumerate(gaps):
+        ts += g
+        rows.append((i, keys[i], ts, 1, "x"))
+    assert run(spark, rows, t, batch=batch) == reference_loop(rows, t)
