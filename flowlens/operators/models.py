@@ -11,6 +11,7 @@ from __future__ import annotations
 import time
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -118,9 +119,11 @@ def train_epochs(train: DataFrame, val: DataFrame, feature_cols: Sequence[str],
     checkpointed by the caller: the loop scans them every epoch.
     """
     asm = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep")
-    tr = asm.transform(train)
+    # scanned every epoch: keep the assembled vectors (spillable; lost
+    # blocks are recomputed from the caller's checkpointed input)
+    tr = asm.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
     both = asm.transform(train.withColumn("part", F.lit("train"))
-                         .unionByName(val.withColumn("part", F.lit("val"))))
+                         .unionByName(val.withColumn("part", F.lit("val")))).persist(StorageLevel.MEMORY_AND_DISK)
     weights, model, rows = None, None, []
     best, stale = float("inf"), 0
     for epoch in range(1, epochs + 1):
@@ -140,4 +143,6 @@ def train_epochs(train: DataFrame, val: DataFrame, feature_cols: Sequence[str],
                 stale += 1
                 if stale >= patience:
                     break
+    tr.unpersist()
+    both.unpersist()
     return model, rows

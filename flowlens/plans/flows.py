@@ -68,7 +68,6 @@ agg AS (
 def _features_sql(t: int, keys: str = "src_ip, dst_ip, src_port, dst_port, protocol, seg_no, close_id, label",
                   emit_open: bool = False) -> str:
     e = "0.000001"
-    iat_mean = "sum_d"  # placeholder for readability below
     slots = ["0.0"] * 78
     slots[0] = "dst_port"
     slots[1] = "(end_us - start_us) / 1000000.0"
@@ -91,7 +90,6 @@ def _features_sql(t: int, keys: str = "src_ip, dst_ip, src_port, dst_port, proto
     slots[62], slots[63], slots[64] = "bytes", "0", "bytes"
     slots[65], slots[66], slots[67] = "n_pkts", "0", "n_pkts"
     slots[68], slots[69], slots[70], slots[71] = imin, imax, im, isd
-    del iat_mean
     cols = ", ".join(f"CAST({s} AS DOUBLE) AS f{i}" for i, s in enumerate(slots))
     return fx.with_views(_flow_rows_sql(t, emit_open) + f"""
 SELECT {keys}, {cols} FROM agg""", "packets")

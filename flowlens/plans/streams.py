@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flowlens.plans import flows as FL
-from flowlens.plans import rules as RL
+from flowlens.plans import rules as _rules  # noqa: F401  (registers the flow_log oracle used below)
 from flowlens.plans.registry import ORACLE, query
 from flowlens.sources import fixtures as fx
 from flowlens.streaming import jobs as J
@@ -69,5 +69,3 @@ def stream_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q.awaitTermination()
     return spark.read.parquet(base + "/rules").drop("batch_id")
 
-
-_ = RL  # rule plans register first so their oracles exist

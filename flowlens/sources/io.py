@@ -120,6 +120,24 @@ def label_column_of(spark: SparkSession, path: str) -> str:
     return find_label_column(header_columns(spark, path), exact_first=False)
 
 
+def read_packet_records(spark: SparkSession, path: str, schema: T.StructType = PACKETS,
+                        fmt: str = "json") -> tuple[DataFrame, DataFrame]:
+    """Packet records (JSON or CSV lines) with a fixed schema; malformed
+    records do not fail the job: they come back separately with their raw
+    text (the notice), the good rows go on.  Lines are parsed with
+    ``from_json``/``from_csv`` in PERMISSIVE mode, so either side is one
+    plain scan (no cache of the input)."""
+    bad_col = "_corrupt_record"
+    full = T.StructType(list(schema.fields) + [T.StructField(bad_col, T.StringType(), True)])
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad_col}
+    parse = F.from_json if fmt == "json" else F.from_csv
+    rec = spark.read.text(path).select(parse(F.col("value"), full if fmt == "json" else full.simpleString(),
+                                             opts).alias("r"))
+    good = rec.where(F.col(f"r.{bad_col}").isNull()).select("r.*").drop(bad_col)
+    bad = rec.where(F.col(f"r.{bad_col}").isNotNull()).select(F.col(f"r.{bad_col}").alias(bad_col))
+    return good, bad
+
+
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Every normalised chunk file at once; corrupt files are skipped
     (with ``ignoreCorruptFiles``) instead of failing the job."""

@@ -104,3 +104,15 @@ def test_idle_flow_expires_with_event_time_timeout(spark):
     got = {(r["src_ip"], r["n_pkts"], r["closed"]) for r in spark.read.parquet(sink).collect()}
     assert ("a", 2, False) in got            # idle flow emitted on timeout, marked open
     assert not any(ip == "b" for ip, _, _ in got)  # b is still open and not yet idle
+
+
+def test_packet_records_skip_malformed(spark, tmp):
+    p = os.path.join(tmp, "pk")
+    os.makedirs(p)
+    with open(os.path.join(p, "a.json"), "w") as f:
+        f.write('{"id": 1, "ts_us": 10, "src_ip": "10.0.0.1", "length": 60}\n')
+        f.write('{"id": 2, "ts_us": 11, "src_ip": null, "length": 40}\n')
+        f.write('not json at all\n')
+    good, bad = IO.read_packet_records(spark, p)
+    assert sorted(r["id"] for r in good.collect()) == [1, 2]
+    assert bad.count() == 1
