@@ -107,15 +107,31 @@ def stratified_split(df: DataFrame, class_col: str, id_col: str, test_size: floa
     return out.withColumn(split_col, F.when(F.col("_test"), "test").otherwise("train")).drop("_h", "_test")
 
 
+def _range_bucket(df: DataFrame, order_col: str, n_buckets: int):
+    """Rows + a bucket number monotone in ``order_col`` (equal-width ranges
+    between the column's min and max; the one-row min/max is broadcast)."""
+    stats = df.agg(F.count(F.lit(1)).alias("_N"), F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"))
+    b = df.join(F.broadcast(stats.select("_lo", "_hi")), on=F.lit(True))  # one-row stats
+    width = (F.col("_hi") - F.col("_lo") + 1).cast("double")
+    bucket = F.floor((F.col(order_col) - F.col("_lo")).cast("double") / width * n_buckets).cast("long")
+    return stats, b, bucket
+
+
+def first_n(df: DataFrame, order_col: str, n: int, n_buckets: int = 1 << 20) -> DataFrame:
+    """The ``n`` rows with the smallest ``order_col`` (ties by value
+    order), without a single-task top-n merge: exact cut on range buckets."""
+    spark = df.sparkSession
+    _, b, bucket = _range_bucket(df, order_col, n_buckets)
+    quota = spark.createDataFrame([(int(n),)], "n long")
+    return exact_cut(b, bucket, [F.col(order_col)], quota).drop("_lo", "_hi")
+
+
 def split_positional(df: DataFrame, order_col: str, train_fraction: float = 0.9,
                      split_col: str = "split", n_buckets: int = 1 << 20) -> DataFrame:
     """First int(N * fraction) rows in ``order_col`` order are 'train',
     the rest 'val' (no shuffle of rows, exact cut)."""
-    stats = df.agg(F.count(F.lit(1)).alias("_N"), F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"))
+    stats, b, bucket = _range_bucket(df, order_col, n_buckets)
     quota = stats.select(F.floor(F.col("_N") * F.lit(float(train_fraction))).cast("long").alias("n"))
-    b = df.join(F.broadcast(stats.select("_lo", "_hi")), on=F.lit(True))  # one-row stats
-    width = (F.col("_hi") - F.col("_lo") + 1).cast("double")
-    bucket = F.floor((F.col(order_col) - F.col("_lo")).cast("double") / width * n_buckets).cast("long")
     out = exact_cut(b, bucket, [F.col(order_col)], quota, flag="_train").drop("_lo", "_hi")
     return out.withColumn(split_col, F.when(F.col("_train"), "train").otherwise("val")).drop("_train")
 

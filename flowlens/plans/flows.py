@@ -209,9 +209,14 @@ def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT src_ip, dst_ip, src_port, dst_port, protocol, seg_no, close_id
 FROM agg QUALIFY row_number() OVER (ORDER BY close_id) <= 500000""", "packets"))
 def first_n_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 500,000 flows in emission (closing-row) order."""
-    f = _flows(spark, sf_dir)
-    return f.select(*KEY5, "seg_no", "close_id").orderBy("close_id").limit(500_000)
+    """The first 500,000 flows in emission (closing-row) order, as an
+    exact cut on close-id buckets (no single-task top-n merge)."""
+    from flowlens.operators.sampling import first_n
+    from flowlens.session import reliable_checkpoint
+    # the cut reads its input twice (bucket counts, then rows): materialise
+    # the flows once instead of running the sweep twice
+    f = reliable_checkpoint(_flows(spark, sf_dir).select(*KEY5, "seg_no", "close_id"))
+    return first_n(f, "close_id", 500_000)
 
 
 @query("random_flow", fx.with_views(_flow_rows_sql(TIMEOUT_S) + """

@@ -125,3 +125,11 @@ def test_blocked_intervals_random_small_buckets(spark):
                 cur = [s, e]
         want.append((ip, *cur))
     assert got == sorted(want)
+
+
+def test_first_n_exact(spark):
+    ids = random.Random(3).sample(range(10**6), 3000)
+    df = spark.createDataFrame([(i,) for i in ids], "cid long")
+    for n in (1, 250, 3000, 5000):
+        got = sorted(r["cid"] for r in SM.first_n(df, "cid", n).collect())
+        assert got == sorted(ids)[:n]
