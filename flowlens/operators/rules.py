@@ -126,8 +126,13 @@ def blocked_intervals(rules: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame
 def mark_blocked(traffic: DataFrame, rules: DataFrame, ts_col: str = "start_us",
                  flag: str = "blocked", bucket_us: int = BUCKET_US) -> DataFrame:
     """Flag each traffic row whose source is blocked at ``ts_col``:
-    some rule of that address has added_at <= t < expiry (or no expiry)."""
-    iv = blocked_intervals(rules)
+    some rule of that address has added_at <= t < expiry (or no expiry).
+
+    The merged-interval table (at most one row per rule, usually far fewer)
+    is materialised once in the shared checkpoint folder because both the
+    open and the timed branch read it."""
+    from flowlens.session import reliable_checkpoint
+    iv = reliable_checkpoint(blocked_intervals(rules))
     open_iv = iv.where(F.col("end_us").isNull()).select("src_ip", F.col("start_us").alias("_open_from"))
     timed = (iv.where(F.col("end_us").isNotNull())
                .withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start_us") / bucket_us),

@@ -34,13 +34,20 @@ def _hash_bucket(h: Column) -> Column:
 def exact_cut(df: DataFrame, bucket: Column, order: Sequence[Column], quota: DataFrame,
               class_col: str | None = None, flag: str | None = None) -> DataFrame:
     """First ``quota.n`` rows per class in ``order``; ``bucket`` must be
-    monotone in ``order``.  ``quota`` has columns (class_col?, n).
+    monotone in ``order``.  ``quota`` has columns (class_col?, n), or is a
+    function of the (class, bucket) count table returning it (so per-class
+    quotas cost no extra scan of the input).
 
     With ``flag`` the rows are all kept and ``flag`` says whether each is in.
     """
     cls = [class_col] if class_col else []
     b = df.withColumn("_b", bucket)
-    counts = b.groupBy(*cls, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    # the count table (<= classes x 2^20 rows) feeds the quota, the running
+    # sum and both output branches: materialise it once in the shared folder
+    from flowlens.session import reliable_checkpoint
+    counts = reliable_checkpoint(b.groupBy(*cls, "_b").agg(F.count(F.lit(1)).alias("_c")))
+    if callable(quota):
+        quota = quota(counts.withColumnRenamed("_c", "_n_rows"))
     w = Window.partitionBy(*cls).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("_cum", F.sum("_c").over(w))
     # quota: one row per class (or a single row), broadcast by construction
@@ -80,11 +87,14 @@ def sample_exact_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFr
     return exact_cut(withh, _hash_bucket(F.col("_h")), [F.col("_h"), F.col(id_col)], quota).drop("_h")
 
 
-def stratified_quota(df: DataFrame, class_col: str, test_size: float = 0.2) -> DataFrame:
+def stratified_quota(df: DataFrame, class_col: str, test_size: float = 0.2,
+                     count_col: str | None = None) -> DataFrame:
     """Per-class test quota: n_test = ceil(test_size * N); floor of each
     class's share, then the leftover rows by largest remainder, ties to the
-    smaller class label.  Works on the (small) class-count table."""
-    counts = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("_c"))
+    smaller class label.  Works on the (small) class-count table; ``df`` may
+    be the rows or an already counted table (``count_col``)."""
+    n = F.sum(count_col) if count_col else F.count(F.lit(1))
+    counts = df.groupBy(class_col).agg(n.alias("_c"))
     tot = counts.agg(F.sum("_c").alias("_N"))
     q = counts.join(F.broadcast(tot), on=F.lit(True)).withColumn(
         "_nt", F.ceil(F.lit(float(test_size)) * F.col("_N")).cast("long"))
@@ -100,7 +110,7 @@ def stratified_quota(df: DataFrame, class_col: str, test_size: float = 0.2) -> D
 def stratified_split(df: DataFrame, class_col: str, id_col: str, test_size: float = 0.2,
                      seed: int = 42, split_col: str = "split") -> DataFrame:
     """Every row tagged 'train' or 'test'; per-class test quotas exact."""
-    quota = stratified_quota(df, class_col, test_size)
+    quota = lambda counts: stratified_quota(counts, class_col, test_size, "_n_rows")
     withh = df.withColumn("_h", seeded_hash(id_col, seed))
     out = exact_cut(withh, _hash_bucket(F.col("_h")), [F.col("_h"), F.col(id_col)], quota,
                     class_col=class_col, flag="_test")
@@ -108,31 +118,33 @@ def stratified_split(df: DataFrame, class_col: str, id_col: str, test_size: floa
 
 
 def _range_bucket(df: DataFrame, order_col: str, n_buckets: int):
-    """Rows + a bucket number monotone in ``order_col`` (equal-width ranges
-    between the column's min and max; the one-row min/max is broadcast)."""
-    stats = df.agg(F.count(F.lit(1)).alias("_N"), F.min(order_col).alias("_lo"), F.max(order_col).alias("_hi"))
-    b = df.join(F.broadcast(stats.select("_lo", "_hi")), on=F.lit(True))  # one-row stats
-    width = (F.col("_hi") - F.col("_lo") + 1).cast("double")
-    bucket = F.floor((F.col(order_col) - F.col("_lo")).cast("double") / width * n_buckets).cast("long")
-    return stats, b, bucket
+    """Row count and a bucket column monotone in ``order_col`` (equal-width
+    ranges between the column's min and max).  The min/max/count come back
+    as one row (a bounded result) and enter the plan as literals."""
+    st = df.agg(F.count(F.lit(1)).alias("n"), F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
+    lo, hi = (st["lo"] or 0), (st["hi"] or 0)
+    width = float(hi - lo + 1)
+    bucket = F.floor((F.col(order_col) - F.lit(lo)).cast("double") / F.lit(width) * n_buckets).cast("long")
+    return int(st["n"]), bucket
 
 
 def first_n(df: DataFrame, order_col: str, n: int, n_buckets: int = 1 << 20) -> DataFrame:
     """The ``n`` rows with the smallest ``order_col`` (ties by value
     order), without a single-task top-n merge: exact cut on range buckets."""
     spark = df.sparkSession
-    _, b, bucket = _range_bucket(df, order_col, n_buckets)
+    _, bucket = _range_bucket(df, order_col, n_buckets)
     quota = spark.createDataFrame([(int(n),)], "n long")
-    return exact_cut(b, bucket, [F.col(order_col)], quota).drop("_lo", "_hi")
+    return exact_cut(df, bucket, [F.col(order_col)], quota)
 
 
 def split_positional(df: DataFrame, order_col: str, train_fraction: float = 0.9,
                      split_col: str = "split", n_buckets: int = 1 << 20) -> DataFrame:
     """First int(N * fraction) rows in ``order_col`` order are 'train',
     the rest 'val' (no shuffle of rows, exact cut)."""
-    stats, b, bucket = _range_bucket(df, order_col, n_buckets)
-    quota = stats.select(F.floor(F.col("_N") * F.lit(float(train_fraction))).cast("long").alias("n"))
-    out = exact_cut(b, bucket, [F.col(order_col)], quota, flag="_train").drop("_lo", "_hi")
+    n_rows, bucket = _range_bucket(df, order_col, n_buckets)
+    n_train = int(n_rows * float(train_fraction))  # int(N * fraction), as in a Python slice bound
+    quota = df.sparkSession.createDataFrame([(n_train,)], "n long")
+    out = exact_cut(df, bucket, [F.col(order_col)], quota, flag="_train")
     return out.withColumn(split_col, F.when(F.col("_train"), "train").otherwise("val")).drop("_train")
 
 

@@ -15,6 +15,7 @@ from flowlens.operators import rules as R
 from flowlens.operators import sampling as SM
 from flowlens.plans import flows as FL
 from flowlens.plans.registry import query
+from flowlens.session import reliable_checkpoint
 from flowlens.sources import fixtures as fx
 
 PERMANENT_TTL = "CASE WHEN conf_rf >= 0.95 THEN 0 ELSE 600 END"
@@ -33,7 +34,11 @@ def rules_live(spark, sf_dir):
 
 
 def rules_mixed(spark, sf_dir):
-    return R.block_rules(decisions(spark, sf_dir), "ttl_s", id_col="row_id", ts_col="ts_us")
+    """The rule table (600 s or permanent), materialised once in the shared
+    checkpoint folder: in service it is a stored table, and the derived
+    rule queries read it several times."""
+    r = R.block_rules(decisions(spark, sf_dir), "ttl_s", id_col="row_id", ts_col="ts_us")
+    return reliable_checkpoint(r)
 
 
 def unblocks(spark, sf_dir):
