@@ -32,8 +32,15 @@ def long_predictions(df: DataFrame, y_col: str, preds: Mapping[str, str | Column
               .where(F.col("p").isNotNull()))
 
 
-def confusion_counts(lp: DataFrame) -> DataFrame:
-    return lp.groupBy("model", "y", "p").agg(F.count(F.lit(1)).alias("n"))
+def confusion_counts(lp: DataFrame, materialize: bool = True) -> DataFrame:
+    """(model, y, p, n).  The table has at most models x classes^2 rows and
+    every metric reads it several times, so it is materialised once (in the
+    shared checkpoint folder) and the predictions are scanned once."""
+    cc = lp.groupBy("model", "y", "p").agg(F.count(F.lit(1)).alias("n"))
+    if materialize:
+        from flowlens.session import reliable_checkpoint
+        cc = reliable_checkpoint(cc)
+    return cc
 
 
 def accuracy(lp: DataFrame) -> DataFrame:
