@@ -99,3 +99,20 @@ def decision_sink(log_path: str, rules_path: str, models: Callable[[DataFrame],
               .partitionBy("batch_id").parquet(rules_path))
         dec.unpersist()
     return fn
+
+
+def start_live(spark: SparkSession, packet_dir: str, out_dir: str, timeout_s: float = 5.0,
+               trigger: str = "200 milliseconds", idle_timeout_s: float | None = 600.0,
+               schema=None):
+    """ST1-ST6 as a service: packet files arriving in ``packet_dir`` ->
+    stateful flow assembly (live timeout, 5 s) -> features -> votes ->
+    decisions appended to ``out_dir``/flow_log and rules to ``out_dir``/rules
+    every ``trigger``.  Idle flows are dropped from state after
+    ``idle_timeout_s`` of event time.  Returns the running StreamingQuery."""
+    from flowlens.sources.io import PACKETS
+    stream = packet_stream(spark, packet_dir, schema or PACKETS, files_per_batch=1000)
+    feats = flow_feature_stream(stream, timeout_s, keep=[*KEY5, "seg_no", "close_id", "end_us"],
+                                idle_timeout_s=idle_timeout_s)
+    sink = decision_sink(out_dir + "/flow_log", out_dir + "/rules")
+    return (feats.writeStream.foreachBatch(sink).option("checkpointLocation", out_dir + "/_checkpoint")
+                 .trigger(processingTime=trigger).start())
