@@ -9,7 +9,7 @@ from flowlens.operators import sampling as SM
 from flowlens.plans.registry import query
 from flowlens.sources import fixtures as fx
 
-# The reference's sample size and seed.
+# The sample size and seed of the sampling step.
 SAMPLE_N = 500_000
 SEED = 42
 

@@ -41,7 +41,7 @@ FLOW_LOG = T.StructType([
     T.StructField("decision", T.StringType(), True),
 ])
 
-FIREWALL_RULES = T.StructType([
+BLOCK_RULES = T.StructType([
     T.StructField("rule_id", T.LongType(), False),
     T.StructField("added_at_us", T.LongType(), False),
     T.StructField("src_ip", T.StringType(), False),
@@ -73,7 +73,7 @@ EPOCH_LOG = T.StructType([
     T.StructField("epoch_time", T.DoubleType(), True),
 ])
 
-TABLES = {"packets": PACKETS, "flow_logs": FLOW_LOG, "firewall_rules": FIREWALL_RULES,
+TABLES = {"packets": PACKETS, "flow_logs": FLOW_LOG, "block_rules": BLOCK_RULES,
           "logs": RUN_LOG, "epochs": EPOCH_LOG}
 
 

@@ -42,7 +42,7 @@ def test_chunks_tables_run_log(spark, tmp):
     IO.write_clean(df, os.path.join(tmp, "chunks"))
     assert IO.read_chunks(spark, os.path.join(tmp, "chunks")).count() == 10
     paths = IO.create_tables(spark, os.path.join(tmp, "db"))
-    assert spark.read.parquet(paths["firewall_rules"]).count() == 0
+    assert spark.read.parquet(paths["block_rules"]).count() == 0
     IO.log_run(spark, paths["logs"], "train", 10, "rf,lr", True, 0.9, 0.8)
     IO.log_run(spark, paths["logs"], "predict", 5, "rf", False)
     logs = spark.read.parquet(paths["logs"]).orderBy("id").collect()

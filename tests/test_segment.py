@@ -12,7 +12,7 @@ KEY = ["k"]
 SCHEMA = "id long, k string, ts_us long, length int, label string"
 
 
-def reference_loop(rows, t):
+def plain_loop(rows, t):
     """Per key, in id order: open, append, close when ts - start > t."""
     out, state = {}, {}
     for rid, k, ts, _, _ in sorted(rows, key=lambda r: r[0]):
@@ -47,7 +47,7 @@ def test_random_against_loop(spark, seed, monotone):
         ts = ts + rnd.randint(0, 9) if monotone else rnd.randint(0, 3000)
         rows.append((i, rnd.choice(["a", "b", "c", None]), ts, rnd.randint(40, 90), "x"))
     t = 25
-    assert run(spark, rows, t, batch=7) == reference_loop(rows, t)
+    assert run(spark, rows, t, batch=7) == plain_loop(rows, t)
 
 
 def test_equal_to_timeout_does_not_close(spark):
@@ -85,4 +85,4 @@ def test_property_sweep_equals_loop(spark, gaps, keys, t, batch):
     for i, g in enumerate(gaps):
         ts += g
         rows.append((i, keys[i], ts, 1, "x"))
-    assert run(spark, rows, t, batch=batch) == reference_loop(rows, t)
+    assert run(spark, rows, t, batch=batch) == plain_loop(rows, t)
