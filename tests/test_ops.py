@@ -133,3 +133,22 @@ def test_first_n_exact(spark):
     for n in (1, 250, 3000, 5000):
         got = sorted(r["cid"] for r in SM.first_n(df, "cid", n).collect())
         assert got == sorted(ids)[:n]
+
+
+def test_both_classes_guard(spark):
+    import pytest
+    from flowlens.operators import clean as C
+    one = spark.createDataFrame([("BENIGN",), ("benign",)], "label string")
+    with pytest.raises(ValueError):
+        C.require_both_classes(C.class_balance(one).first())
+    two = spark.createDataFrame([("BENIGN",), ("DDoS",)], "label string")
+    C.require_both_classes(C.class_balance(two).first())
+
+
+def test_epoch_loop_early_stop(spark):
+    from flowlens.operators import models as MD
+    rnd = random.Random(2)
+    rows = [(float(i % 2), rnd.random(), rnd.random()) for i in range(200)]
+    df = spark.createDataFrame(rows, "y double, a double, b double")
+    _, log = MD.train_epochs(df.limit(160), df.limit(40), ["a", "b"], epochs=6, hidden=(3,), block=32, patience=1)
+    assert 1 <= len(log) <= 6 and all(len(r) == 4 for r in log)
