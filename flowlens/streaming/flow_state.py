@@ -12,7 +12,13 @@ Idle flows: by default (as in the batch rule) a flow that never sees a
 closing packet is never emitted; with ``idle_timeout_s`` the state is
 dropped once the event-time watermark passes the flow's last packet plus
 that time (``emit_idle=True`` emits it first, marked ``closed = false``).
-Within one micro-batch a key's rows are put back in arrival (id) order.
+Within one micro-batch a key's rows are put back in arrival (id) order and
+processed like the batch sweep: the closing row of each flow is one
+``searchsorted`` and the statistics of a flow's slice are numpy reductions
+merged into the carried state, so Python runs once per flow, not per
+packet.  The rows of one key in one micro-batch are held together, so size
+micro-batches (``maxFilesPerTrigger`` / ``maxBytesPerTrigger``) for the
+hottest key.
 """
 
 from __future__ import annotations
@@ -29,9 +35,6 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from flowlens.functions.packets import FLAG_MASKS, FLAG_NAMES
 from flowlens.operators.segment import KEY5
 
-_STATS = ("n", "fwd_n", "fwd_sum", "fwd_mean", "fwd_m2", "fwd_min", "fwd_max",
-          "iat_n", "iat_sum", "iat_mean", "iat_m2", "iat_min", "iat_max")
-
 STATE_SCHEMA = (
     "seg_no long, open boolean, start_us long, prev_us long, first_id long, last_id long, "
     "n long, fwd_n long, fwd_sum long, fwd_mean double, fwd_m2 double, fwd_min int, fwd_max int, "
@@ -50,6 +53,23 @@ def output_schema(key_schema: str) -> str:
             + ", label string")
 
 
+def _merge(n_a: int, mean_a: float, m2_a: float, x: np.ndarray):
+    """Combine running (n, mean, M2) with a batch of values."""
+    n_b = len(x)
+    if n_b == 0:
+        return n_a, mean_a, m2_a
+    xf = x.astype(np.float64)
+    mean_b = float(xf.mean())
+    m2_b = float(((xf - mean_b) ** 2).sum())
+    n = n_a + n_b
+    delta = mean_b - mean_a
+    return n, mean_a + delta * n_b / n, m2_a + m2_b + delta * delta * n_a * n_b / n
+
+
+def _fold(fn, cur, v):
+    return v if cur is None else fn(cur, v)
+
+
 class _Flow:
     """Running stats of one open flow (all packets forward: directed key)."""
 
@@ -85,32 +105,33 @@ class _Flow:
                 self.iat_n, self.iat_sum, self.iat_mean, self.iat_m2, self.iat_min, self.iat_max,
                 *self.flags, self.label)
 
-    def add(self, pid, ts, length, flags, proto, label):
+    def add_slice(self, ids, ts, ln, fl, pr, labels, lo, hi):
+        """Add rows [lo, hi) of one key's id-ordered arrays in one step:
+        numpy sums/min/max per slice and a parallel (Chan) merge of the
+        Welford mean/M2, so Python runs once per flow slice, not per row."""
         if not self.open:
             self.reset()
-            self.open, self.start, self.first_id = True, ts, pid
+            self.open, self.start, self.first_id = True, int(ts[lo]), int(ids[lo])
+            gaps = np.diff(ts[lo:hi])
         else:
-            g = ts - self.prev
-            self.iat_n += 1
-            self.iat_sum += g
-            d = g - self.iat_mean
-            self.iat_mean += d / self.iat_n
-            self.iat_m2 += d * (g - self.iat_mean)
-            self.iat_min = g if self.iat_min is None else min(self.iat_min, g)
-            self.iat_max = g if self.iat_max is None else max(self.iat_max, g)
-        self.n += 1
-        self.fwd_n += 1
-        self.fwd_sum += length
-        d = length - self.fwd_mean
-        self.fwd_mean += d / self.fwd_n
-        self.fwd_m2 += d * (length - self.fwd_mean)
-        self.fwd_min = length if self.fwd_min is None else min(self.fwd_min, length)
-        self.fwd_max = length if self.fwd_max is None else max(self.fwd_max, length)
-        if proto == 6:
+            gaps = np.diff(ts[lo:hi], prepend=self.prev)
+        seg_ln = ln[lo:hi]
+        self.n += hi - lo
+        self.fwd_n, self.fwd_mean, self.fwd_m2 = _merge(self.fwd_n, self.fwd_mean, self.fwd_m2, seg_ln)
+        self.fwd_sum += int(seg_ln.sum())
+        self.fwd_min = _fold(min, self.fwd_min, int(seg_ln.min()))
+        self.fwd_max = _fold(max, self.fwd_max, int(seg_ln.max()))
+        if len(gaps):
+            self.iat_n, self.iat_mean, self.iat_m2 = _merge(self.iat_n, self.iat_mean, self.iat_m2, gaps)
+            self.iat_sum += int(gaps.sum())
+            self.iat_min = _fold(min, self.iat_min, int(gaps.min()))
+            self.iat_max = _fold(max, self.iat_max, int(gaps.max()))
+        tcp = pr[lo:hi] == 6
+        if tcp.any():
+            f = fl[lo:hi][tcp]
             for i, name in enumerate(FLAG_NAMES):
-                if flags & FLAG_MASKS[name]:
-                    self.flags[i] += 1
-        self.prev, self.last_id, self.label = ts, pid, label
+                self.flags[i] += int(np.count_nonzero(f & FLAG_MASKS[name]))
+        self.prev, self.last_id, self.label = int(ts[hi - 1]), int(ids[hi - 1]), labels[hi - 1]
 
     def emit(self, key, closed: bool):
         std = lambda m2, n: math.sqrt(m2 / n) if n else None
@@ -144,14 +165,26 @@ def _state_fn(timeout_us: int, key_names: Sequence[str], out_cols: Sequence[str]
         ln = pdf["length"].fillna(0).to_numpy(np.int64)
         fl = pdf["tcp_flags"].fillna(0).to_numpy(np.int64)
         pr = pdf["protocol"].fillna(-1).to_numpy(np.int64)
-        lab = pdf["label"].to_numpy(object) if "label" in pdf else [None] * len(pdf)
+        lab = pdf["label"].to_numpy(object) if "label" in pdf else np.full(len(pdf), None, dtype=object)
         rows = []
-        for i in range(len(pdf)):
-            f.add(int(ids[i]), int(ts[i]), int(ln[i]), int(fl[i]), int(pr[i]), lab[i])
-            if ts[i] - f.start > timeout_us:
+        m = len(ts)
+        monotone = m < 2 or bool(np.all(ts[1:] >= ts[:-1]))
+        pos = 0
+        while pos < m:
+            start = int(ts[pos]) if not f.open else f.start
+            limit = start + timeout_us
+            if monotone:
+                c = max(int(np.searchsorted(ts, limit, side="right")), pos)
+            else:
+                over = np.flatnonzero(ts[pos:] > limit)
+                c = pos + int(over[0]) if len(over) else m
+            end = min(c + 1, m)
+            f.add_slice(ids, ts, ln, fl, pr, lab, pos, end)
+            if c < m:  # row c closed the flow
                 rows.append(f.emit(key, True))
                 f.open = False
                 f.seg_no += 1
+            pos = end
         state.update(f.to_state())
         if idle_us is not None and f.open:
             state.setTimeoutTimestamp(int(f.prev // 1000 + idle_us // 1000))
