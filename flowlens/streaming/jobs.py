@@ -36,8 +36,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stage_packet_files(packets: DataFrame, folder: str, n_files: int = 4, order_col: str = "id") -> str:
-    """Write ``packets`` as ``n_files`` id ranges, one append per range in id
-    order, so file modification order = arrival order."""
+    """Write ``packets`` as ``n_files`` id ranges, one file per range and one
+    append per range in id order, so file order = arrival order.  (The file
+    source feeds micro-batches in file order; the state function restores
+    id order only inside a micro-batch.)  A replay/staging helper: each
+    range is written by one task."""
     bounds = packets.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
     if bounds["lo"] is None:
         packets.limit(0).write.mode("append").parquet(folder)
@@ -47,7 +50,7 @@ def stage_packet_files(packets: DataFrame, folder: str, n_files: int = 4, order_
     for i in range(n_files):
         a, b = lo + i * step, lo + (i + 1) * step
         part = packets.where((F.col(order_col) >= a) & (F.col(order_col) < b))
-        part.write.mode("append").parquet(folder)
+        part.coalesce(1).write.mode("append").parquet(folder)
     return folder
 
 
