@@ -16,7 +16,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.operators.features import US, iat_stats, length_stats
+from flowlens.operators.features import LAYOUT_CICIDS, LAYOUT_KEY, US, iat_stats, length_stats
 
 MIN_SEGMENT_SIZE = 20.0  # fixed value of the layout
 
@@ -74,5 +74,6 @@ def flow_features_cicids(flows: DataFrame, keep: Sequence[str] = ()) -> DataFram
         s[i] = F.lit(0.0)
     s[62], s[63], s[64], s[65] = fwd_p, fwd_b, bwd_p, bwd_b
     s[69] = F.lit(MIN_SEGMENT_SIZE)
-    out = flows.select(*keep, *[c.cast("double").alias(f"f{i}") for i, c in enumerate(s)])
+    meta = {LAYOUT_KEY: LAYOUT_CICIDS}
+    out = flows.select(*keep, *[c.cast("double").alias(f"f{i}", metadata=meta) for i, c in enumerate(s)])
     return out

@@ -22,6 +22,10 @@ from flowlens.functions.packets import FLAG_NAMES, flag_bit
 from flowlens.operators.segment import KEY5, segment_flows
 
 EMPTY_STAT = 1e-6
+# Column-metadata tag naming the slot layout of f0..f77 (models remember it).
+LAYOUT_KEY = "flowlens.layout"
+LAYOUT_FLOW78 = "flow78"
+LAYOUT_CICIDS = "cicids"
 US = 1_000_000.0
 
 
@@ -158,7 +162,8 @@ def flow_features_78(flows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     slots[62], slots[63], slots[64] = fwd_b, bwd_b, fwd_b + bwd_b
     slots[65], slots[66], slots[67] = fwd_p, bwd_p, fwd_p + bwd_p
     slots[68], slots[69], slots[70], slots[71] = it["iat_min"], it["iat_max"], it["iat_mean"], it["iat_std"]
-    return flows.select(*keep, *[s.cast("double").alias(f"f{i}") for i, s in enumerate(slots)])
+    meta = {LAYOUT_KEY: LAYOUT_FLOW78}
+    return flows.select(*keep, *[s.cast("double").alias(f"f{i}", metadata=meta) for i, s in enumerate(slots)])
 
 
 FEATURE_NAMES = [f"f{i}" for i in range(78)]

@@ -46,39 +46,63 @@ def scaler_stage(train: DataFrame, cols: Sequence[str]) -> SQLTransformer:
     return SQLTransformer(statement=stmt)
 
 
+def layout_of(df: DataFrame, col: str = "f0") -> str | None:
+    """The feature layout tag carried in the column metadata, if any."""
+    from flowlens.operators.features import LAYOUT_KEY
+    if col not in df.columns:
+        return None
+    return df.schema[col].metadata.get(LAYOUT_KEY)
+
+
+def features_col(layout: str | None) -> str:
+    """Vector column name; it records the layout inside the saved model."""
+    return f"features_{layout}" if layout else "features"
+
+
 def classifier(kind: str, n_features: int, n_train: int = 1, n_classes: int = 2, **kw):
+    fc = kw.get("features_col", "features")
     if kind == "rf":
         return RandomForestClassifier(numTrees=kw.get("trees", RF_TREES), seed=SEED, maxDepth=RF_MAX_DEPTH,
-                                      featureSubsetStrategy="sqrt", labelCol="y", featuresCol="features")
+                                      featureSubsetStrategy="sqrt", labelCol="y", featuresCol=fc)
     if kind == "lr":
         # sum-of-losses with C = 1 equals mean loss with regParam = 1 / n
         return LogisticRegression(maxIter=LR_MAX_ITER, regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
-                                  standardization=False, labelCol="y", featuresCol="features")
+                                  standardization=False, labelCol="y", featuresCol=fc)
     if kind == "mlp":
         hidden = kw.get("hidden", MLP_HIDDEN)
         return MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes],
                                               maxIter=kw.get("max_iter", MLP_MAX_ITER),
                                               blockSize=kw.get("block", 256), seed=SEED,
-                                              labelCol="y", featuresCol="features")
+                                              labelCol="y", featuresCol=fc)
     raise ValueError(f"unknown model kind {kind}")
 
 
 def make_pipeline(train: DataFrame, feature_cols: Sequence[str], kind: str, **kw) -> Pipeline:
-    """M4: scaler -> assembler -> classifier."""
+    """M4: scaler -> assembler -> classifier.  The vector column is named
+    after the training data's feature layout, so the saved model remembers
+    it and :func:`score` refuses rows of another layout."""
     n_train = kw.pop("n_train", None) or train.count()
+    fc = features_col(layout_of(train, feature_cols[0]))
     return Pipeline(stages=[
         scaler_stage(train, feature_cols),
-        VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep"),
-        classifier(kind, len(feature_cols), n_train, **kw),
+        VectorAssembler(inputCols=list(feature_cols), outputCol=fc, handleInvalid="keep"),
+        classifier(kind, len(feature_cols), n_train, features_col=fc, **kw),
     ])
 
 
 def score(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
-    """M7: class and confidence (= the largest class probability) per row."""
+    """M7: class and confidence (= the largest class probability) per row.
+    D10: a model trained on one feature layout fails on another."""
+    asm = [st for st in model.stages if isinstance(st, VectorAssembler)]
+    fc = asm[0].getOutputCol() if asm else "features"
+    want = fc[len("features_"):] if fc.startswith("features_") else None
+    got = layout_of(df, asm[0].getInputCols()[0]) if asm else None
+    if want and got and want != got:
+        raise ValueError(f"model trained on layout {want!r}, rows are layout {got!r}")
     out = model.transform(df)
     return (out.withColumn(f"pred_{name}", F.col("prediction").cast("int"))
                .withColumn(f"conf_{name}", F.array_max(vector_to_array("probability")))
-               .drop("features", "rawPrediction", "probability", "prediction"))
+               .drop(fc, "rawPrediction", "probability", "prediction"))
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -152,3 +152,19 @@ def test_epoch_loop_early_stop(spark):
     df = spark.createDataFrame(rows, "y double, a double, b double")
     _, log = MD.train_epochs(df.limit(160), df.limit(40), ["a", "b"], epochs=6, hidden=(3,), block=32, patience=1)
     assert 1 <= len(log) <= 6 and all(len(r) == 4 for r in log)
+
+
+def test_model_refuses_other_layout(spark):
+    import pytest
+    from flowlens.operators import models as MD
+    from flowlens.operators.cicids import flow_features_cicids
+    from flowlens.operators.features import flow_features_78, packet_flows
+    from flowlens.sources import fixtures as fx
+    flows = packet_flows(fx.packets(spark, "/root/testdata/sf0.001"), 21600)
+    f78 = flow_features_78(flows, keep=["close_id"]).withColumn("y", (F.col("close_id") % 2).cast("double"))
+    cols = [f"f{i}" for i in range(78)]
+    model = MD.make_pipeline(f78, cols, "lr").fit(f78)
+    assert MD.score(model, f78, "lr").count() == f78.count()
+    cic = flow_features_cicids(flows, keep=["close_id"])
+    with pytest.raises(ValueError):
+        MD.score(model, cic, "lr")
