@@ -22,20 +22,21 @@ MIN_SEGMENT_SIZE = 20.0  # fixed value of the layout
 
 
 def _dir_iat(flows: DataFrame, d: str) -> dict[str, Column]:
-    """Per-direction IAT; in the directed layout fwd gaps are the flow gaps."""
-    n = F.col("iat_n") if d == "fwd" else F.lit(0)
+    """Per-direction IAT (gaps between packets of the same direction), in
+    seconds; 0 when the direction has fewer than two packets."""
+    n = F.col(f"{d}_iat_n")
     ok = n > 0
     return {
-        "sum": F.when(ok, F.col("iat_sum") / US).otherwise(0.0),
-        "mean": F.when(ok, F.col("iat_sum").cast("double") / F.col("iat_n") / US).otherwise(0.0),
-        "std": F.when(ok, F.col("iat_std") / US).otherwise(0.0),
-        "max": F.when(ok, F.col("iat_max") / US).otherwise(0.0),
-        "min": F.when(ok, F.col("iat_min") / US).otherwise(0.0),
+        "sum": F.when(ok, F.col(f"{d}_iat_sum") / US).otherwise(0.0),
+        "mean": F.when(ok, F.col(f"{d}_iat_sum").cast("double") / n / US).otherwise(0.0),
+        "std": F.when(ok, F.col(f"{d}_iat_std") / US).otherwise(0.0),
+        "max": F.when(ok, F.col(f"{d}_iat_max") / US).otherwise(0.0),
+        "min": F.when(ok, F.col(f"{d}_iat_min") / US).otherwise(0.0),
     }
 
 
 def flow_features_cicids(flows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Directed flows (all packets forward) -> f0..f77 in CICIDS order."""
+    """Flow aggregates (directed or bidirectional) -> f0..f77 in CICIDS order."""
     ls = length_stats(flows)
     it = iat_stats(flows)
     fwd_p, bwd_p = F.col("fwd_pkts").cast("double"), F.col("bwd_pkts").cast("double")

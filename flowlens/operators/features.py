@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.packets import FLAG_NAMES, flag_bit
@@ -102,9 +102,23 @@ def flow_aggregates(segmented: DataFrame, key: Sequence[str] = KEY5, direction:
             aggs.append(F.first(c).alias(c))
     if "anchor_dst_port" in segmented.columns:
         aggs.append(F.first("anchor_dst_port").alias("dst_port"))
-    return (df.withColumn("ln_all", ln)
-              .groupBy(*key, "seg_no")
-              .agg(*aggs))
+    if direction == "directed":
+        # every packet is forward: the per-direction gaps are the flow gaps
+        out = df.withColumn("ln_all", ln).groupBy(*key, "seg_no").agg(*aggs)
+        none = F.lit(None).cast("long")
+        return out.withColumns({
+            "fwd_iat_n": F.col("iat_n"), "fwd_iat_sum": F.col("iat_sum"), "fwd_iat_min": F.col("iat_min"),
+            "fwd_iat_max": F.col("iat_max"), "fwd_iat_std": F.col("iat_std"),
+            "bwd_iat_n": F.lit(0).cast("long"), "bwd_iat_sum": none, "bwd_iat_min": none,
+            "bwd_iat_max": none, "bwd_iat_std": F.lit(None).cast("double")})
+    # both directions: gap to the previous packet of the same direction
+    wdir = Window.partitionBy(*key, "seg_no", "_fwd").orderBy(order_col)
+    df = df.withColumn("_dgap", F.col("ts_us") - F.lag("ts_us").over(wdir))
+    for d, cond in (("fwd", F.col("_fwd")), ("bwd", ~F.col("_fwd"))):
+        g = F.when(cond, F.col("_dgap"))
+        aggs += [F.count(g).alias(f"{d}_iat_n"), F.sum(g).alias(f"{d}_iat_sum"), F.min(g).alias(f"{d}_iat_min"),
+                 F.max(g).alias(f"{d}_iat_max"), F.stddev_pop(g).alias(f"{d}_iat_std")]
+    return df.withColumn("ln_all", ln).groupBy(*key, "seg_no").agg(*aggs)
 
 
 def _stat(v: Column, n: Column, empty) -> Column:

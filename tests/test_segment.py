@@ -86,3 +86,26 @@ def test_property_sweep_equals_loop(spark, gaps, keys, t, batch):
         ts += g
         rows.append((i, keys[i], ts, 1, "x"))
     assert run(spark, rows, t, batch=batch) == plain_loop(rows, t)
+
+
+def test_bidirectional_per_direction_gaps(spark):
+    from flowlens.operators.cicids import flow_features_cicids
+    from flowlens.operators.features import packet_flows
+    schema = ("id long, ts_us long, src_ip string, dst_ip string, src_port int, dst_port int, protocol int, "
+              "length int, tcp_flags int")
+    # one conversation, both directions interleaved; the 6th packet closes it (T = 100 us)
+    rows = [(0, 0, "1.1.1.1", "2.2.2.2", 5000, 80, 6, 60, 2),
+            (1, 10, "2.2.2.2", "1.1.1.1", 80, 5000, 6, 70, 18),
+            (2, 30, "1.1.1.1", "2.2.2.2", 5000, 80, 6, 80, 16),
+            (3, 35, "2.2.2.2", "1.1.1.1", 80, 5000, 6, 90, 16),
+            (4, 70, "2.2.2.2", "1.1.1.1", 80, 5000, 6, 100, 16),
+            (5, 150, "1.1.1.1", "2.2.2.2", 5000, 80, 6, 110, 1)]
+    df = spark.createDataFrame(rows, schema)
+    flows = packet_flows(df, 100 / 1e6, direction="bidirectional")
+    f = flows.first()
+    assert (f["fwd_pkts"], f["bwd_pkts"], f["fwd_bytes"], f["bwd_bytes"]) == (3, 3, 250, 260)
+    assert (f["fwd_iat_n"], f["fwd_iat_sum"], f["fwd_iat_min"], f["fwd_iat_max"]) == (2, 150, 30, 120)
+    assert (f["bwd_iat_n"], f["bwd_iat_sum"], f["bwd_iat_min"], f["bwd_iat_max"]) == (2, 60, 25, 35)
+    assert f["iat_sum"] == 150 and f["iat_min"] == 5 and f["iat_max"] == 80
+    c = flow_features_cicids(flows).first()
+    assert c["f20"] == 150 / 1e6 and c["f25"] == 60 / 1e6 and c["f51"] == 1.0
