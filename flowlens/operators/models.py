@@ -90,6 +90,17 @@ def make_pipeline(train: DataFrame, feature_cols: Sequence[str], kind: str, **kw
     ])
 
 
+def fit_cached(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
+    """Fit with the training rows held in memory (spilling to disk) for the
+    optimiser's many passes, released afterwards.  Lost blocks are rebuilt
+    from the caller's (checkpointed) lineage."""
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return pipeline.fit(train)
+    finally:
+        train.unpersist()
+
+
 def score(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
     """M7: class and confidence (= the largest class probability) per row.
     D10: a model trained on one feature layout fails on another."""

@@ -37,7 +37,7 @@ def _fit_score(spark, sf_dir, kind, **kw):
     data = training_set(spark, sf_dir)
     train = data.where("split = 'train'").drop("split")
     test = data.where("split = 'test'").drop("split")
-    model = MD.make_pipeline(train, FEATURES, kind, **kw).fit(train)
+    model = MD.fit_cached(MD.make_pipeline(train, FEATURES, kind, **kw), train)
     return MD.score(model, test, kind).select("close_id", "y", f"pred_{kind}", f"conf_{kind}")
 
 
@@ -64,7 +64,7 @@ def pipeline_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaler + RF (200 trees) pipeline saved, loaded back, applied."""
     data = training_set(spark, sf_dir)
     train = data.where("split = 'train'").drop("split")
-    model = MD.make_pipeline(train, FEATURES, "rf", trees=MD.RF_TREES_FLOW).fit(train)
+    model = MD.fit_cached(MD.make_pipeline(train, FEATURES, "rf", trees=MD.RF_TREES_FLOW), train)
     path = os.path.join(checkpoint_dir(spark), "models", f"rf-{uuid.uuid4().hex}")
     MD.save_model(model, path)
     loaded = MD.load_models({"rf": path, "missing": path + "-absent"})["rf"]
@@ -78,7 +78,7 @@ def score_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = data.where("split = 'train'").drop("split")
     out = data
     for kind in ("rf", "lr", "mlp"):
-        out = MD.score(MD.make_pipeline(train, FEATURES, kind).fit(train), out, kind)
+        out = MD.score(MD.fit_cached(MD.make_pipeline(train, FEATURES, kind), train), out, kind)
     names = ("rf", "lr", "mlp")
     return out.select("close_id", "split", "y", *[c for n in names for c in (f"pred_{n}", f"conf_{n}")],
                       V.plurality_vote([f"pred_{n}" for n in names]).alias("pred_ensemble"),
