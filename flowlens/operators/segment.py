@@ -157,7 +157,6 @@ def segment_flows(
     first row), ``closes`` BOOLEAN and ``anchor_<c>`` for each ``anchor_cols``
     (value of ``c`` on the flow's first row).
     """
-    spark = packets.sparkSession
     key = list(key)
     timeout_us = int(round(timeout_s * 1_000_000))
     fields = list(packets.schema.fields) + [
@@ -167,17 +166,16 @@ def segment_flows(
         T.StructField("closes", T.BooleanType(), False),
     ] + [T.StructField("anchor_" + c, packets.schema[c].dataType, True) for c in anchor_cols]
     out_schema = T.StructType(fields)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     anchor_cols = list(anchor_cols)
 
     def sweep(batches):
         yield from _Sweep(key, ts_col, timeout_us, anchor_cols).run(batches)
 
-    return (
-        packets.repartition(n, *key)
-        .sortWithinPartitions(*key, order_col)
-        .mapInPandas(sweep, out_schema)
-    )
+    # Without an explicit count the hash repartition is sized by AQE from the
+    # shuffle statistics (coalesced to ~advisoryPartitionSizeInBytes); keys
+    # never split, so the sweep stays exact either way.
+    parts = packets.repartition(num_partitions, *key) if num_partitions else packets.repartition(*key)
+    return parts.sortWithinPartitions(*key, order_col).mapInPandas(sweep, out_schema)
 
 
 def closed_flow_rows(segmented: DataFrame, key: Sequence[str] = KEY5, emit_open: bool = False) -> DataFrame:
