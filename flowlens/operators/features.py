@@ -201,7 +201,12 @@ def packet_flows(packets: DataFrame, timeout_s: float, key: Sequence[str] = KEY5
     if has_label:
         labels = packets.select("label").distinct().withColumn("_label_code", F.xxhash64("label"))
         packets = packets.withColumn("_label_code", F.xxhash64("label")).drop("label")
-    seg = segment_flows(packets, timeout_s, key=key, anchor_cols=anchor)
+    if direction == "directed":
+        # hot keys (>= HOT_KEY_ROWS packets) are segmented in parallel chunks
+        from flowlens.operators.hotkeys import segment_flows_split
+        seg = segment_flows_split(packets, timeout_s, key=key)
+    else:
+        seg = segment_flows(packets, timeout_s, key=key, anchor_cols=anchor)
     flows = flow_aggregates(seg, key=key, direction=direction, live=live, with_label=has_label)
     if not emit_open:
         flows = flows.where("closed")

@@ -51,11 +51,15 @@ def _null_aware_change(s: pd.Series) -> np.ndarray:
 class _Sweep:
     """State carried across the Arrow batches of one partition."""
 
-    def __init__(self, key: Sequence[str], ts_col: str, timeout_us: int, anchor_cols: Sequence[str]):
+    def __init__(self, key: Sequence[str], ts_col: str, timeout_us: int, anchor_cols: Sequence[str],
+                 entry_cols: Sequence[str] | None = None):
         self.key = list(key)
         self.ts_col = ts_col
         self.t = int(timeout_us)
         self.anchor_cols = list(anchor_cols)
+        # optional (open, start, prev, next_seg) columns giving the state at
+        # the first row of each run (chunks of a split hot key)
+        self.entry_cols = list(entry_cols) if entry_cols else None
         self.cur_key = None      # tuple of key values of the last row seen
         self.next_seg = 0        # seg_no the next opened flow gets
         self.open = False
@@ -88,6 +92,11 @@ class _Sweep:
             kv = tuple(None if pd.isna(pdf[c].iat[b]) else pdf[c].iat[b] for c in self.key)
             if i > 0 or kv != self.cur_key:
                 self.cur_key, self.next_seg, self.open = kv, 0, False
+                if self.entry_cols:
+                    o, st, pv, sg = (pdf[c].iat[b] for c in self.entry_cols)
+                    self.open, self.next_seg = bool(o), int(sg)
+                    if self.open:
+                        self.start, self.prev = int(st), int(pv)
             self._run(ts_all, b, e, seg, start, iat, iat_null, closes, anchors, anchor_src)
         out = pdf.assign(
             seg_no=seg,

@@ -109,3 +109,26 @@ def test_bidirectional_per_direction_gaps(spark):
     assert f["iat_sum"] == 150 and f["iat_min"] == 5 and f["iat_max"] == 80
     c = flow_features_cicids(flows).first()
     assert c["f20"] == 150 / 1e6 and c["f25"] == 60 / 1e6 and c["f51"] == 1.0
+
+
+@pytest.mark.parametrize("seed,t,max_table", [(21, 25, 10**6), (22, 5, 10**6), (23, 400, 3)])
+def test_hot_key_split_equals_loop(spark, seed, t, max_table):
+    """Hot keys cut into chunks (tiny thresholds) give the sequential result;
+    one key has non-monotone time (falls back), max_table=3 forces fallback."""
+    from flowlens.operators.hotkeys import segment_flows_split
+    rnd = random.Random(seed)
+    rows, ts = [], {"a": 0, "b": 0, "c": 0}
+    for i in range(900):
+        k = rnd.choice(["a", "a", "a", "b", "c", None])
+        kk = k or "c"
+        ts[kk] += rnd.randint(0, 9)
+        t_row = ts[kk] if k != "c" else rnd.randint(0, 3000)   # key c: not monotone
+        rows.append((i, k, t_row, 1, "x"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = segment_flows_split(df, t / 1e6, key=KEY, hot_key_rows=50, chunk_rows=40, max_table=max_table)
+    got = {r["id"]: r["seg_no"] for r in closed_flow_rows(out, key=KEY).select("id", "seg_no").collect()}
+    assert got == plain_loop(rows, t)
+    full = {r["id"]: (r["seg_no"], r["start_us"], r["iat_us"], r["closes"]) for r in out.collect()}
+    ref = {r["id"]: (r["seg_no"], r["start_us"], r["iat_us"], r["closes"])
+           for r in segment_flows(df, t / 1e6, key=KEY).collect()}
+    assert full == ref
