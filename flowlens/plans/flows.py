@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from flowlens.operators import features as feat
 from flowlens.operators.cicids import flow_features_cicids
-from flowlens.operators.segment import KEY5, closed_flow_rows, segment_flows
+from flowlens.operators.hotkeys import segment_flows_split
+from flowlens.operators.segment import KEY5, closed_flow_rows
 from flowlens.functions.numeric import round_half_away as rnd
 from flowlens.plans.registry import query
 from flowlens.sources import fixtures as fx
@@ -106,7 +107,7 @@ SELECT id, seg_no FROM fp""", "packets"))
 def flow_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every packet of a closed flow with its flow number (T = 21600 s)."""
     pk = fx.packets(spark, sf_dir).select(*KEY5, "id", "ts_us")  # prune before the sweep
-    return closed_flow_rows(segment_flows(pk, TIMEOUT_S)).select("id", "seg_no")
+    return closed_flow_rows(segment_flows_split(pk, TIMEOUT_S)).select("id", "seg_no")
 
 
 @query("flow_segments_t10", fx.with_views(_flow_rows_sql(TIMEOUT_SHORT_S) + """
@@ -114,7 +115,7 @@ SELECT id, seg_no FROM fp""", "packets"))
 def flow_segments_t10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W3 with the short offline timeout (mostly two-packet flows)."""
     pk = fx.packets(spark, sf_dir).select(*KEY5, "id", "ts_us")
-    return closed_flow_rows(segment_flows(pk, TIMEOUT_SHORT_S)).select("id", "seg_no")
+    return closed_flow_rows(segment_flows_split(pk, TIMEOUT_SHORT_S)).select("id", "seg_no")
 
 
 @query("flow_totals", fx.with_views(_flow_rows_sql(TIMEOUT_S) + """
@@ -191,7 +192,7 @@ SELECT id, seg_no, 1 AS is_fwd FROM fp""", "packets"))
 def flow_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packet direction inside its flow (directed key: always forward)."""
     pk = fx.packets(spark, sf_dir).select(*KEY5, "id", "ts_us")
-    seg = closed_flow_rows(segment_flows(pk, TIMEOUT_S))
+    seg = closed_flow_rows(segment_flows_split(pk, TIMEOUT_S))
     return seg.select("id", "seg_no", feat.direction_column("directed").cast("int").alias("is_fwd"))
 
 
