@@ -132,13 +132,20 @@ def segment_flows_split(packets: DataFrame, timeout_s: float, key: Sequence[str]
     t = int(round(timeout_s * 1_000_000))
     stats = packets.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_lo"),
                                       F.max("id").alias("_hi"))
-    hot = stats.where(F.col("_n") >= hot_key_rows)  # at most N / hot_key_rows rows
-    cond = [packets[c].eqNullSafe(hot[c]) for c in key]
+    # at most N / hot_key_rows rows: materialised once (one aggregation
+    # pass), so an input without hot keys keeps the plain one-sweep plan
+    from flowlens.session import reliable_checkpoint
+    hot = reliable_checkpoint(stats.where(F.col("_n") >= hot_key_rows))
+    if hot.isEmpty():
+        return segment_flows(packets, timeout_s, key=key)
+    # fresh column names: the table derives from ``packets`` itself
+    hot = hot.toDF(*[f"_hk{i}" for i in range(len(key))], "_hn", "_hlo", "_hhi")
+    cond = [packets[c].eqNullSafe(hot[f"_hk{i}"]) for i, c in enumerate(key)]
     tagged = packets.join(hot, cond, "left").select(
         packets["*"],
-        F.when(hot["_n"].isNotNull(),
-               F.floor((F.col("id") - hot["_lo"]).cast("double") / (hot["_hi"] - hot["_lo"] + 1)
-                       * (hot["_n"] / F.lit(float(chunk_rows))))).cast("long").alias("_chunk"))
+        F.when(hot["_hn"].isNotNull(),
+               F.floor((F.col("id") - hot["_hlo"]).cast("double") / (hot["_hhi"] - hot["_hlo"] + 1)
+                       * (hot["_hn"] / F.lit(float(chunk_rows))))).cast("long").alias("_chunk"))
     hot_rows = tagged.where(F.col("_chunk").isNotNull())
 
     table_schema = T.StructType(

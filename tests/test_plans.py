@@ -22,8 +22,8 @@ def test_incremental_scan_pushes_the_id_filter(spark):
 def test_flow_features_hash_aggregate_single_sweep(spark):
     p = plan(FL.flow_features_78(spark, SMOKE))
     assert "SortAggregate" not in p and "HashAggregate" in p
-    # one sweep over the ordinary keys, one over the chunks of split hot keys
-    assert p.count("MapInPandas") == 2
+    # no hot keys at this size: one plain sweep
+    assert p.count("MapInPandas") == 1
 
 
 def test_enforcement_has_no_cartesian_or_nested_loop(spark):
