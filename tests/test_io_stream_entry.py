@@ -151,3 +151,11 @@ def test_stream_state_random_non_monotone_equals_batch(spark):
     got = sorted(tuple(r) for r in spark.read.parquet(sink).select(*cols).collect())
     want = sorted(tuple(r) for r in feat.packet_flows(df, 700 / 1e6).select(*cols).collect())
     assert got == want and len(got) > 20
+
+
+def test_package_is_shipped_to_workers(spark):
+    from flowlens.session import ship_package
+    ship_package(spark)
+    ship_package(spark)  # once per application
+    files = spark.sparkContext._jsc.sc().listFiles()
+    assert any(str(f).endswith("flowlens.zip") for f in files.toList().mkString(",").split(","))
