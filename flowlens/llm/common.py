@@ -16,6 +16,8 @@ from flowlens.session import checkpoint_dir
 
 #: Text bytes that a Python worker turns into objects at a time.
 SLICE_BYTES = 8 << 20
+#: Bytes of an Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,7 @@ def map_columns(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInArrow`` of ``fn(dict of lists) -> dict of lists``, by slices of
     bounded size."""
     ddl = StructType.fromDDL(schema)
+    bounded_batches(df.sparkSession)
 
     def run(batches):
         out = to_arrow_schema(ddl)
@@ -58,6 +61,13 @@ def tokenizer_path(tokenizer: str) -> str:
     return public_tokenizers.path(tokenizer)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch where the session has no bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key)).rstrip("b")) >= 2**31 - 1:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder name under the shared checkpoint folder; the session's
     end removes it."""
