@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import html_text, licenses, near_dedup, packing, tokens, toxicity, warc
+from flowlens.llm import html_text, licenses, near_dedup, order_minhash, packing, tokens, toxicity, warc
 from flowlens.llm.common import table
+from flowlens.session import checkpoint_dir
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -16,6 +17,12 @@ def query(fn):
     return fn
 
 
+@query
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checkpoint_dir(spark)
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
