@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import html_text, licenses, near_dedup, order_minhash, packing, tokens, toxicity, warc
+from flowlens.llm import html_text, latent, licenses, near_dedup, order_minhash, packing, tokens, toxicity, warc
 from flowlens.llm.common import table
 from flowlens.session import checkpoint_dir
 
@@ -49,6 +49,11 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
