@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import html_text, latent, licenses, near_dedup, order_minhash, packing, tokens, toxicity, warc
+from flowlens.llm import html_text, latent, licenses, near_dedup, order_minhash, packing, preference, tokens, toxicity, \
+    warc
 from flowlens.llm.common import table
 from flowlens.session import checkpoint_dir
 
@@ -17,6 +18,15 @@ def query(fn):
     return fn
 
 
+@query
+def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checkpoint_dir(spark)
+    return preference.preference_pairs(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op1_preference_pairs"] = preference.ORACLE
+
+
 @query
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     checkpoint_dir(spark)
