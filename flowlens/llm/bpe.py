@@ -11,7 +11,7 @@ spaces and newlines between other characters (``plain``) is cut by
 byte-level pre-tokeniser always has a boundary, so a word can be looked up in
 a memo by itself.  Every other text goes through the full pattern.  Both give
 the same pre-tokens; the memo only saves work on words seen before and is
-emptied at ``MEMO_ENTRIES``.
+bounded by ``MEMO_ENTRIES``.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+from array import array
 
 import regex
 
-#: Entries of a word memo before it is emptied; longer words are not kept.
-MEMO_ENTRIES = 700_000
+#: Entries of a word memo; longer words are not kept.
+MEMO_ENTRIES = 1_000_000
 MEMO_WORD = 48
 
 _SPACE = r"\p{White_Space}"
@@ -109,16 +110,21 @@ class Merges:
 
 
 class Memo(dict):
-    """``word -> make(word)``, computed once per word and bounded."""
+    """``word -> make(word)``, computed once per word.  Bounded by two
+    generations of half the size: a full one becomes the old one, from which
+    words still in use come back."""
 
-    def __init__(self, make):
+    def __init__(self, make, entries: int | None = None):
         super().__init__()
-        self.make = make
+        self.make, self.half, self.old = make, (entries or MEMO_ENTRIES) // 2, {}
 
     def __missing__(self, word):
-        value = self.make(word)
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
         if len(word) <= MEMO_WORD:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= self.half:
+                self.old = dict(self)
                 self.clear()
             self[word] = value
         return value
@@ -155,7 +161,7 @@ class Counter:
 
     def __init__(self, path: str):
         m = self.merges = Merges(path)
-        self.piece = Memo(m.n_tokens)
+        self.piece = Memo(m.n_tokens, MEMO_ENTRIES // 2)
         piece = self.piece
         self.word = Memo(lambda w: sum([piece[p] for p in pretokens(unit(w))]))
         self.newline = m.n_tokens("\n")
@@ -174,42 +180,28 @@ class Counter:
 
 class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.  The
-    ids of each new word come from the library itself; the memo joins them."""
+    ids of each new word come from the library's own model; the memo joins
+    them.  A text with a special string goes through the library whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        tok = Tokenizer.from_file(path)
-        self.tok = tok
-        import numpy as np
+        tok = self.tok = Tokenizer.from_file(path)
+        model, symbols = tok.model, dict(enumerate(byte_symbols()))
 
-        def ids(piece: str) -> bytes:
-            return np.array(tok.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        def ids(pieces: list[str]) -> bytes:
+            return array("I", [t.id for p in pieces
+                               for t in model.tokenize(p.encode().decode("latin-1").translate(symbols))]).tobytes()
         with open(path, encoding="utf-8") as f:
             self.specials = [t["content"] for t in json.load(f).get("added_tokens", [])]
-        self.piece = Memo(ids)
-        self.word = Memo(lambda w: ids(unit(w)))
-        self.newline = len(ids("\n"))
-
-    def learn(self, texts: list[str]) -> None:
-        """Encode the words that the memo lacks in one call of the library."""
-        import numpy as np
-        new = set()
-        for t in texts:
-            if t and plain(t):
-                new.update(words(t))
-        new = [w for w in new if w not in self.word and len(w) <= MEMO_WORD]
-        if len(self.word) + len(new) > MEMO_ENTRIES:
-            self.word.clear()
-        for w, e in zip(new, self.tok.encode_batch([unit(w) for w in new], add_special_tokens=False)):
-            self.word[w] = np.array(e.ids, "<u4").tobytes()
+        self.piece = Memo(lambda p: ids([p]), MEMO_ENTRIES // 4)
+        self.word = Memo(lambda w: ids(pretokens(unit(w))))
+        self.newline = len(ids(["\n"]))
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         if any(s in text for s in self.specials):
-            # the library itself finds the special strings
-            import numpy as np
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
         if plain(text):
             return b"".join(map(self.word.__getitem__, words(text)))[self.newline:]
         return b"".join(map(self.piece.__getitem__, pretokens(text)))

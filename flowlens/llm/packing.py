@@ -55,7 +55,6 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str,
            capacity: int, max_piece: int) -> DataFrame:
     def tokenise(rows):
         encode = bpe.encoder(tokenizer_path(tokenizer))
-        encode.learn(rows["text"])
         end = np.array([END_ID], "<u4").tobytes()
         out = {"doc_id": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": []}
         for doc, text in zip(rows["doc_id"], rows["text"]):
