@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.packets import FLAG_NAMES, flag_bit
-from flowlens.operators.segment import KEY5, segment_flows
+from flowlens.operators.segment import KEY5
 
 EMPTY_STAT = 1e-6
 # Column-metadata tag naming the slot layout of f0..f77 (models remember it).
@@ -201,12 +201,9 @@ def packet_flows(packets: DataFrame, timeout_s: float, key: Sequence[str] = KEY5
     if has_label:
         labels = packets.select("label").distinct().withColumn("_label_code", F.xxhash64("label"))
         packets = packets.withColumn("_label_code", F.xxhash64("label")).drop("label")
-    if direction == "directed":
-        # hot keys (>= HOT_KEY_ROWS packets) are segmented in parallel chunks
-        from flowlens.operators.hotkeys import segment_flows_split
-        seg = segment_flows_split(packets, timeout_s, key=key)
-    else:
-        seg = segment_flows(packets, timeout_s, key=key, anchor_cols=anchor)
+    # hot keys are segmented in parallel chunks, directed and bidirectional alike
+    from flowlens.operators.hotkeys import segment_flows_split
+    seg = segment_flows_split(packets, timeout_s, key=key, anchor_cols=anchor)
     flows = flow_aggregates(seg, key=key, direction=direction, live=live, with_label=has_label)
     if not emit_open:
         flows = flows.where("closed")

@@ -1,27 +1,25 @@
 """Exact anchored-timeout segmentation with hot keys split across tasks.
 
 The sequential rule (a flow starts at the row after the previous flow's
-close) makes a key's sweep a chain.  For a key that holds a large share of
-all packets, the chain is cut into id-range chunks and solved in three
-phases, all of them Spark jobs:
-
-1. Per chunk (parallel, ``mapInPandas``): the chunk's exit state as a
-   function of its entry state.  With non-decreasing timestamps an entry
-   flow anchored at A closes at the first row with ts > A + T, and A is never
-   later than the chunk's first row, so only the rows within T of the chunk
-   start can be that closing row.  For each of them (and for "no open
-   flow") the exit state and the number of flows closed inside the chunk
-   come from pointer doubling over the chunk's next-anchor links (numpy,
-   O(m log m)).  The table has one entry per row within T of the chunk
-   start, small when T is short against the traffic.
-2. Per key (``applyInPandas`` over the small tables): a scan over the
-   chunks in id order fixes each chunk's entry state and first flow number.
-3. Per chunk (parallel): the ordinary sweep, started from that entry state.
-
-The result equals the sequential sweep row for row.  Keys whose timestamps
-are not non-decreasing in id, or whose tables would be large (a long T
-against dense traffic), take the sequential sweep instead: exact, one task
-per key.
+close) makes a key's sweep a chain.  For keys that hold many packets the
+chain is cut into chunks of about ``CHUNK_ROWS`` rows (a range partitioning by
+key and id, so chunks follow row counts, not id widths) and solved by Spark
+jobs:
+
+1. Per chunk (parallel): its exit state as a function of its entry state.  An
+   open flow anchored at A closes at the first row with ts > A + T, which is
+   the first *record* (running maximum) above it; A is at most the largest
+   earlier timestamp of the key, so only the records up to that plus T matter.
+   For each of them, and for "no open flow", the exit state comes from pointer
+   doubling over the chunk's next-anchor links.  Timestamps need not rise.
+   The table leaves as pieces of ``PIECE`` entries.
+2. Per key: one streaming pass over the pieces, sorted by chunk, carries the
+   state from chunk to chunk; it holds one piece at a time, whatever the
+   length of T or the size of a key.
+3. Per chunk (parallel): the ordinary sweep, started from its entry state.
+
+The result equals the sequential sweep row for row.  Keys below
+``HOT_KEY_ROWS`` take the plain sweep, which has O(1) state.
 """
 
 from __future__ import annotations
@@ -30,161 +28,200 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.operators.segment import KEY5, _Sweep, segment_flows
+from flowlens.operators.segment import KEY5, _null_aware_change, _Sweep, segment_flows
+from flowlens.session import reliable_checkpoint
 
-# Defaults: a key is split when it has at least HOT_KEY_ROWS rows, into
-# chunks of about CHUNK_ROWS rows; a chunk publishes at most MAX_TABLE
-# entry rows, beyond which its key is swept sequentially.
-HOT_KEY_ROWS = 10_000_000
-CHUNK_ROWS = 2_000_000
-MAX_TABLE = 200_000
+HOT_KEY_ROWS = 2_000_000
+CHUNK_ROWS = 500_000
+PIECE = 512
+BROADCAST_ROWS = 200_000
 
-_KIND_NONE, _KIND_NEW, _KIND_PASS = 0, 1, 2
+_NONE, _NEW = 0, 1
 
 
-def _exits(ts: np.ndarray, t: int):
-    """For a fresh flow starting at each row j of a monotone chunk: the row
-    whose flow is still open at the chunk end (m = none open) and the
-    number of flows that close inside the chunk."""
+def closing_rows(ts: np.ndarray, t: int) -> np.ndarray:
+    """For a flow anchored at each row: the first later row with a timestamp
+    above the anchor's plus ``t`` (the row count when there is none)."""
     m = len(ts)
-    c = np.searchsorted(ts, ts + t, side="right")          # closing row of a flow anchored at j
-    succ = np.empty(m + 1, dtype=np.int64)
-    add = np.zeros(m + 1, dtype=np.int64)
+    limit = ts + t
+    if m < 2 or bool(np.all(ts[1:] >= ts[:-1])):
+        return np.searchsorted(ts, limit, side="right")
+    # maxima of blocks of 2^k rows; skip blocks without a larger timestamp
+    low = np.iinfo(np.int64).min
+    maxima = [ts]
+    while (1 << len(maxima)) <= m:
+        last, half = maxima[-1], 1 << (len(maxima) - 1)
+        maxima.append(np.maximum(last, np.r_[last[half:], np.full(half, low)]))
+    at = np.arange(m)
+    for k in range(len(maxima) - 1, -1, -1):
+        inside = at < m
+        skip = np.zeros(m, bool)
+        skip[inside] = maxima[k][at[inside]] <= limit[inside]
+        at = np.where(skip, np.minimum(at + (1 << k), m), at)
+    return at
+
+
+def exits(ts: np.ndarray, t: int):
+    """For a fresh flow starting at each row: the row whose flow is still open
+    at the chunk's end (the row count: none) and the flows closed on the way."""
+    m = len(ts)
+    c = closing_rows(ts, t)
+    succ = np.empty(m + 1, np.int64)
+    add = np.zeros(m + 1, np.int64)
     stays_open = c >= m
     succ[:m] = np.where(stays_open, np.arange(m), np.minimum(c + 1, m))
-    add[:m] = np.where(stays_open, 0, 1)
-    succ[m], add[m] = m, 0
+    add[:m] = ~stays_open
+    succ[m] = m
     for _ in range(int(np.ceil(np.log2(m + 2))) + 1):
         add, succ = add + add[succ], succ[succ]
     return succ, add
 
 
-def _chunk_tables(key: Sequence[str], t: int, max_table: int):
-    out_cols = [*key, "_chunk", "first_ts", "last_ts", "ok", "tab_ts", "tab_kind", "tab_anchor",
-                "tab_closes", "none_kind", "none_anchor", "none_closes"]
+_TABLE = [("_chunk", T.LongType()), ("piece", T.LongType()), ("last_ts", T.LongType()),
+          ("none_kind", T.IntegerType()), ("none_anchor", T.LongType()), ("none_id", T.LongType()),
+          ("none_closes", T.LongType()), ("tab_ts", T.ArrayType(T.LongType())),
+          ("tab_kind", T.ArrayType(T.IntegerType())), ("tab_anchor", T.ArrayType(T.LongType())),
+          ("tab_id", T.ArrayType(T.LongType())), ("tab_closes", T.ArrayType(T.LongType()))]
+
 
+def _chunk_tables(key: Sequence[str], t: int):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
-        ts = pdf["ts_us"].to_numpy(np.int64)
+        ts, ids = pdf["ts_us"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64)
         m = len(ts)
-        head = [pdf[c].iat[0] for c in key] + [int(pdf["_chunk"].iat[0]), int(ts[0]), int(ts[-1])]
-        w = int(np.searchsorted(ts, ts[0] + t, side="right"))
-        if (m > 1 and not bool(np.all(ts[1:] >= ts[:-1]))) or w > max_table:
-            return pd.DataFrame([head + [False, [], [], [], [], 0, 0, 0]], columns=out_cols)
-        succ, add = _exits(ts, t)
-
-        def state_after_fresh(j):  # a flow starts at row j (j == m: nothing left)
-            if j >= m:
-                return _KIND_NONE, 0, 0
-            term = int(succ[j])
-            return (_KIND_NONE, 0, int(add[j])) if term == m else (_KIND_NEW, int(ts[term]), int(add[j]))
-
-        kinds, anchors, closes = [], [], []
-        for r in range(w + 1):      # entry flow closes at row r (r == m: passes through)
-            if r >= m:
-                kinds.append(_KIND_PASS), anchors.append(0), closes.append(0)
-                continue
-            k, a, n = state_after_fresh(r + 1)
-            kinds.append(k), anchors.append(a), closes.append(n + 1)
-        nk, na, nn = state_after_fresh(0)
-        return pd.DataFrame([head + [True, ts[:w].tolist(), kinds, anchors, closes, nk, na, nn]],
-                            columns=out_cols)
+        succ, add = exits(ts, t)
+        top = np.maximum.accumulate(ts)
+        record = np.flatnonzero(np.r_[True, top[1:] > top[:-1]])
+        before = pdf["_before"].iat[0]
+        if not pd.isna(before):  # one record above the largest possible limit is enough
+            record = record[:int(np.searchsorted(ts[record], int(before) + t, side="right")) + 1]
+        else:
+            record = record[:0]  # the key's first chunk: no flow is open yet
+
+        def after(start):  # a flow starts at row ``start`` (m: nothing left)
+            end = succ[start]
+            opened = end < m
+            at = np.minimum(end, m - 1)
+            return (np.where(opened, _NEW, _NONE), np.where(opened, ts[at], 0), np.where(opened, ids[at], 0), add[start])
+        kind, anchor, anchor_id, closes = after(record + 1)
+        none = [int(v) for v in after(np.int64(0))]
+        head = [pdf[c].iat[0] for c in key] + [int(pdf["_chunk"].iat[0])]
+        rows = []
+        for n, a in enumerate(range(0, max(len(record), 1), PIECE)):
+            b = a + PIECE
+            rows.append([*head, n, int(ts[-1]), *none, ts[record[a:b]].tolist(), kind[a:b].tolist(),
+                         anchor[a:b].tolist(), anchor_id[a:b].tolist(), (closes[a:b] + 1).tolist()])
+        return pd.DataFrame(rows, columns=[*key, *[n for n, _ in _TABLE]])
     return fn
 
 
-def _chain(key: Sequence[str], t: int):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk").reset_index(drop=True)
-        first, last = pdf["first_ts"].to_numpy(np.int64), pdf["last_ts"].to_numpy(np.int64)
-        fallback = not bool(pdf["ok"].all()) or bool((first[1:] < last[:-1]).any())
-        rows, is_open, anchor, prev, seg = [], False, 0, 0, 0
-        for i in range(len(pdf)):
-            rows.append([*(pdf[c].iat[i] for c in key), int(pdf["_chunk"].iat[i]), fallback,
-                         is_open, anchor, prev, seg])
-            if fallback:
-                continue
-            if is_open:
-                r = int(np.searchsorted(np.asarray(pdf["tab_ts"].iat[i], dtype=np.int64), anchor + t, side="right"))
-                kind, a, n = pdf["tab_kind"].iat[i][r], pdf["tab_anchor"].iat[i][r], pdf["tab_closes"].iat[i][r]
-            else:
-                kind, a, n = pdf["none_kind"].iat[i], pdf["none_anchor"].iat[i], pdf["none_closes"].iat[i]
-            seg += int(n)
-            if kind == _KIND_NEW:
-                is_open, anchor = True, int(a)
-            elif kind == _KIND_NONE:
-                is_open = False
-            prev = int(last[i])
-        return pd.DataFrame(rows, columns=[*key, "_chunk", "_fallback", "_e_open", "_e_start", "_e_prev", "_e_seg"])
+def _entries(key: Sequence[str]):
+    """Streams the pieces of a key in chunk order; one row per chunk with the
+    state at its first row."""
+    columns = [*key, "_chunk", "_e_open", "_e_start", "_e_prev", "_e_seg", "_e_id"]
+
+    def fn(batches, t):
+        now = None                               # key of the state below
+        is_open, anchor, anchor_id, prev, seg = False, 0, 0, 0, 0
+        found, chunk, last_ts, entry_limit = True, None, 0, 0
+        for pdf in batches:
+            change = np.zeros(len(pdf), bool)
+            for c in key:
+                change |= _null_aware_change(pdf[c])
+            out = []
+            for i, row in enumerate(pdf.itertuples(index=False)):
+                values = tuple(None if pd.isna(v) else v for v in row[:len(key)])
+                if change[i] and values != now:
+                    now, is_open, anchor, anchor_id, prev, seg, chunk = values, False, 0, 0, 0, 0, None
+                if row[len(key)] != chunk:
+                    if chunk is not None:
+                        prev = last_ts
+                    chunk = row[len(key)]
+                    out.append([*values, int(chunk), is_open, anchor, prev, seg, anchor_id])
+                    found = not is_open
+                    entry_limit = anchor + t
+                    (_, _, last_ts, kind, a, aid, n, *_) = row[len(key):]
+                    last_ts = int(last_ts)
+                    if found:                    # a flow starts at the chunk's first row
+                        is_open, anchor, anchor_id, seg = bool(kind == _NEW), int(a), int(aid), seg + int(n)
+                if not found:
+                    tab_ts, kinds, anchors, ids, closes = row[len(key) + 7:]
+                    r = int(np.searchsorted(np.asarray(tab_ts, np.int64), entry_limit, side="right"))
+                    if r < len(tab_ts):          # the open flow closes here
+                        found = True
+                        is_open, anchor, anchor_id = bool(kinds[r] == _NEW), int(anchors[r]), int(ids[r])
+                        seg += int(closes[r])
+            if out:
+                yield pd.DataFrame(out, columns=columns)
     return fn
 
 
+def _attached(rows: DataFrame, small: DataFrame, key: Sequence[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``small`` (one row per key and chunk);
+    broadcast when its checked size allows.  NULL is a valid key value."""
+    right = small.toDF(*[f"_r{i}" for i in range(len(key))], "_rchunk", *small.columns[len(key) + 1:])
+    cond = [rows[c].eqNullSafe(right[f"_r{i}"]) for i, c in enumerate(key)] + [rows["_chunk"] == right["_rchunk"]]
+    few = small.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(right) if few else right, cond, how).drop(*[f"_r{i}" for i in range(len(key))], "_rchunk")
+
+
 def segment_flows_split(packets: DataFrame, timeout_s: float, key: Sequence[str] = KEY5,
-                        hot_key_rows: int = HOT_KEY_ROWS, chunk_rows: int = CHUNK_ROWS,
-                        max_table: int = MAX_TABLE) -> DataFrame:
-    """Same output as :func:`segment_flows` (directed keys, order column
-    ``id``, time ``ts_us``), with keys of at least ``hot_key_rows`` rows
-    segmented in parallel chunks."""
-    key = list(key)
+                        hot_key_rows: int | None = None, chunk_rows: int | None = None,
+                        anchor_cols: Sequence[str] = ()) -> DataFrame:
+    """Same output as :func:`segment_flows` (order column ``id``, time
+    ``ts_us``), with keys of at least ``hot_key_rows`` rows segmented in
+    parallel chunks."""
+    key, anchor_cols = list(key), list(anchor_cols)
+    hot_key_rows, chunk_rows = hot_key_rows or HOT_KEY_ROWS, chunk_rows or CHUNK_ROWS
     t = int(round(timeout_s * 1_000_000))
-    stats = packets.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_lo"),
-                                      F.max("id").alias("_hi"))
-    # at most N / hot_key_rows rows: materialised once (one aggregation
-    # pass), so an input without hot keys keeps the plain one-sweep plan
-    from flowlens.session import reliable_checkpoint
-    hot = reliable_checkpoint(stats.where(F.col("_n") >= hot_key_rows))
-    if hot.isEmpty():
-        return segment_flows(packets, timeout_s, key=key)
-    # fresh column names: the table derives from ``packets`` itself
-    hot = hot.toDF(*[f"_hk{i}" for i in range(len(key))], "_hn", "_hlo", "_hhi")
-    cond = [packets[c].eqNullSafe(hot[f"_hk{i}"]) for i, c in enumerate(key)]
-    tagged = packets.join(hot, cond, "left").select(
-        packets["*"],
-        F.when(hot["_hn"].isNotNull(),
-               F.floor((F.col("id") - hot["_hlo"]).cast("double") / (hot["_hhi"] - hot["_hlo"] + 1)
-                       * (hot["_hn"] / F.lit(float(chunk_rows))))).cast("long").alias("_chunk"))
-    hot_rows = tagged.where(F.col("_chunk").isNotNull())
-
-    table_schema = T.StructType(
-        [packets.schema[c] for c in key]
-        + [T.StructField(n, T.LongType()) for n in ("_chunk", "first_ts", "last_ts")]
-        + [T.StructField("ok", T.BooleanType())]
-        + [T.StructField(n, T.ArrayType(T.LongType())) for n in ("tab_ts",)]
-        + [T.StructField("tab_kind", T.ArrayType(T.IntegerType())),
-           T.StructField("tab_anchor", T.ArrayType(T.LongType())),
-           T.StructField("tab_closes", T.ArrayType(T.LongType())),
-           T.StructField("none_kind", T.IntegerType()), T.StructField("none_anchor", T.LongType()),
-           T.StructField("none_closes", T.LongType())])
-    tables = (hot_rows.select(*key, "_chunk", "id", "ts_us")
-                      .groupBy(*key, "_chunk").applyInPandas(_chunk_tables(key, t, max_table), table_schema))
-    entry_schema = T.StructType(
-        [packets.schema[c] for c in key]
-        + [T.StructField("_chunk", T.LongType()), T.StructField("_fallback", T.BooleanType()),
-           T.StructField("_e_open", T.BooleanType()), T.StructField("_e_start", T.LongType()),
-           T.StructField("_e_prev", T.LongType()), T.StructField("_e_seg", T.LongType())])
-    entries = tables.groupBy(*key).applyInPandas(_chain(key, t), entry_schema)
-
-    # NULL is a valid key value: match null-safe
-    jcond = [hot_rows[c].eqNullSafe(entries[c]) for c in key] + [hot_rows["_chunk"] == entries["_chunk"]]
-    joined = hot_rows.join(entries, jcond, "inner").select(
-        hot_rows["*"], *[entries[c] for c in ("_fallback", "_e_open", "_e_start", "_e_prev", "_e_seg")])
-    split = joined.where(~F.col("_fallback"))
-    entry_cols = ["_e_open", "_e_start", "_e_prev", "_e_seg"]
-    fields = list(packets.schema.fields) + [
+    # at most N / hot_key_rows rows: materialised once, so an input without
+    # hot keys keeps the plain one-sweep plan
+    hot = reliable_checkpoint(packets.groupBy(*key).agg(F.count(F.lit(1)).alias("_hn"))
+                              .where(F.col("_hn") >= hot_key_rows))
+    n_hot = hot.agg(F.sum("_hn")).first()[0]
+    if not n_hot:
+        return segment_flows(packets, timeout_s, key=key, anchor_cols=anchor_cols)
+    hot = hot.toDF(*[f"_hk{i}" for i in range(len(key))], "_hn")
+    names = [f"_hk{i}" for i in range(len(key))]
+    cond = [packets[c].eqNullSafe(hot[n]) for c, n in zip(key, names)]
+    few = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    plain = packets.join(few, cond, "left_anti")
+    chunks = max(1, -(-n_hot // chunk_rows))
+    rows = reliable_checkpoint(packets.join(few, cond, "left_semi").repartitionByRange(int(chunks), *key, "id")
+                               .withColumn("_chunk", F.spark_partition_id().cast("long")))
+
+    order = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per key and chunk; the window's groups are a key's chunks
+    stats = reliable_checkpoint(rows.groupBy(*key, "_chunk").agg(F.max("ts_us").alias("_top"))
+                                .withColumn("_before", F.max("_top").over(order)).drop("_top"))
+    key_fields = [packets.schema[c] for c in key]
+    tables = _attached(rows.select(*key, "_chunk", "id", "ts_us"), stats, key).groupBy(*key, "_chunk").applyInPandas(
+        _chunk_tables(key, t), T.StructType(key_fields + [T.StructField(n, d) for n, d in _TABLE]))
+    entry_fields = [T.StructField("_chunk", T.LongType()), T.StructField("_e_open", T.BooleanType()),
+                    *[T.StructField(n, T.LongType()) for n in ("_e_start", "_e_prev", "_e_seg", "_e_id")]]
+    scan = _entries(key)
+    entries = reliable_checkpoint(tables.repartition(*key).sortWithinPartitions(*key, "_chunk", "piece").mapInPandas(
+        lambda batches: scan(batches, t), T.StructType(key_fields + entry_fields)))
+    if anchor_cols:  # the values of the rows at which the entry flows began
+        began = rows.select(F.col("id").alias("_e_id"), *[F.col(c).alias(f"_e_anchor_{c}") for c in anchor_cols])
+        entries = reliable_checkpoint(entries.join(began, "_e_id", "left").select(
+            *key, "_chunk", "_e_open", "_e_start", "_e_prev", "_e_seg", *[f"_e_anchor_{c}" for c in anchor_cols]))
+    else:
+        entries = entries.drop("_e_id")
+    entry_cols = entries.columns[len(key) + 1:]
+    sweep_in = _attached(rows, entries, key).select(*packets.columns, "_chunk", *entry_cols)
+    out_schema = T.StructType(list(sweep_in.schema.fields) + [
         T.StructField("seg_no", T.LongType(), False), T.StructField("start_us", T.LongType(), False),
         T.StructField("iat_us", T.LongType(), True), T.StructField("closes", T.BooleanType(), False)]
-    sweep_in = split.select(*packets.columns, "_chunk", *entry_cols)
-    in_schema = sweep_in.schema
-    out_schema = T.StructType(list(in_schema.fields) + fields[len(packets.schema.fields):])
+        + [T.StructField("anchor_" + c, packets.schema[c].dataType, True) for c in anchor_cols])
 
     def sweep(batches):
-        yield from _Sweep([*key, "_chunk"], "ts_us", t, (), entry_cols=entry_cols).run(batches)
+        yield from _Sweep([*key, "_chunk"], "ts_us", t, anchor_cols, entry_cols=entry_cols).run(batches)
 
-    swept = (sweep_in.repartition(*key, "_chunk").sortWithinPartitions(*key, "_chunk", "id")
-                     .mapInPandas(sweep, out_schema).drop("_chunk", *entry_cols))
-    sequential_in = (tagged.where(F.col("_chunk").isNull()).drop("_chunk")
-                     .unionByName(joined.where(F.col("_fallback")).select(*packets.columns)))
-    return segment_flows(sequential_in, timeout_s, key=key).unionByName(swept)
+    swept = sweep_in.repartition(*key, "_chunk").sortWithinPartitions(*key, "_chunk", "id") \
+        .mapInPandas(sweep, out_schema).drop("_chunk", *entry_cols)
+    return segment_flows(plain, timeout_s, key=key, anchor_cols=anchor_cols).unionByName(swept)

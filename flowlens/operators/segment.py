@@ -57,8 +57,8 @@ class _Sweep:
         self.ts_col = ts_col
         self.t = int(timeout_us)
         self.anchor_cols = list(anchor_cols)
-        # optional (open, start, prev, next_seg) columns giving the state at
-        # the first row of each run (chunks of a split hot key)
+        # optional (open, start, prev, next_seg, anchor values ...) columns giving
+        # the state at the first row of each run (chunks of a split hot key)
         self.entry_cols = list(entry_cols) if entry_cols else None
         self.cur_key = None      # tuple of key values of the last row seen
         self.next_seg = 0        # seg_no the next opened flow gets
@@ -93,10 +93,11 @@ class _Sweep:
             if i > 0 or kv != self.cur_key:
                 self.cur_key, self.next_seg, self.open = kv, 0, False
                 if self.entry_cols:
-                    o, st, pv, sg = (pdf[c].iat[b] for c in self.entry_cols)
+                    o, st, pv, sg, *av = (pdf[c].iat[b] for c in self.entry_cols)
                     self.open, self.next_seg = bool(o), int(sg)
                     if self.open:
                         self.start, self.prev = int(st), int(pv)
+                        self.anchor_vals = dict(zip(self.anchor_cols, av))
             self._run(ts_all, b, e, seg, start, iat, iat_null, closes, anchors, anchor_src)
         out = pdf.assign(
             seg_no=seg,

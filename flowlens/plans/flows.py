@@ -118,6 +118,16 @@ def flow_segments_t10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closed_flow_rows(segment_flows_split(pk, TIMEOUT_SHORT_S)).select("id", "seg_no")
 
 
+@query("flow_segments_split", fx.with_views(_flow_rows_sql(TIMEOUT_S) + """
+SELECT id, seg_no FROM fp""", "packets"))
+def flow_segments_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W3 by the hot-key path: every key of 50 packets or more is cut into
+    chunks of about 100 rows (T covers many chunks); same oracle."""
+    pk = fx.packets(spark, sf_dir).select(*KEY5, "id", "ts_us")
+    seg = segment_flows_split(pk, TIMEOUT_S, hot_key_rows=50, chunk_rows=100)
+    return closed_flow_rows(seg).select("id", "seg_no")
+
+
 @query("flow_totals", fx.with_views(_flow_rows_sql(TIMEOUT_S) + """
 SELECT src_ip, dst_ip, src_port, dst_port, protocol, seg_no,
        n_pkts AS fwd_pkts, 0::BIGINT AS bwd_pkts, bytes AS fwd_bytes, 0::BIGINT AS bwd_bytes,

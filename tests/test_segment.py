@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,10 +113,11 @@ def test_bidirectional_per_direction_gaps(spark):
     assert c["f20"] == 150 / 1e6 and c["f25"] == 60 / 1e6 and c["f51"] == 1.0
 
 
-@pytest.mark.parametrize("seed,t,max_table", [(21, 25, 10**6), (22, 5, 10**6), (23, 400, 3)])
-def test_hot_key_split_equals_loop(spark, seed, t, max_table):
-    """Hot keys cut into chunks (tiny thresholds) give the sequential result;
-    one key has non-monotone time (falls back), max_table=3 forces fallback."""
+@pytest.mark.parametrize("seed,t,chunk", [(21, 25, 40), (22, 5, 40), (23, 400, 40), (24, 5000, 15), (25, 60, 7)])
+def test_hot_key_split_equals_loop(spark, seed, t, chunk):
+    """Hot keys cut into chunks (tiny thresholds, T from a part of a chunk to
+    more than a key's span) give the sequential result; key c has times that
+    do not rise, ids are far from evenly spaced."""
     from flowlens.operators.hotkeys import segment_flows_split
     rnd = random.Random(seed)
     rows, ts = [], {"a": 0, "b": 0, "c": 0}
@@ -123,12 +126,45 @@ def test_hot_key_split_equals_loop(spark, seed, t, max_table):
         kk = k or "c"
         ts[kk] += rnd.randint(0, 9)
         t_row = ts[kk] if k != "c" else rnd.randint(0, 3000)   # key c: not monotone
-        rows.append((i, k, t_row, 1, "x"))
+        rows.append((i if i < 890 else i * 10**9, k, t_row, 1, "x"))
     df = spark.createDataFrame(rows, SCHEMA)
-    out = segment_flows_split(df, t / 1e6, key=KEY, hot_key_rows=50, chunk_rows=40, max_table=max_table)
+    out = segment_flows_split(df, t / 1e6, key=KEY, hot_key_rows=50, chunk_rows=chunk, anchor_cols=("ts_us",))
     got = {r["id"]: r["seg_no"] for r in closed_flow_rows(out, key=KEY).select("id", "seg_no").collect()}
     assert got == plain_loop(rows, t)
-    full = {r["id"]: (r["seg_no"], r["start_us"], r["iat_us"], r["closes"]) for r in out.collect()}
-    ref = {r["id"]: (r["seg_no"], r["start_us"], r["iat_us"], r["closes"])
-           for r in segment_flows(df, t / 1e6, key=KEY).collect()}
+    cols = ["id", "seg_no", "start_us", "iat_us", "closes", "anchor_ts_us"]
+    full = sorted(tuple(r) for r in out.select(cols).collect())
+    ref = sorted(tuple(r) for r in segment_flows(df, t / 1e6, key=KEY, anchor_cols=("ts_us",)).select(cols).collect())
     assert full == ref
+
+
+def test_chunks_follow_row_counts_not_id_widths(spark):
+    """One far id does not put a key's rows into one chunk."""
+    from flowlens.operators import hotkeys
+    plain = hotkeys._chunk_tables
+    rows = [(i if i < 3999 else 10**15, "a", i, 1, "x") for i in range(4000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    acc = spark.sparkContext.accumulator(0)
+
+    def watched(key, t):
+        fn = plain(key, t)
+
+        def run(pdf):
+            acc.add(len(pdf) > 1000)
+            return fn(pdf)
+        return run
+    hotkeys._chunk_tables = watched
+    try:
+        out = hotkeys.segment_flows_split(df, 10 / 1e6, key=KEY, hot_key_rows=50, chunk_rows=500)
+        assert out.count() == 4000 and acc.value == 0
+    finally:
+        hotkeys._chunk_tables = plain
+
+
+def test_closing_rows_equal_loop():
+    from flowlens.operators.hotkeys import closing_rows
+    rnd = np.random.default_rng(2)
+    for m in (0, 1, 2, 7, 64, 65, 300):
+        for ts in (rnd.integers(0, 200, m), np.sort(rnd.integers(0, 200, m))):
+            for t in (0, 10, 500):
+                want = [next((i for i in range(j, m) if ts[i] > ts[j] + t), m) for j in range(m)]
+                assert closing_rows(ts.astype(np.int64), t).tolist() == want
