@@ -43,13 +43,6 @@ def is_valid_ipv4(ip) -> Column:
     return F.coalesce(_c(ip).rlike(IPV4_PATTERN), F.lit(False))
 
 
-def canonical_ipv4(ip) -> Column:
-    """Canonical dotted quad (leading zeros dropped) for valid IPv4, else NULL."""
-    parts = F.split(_c(ip), r"[.]")
-    canon = F.concat_ws(".", *[F.element_at(parts, i).cast("int").cast("string") for i in range(1, 5)])
-    return F.when(is_valid_ipv4(ip), canon)
-
-
 @F.pandas_udf(T.StringType())
 def _canonical_ip_any(ips):
     """Arrow-batched: canonical text of a v4 or v6 address, NULL if invalid."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 DROP = "DROP"
 ACCEPT = "ACCEPT"
+FAILED = -1
 
 
 def _arr(cols: Sequence[str | Column]) -> Column:
@@ -29,12 +30,19 @@ def plurality_vote(cols: Sequence[str | Column]) -> Column:
 
 def majority_decision(cols: Sequence[str | Column]) -> Column:
     """M9: DROP iff the number of 1-votes exceeds floor(n / 2), else ACCEPT.
-    No models -> ACCEPT.  NULL votes count as cast but not as 1."""
+    No models -> ACCEPT; a failed model (a NULL or -1 vote) -> ACCEPT."""
     if not cols:
         return F.lit(ACCEPT)
     p = _arr(cols)
+    failed = F.exists(p, lambda x: x.isNull() | (x == FAILED))
     ones = F.size(F.filter(p, lambda x: x == 1))
-    return F.when(ones > F.floor(F.size(p) / 2), F.lit(DROP)).otherwise(F.lit(ACCEPT))
+    return F.when(~failed & (ones > F.floor(F.size(p) / 2)), F.lit(DROP)).otherwise(F.lit(ACCEPT))
+
+
+def failure_rule(cols: Sequence[str]) -> dict[str, Column]:
+    """M9: one failed model makes every prediction of the flow -1."""
+    failed = F.exists(_arr(cols), lambda x: x.isNull() | (x == FAILED))
+    return {c: F.when(failed, F.lit(FAILED)).otherwise(F.col(c)) for c in cols}
 
 
 def single_model_decision(col: str | Column) -> Column:

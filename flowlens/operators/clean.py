@@ -73,9 +73,18 @@ def finite_or_zero(df: DataFrame, exclude: Iterable[str] = ("Label",)) -> DataFr
     return df.select(*cols)
 
 
-def downcast(df: DataFrame, label_col: str | None = "Label") -> DataFrame:
+def downcast(df: DataFrame, label_col: str | None = "Label", keep: Iterable[str] = ()) -> DataFrame:
     """DOUBLE -> FLOAT, BIGINT -> INT, label -> TINYINT (via the P5 rule,
-    since label text cannot be cast to a number)."""
+    since label text cannot be cast to a number).  Ids (``keep``) stay as they
+    are, and only BIGINT columns whose measured range fits become INT."""
+    keep = set(keep)
+    longs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.LongType) and f.name not in keep]
+    fits = set()
+    if longs:  # one row: the ranges
+        row = df.agg(*[fn(f"`{c}`").alias(f"{p}{i}") for i, c in enumerate(longs)
+                       for p, fn in (("lo", F.min), ("hi", F.max))]).first()
+        fits = {c for i, c in enumerate(longs) if row[f"lo{i}"] is None
+                or (row[f"lo{i}"] >= -2**31 and row[f"hi{i}"] < 2**31)}
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -83,7 +92,7 @@ def downcast(df: DataFrame, label_col: str | None = "Label") -> DataFrame:
             cols.append(L.binary_exact(c).cast("tinyint").alias(f.name))
         elif isinstance(f.dataType, T.DoubleType):
             cols.append(c.cast("float").alias(f.name))
-        elif isinstance(f.dataType, T.LongType):
+        elif f.name in fits:
             cols.append(c.cast("int").alias(f.name))
         else:
             cols.append(c)

@@ -115,10 +115,12 @@ def log_loss(lp: DataFrame, prob_col: str = "p_true") -> DataFrame:
     return lp.groupBy("model").agg((-F.avg(term)).alias("log_loss"))
 
 
-def chunk_accuracy(df: DataFrame, chunk_col: str, row_col: str, y_col: str, p_col: str, head: int = 2000) -> DataFrame:
-    """Accuracy of each chunk on its first ``head`` rows."""
-    w = Window.partitionBy(chunk_col).orderBy(row_col)
-    h = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= head)
+def chunk_accuracy(df: DataFrame, chunk_col: str, row_col: str, y_col: str, p_col: str, head: int | None = None) -> DataFrame:
+    """Accuracy of each chunk, of its first ``head`` rows where given."""
+    h = df
+    if head is not None:
+        w = Window.partitionBy(chunk_col).orderBy(row_col)
+        h = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= head)
     return h.groupBy(chunk_col).agg(
         (F.count_if(F.col(y_col) == F.col(p_col)) / F.count(F.lit(1))).alias("accuracy"),
         F.count(F.lit(1)).alias("n_rows"))

@@ -12,6 +12,7 @@ import time
 from typing import Sequence
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -20,6 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.functions import votes as V
 from flowlens.operators.scale import fit_scaler
 
 # The model configurations (trees, iterations, layers, seed).
@@ -33,7 +35,11 @@ MLP_MAX_ITER = 500
 MLP_FAST_HIDDEN = (48, 24)
 MLP_BLOCK = 512
 EPOCHS = 80
-PATIENCE = 10
+#: The MLP configurations: hidden layers, batch size, iterations.
+MLP_CONFIGS = {"standard": {"hidden": (100, 50), "block": 256, "max_iter": 500},
+               "fast_full": {"hidden": (80, 40), "block": 256, "max_iter": 500},
+               "flow": {"hidden": (128, 64), "block": 256, "max_iter": 300},
+               "fast": {"hidden": (48, 24), "block": 512, "max_iter": 1}}
 
 
 def scaler_stage(train: DataFrame, cols: Sequence[str]) -> SQLTransformer:
@@ -116,6 +122,27 @@ def score(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
                .drop(fc, "rawPrediction", "probability", "prediction"))
 
 
+def score_or_null(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
+    """M7: as :func:`score`; a model that cannot be applied to these rows (its
+    columns or layout are absent) gives NULL instead of failing the job."""
+    try:
+        return score(model, df, name)
+    except (ValueError, AnalysisException, IllegalArgumentException) as e:
+        print(f"model {name} gives no predictions: {type(e).__name__}")
+        return df.withColumns({f"pred_{name}": F.lit(None).cast("int"), f"conf_{name}": F.lit(None).cast("double")})
+
+
+def model_votes(models: dict[str, PipelineModel]):
+    """Function features -> features with ``pred_<name>`` of every model, with
+    the failure rule (one failed model: all predictions -1)."""
+    def fn(feats: DataFrame) -> DataFrame:
+        out = feats
+        for name, model in models.items():
+            out = score_or_null(model, out, name)
+        return out.withColumns(V.failure_rule([f"pred_{n}" for n in models]))
+    return fn
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     """Overwrite-save a fitted pipeline."""
     model.write().overwrite().save(path)
@@ -150,16 +177,17 @@ def train_epochs(train: DataFrame, val: DataFrame, feature_cols: Sequence[str],
     and validation log loss and wall time per epoch; optional early stop
     when the validation loss has not improved for ``patience`` epochs.
 
-    Returns (last model, epoch rows).  Inputs should be cached or
+    Returns (model, epoch rows): the model of the best validation loss when
+    stopping early is asked for, else the last.  Inputs should be
     checkpointed by the caller: the loop scans them every epoch.
     """
     asm = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep")
     # scanned every epoch: keep the assembled vectors (spillable; lost
     # blocks are recomputed from the caller's checkpointed input)
-    tr = asm.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
     both = asm.transform(train.withColumn("part", F.lit("train"))
                          .unionByName(val.withColumn("part", F.lit("val")))).persist(StorageLevel.MEMORY_AND_DISK)
-    weights, model, rows = None, None, []
+    tr = both.where("part = 'train'")
+    weights, model, kept, rows = None, None, None, []
     best, stale = float("inf"), 0
     for epoch in range(1, epochs + 1):
         t0 = time.time()
@@ -173,11 +201,10 @@ def train_epochs(train: DataFrame, val: DataFrame, feature_cols: Sequence[str],
         rows.append((epoch, loss, vloss, time.time() - t0))
         if patience:
             if vloss < best:
-                best, stale = vloss, 0
+                best, stale, kept = vloss, 0, model
             else:
                 stale += 1
                 if stale >= patience:
                     break
-    tr.unpersist()
     both.unpersist()
-    return model, rows
+    return (kept or model), rows

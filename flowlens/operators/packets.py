@@ -69,9 +69,10 @@ def flow_row_projection(df: DataFrame, keep: Sequence[str] = (), label_col: str
     return df.select(*cols, lab.alias("label"))
 
 
-def fetch_new_packets(packets: DataFrame, last_id: int = 0) -> tuple[DataFrame, DataFrame]:
+def fetch_new_packets(packets: DataFrame, last_id: int = -1) -> tuple[DataFrame, DataFrame]:
     """Rows with ``id > last_id`` in id order, and the new high-water
-    mark (``last_id`` again when nothing is new).  The id predicate is pushed
+    mark (``last_id`` again when nothing is new).  Ids begin at 0, so the
+    mark before any packet is -1.  The id predicate is pushed
     into the Parquet scan."""
     new = packets.where(F.col("id") > F.lit(last_id))
     hw = new.agg(F.coalesce(F.max("id"), F.lit(last_id)).cast("long").alias("last_id"),

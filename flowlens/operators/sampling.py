@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_BUCKET_HEX = 5            # 2^20 buckets
-MAX_CLASSES_BROADCAST = 100_000
 
 
 def seeded_hash(id_col: str, seed: int) -> Column:
@@ -161,6 +160,7 @@ def head_per_group(df: DataFrame, group_col: str, order_col: str, n: int) -> Dat
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def latest(df: DataFrame, order_col: str, n: int = 100) -> DataFrame:
-    """Newest ``n`` rows by ``order_col`` descending (TakeOrdered)."""
-    return df.orderBy(F.col(order_col).desc()).limit(n)
+def latest(df: DataFrame, order_col: str, n: int = 100, tie: str | None = None) -> DataFrame:
+    """Newest ``n`` rows by ``order_col`` (then ``tie``) descending
+    (TakeOrdered)."""
+    return df.orderBy(*[F.col(c).desc() for c in (order_col, tie) if c]).limit(n)

@@ -39,23 +39,3 @@ def apply_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFr
     joined = df.join(F.broadcast(stats), on=F.lit(True))  # one-row stats table
     out = joined.withColumns({c: (F.col(f"`{c}`") - F.col(f"`{c}__mean`")) / F.col(f"`{c}__std`") for c in cols})
     return out.drop(*[f"{c}__mean" for c in cols], *[f"{c}__std" for c in cols])
-
-
-class PopulationStandardScaler(Transformer, HasInputCols):
-    """Pipeline stage carrying fitted means/stds as literals (no join)."""
-
-    def __init__(self, inputCols=None, means=None, stds=None):
-        super().__init__()
-        self._set(inputCols=list(inputCols or []))
-        self.means = list(means or [])
-        self.stds = list(stds or [])
-
-    @classmethod
-    def fit_from(cls, df: DataFrame, cols: Sequence[str]) -> "PopulationStandardScaler":
-        row = fit_scaler(df, cols).first()  # one row: bounded by the column count
-        return cls(cols, [row[f"{c}__mean"] for c in cols], [row[f"{c}__std"] for c in cols])
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        cols = self.getInputCols()
-        return df.withColumns({c: (F.col(f"`{c}`") - F.lit(m)) / F.lit(s)
-                               for c, m, s in zip(cols, self.means, self.stds)})

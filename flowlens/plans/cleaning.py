@@ -58,7 +58,7 @@ def finite_or_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("downcast", fx.with_views(f"""
 WITH z AS (SELECT row_id, "Flow Duration", {_fz('"Flow Bytes/s"')}, {_fz('"Flow Packets/s"')}, Label FROM raw_flows)
-SELECT CAST(row_id AS INTEGER) AS row_id, CAST("Flow Duration" AS INTEGER) AS "Flow Duration",
+SELECT row_id, CAST("Flow Duration" AS INTEGER) AS "Flow Duration",
   CAST(CAST("Flow Bytes/s" AS FLOAT) AS DOUBLE) AS "Flow Bytes/s",
   CAST(CAST("Flow Packets/s" AS FLOAT) AS DOUBLE) AS "Flow Packets/s",
   CAST(CASE WHEN Label = 'BENIGN' THEN 0 ELSE 1 END AS TINYINT) AS Label
@@ -68,7 +68,7 @@ def downcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     cast back to DOUBLE so both engines print them alike)."""
     df = C.strip_headers(fx.raw_flows(spark, sf_dir)).select(
         "row_id", "Flow Duration", "Flow Bytes/s", "Flow Packets/s", "Label")
-    d = C.downcast(C.finite_or_zero(df))
+    d = C.downcast(C.finite_or_zero(df), keep=("row_id",))
     return d.withColumns({c: F.col(f"`{c}`").cast("double") for c in ("Flow Bytes/s", "Flow Packets/s")})
 
 
@@ -168,16 +168,16 @@ def valid_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("incremental_packets", fx.with_views("""
-SELECT * FROM packets WHERE id > 0""", "packets"))
+SELECT * FROM packets WHERE id > -1""", "packets"))
 def incremental_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets after the high-water mark (0, the first call), by id."""
-    rows, _ = PO.fetch_new_packets(fx.packets(spark, sf_dir), last_id=0)
+    """Packets after the high-water mark (-1, the first call), by id."""
+    rows, _ = PO.fetch_new_packets(fx.packets(spark, sf_dir), last_id=-1)
     return rows
 
 
 @query("incremental_high_water", fx.with_views("""
-SELECT coalesce(max(id), 0)::BIGINT AS last_id, count(*)::BIGINT AS n_new FROM packets WHERE id > 0""", "packets"))
+SELECT coalesce(max(id), -1)::BIGINT AS last_id, count(*)::BIGINT AS n_new FROM packets WHERE id > -1""", "packets"))
 def incremental_high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The new high-water mark (unchanged when nothing is new)."""
-    _, hw = PO.fetch_new_packets(fx.packets(spark, sf_dir), last_id=0)
+    _, hw = PO.fetch_new_packets(fx.packets(spark, sf_dir), last_id=-1)
     return hw

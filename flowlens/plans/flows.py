@@ -12,10 +12,13 @@ from flowlens.operators.segment import KEY5, closed_flow_rows
 from flowlens.functions.numeric import round_half_away as rnd
 from flowlens.plans.registry import query
 from flowlens.sources import fixtures as fx
+from flowlens.streaming.jobs import stand_in_votes
 
 # Fixed values from FIXTURES.md: the working timeout and the degenerate one.
 TIMEOUT_S = 21600
 TIMEOUT_SHORT_S = 10
+# Rows of the first-N query; the operator takes any n.
+FIRST_N = 1000
 STD_SLOTS = (9, 13, 17, 57, 61, 71)
 
 
@@ -216,18 +219,18 @@ def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cb(_flows(spark, sf_dir), "label")
 
 
-@query("first_n_flows", fx.with_views(_flow_rows_sql(TIMEOUT_S) + """
+@query("first_n_flows", fx.with_views(_flow_rows_sql(TIMEOUT_S) + f"""
 SELECT src_ip, dst_ip, src_port, dst_port, protocol, seg_no, close_id
-FROM agg QUALIFY row_number() OVER (ORDER BY close_id) <= 500000""", "packets"))
-def first_n_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 500,000 flows in emission (closing-row) order, as an
+FROM agg QUALIFY row_number() OVER (ORDER BY close_id) <= {FIRST_N}""", "packets"))
+def first_n_flows(spark: SparkSession, sf_dir: str, n: int = FIRST_N) -> DataFrame:
+    """The first ``n`` flows in emission (closing-row) order, as an
     exact cut on close-id buckets (no single-task top-n merge)."""
     from flowlens.operators.sampling import first_n
     from flowlens.session import reliable_checkpoint
     # the cut reads its input twice (bucket counts, then rows): materialise
     # the flows once instead of running the sweep twice
     f = reliable_checkpoint(_flows(spark, sf_dir).select(*KEY5, "seg_no", "close_id"))
-    return first_n(f, "close_id", 500_000)
+    return first_n(f, "close_id", n)
 
 
 @query("random_flow", fx.with_views(_flow_rows_sql(TIMEOUT_S) + """
@@ -304,22 +307,14 @@ def flow_features_emit_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Flagship: flows -> features -> three threshold stand-ins for the models ->
 # strict-majority decision.  The thresholds are fixture choices, not learned.
 
-def stand_in_votes(feats: DataFrame) -> DataFrame:
-    return feats.withColumns({
-        "pred_rf": (F.col("f4") > 400).cast("int"),
-        "pred_lr": (F.col("f43") > 0).cast("int"),
-        "pred_mlp": (F.col("f16") < 3600).cast("int"),
-    })
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlens.functions import votes as V
     f = _flows(spark, sf_dir)
-    feats = stand_in_votes(feat.flow_features_78(f, keep=[*KEY5, "seg_no", "close_id"]))
+    feats = stand_in_votes(feat.flow_features_78(f, keep=[*KEY5, "seg_no", "close_id", "end_us"]))
     names = ("rf", "lr", "mlp")
     cols = [f"pred_{n}" for n in names]
     return feats.select(
-        *KEY5, "seg_no", "close_id", F.col("f15").cast("long").alias("pkt_count"),
+        *KEY5, "seg_no", "close_id", "end_us", F.col("f15").cast("long").alias("pkt_count"),
         F.to_json(V.predictions_map(names, cols)).alias("prediction"),
         V.majority_decision(cols).alias("decision"))
 
@@ -329,7 +324,7 @@ v AS (SELECT *, CASE WHEN bytes > 400 THEN 1 ELSE 0 END AS pred_rf,
         CASE WHEN f_syn > 0 THEN 1 ELSE 0 END AS pred_lr,
         CASE WHEN (CASE WHEN iat_n > 0 THEN iat_sum::DOUBLE / iat_n / 1000000.0 ELSE 0 END) < 3600 THEN 1 ELSE 0 END AS pred_mlp
       FROM agg)
-SELECT src_ip, dst_ip, src_port, dst_port, protocol, seg_no, close_id, n_pkts AS pkt_count,
+SELECT src_ip, dst_ip, src_port, dst_port, protocol, seg_no, close_id, end_us, n_pkts AS pkt_count,
   '{"rf":' || pred_rf || ',"lr":' || pred_lr || ',"mlp":' || pred_mlp || '}' AS prediction,
   CASE WHEN pred_rf + pred_lr + pred_mlp > 1 THEN 'DROP' ELSE 'ACCEPT' END AS decision
 FROM v""", "packets"))

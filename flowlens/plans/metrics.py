@@ -93,14 +93,13 @@ def log_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.log_loss(lp).select("model", rnd("log_loss", 6).alias("log_loss"))
 
 
-CHUNK_SQL = """, ch AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY chunk_no ORDER BY row_in_chunk) <= 2000),
-ca AS (SELECT chunk_no, count_if(y_true = pred_mlp) / count(*) AS accuracy, count(*)::BIGINT AS n_rows
-  FROM ch GROUP BY chunk_no)"""
+CHUNK_SQL = """, ca AS (SELECT chunk_no, count_if(y_true = pred_mlp) / count(*) AS accuracy, count(*)::BIGINT AS n_rows
+  FROM e GROUP BY chunk_no)"""
 
 
 @query("chunk_accuracy", fx.with_views(f"WITH {V_SQL}{CHUNK_SQL}\nSELECT * FROM ca", "votes"))
 def chunk_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mlp accuracy on the first 2,000 rows of every chunk."""
+    """Mlp accuracy of every chunk."""
     return M.chunk_accuracy(scored(spark, sf_dir), "chunk_no", "row_in_chunk", "y_true", "pred_mlp")
 
 
@@ -125,7 +124,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("latest_rows", fx.with_views(f"WITH {V_SQL}{CHUNK_SQL}" + """
 SELECT chunk_no AS id, 'chunk_eval' AS script, CAST(n_rows AS INTEGER) AS n_rows, 'mlp' AS models_used,
   0 AS ensemble_used, accuracy, NULL::DOUBLE AS f1_score, NULL::VARCHAR AS notes
-FROM ca QUALIFY row_number() OVER (ORDER BY chunk_no DESC) <= 100""", "votes"))
+FROM ca QUALIFY row_number() OVER (ORDER BY chunk_no DESC) <= 3""", "votes"))
 def latest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest 100 run-log rows by id descending."""
-    return SM.latest(run_log(spark, sf_dir), "id", 100)
+    """The newest run-log rows by id descending (3 of the chunk runs)."""
+    return SM.latest(run_log(spark, sf_dir), "id", 3)

@@ -163,7 +163,7 @@ def allowed_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flow_log_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K6 rows: (timestamp_us, 5-tuple, prediction text, decision) per flow."""
     d = FL.flagship(spark, sf_dir)
-    return d.select(F.col("close_id").alias("id"), *FL.KEY5, "prediction", "decision")
+    return d.select(F.col("close_id").alias("id"), F.col("end_us").alias("timestamp_us"), *FL.KEY5, "prediction", "decision")
 
 
 @query("flow_log", fx.with_views(FL._flow_rows_sql(FL.TIMEOUT_S) + """,
@@ -171,7 +171,7 @@ v AS (SELECT *, CASE WHEN bytes > 400 THEN 1 ELSE 0 END AS pred_rf,
         CASE WHEN f_syn > 0 THEN 1 ELSE 0 END AS pred_lr,
         CASE WHEN (CASE WHEN iat_n > 0 THEN iat_sum::DOUBLE / iat_n / 1000000.0 ELSE 0 END) < 3600 THEN 1 ELSE 0 END AS pred_mlp
       FROM agg)
-SELECT close_id AS id, src_ip, dst_ip, src_port, dst_port, protocol,
+SELECT close_id AS id, end_us AS timestamp_us, src_ip, dst_ip, src_port, dst_port, protocol,
   '{"rf":' || pred_rf || ',"lr":' || pred_lr || ',"mlp":' || pred_mlp || '}' AS prediction,
   CASE WHEN pred_rf + pred_lr + pred_mlp > 1 THEN 'DROP' ELSE 'ACCEPT' END AS decision
 FROM v""", "packets"))
@@ -185,9 +185,10 @@ v AS (SELECT *, CASE WHEN bytes > 400 THEN 1 ELSE 0 END AS pred_rf,
         CASE WHEN f_syn > 0 THEN 1 ELSE 0 END AS pred_lr,
         CASE WHEN (CASE WHEN iat_n > 0 THEN iat_sum::DOUBLE / iat_n / 1000000.0 ELSE 0 END) < 3600 THEN 1 ELSE 0 END AS pred_mlp
       FROM agg)
-SELECT close_id AS id, src_ip, dst_ip, src_port, dst_port, protocol,
+SELECT close_id AS id, end_us AS timestamp_us, src_ip, dst_ip, src_port, dst_port, protocol,
+  '{"rf":' || pred_rf || ',"lr":' || pred_lr || ',"mlp":' || pred_mlp || '}' AS prediction,
   CASE WHEN pred_rf + pred_lr + pred_mlp > 1 THEN 'DROP' ELSE 'ACCEPT' END AS decision
-FROM v QUALIFY row_number() OVER (ORDER BY close_id DESC) <= 100""", "packets"))
+FROM v QUALIFY row_number() OVER (ORDER BY end_us DESC, close_id DESC) <= 100""", "packets"))
 def latest_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4: the newest 100 flow decisions (a feed, newest first)."""
-    return SM.latest(flow_log_df(spark, sf_dir).drop("prediction"), "id", 100)
+    """T4: the newest 100 flow decisions by time (a feed, newest first)."""
+    return SM.latest(flow_log_df(spark, sf_dir), "timestamp_us", 100, tie="id")

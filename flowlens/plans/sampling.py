@@ -10,7 +10,7 @@ from flowlens.plans.registry import query
 from flowlens.sources import fixtures as fx
 
 # The sample size and seed of the sampling step.
-SAMPLE_N = 500_000
+SAMPLE_N = 5_000
 SEED = 42
 
 
@@ -21,7 +21,7 @@ QUALIFY row_number() OVER (ORDER BY md5(concat_ws('|', o_orderkey, {SEED})), o_o
 
 @query("sample_exact_n", _sample_sql(SAMPLE_N))
 def sample_exact_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T5: exactly 500,000 orders (all when fewer exist), seed 42."""
+    """T5: exactly 5,000 orders (all when fewer exist), seed 42."""
     o = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return SM.sample_exact_n(o, SAMPLE_N, "o_orderkey", SEED)
 

@@ -58,16 +58,19 @@ def vote_plurality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("vote_majority_decision", vsql("""
-SELECT row_id, CASE WHEN coalesce((pred_rf=1)::INT,0) + coalesce((pred_lr=1)::INT,0) + coalesce((pred_mlp=1)::INT,0) > 1
+SELECT row_id, CASE WHEN (pred_rf=1)::INT + (pred_lr=1)::INT + (pred_mlp=1)::INT > 1
   THEN 'DROP' ELSE 'ACCEPT' END AS decision,
-  CASE WHEN coalesce((pred_rf=1)::INT,0) + coalesce((pred_mlp=1)::INT,0) > 1 THEN 'DROP' ELSE 'ACCEPT' END AS decision_two
+  CASE WHEN (pred_rf=1)::INT + (pred_mlp=1)::INT > 1 THEN 'DROP' ELSE 'ACCEPT' END AS decision_two,
+  CASE WHEN pred_rf IS NULL OR pred_lr IS NULL OR pred_mlp IS NULL THEN -1 ELSE pred_rf END AS rf_after_failure
 FROM e"""))
 def vote_majority_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9: DROP iff more than floor(n/2) models say 1 (3 models, and 2
-    models where one vote of two is not enough)."""
+    models where one vote of two is not enough); a missing vote is a failed
+    model: ACCEPT, and every prediction of the row is -1."""
     s = scored(spark, sf_dir)
     return s.select("row_id", V.majority_decision([f"pred_{m}" for m in MODELS]).alias("decision"),
-                    V.majority_decision(["pred_rf", "pred_mlp"]).alias("decision_two"))
+                    V.majority_decision(["pred_rf", "pred_mlp"]).alias("decision_two"),
+                    V.failure_rule([f"pred_{m}" for m in MODELS])["pred_rf"].alias("rf_after_failure"))
 
 
 @query("single_model_decision", vsql("""

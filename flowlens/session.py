@@ -7,7 +7,9 @@ shared checkpoint folder) always win.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,15 +44,20 @@ def get_spark(master: str | None = None, app: str = "flowlens", **conf) -> Spark
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the platform (a shared file system); it is
-    only invented here when unset, which happens in local tests.
+    On a cluster this is set by the platform (a shared file system); without
+    it this is an error.  Only a local session (one machine, as in tests and
+    the bench) gets a temporary folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="flowlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(d)
     return d
 

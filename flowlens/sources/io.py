@@ -7,6 +7,8 @@ Schemas are inferred once from the header and then frozen.
 
 from __future__ import annotations
 
+import secrets
+import time
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,9 +84,9 @@ def create_tables(spark: SparkSession, root: str, names: Sequence[str] = tuple(T
     paths = {}
     for n in names:
         p = f"{root.rstrip('/')}/{n}"
-        try:
-            spark.read.parquet(p).limit(0).collect()
-        except Exception:  # noqa: BLE001 - absent or empty: create it
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
             spark.createDataFrame([], TABLES[n]).write.mode("append").parquet(p)
         paths[n] = p
     return paths
@@ -138,10 +140,16 @@ def read_packet_records(spark: SparkSession, path: str, schema: T.StructType = P
     return good, bad
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Every normalised chunk file at once; corrupt files are skipped
-    (with ``ignoreCorruptFiles``) instead of failing the job."""
-    return spark.read.option("ignoreCorruptFiles", True).parquet(path)
+def read_chunks(spark: SparkSession, path: str, skip_corrupt: bool = False):
+    """Every normalised chunk file at once.  A corrupt file fails the
+    job; with ``skip_corrupt`` it is left out and the result is (rows, files
+    that gave no row), the notice."""
+    if not skip_corrupt:
+        return spark.read.parquet(path)
+    rows = spark.read.options(ignoreCorruptFiles=True, mergeSchema=True).parquet(path)  # any readable footer
+    read = {r[0] for r in rows.select(F.col("_metadata.file_name")).distinct().collect()}  # one name per file
+    names = {f.rsplit("/", 1)[-1] for f in rows.inputFiles()}
+    return rows, sorted(names - read)
 
 
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
@@ -163,14 +171,20 @@ def read_labels_if_valid(spark: SparkSession, path: str, expected_rows: int) ->
 
 # ---------------------------------------------------------------- writers
 
-def write_clean(df: DataFrame, path: str, by: str = "source_file") -> None:
-    """K1/K3: one output folder per input file, Parquet."""
+def write_clean(df: DataFrame, path: str, by: str = "source_file", scaler: DataFrame | None = None) -> None:
+    """K1/K3: one output folder per input file, Parquet; for normalised rows
+    the scaler's row goes to ``<path>_scaler``."""
     df.write.mode("overwrite").partitionBy(by).parquet(path)
+    if scaler is not None:
+        scaler.write.mode("overwrite").parquet(path.rstrip("/") + "_scaler")
 
 
-def write_splits(df: DataFrame, path: str) -> None:
-    """K2: train/test rows partitioned by ``split``."""
+def write_splits(df: DataFrame, path: str, scaler: DataFrame | None = None) -> None:
+    """K2: train/test rows partitioned by ``split``; the fitted scaler's row,
+    where given, goes to the table beside them (``<path>_scaler``)."""
     df.write.mode("overwrite").partitionBy("split").parquet(path)
+    if scaler is not None:
+        scaler.write.mode("overwrite").parquet(path.rstrip("/") + "_scaler")
 
 
 def write_predictions_csv(df: DataFrame, path: str) -> DataFrame:
@@ -210,15 +224,14 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def log_run(spark: SparkSession, path: str, script: str, n_rows: int, models_used: str,
-            ensemble_used: bool, accuracy: float | None = None, f1_score: float | None = None,
-            notes: str | None = None) -> None:
-    """K7: append one run-log row (the id is the next free one)."""
-    try:
-        last = spark.read.parquet(path).agg(F.max("id")).first()[0]
-    except Exception:  # noqa: BLE001 - empty or absent table
-        last = None
-    row = [((last or 0) + 1, None, script, int(n_rows), models_used, int(bool(ensemble_used)),
-            accuracy, f1_score, notes)]
-    df = spark.createDataFrame(row, RUN_LOG).withColumn("timestamp", F.current_timestamp())
-    append(df, path)
+def log_run(spark: SparkSession, path: str, run: dict) -> int:
+    """K7: append one run-log row (``run``: the fields of ``RUN_LOG`` but id
+    and timestamp) and return its id: microseconds since 1970 and 10 random
+    bits, so concurrent runs need no shared counter and ids rise with time."""
+    unknown = set(run) - set(RUN_LOG.fieldNames())
+    if unknown:
+        raise ValueError(f"not in the run log: {sorted(unknown)}")
+    new_id = (time.time_ns() // 1000) << 10 | secrets.randbits(10)
+    row = [tuple({**run, "id": new_id}.get(f) for f in RUN_LOG.fieldNames())]
+    append(spark.createDataFrame(row, RUN_LOG).withColumn("timestamp", F.current_timestamp()), path)
+    return new_id

@@ -146,7 +146,7 @@ class _Flow:
 
 
 def _state_fn(timeout_us: int, key_names: Sequence[str], out_cols: Sequence[str], idle_us: int | None,
-              emit_idle: bool):
+              emit_idle: bool, drop_closed: bool = False):
     def fn(key, frames: Iterator[pd.DataFrame], state):
         if state.hasTimedOut:
             rows = []
@@ -185,7 +185,11 @@ def _state_fn(timeout_us: int, key_names: Sequence[str], out_cols: Sequence[str]
                 f.open = False
                 f.seg_no += 1
             pos = end
-        state.update(f.to_state())
+        if drop_closed and not f.open:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(f.to_state())
         if idle_us is not None and f.open:
             state.setTimeoutTimestamp(int(f.prev // 1000 + idle_us // 1000))
         if rows:
@@ -195,8 +199,12 @@ def _state_fn(timeout_us: int, key_names: Sequence[str], out_cols: Sequence[str]
 
 def assemble_flows(packets: DataFrame, timeout_s: float, key: Sequence[str] = KEY5,
                    idle_timeout_s: float | None = None, emit_idle: bool = False,
-                   watermark: str = "1 hour") -> DataFrame:
-    """ST1-ST3: streaming (or batch) packets -> one aggregate row per flow."""
+                   watermark: str = "1 hour", drop_closed: bool = False) -> DataFrame:
+    """ST1-ST3: streaming (or batch) packets -> one aggregate row per flow.
+
+    ``drop_closed`` frees a key's state when its flow closes: state is then
+    bounded by the open flows, and ``seg_no`` begins anew (``first_id`` and
+    ``close_id`` stay unique)."""
     key = list(key)
     key_schema = ", ".join(f"{c} {packets.schema[c].dataType.simpleString()}" for c in key)
     out_schema = output_schema(key_schema)
@@ -207,7 +215,7 @@ def assemble_flows(packets: DataFrame, timeout_s: float, key: Sequence[str] = KE
     if idle_us is not None:
         df = df.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", watermark)
         timeout_conf = GroupStateTimeout.EventTimeTimeout
-    fn = _state_fn(int(round(timeout_s * 1_000_000)), key, out_cols, idle_us, emit_idle)
+    fn = _state_fn(int(round(timeout_s * 1_000_000)), key, out_cols, idle_us, emit_idle, drop_closed)
     cols = [*key, "id", "ts_us", "length", "tcp_flags", "protocol"] + (["label"] if "label" in df.columns else [])
     cols = list(dict.fromkeys(cols + (["event_time"] if idle_us is not None else [])))
     return df.select(*cols).groupBy(*key).applyInPandasWithState(

@@ -16,12 +16,14 @@ be on the shared file system (``spark.checkpoint.dir``).
 from __future__ import annotations
 
 import os
+import time
 import uuid
 from typing import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlens.functions import packets as PK
 from flowlens.functions import votes as V
 from flowlens.operators import features as feat
 from flowlens.operators import rules as R
@@ -36,21 +38,21 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stage_packet_files(packets: DataFrame, folder: str, n_files: int = 4, order_col: str = "id") -> str:
-    """Write ``packets`` as ``n_files`` id ranges, one file per range and one
-    append per range in id order, so file order = arrival order.  (The file
-    source feeds micro-batches in file order; the state function restores
-    id order only inside a micro-batch.)  A replay/staging helper: each
-    range is written by one task."""
-    bounds = packets.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    if bounds["lo"] is None:
+    """Write ``packets`` as ``n_files`` files of id ranges in one parallel
+    pass, and give the files rising modification times, by which the file
+    source orders them: file order = arrival order.  A replay/staging helper."""
+    if packets.isEmpty():
         packets.limit(0).write.mode("append").parquet(folder)
         return folder
-    lo, hi = int(bounds["lo"]), int(bounds["hi"])
-    step = (hi - lo) // n_files + 1
-    for i in range(n_files):
-        a, b = lo + i * step, lo + (i + 1) * step
-        part = packets.where((F.col(order_col) >= a) & (F.col(order_col) < b))
-        part.coalesce(1).write.mode("append").parquet(folder)
+    packets.repartitionByRange(n_files, order_col).sortWithinPartitions(order_col).write.mode("append").parquet(folder)
+    spark = packets.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted((f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")),
+                   key=lambda p: p.getName())
+    now = int(time.time()) * 1000
+    for i, p in enumerate(parts):
+        fs.setTimes(p, now - 1000 * (len(parts) - i), -1)
     return folder
 
 
@@ -88,34 +90,56 @@ def decision_sink(log_path: str, rules_path: str, models: Callable[[DataFrame],
     flow log and the block rules of that micro-batch (idempotent per batch
     id: a replayed batch overwrites its own partition)."""
     def fn(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():  # no folders for idle triggers
+            return
         scored = models(batch)
         cols = [f"pred_{n}" for n in names]
         dec = scored.select(
-            F.col("close_id").alias("id"), *KEY5, "end_us",
+            F.col("close_id").alias("id"), F.col("end_us").alias("timestamp_us"), *KEY5,
             F.to_json(V.predictions_map(list(names), cols)).alias("prediction"),
-            V.majority_decision(cols).alias("decision")).withColumn("batch_id", F.lit(batch_id))
-        dec = dec.persist()
-        (dec.drop("end_us").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id").parquet(log_path))
-        rules = R.block_rules(dec, ttl_s, id_col="id", ts_col="end_us").withColumn("batch_id", F.lit(batch_id))
-        (rules.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-              .partitionBy("batch_id").parquet(rules_path))
-        dec.unpersist()
+            V.majority_decision(cols).alias("decision")).withColumn("batch_id", F.lit(batch_id)).persist()
+        try:
+            (dec.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy("batch_id").parquet(log_path))
+            sourced = dec.where(PK.is_valid_ipv4("src_ip") | F.col("src_ip").contains(":"))
+            rules = R.block_rules(sourced, ttl_s, id_col="id", ts_col="timestamp_us").withColumn("batch_id", F.lit(batch_id))
+            (rules.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                  .partitionBy("batch_id").parquet(rules_path))
+        finally:
+            dec.unpersist()
     return fn
 
 
+def late_rows(query) -> int:
+    """Packets that the query has dropped behind the watermark so far."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
 def start_live(spark: SparkSession, packet_dir: str, out_dir: str, timeout_s: float = 5.0,
-               trigger: str = "200 milliseconds", idle_timeout_s: float | None = 600.0,
-               schema=None):
+               trigger: str = "200 milliseconds", idle_timeout_s: float | None = 600.0, emit_idle: bool = True,
+               models: dict | None = None, watermark: str = "1 hour", schema=None):
     """ST1-ST6 as a service: packet files arriving in ``packet_dir`` ->
     stateful flow assembly (live timeout, 5 s) -> features -> votes ->
     decisions appended to ``out_dir``/flow_log and rules to ``out_dir``/rules
-    every ``trigger``.  Idle flows are dropped from state after
-    ``idle_timeout_s`` of event time.  Returns the running StreamingQuery."""
+    every ``trigger``.
+
+    ``models`` (name -> fitted or loaded ``PipelineModel``) give the votes,
+    with the failure rule; without them the threshold stand-ins do.  A flow
+    without packets for ``idle_timeout_s`` of event time is scored as it is
+    (or, without ``emit_idle``, dropped) and its state goes; a closed flow's
+    state goes at once, so state is bounded by the open flows.  Flow numbers
+    begin anew with a key's state: ``close_id`` identifies a flow.  Rows
+    behind the watermark are dropped and counted (``late_rows``).  Returns
+    the running StreamingQuery."""
     from flowlens.sources.io import PACKETS
     stream = packet_stream(spark, packet_dir, schema or PACKETS, files_per_batch=1000)
     feats = flow_feature_stream(stream, timeout_s, keep=[*KEY5, "seg_no", "close_id", "end_us"],
-                                idle_timeout_s=idle_timeout_s)
-    sink = decision_sink(out_dir + "/flow_log", out_dir + "/rules")
+                                idle_timeout_s=idle_timeout_s, emit_idle=emit_idle, watermark=watermark,
+                                drop_closed=True)
+    votes, names = stand_in_votes, ("rf", "lr", "mlp")
+    if models:
+        from flowlens.operators.models import model_votes
+        votes, names = model_votes(models), tuple(models)
+    sink = decision_sink(out_dir + "/flow_log", out_dir + "/rules", votes, names)
     return (feats.writeStream.foreachBatch(sink).option("checkpointLocation", out_dir + "/_checkpoint")
                  .trigger(processingTime=trigger).start())

@@ -43,13 +43,122 @@ def test_chunks_tables_run_log(spark, tmp):
     assert IO.read_chunks(spark, os.path.join(tmp, "chunks")).count() == 10
     paths = IO.create_tables(spark, os.path.join(tmp, "db"))
     assert spark.read.parquet(paths["block_rules"]).count() == 0
-    IO.log_run(spark, paths["logs"], "train", 10, "rf,lr", True, 0.9, 0.8)
-    IO.log_run(spark, paths["logs"], "predict", 5, "rf", False)
+    first = IO.log_run(spark, paths["logs"], {"script": "train", "n_rows": 10, "models_used": "rf,lr",
+                                              "ensemble_used": 1, "accuracy": 0.9, "f1_score": 0.8})
+    second = IO.log_run(spark, paths["logs"], {"script": "predict", "n_rows": 5, "models_used": "rf", "ensemble_used": 0})
+    assert first < second
+    with pytest.raises(ValueError):
+        IO.log_run(spark, paths["logs"], {"no_such_field": 1})
     logs = spark.read.parquet(paths["logs"]).orderBy("id").collect()
-    assert [r["id"] for r in logs] == [1, 2] and logs[0]["ensemble_used"] == 1
+    assert [r["id"] for r in logs] == [first, second] and logs[0]["ensemble_used"] == 1
     assert IO.read_labels_if_valid(spark, os.path.join(tmp, "absent"), 3) is None
 
 
+def test_corrupt_chunks_are_told(spark, tmp):
+    spark.range(4).coalesce(1).write.parquet(os.path.join(tmp, "c"))
+    with open(os.path.join(tmp, "c", "bad.parquet"), "wb") as f:
+        f.write(b"not a parquet file at all")
+    rows, skipped = IO.read_chunks(spark, os.path.join(tmp, "c"), skip_corrupt=True)
+    assert rows.count() == 4 and skipped == ["bad.parquet"]
+    with pytest.raises(Exception):
+        IO.read_chunks(spark, os.path.join(tmp, "c")).count()
+
+
+def test_scaler_tables_are_written(spark, tmp):
+    df = spark.range(4).withColumn("split", F.when(F.col("id") < 3, "train").otherwise("test"))
+    stats = spark.createDataFrame([(1.0, 2.0)], "id__mean double, id__std double")
+    IO.write_splits(df, os.path.join(tmp, "s"), stats)
+    assert IO.read_split(spark, os.path.join(tmp, "s"), "train").count() == 3
+    assert spark.read.parquet(os.path.join(tmp, "s_scaler")).first()["id__std"] == 2.0
+
+
+def test_checkpoint_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace
+    from flowlens.session import checkpoint_dir
+    conf = SimpleNamespace(get=lambda *a: None, set=lambda *a: None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            checkpoint_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
+
+
+def test_downcast_keeps_what_does_not_fit(spark):
+    from flowlens.operators.clean import downcast
+    df = spark.createDataFrame([(1, 2**31, 5, 0.5, "BENIGN"), (2, None, -7, 1.5, "DDoS")],
+                               "row_id long, big long, small long, x double, Label string")
+    types = dict(downcast(df, keep=("row_id",)).dtypes)
+    assert types == {"row_id": "bigint", "big": "bigint", "small": "int", "x": "float", "Label": "tinyint"}
+    assert downcast(df, keep=("row_id",)).agg(F.max("big")).first()[0] == 2**31
+
+
+def test_failure_rule(spark):
+    from flowlens.functions import votes as V
+    cols = ["a", "b", "c"]
+    df = spark.createDataFrame([(1, 1, 0), (1, 1, None), (1, -1, 1), (0, 0, 1)], "a int, b int, c int")
+    rows = df.select(V.majority_decision(cols).alias("d"), *[c.alias(n) for n, c in V.failure_rule(cols).items()]).collect()
+    assert [r.d for r in rows] == ["DROP", "ACCEPT", "ACCEPT", "ACCEPT"]
+    assert [tuple(r)[1:] for r in rows] == [(1, 1, 0), (-1, -1, -1), (-1, -1, -1), (0, 0, 1)]
+
+
+def test_live_service_with_loaded_models(spark, tmp):
+    """Trained pipelines, saved and loaded, vote in the live path; a model of
+    another layout fails and makes the flow ACCEPT with predictions -1."""
+    import json
+    from flowlens.operators import models as MD
+    from flowlens.sources import fixtures as fx
+    pk = fx.packets(spark, SMOKE)
+    x = feat.flow_features_78(feat.packet_flows(pk, 21600), keep=["close_id", "label"])
+    train = x.withColumn("y", (F.col("label") != "BENIGN").cast("double")).drop("label")
+    paths = {}
+    for name, kind, kw in (("lr", "lr", {}), ("rf", "rf", {"trees": 5})):
+        paths[name] = os.path.join(tmp, name)
+        MD.save_model(MD.make_pipeline(train, feat.FEATURE_NAMES, kind, **kw).fit(train), paths[name])
+    models = MD.load_models({**paths, "gone": os.path.join(tmp, "gone")})
+    assert set(models) == {"lr", "rf"}
+    cols = ["id", "ts_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "length", "tcp_flags"]
+    folder = J.stage_packet_files(pk.select(cols), J.scratch(spark, "mod-in"), n_files=2)
+    logs = {}
+    for label, given in (("good", models), ("broken", {**models, "bad": _Broken()})):
+        out = J.scratch(spark, f"mod-{label}")
+        q = J.start_live(spark, folder, out, timeout_s=21600, trigger="1 second", idle_timeout_s=None, models=given)
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        logs[label] = spark.read.parquet(out + "/flow_log").collect()
+    want = {r.close_id: r for r in MD.model_votes(models)(feat.flow_features_78(
+        feat.packet_flows(pk, 21600), keep=["close_id"])).collect()}
+    assert len(logs["good"]) == len(want) == 450
+    for r in logs["good"]:
+        votes = json.loads(r.prediction)
+        assert votes == {"lr": want[r.id].pred_lr, "rf": want[r.id].pred_rf}
+        assert r.decision == ("DROP" if sum(votes.values()) > 1 else "ACCEPT") and r.timestamp_us > 0
+    assert {r.decision for r in logs["broken"]} == {"ACCEPT"}
+    assert all(set(json.loads(r.prediction).values()) == {-1} for r in logs["broken"])
+
+
+class _Broken:
+    """Stands for a model of another feature layout."""
+
+    stages: list = []
+
+    def transform(self, df):
+        raise ValueError("model trained on another layout")
+
+
+def test_state_of_closed_flows_goes(spark):
+    from flowlens.streaming.flow_state import assemble_flows
+    rows = [("a", "x", 1, 2, 6, i, i * 100, 50, 0) for i in range(12)]
+    df = spark.createDataFrame(rows, "src_ip string, dst_ip string, src_port int, dst_port int, protocol int, "
+                                     "id long, ts_us long, length int, tcp_flags int")
+    folder = J.stage_packet_files(df, J.scratch(spark, "drop-in"), n_files=4)
+    assert sorted(os.listdir(folder))[0].startswith((".", "_", "part"))
+    flows = assemble_flows(J.packet_stream(spark, folder, df.schema), 150 / 1e6, drop_closed=True)
+    sink = J.scratch(spark, "drop-out")
+    J.run_available(flows.select("first_id", "close_id", "n_pkts"), sink, sink + "-ckpt")
+    got = sorted(tuple(r) for r in spark.read.parquet(sink).collect())
+    assert got == [(i, i + 2, 3) for i in range(0, 12, 3)]
+
+
 def test_stream_replay_equals_batch(spark):
     from flowlens.sources import fixtures as fx
     pk = fx.packets(spark, SMOKE)
