@@ -33,15 +33,19 @@ def sample_exact_n_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SM.sample_exact_n(o, 1000, "o_orderkey", SEED)
 
 
-def _strat_sql(src: str, id_col: str, cls: str, views=()) -> str:
-    sql = f"""WITH base AS (SELECT {id_col} AS id, {cls} AS cls, md5(concat_ws('|', {id_col}, {SEED})) AS h FROM {src}),
+def split_ctes(src: str, id_col: str, cls: str) -> str:
+    """CTEs ending in ``split(id, cls, split)``: the stratified 80/20 split."""
+    return f"""base AS (SELECT {id_col} AS id, {cls} AS cls, md5(concat_ws('|', {id_col}, {SEED})) AS h FROM {src}),
 cnt AS (SELECT cls, count(*) AS c FROM base GROUP BY cls),
 tot AS (SELECT sum(c)::BIGINT AS n, CAST(ceil(0.2::DOUBLE * sum(c)::BIGINT) AS BIGINT) AS nt FROM cnt),
 q AS (SELECT cls, (nt * c) // n AS b, (nt * c) % n AS rem, nt FROM cnt, tot),
 q2 AS (SELECT cls, b + CASE WHEN row_number() OVER (ORDER BY rem DESC, cls) <= nt - sum(b) OVER () THEN 1 ELSE 0 END AS quota FROM q),
-r AS (SELECT base.*, row_number() OVER (PARTITION BY cls ORDER BY h, id) AS rn FROM base)
-SELECT id AS {id_col}, cls AS {cls}, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS split
-FROM r JOIN q2 USING (cls)"""
+r AS (SELECT base.*, row_number() OVER (PARTITION BY cls ORDER BY h, id) AS rn FROM base),
+split AS (SELECT id, cls, CASE WHEN rn <= quota THEN 'test' ELSE 'train' END AS split FROM r JOIN q2 USING (cls))"""
+
+
+def _strat_sql(src: str, id_col: str, cls: str, views=()) -> str:
+    sql = f"WITH {split_ctes(src, id_col, cls)}\nSELECT id AS {id_col}, cls AS {cls}, split FROM split"
     return fx.with_views(sql, *views) if views else sql
 
 
