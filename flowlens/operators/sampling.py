@@ -5,7 +5,7 @@ their order key (the first 5 hex digits of a seeded md5, or an id range).
 Counting rows per (class, bucket) gives a table of at most 2^20 rows per
 class; a running sum over that small table finds, per class, the bucket
 where the quota is reached.  That one-row-per-class cut table is broadcast
-(its size is the number of classes); whole buckets before the cut are in
+when its checked size allows (without classes it is two literals); whole buckets before the cut are in
 and only the rows of the cut bucket (~N / 2^20 of a class) are ranked with
 ``row_number``.  The result equals a global rank, with no global sort and
 no skewed window.
@@ -19,6 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_BUCKET_HEX = 5            # 2^20 buckets
+BROADCAST_CLASSES = 100_000
+
+
+def _per_class(df: DataFrame) -> DataFrame:
+    """A table of one row per class, broadcast when its checked size allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_CLASSES else df
 
 
 def seeded_hash(id_col: str, seed: int) -> Column:
@@ -30,12 +36,12 @@ def _hash_bucket(h: Column) -> Column:
     return F.conv(F.substring(h, 1, HASH_BUCKET_HEX), 16, 10).cast("long")
 
 
-def exact_cut(df: DataFrame, bucket: Column, order: Sequence[Column], quota: DataFrame,
+def exact_cut(df: DataFrame, bucket: Column, order: Sequence[Column], quota,
               class_col: str | None = None, flag: str | None = None) -> DataFrame:
     """First ``quota.n`` rows per class in ``order``; ``bucket`` must be
-    monotone in ``order``.  ``quota`` has columns (class_col?, n), or is a
-    function of the (class, bucket) count table returning it (so per-class
-    quotas cost no extra scan of the input).
+    monotone in ``order``.  ``quota`` is a number without ``class_col``; with
+    it, a table (class_col, n) or a function of the (class, bucket) count table
+    returning one (so per-class quotas cost no extra scan of the input).
 
     With ``flag`` the rows are all kept and ``flag`` says whether each is in.
     """
@@ -49,8 +55,10 @@ def exact_cut(df: DataFrame, bucket: Column, order: Sequence[Column], quota: Dat
         quota = quota(counts.withColumnRenamed("_c", "_n_rows"))
     w = Window.partitionBy(*cls).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("_cum", F.sum("_c").over(w))
-    # quota: one row per class (or a single row), broadcast by construction
-    counts = counts.join(F.broadcast(quota), on=cls if cls else F.lit(True), how="inner")
+    if cls:
+        counts = counts.join(_per_class(reliable_checkpoint(quota)), on=cls, how="inner")
+    else:
+        counts = counts.withColumn("n", F.lit(int(quota)).cast("long"))
     # per class: the first bucket where the running count reaches n
     cut = (counts.where(F.col("_cum") >= F.col("n"))
                  .groupBy(*cls)
@@ -59,9 +67,10 @@ def exact_cut(df: DataFrame, bucket: Column, order: Sequence[Column], quota: Dat
     cut = cut.select(*cls, F.col("_cut._b").alias("_cut_b"), F.col("_cut._need").alias("_need"))
     # classes whose quota exceeds their size take everything (no cut row)
     if cls:
-        joined = b.join(F.broadcast(cut), on=cls, how="left")
-    else:  # at most one cut row: a left join on TRUE keeps every row
-        joined = b.join(F.broadcast(cut), on=F.lit(True), how="left")
+        joined = b.join(_per_class(reliable_checkpoint(cut)), on=cls, how="left")
+    else:  # one row at most: literals
+        row = cut.first()
+        joined = b.withColumns({c: F.lit(row[c] if row else None).cast("long") for c in ("_cut_b", "_need")})
     whole = F.col("_cut_b").isNull() | (F.col("_b") < F.col("_cut_b"))
     at_cut = F.col("_b") == F.col("_cut_b")
     rank_w = Window.partitionBy(*cls, "_b").orderBy(*order)
@@ -79,11 +88,8 @@ def exact_cut(df: DataFrame, bucket: Column, order: Sequence[Column], quota: Dat
 
 def sample_exact_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
     """T5: exactly ``n`` rows without replacement (all rows if fewer exist)."""
-    spark = df.sparkSession
-    h = seeded_hash(id_col, seed)
-    withh = df.withColumn("_h", h)
-    quota = spark.createDataFrame([(int(n),)], "n long")
-    return exact_cut(withh, _hash_bucket(F.col("_h")), [F.col("_h"), F.col(id_col)], quota).drop("_h")
+    withh = df.withColumn("_h", seeded_hash(id_col, seed))
+    return exact_cut(withh, _hash_bucket(F.col("_h")), [F.col("_h"), F.col(id_col)], n).drop("_h")
 
 
 def stratified_quota(df: DataFrame, class_col: str, test_size: float = 0.2,
@@ -94,8 +100,8 @@ def stratified_quota(df: DataFrame, class_col: str, test_size: float = 0.2,
     be the rows or an already counted table (``count_col``)."""
     n = F.sum(count_col) if count_col else F.count(F.lit(1))
     counts = df.groupBy(class_col).agg(n.alias("_c"))
-    tot = counts.agg(F.sum("_c").alias("_N"))
-    q = counts.join(F.broadcast(tot), on=F.lit(True)).withColumn(
+    total = counts.agg(F.sum("_c")).first()[0] or 0  # one number
+    q = counts.withColumn("_N", F.lit(total).cast("long")).withColumn(
         "_nt", F.ceil(F.lit(float(test_size)) * F.col("_N")).cast("long"))
     q = q.withColumns({"_base": F.floor(F.col("_nt") * F.col("_c") / F.col("_N")).cast("long"),
                        "_rem": (F.col("_nt") * F.col("_c")) % F.col("_N")})
@@ -130,10 +136,8 @@ def _range_bucket(df: DataFrame, order_col: str, n_buckets: int):
 def first_n(df: DataFrame, order_col: str, n: int, n_buckets: int = 1 << 20) -> DataFrame:
     """The ``n`` rows with the smallest ``order_col`` (ties by value
     order), without a single-task top-n merge: exact cut on range buckets."""
-    spark = df.sparkSession
     _, bucket = _range_bucket(df, order_col, n_buckets)
-    quota = spark.createDataFrame([(int(n),)], "n long")
-    return exact_cut(df, bucket, [F.col(order_col)], quota)
+    return exact_cut(df, bucket, [F.col(order_col)], n)
 
 
 def split_positional(df: DataFrame, order_col: str, train_fraction: float = 0.9,
@@ -142,8 +146,7 @@ def split_positional(df: DataFrame, order_col: str, train_fraction: float = 0.9,
     the rest 'val' (no shuffle of rows, exact cut)."""
     n_rows, bucket = _range_bucket(df, order_col, n_buckets)
     n_train = int(n_rows * float(train_fraction))  # int(N * fraction), as in a Python slice bound
-    quota = df.sparkSession.createDataFrame([(n_train,)], "n long")
-    out = exact_cut(df, bucket, [F.col(order_col)], quota, flag="_train")
+    out = exact_cut(df, bucket, [F.col(order_col)], n_train, flag="_train")
     return out.withColumn(split_col, F.when(F.col("_train"), "train").otherwise("val")).drop("_train")
 
 

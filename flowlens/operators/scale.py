@@ -11,8 +11,6 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.ml import Transformer
-from pyspark.ml.param.shared import HasInputCols
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +34,5 @@ def scaler_table(stats: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def apply_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(x - mean) / std per column, other columns untouched."""
-    joined = df.join(F.broadcast(stats), on=F.lit(True))  # one-row stats table
-    out = joined.withColumns({c: (F.col(f"`{c}`") - F.col(f"`{c}__mean`")) / F.col(f"`{c}__std`") for c in cols})
-    return out.drop(*[f"{c}__mean" for c in cols], *[f"{c}__std" for c in cols])
+    row = stats.first()  # one row, its size fixed by the column count
+    return df.withColumns({c: (F.col(f"`{c}`") - F.lit(row[f"{c}__mean"])) / F.lit(row[f"{c}__std"]) for c in cols})

@@ -114,9 +114,8 @@ def rules_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     " AND (expiry_us IS NULL OR expiry_us > (SELECT max(ts_us) FROM packets) - 86400000000)", PERMANENT_TTL))
 def active_rules_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules live one day before the last packet."""
-    t = fx.packets(spark, sf_dir).agg((F.max("ts_us") - 86_400_000_000).alias("_t"))
-    r = rules_mixed(spark, sf_dir).join(F.broadcast(t), on=F.lit(True))  # one-row time
-    return R.active_at(r, F.col("_t")).select(*R.RULE_COLUMNS)
+    t = fx.packets(spark, sf_dir).agg(F.max("ts_us") - 86_400_000_000).first()[0]  # one number
+    return R.active_at(rules_mixed(spark, sf_dir), F.lit(t).cast("long")).select(*R.RULE_COLUMNS)
 
 
 INTERVALS_SQL = """, iv0 AS (SELECT src_ip, added_at_us AS s, coalesce(expiry_us, 4611686018427387904) AS e, rule_id FROM rules),
