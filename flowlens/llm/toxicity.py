@@ -130,6 +130,19 @@ def llr(a, b, c, d):
     return 2 * (h(a, b, c, d) + h(a + b + c + d) - h(a + b, c + d) - h(a + c, b + d))
 
 
+def covered(counts) -> set[str]:
+    """Prefixes that a longer feature makes needless: it has most of their
+    toxic documents and fewer of the others."""
+    toxic, other = (dict(zip(counts["f"], counts[c])) for c in ("toxic", "other"))
+    out = set()
+    for g in toxic:
+        word = g.removeprefix("=")
+        for f in (word[:k] for k in PREFIXES if k < len(word)):
+            if f in toxic and toxic[g] >= 0.8 * toxic[f] and other[g] < other[f]:
+                out.add(f)
+    return out
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, l2: float = 1e-2) -> np.ndarray:
     """Newton's method with a small ridge; no weight but the bias is negative."""
     x = np.c_[np.ones(len(x)), x]
@@ -171,13 +184,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for f in {f for w in set(_WORD.findall(text.lower())) if len(w) <= 64 for f in features(w)}:
                 found.setdefault(f, [0, 0])[y == 1] += 1
         return {"f": list(found), "other": [v[0] for v in found.values()], "toxic": [v[1] for v in found.values()]}
-    counts = map_columns(sample.select("text", "y"), count, "f string, other long, toxic long") \
+    # copies of one text speak once
+    counts = map_columns(sample.select("text", "y").dropDuplicates(), count, "f string, other long, toxic long") \
         .groupBy("f").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")) \
         .where(F.col("toxic") >= 3) \
         .where((F.col("toxic") + 0.5) / (F.col("other") + 0.5) >= MIN_ODDS * (toxic / other)) \
         .orderBy(F.desc(F.col("toxic") / (F.col("other") + 1)), "f").limit(4 * MAX_FEATURES).toPandas()
     g = llr(counts["toxic"], counts["other"], toxic - counts["toxic"], other - counts["other"]) if len(counts) else []
     counts["llr"] = g
+    counts = counts[~counts["f"].isin(covered(counts))]
     counts = counts[counts["llr"] >= MIN_LLR].sort_values(["llr", "f"], ascending=[False, True])[:MAX_FEATURES]
     number = {f: i for i, f in enumerate(sorted(counts["f"]))}
 
