@@ -193,8 +193,9 @@ class Encoder:
                                for t in model.tokenize(p.encode().decode("latin-1").translate(symbols))]).tobytes()
         with open(path, encoding="utf-8") as f:
             self.specials = [t["content"] for t in json.load(f).get("added_tokens", [])]
-        self.piece = Memo(lambda p: ids([p]), MEMO_ENTRIES // 4)
-        self.word = Memo(lambda w: ids(pretokens(unit(w))))
+        # ids take more room than counts: a smaller memo
+        self.piece = Memo(lambda p: ids([p]), MEMO_ENTRIES // 10)
+        self.word = Memo(lambda w: ids(pretokens(unit(w))), MEMO_ENTRIES * 6 // 10)
         self.newline = len(ids(["\n"]))
 
     def __call__(self, text: str) -> bytes:

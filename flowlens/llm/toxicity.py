@@ -42,6 +42,8 @@ MAX_LABELLED = 16_000
 MAX_FEATURES = 4_000
 #: Documents of each class whose token sequences train the CRF.
 MAX_SEQUENCES = 800
+#: Words whose emission a worker remembers; others are computed anew.
+MEMO_WORDS = 100_000
 PREFIXES = (3, 4, 5, 6)
 MIN_LLR, MIN_ODDS = 24.0, 8.0
 THRESHOLD = 0.3
@@ -71,7 +73,7 @@ class Tagger:
 
     def __init__(self, model: Model):
         self.model = model
-        self.memo = Memo(model.emission)
+        self.memo = Memo(model.emission, MEMO_WORDS)
 
     def marginals(self, texts: list[str]):
         """(p of all tokens, token count of each text)."""
