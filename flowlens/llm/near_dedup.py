@@ -4,15 +4,17 @@
    registers and band keys (``setsketch``); texts of equal sets form a class
    (pre-aggregated), whose smallest id stands for it from here on.
 2. Band keys are counted (pre-aggregated); only keys of several classes go
-   on.  A key's classes are compared with one of them, its centre, never all
-   with all; the number of pairs is linear in the number of rows.
+   on.  A key's classes are compared with one of them, its centre: the number
+   of pairs is linear in the number of rows.
 3. Pairs get a joint maximum-likelihood estimate from their registers; those
    that may reach the limit are confirmed on the full sets.
-4. Confirmed links give components (alternating minimum labels).  Keys whose
-   classes are not all in one component get a second centre, and then every
-   pair of classes of different components that is not yet compared: so no
-   pair that shares a key remains undecided, and a group of near copies costs
-   a few comparisons per member.
+4. Confirmed links give components (alternating minimum labels).  What a key
+   leaves undecided are pairs of different components.  Keys of at most
+   ``SMALL`` classes compare these pairs (a linear bound).  Larger ones are
+   joined to clusters of ``BLOCK`` members a block, and pairs of blocks of
+   different components are compared on the full sets by a matrix product in
+   one task each, which gives only the links.  A group whose members are all
+   linked needs none of this; so no pair that shares a key stays undecided.
 
 At likeness 0.8, 40 bands of 5 registers miss a pair with a probability of
 about 1e-7.  Joins on hot keys are ordinary sort-merge joins that adaptive
@@ -30,6 +32,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +44,7 @@ from flowlens.llm.common import bounded_batches, slices, stored, whole_text
 
 PERCENT = 80
 SLICE = 2 << 20
+SMALL, BLOCK = 32, 512
 BROADCAST_ROWS = 200_000
 
 SKETCH = "id long, n long, digest binary, bands array<long>"
@@ -68,7 +72,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def set_table(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, members`` (sorted hashes as bytes) and registers of some documents."""
+    """``id, members`` (sorted hashes as bytes) and ``regs`` (registers, then
+    the set's size) of some documents."""
     few = ids.count() <= BROADCAST_ROWS
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text")) \
         .join(F.broadcast(ids) if few else ids, "id", "left_semi")
@@ -82,33 +87,95 @@ def set_table(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
                 regs = ss.registers(sets)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary()),
-                     pa.array([r.tobytes() for r in regs], pa.binary())], schema=schema)
+                     pa.array([r.tobytes() + len(s).to_bytes(4, "little") for r, s in zip(regs, sets)], pa.binary())],
+                    schema=schema)
     return texts.mapInArrow(run, ddl)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` of the pairs that reach ``percent``."""
-    left = sets.select(F.col("id").alias("a"), F.col("members").alias("am"), F.col("regs").alias("ar"))
-    right = sets.select(F.col("id").alias("b"), F.col("members").alias("bm"), F.col("regs").alias("br"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "am", "ar", "bm", "br")
+def _pair_columns(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """``a, b`` with the column of either document as ``u`` and ``v``."""
+    left = table.select(F.col("id").alias("a"), F.col(column).alias("u"))
+    right = table.select(F.col("id").alias("b"), F.col(column).alias("v"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "u", "v")
+
+
+def _filtered(pairs: DataFrame, keep) -> DataFrame:
+    """The pairs for which ``keep(lists u, v)`` holds."""
     ddl = StructType.fromDDL("a long, b long")
 
     def run(batches):
         schema = to_arrow_schema(ddl)
         for batch in batches:
             for part in slices(batch):
-                ku, kv = (np.stack([np.frombuffer(x, np.uint16) for x in part.column(c).to_pylist()])
-                          for c in ("ar", "br"))
-                u, v = part.column("am").to_pylist(), part.column("bm").to_pylist()
-                nu, nv = (np.array([len(x) // 8 for x in s], np.int64) for s in (u, v))
-                _, possible = ss.may_reach(percent / 100, ku, kv, nu, nv)
-                keep = np.zeros(len(u), bool)
-                for i in np.flatnonzero(possible).tolist():
-                    both_n = len(np.intersect1d(np.frombuffer(u[i], np.uint64), np.frombuffer(v[i], np.uint64),
-                                                assume_unique=True))
-                    keep[i] = 100 * both_n >= percent * (nu[i] + nv[i] - both_n)
-                yield part.select(["a", "b"]).filter(pa.array(keep)).cast(schema)
-    return both.mapInArrow(run, ddl)
+                good = keep(part.column("u").to_pylist(), part.column("v").to_pylist())
+                yield part.select(["a", "b"]).filter(pa.array(good)).cast(schema)
+    return pairs.mapInArrow(run, ddl)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of the pairs that reach ``percent``: first those that may by
+    the registers' likelihood, then by the full sets."""
+    def likely(u, v):
+        ku, kv = (np.stack([np.frombuffer(x, np.uint16) for x in s]) for s in (u, v))
+        sizes = [k[:, -2:].copy().view(np.uint32)[:, 0].astype(np.int64) for k in (ku, kv)]
+        return ss.may_reach(percent / 100, ku[:, :-2], kv[:, :-2], *sizes)[1]
+
+    def exact(u, v):
+        keep = np.zeros(len(u), bool)
+        for i, (x, y) in enumerate(zip(u, v)):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+        return keep
+    near = stored(_filtered(_pair_columns(pairs, sets, "regs"), likely), "near")
+    return _filtered(_pair_columns(near, sets, "members"), exact)
+
+
+def block_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components inside clusters: ``placed`` has
+    ``id, component, cluster``.  Large components have blocks of their own, and
+    no block is compared with one of the same component."""
+    size = placed.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    own = F.when(F.col("n") >= BLOCK // 2, F.col("component"))
+    sized = placed.join(size, ["cluster", "component"]).withColumn("own", own)
+    total = sized.groupBy("cluster", "own").agg(F.count("*").alias("m")).toDF("_c", "_o", "m")
+    sized = sized.join(total, (F.col("cluster") == F.col("_c")) & F.col("own").eqNullSafe(F.col("_o")))
+    block = F.concat_ws("/", F.coalesce(F.col("own").cast("string"), F.lit("")),
+                        F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK)).cast("string"))
+    rows = stored(sized.select("id", "component", "cluster", "own", block.alias("block")), "blocks")
+    blocks = rows.select("cluster", "own", "block").distinct()
+    other = blocks.toDF("cluster", "own2", "block2")
+    pairs = blocks.join(other, "cluster").where("block <= block2 AND (own IS NULL OR own2 IS NULL OR own <> own2)") \
+        .select("cluster", "block", "block2")
+    first = rows.join(pairs, ["cluster", "block"]).select("id", "component", "cluster", "block", "block2",
+                                                          F.lit(0).alias("side"))
+    second = rows.withColumnRenamed("block", "block2").join(pairs.where("block <> block2"), ["cluster", "block2"]) \
+        .select("id", "component", "cluster", "block", "block2", F.lit(1).alias("side"))
+    full = first.unionAll(second).join(sets.select("id", "members"), "id")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable", ignore_index=True)
+        members = [np.frombuffer(m, np.uint64) for m in pdf["members"]]
+        n = np.array([len(m) for m in members])
+        words, at = np.unique(np.concatenate(members), return_inverse=True)
+        row = np.repeat(np.arange(len(n)), n)
+        often = np.bincount(at) > 1  # a shingle of one member is in no intersection
+        place = np.cumsum(often) - 1
+        use = often[at]
+        seen = np.zeros((len(n), int(often.sum())), np.float32)
+        seen[row[use], place[at[use]]] = 1
+        side, comp, ids = (pdf[c].to_numpy() for c in ("side", "component", "id"))
+        x = np.flatnonzero(side == 0)
+        y = np.flatnonzero(side == 1) if side.any() else x
+        both = np.rint(seen[x] @ seen[y].T).astype(np.int64)
+        good = (100 * both >= percent * (n[x][:, None] + n[y][None, :] - both)) & (comp[x][:, None] != comp[y][None, :])
+        i, k = np.nonzero(good)
+        a, b = ids[x[i]], ids[y[k]]
+        # one link of two components decides: give the smallest of each
+        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "p": np.minimum(comp[x[i]], comp[y[k]]),
+                            "q": np.maximum(comp[x[i]], comp[y[k]])})
+        return out.sort_values(["a", "b"]).drop_duplicates(["p", "q"])[["a", "b"]]
+    return full.groupBy("cluster", "block", "block2").applyInPandas(compare, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -137,6 +204,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("id", F.col("l").alias("component"))
 
 
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links: only the components that these touch
+    are joined anew."""
+    ends = links.select(F.col("a").alias("id")).unionAll(links.select(F.col("b").alias("id"))).distinct()
+    every = stored(ends.join(label, "id", "full").select("id", F.coalesce("component", "id").alias("component")), "labels")
+    side = every.toDF("end", "c")
+    edges = links.join(side.toDF("a", "ca"), "a").join(side.toDF("b", "cb"), "b").where("ca <> cb") \
+        .select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    roots = components(edges).toDF("component", "root")
+    return stored(every.join(roots, "component", "left").select("id", F.coalesce("root", "component").alias("component")),
+                  "labels")
+
+
 def link(docs: DataFrame, id_col: str, text_col: str, percent: int):
     """(sketch table, digest -> component of every class that has company)."""
     sketch = stored(sketches(docs, id_col, text_col), "sketch")
@@ -156,27 +236,32 @@ def link(docs: DataFrame, id_col: str, text_col: str, percent: int):
     tested = stored(members.where("id <> centre").select(*ordered("id", "centre")).distinct(), "pairs")
     links = stored(confirmed(tested, sets, percent), "links")
     label = components(links)
-    for round_no in (2, 3):
-        # keys of three or more classes whose classes are not all in one component
-        placed = members.where("c > 2").join(label, "id", "left") \
-            .select("key", "id", F.coalesce("component", "id").alias("component"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                          F.min_by("id", F.xxhash64("id", "key")).alias("other")).where("lo <> hi")
-        rest = placed.join(mixed.select("key", "other"), "key")
-        if round_no == 2:
-            other = placed.select(F.col("id").alias("other"), F.col("component").alias("oc"), "key")
-            pairs = rest.join(other, ["key", "other"]).where("component <> oc").select(*ordered("id", "other"))
-        else:
-            again = rest.select("key", F.col("id").alias("x"), F.col("component").alias("xc"))
-            pairs = rest.join(again, "key").where("id < x AND component <> xc").select(*ordered("id", "x"))
-        pairs = stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        tested = tested.unionAll(pairs)
-        more = stored(confirmed(pairs, sets, percent), "links")
+    def open_keys(label, sizes):
+        """Members of keys whose classes are in several components."""
+        placed = members.where(sizes).join(label, "id", "left") \
+            .select("key", "id", "centre", F.coalesce("component", "id").alias("component"))
+        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
+            .where("lo <> hi").select("key")
+        return stored(placed.join(mixed, "key"), "open")
+
+    rest = open_keys(label, f"c > 2 AND c <= {SMALL}")
+    again = rest.select("key", F.col("id").alias("x"), F.col("component").alias("xc"))
+    pairs = rest.join(again, "key").where("id < x AND component <> xc").select(*ordered("id", "x")).distinct()
+    more = stored(confirmed(stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs"), sets, percent), "links")
+    if not more.isEmpty():
+        label = merged(label, more)
+    rest = open_keys(label, f"c > {SMALL}")
+    if not rest.isEmpty():
+        # keys that share a member belong to one cluster: every member hangs
+        # on its smallest centre, and so do its other centres
+        star = rest.groupBy("id").agg(F.min("centre").alias("b")).select(F.col("id").alias("a"), "b")
+        chain = rest.select("id", "centre").distinct().join(star.toDF("id", "b"), "id") \
+            .select(F.col("centre").alias("a"), "b").where("a <> b").distinct()
+        cluster = components(star.unionAll(chain)).withColumnRenamed("component", "cluster")
+        placed = stored(rest.select("id", "component").distinct().join(cluster, "id"), "clusters")
+        more = stored(block_links(placed, sets, percent), "links")
         if not more.isEmpty():
-            links = links.unionAll(more)
-            label = components(links)
+            label = merged(label, more)
     found = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left") \
         .where("copies > 1 OR component IS NOT NULL") \
         .select("digest", F.coalesce("component", "rep").alias("component"))
