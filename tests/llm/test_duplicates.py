@@ -160,6 +160,51 @@ def test_blocks_of_items_and_empty_tables(spark, monkeypatch):
     assert latent.leaks(odd_documents(spark), bench(spark, [(1, None), (2, texts()[12])])).count() == 2
 
 
+def accepted(text, item):
+    """The rule on every passage of a text, with a plain table."""
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j], row[j + 1])
+        return row[-1]
+    words, item = text.lower().split(), item.lower().split()
+    w = latent.window_of(len(item))
+    for start in range(0, max(1, len(words) - w + w // 4), w // 4):
+        around = words[max(0, start - w // 2):min(start + w, len(words)) + w // 2]
+        answer = any(around[i:i + 5] == item[-5:] for i in range(len(around) - 4))
+        if lcs(item, around) / len(item) >= (0.6 if answer else 0.8):
+            return True
+    return False
+
+
+def test_every_leak_of_the_rule_is_found(spark):
+    rng = random.Random(5)
+    # items of words of their own beside common ones, in unknown and in well-known surroundings
+    items = [(i, " ".join(rng.choice(["the", "of", "and"]) if rng.random() < 0.4 else f"w{rng.randrange(400)}"
+                          for _ in range(15 + 4 * i))) for i in range(10)]
+    docs = []
+    for i, t in items:
+        for kind in range(6):
+            w = t.split()
+            if kind < 2:  # a paraphrase that keeps the answer
+                for p in rng.sample(range(len(w) - 5), min(len(w) - 5, len(w) * (4 + kind) // 10)):
+                    w[p] = "changed"
+            elif kind < 4:
+                for p in rng.sample(range(len(w)), len(w) * kind // 12):
+                    w[p] = "changed"
+            else:
+                w = [y for x in w for y in ([x, "between"] if rng.random() < 0.6 else [x])]
+            body = [f"w{rng.randrange(400)}" if kind % 2 else f"o{rng.randrange(10**6)}" for _ in range(120)]
+            at = rng.randrange(121)
+            docs.append((len(docs), " ".join(body[:at] + w + body[at:])))
+    want = {(d, i) for d, t in docs for i, x in items if accepted(t, x)}
+    assert len(want) > 40
+    got = latent.leaks(documents(spark, docs), bench(spark, items)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
 def test_lcs_equals_the_table():
     rng = random.Random(4)
     for _ in range(100):
