@@ -9,8 +9,10 @@ roles' turns do not.
 ``pair_conversations`` makes such rows from a table of turns: conversations
 of the same first turn stand together.  Rare first turns share buckets by a
 hash, a first turn of more than ``GROUP`` conversations is salted into
-buckets of its own, and in a bucket neighbours by (first turn, id) form
-pairs.  Buckets are small whatever the data, so no task gets a hot group.
+buckets of its own.  In a bucket the conversations of one first turn form
+pairs by id, and only the last one of each odd group is paired with that of the
+next first turn left over.  Buckets are small whatever the data, so no task
+gets a hot group.
 
 DataFrame functions only.  Defined cases: a conversation's turns are ordered
 by (turn, role, text), nulls first; rows without a conversation id belong to
@@ -100,7 +102,12 @@ def pair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: st
     spread = _number(F.col("id").cast("string")) % F.ceil(F.col("n") / group)
     talks = talks.withColumn("bucket", F.when(F.col("n").isNotNull(), F.concat_ws("/", "key", spread.cast("string")))
                              .otherwise((_number(F.col("key")) % buckets).cast("string")))
-    order = Window.partitionBy("bucket").orderBy("key", "id")
+    # one exchange by bucket serves both windows
+    alike = Window.partitionBy("bucket", "key").orderBy("id")
+    talks = talks.repartition("bucket").select("id", "turns", "key", "bucket", (
+        F.lead("id").over(alike).isNull() & (F.row_number().over(alike) % 2 == 1)).alias("alone"))
+    # pairs of one first turn stand before the ones left over, and their number is even
+    order = Window.partitionBy("bucket").orderBy("alone", "key", "id")
     return talks.select("id", "turns", F.row_number().over(order).alias("nth"), F.lead("id").over(order).alias("other"),
                         F.lead("turns").over(order).alias("other_turns")) \
         .where("nth % 2 = 1") \

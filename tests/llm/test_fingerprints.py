@@ -65,6 +65,21 @@ def test_hot_first_turns_are_salted_and_match_the_oracle(spark, tmp):
     assert sorted(tuple(r) for r in preference.preference_pairs(df).collect()) == want
 
 
+def test_no_pair_of_one_first_turn_is_torn(spark):
+    rng = random.Random(9)
+    sizes = [rng.randint(1, 3) for _ in range(200)]
+    firsts = [f"question {k}" for k, n in enumerate(sizes) for _ in range(n)]
+    rng.shuffle(firsts)
+    data = [row for c, q in enumerate(firsts) for row in talk(c, ("user", q), ("assistant", f"answer {c}"))]
+    pairs = preference.pair_conversations(turns(spark, data), group=64).collect()
+    ids = [x for p in pairs for x in (p.chosen_id, p.rejected_id) if x is not None]
+    assert sorted(ids) == list(range(len(firsts)))
+    same = [firsts[p.chosen_id] for p in pairs if p.rejected_id is not None and firsts[p.chosen_id] == firsts[p.rejected_id]]
+    assert sorted(same) == sorted(f"question {k}" for k, n in enumerate(sizes) for _ in range(n // 2))
+    # those left over, one of each odd first turn, are paired too: at most one a bucket stands alone
+    assert sum(p.rejected_id is None for p in pairs) <= -(-len(firsts) // 64)
+
+
 def brute_sketches(spark, text):
     """Order MinHash of one text with plain loops; Spark only hashes."""
     w = text.split(" ")
