@@ -6,8 +6,10 @@ log-odds of standing inside the content, learned from labelled pages: a
 bounded sample (``LABELLED_PAGES``) of pages whose own markup names the
 content element.  A linear scan finds the contiguous region of the largest
 sum.  Elements that are never article text (``SKIP`` and the ``HINTS`` in
-class, id or role) hardly count and are left out of the region, blocks are decoded, their white
-space made single spaces, and joined by an empty line.
+class, id or role) hardly count and are left out of the region; an article or
+main without a hint of its own counts inside a hinted element, not inside a
+``SKIP`` one.  Blocks are decoded, their white space made single spaces, and
+joined by an empty line.
 
 Defined cases: null or empty html, or no region of positive score, gives an
 empty text; an element that is never closed ends with the page; a page
@@ -58,17 +60,17 @@ _P_ENDS = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li table section article main
 def events(page: str):
     """("text", string, key, skipped, content), ("open" | "close", name, "",
     skipped, content) in page order.  ``key`` names the element around."""
-    stack: list[tuple[str, str, bool, bool]] = []  # name, key, skipped, in content
+    stack: list[tuple[str, str, int, bool]] = []  # name, key, skipped (1 by a hint, 2 by its name), in content
     at, n = 0, len(page)
 
     def top():
-        return stack[-1] if stack else ("", "", False, False)
+        return stack[-1] if stack else ("", "", 0, False)
     while at < n:
         m = _TAG.search(page, at)
         if m is None or m.start() > at:
             end = n if m is None else m.start()
             _, key, skipped, content = top()
-            yield "text", page[at:end], key, skipped, content
+            yield "text", page[at:end], key, skipped > 0, content
             at = end
             if m is None:
                 return
@@ -81,7 +83,7 @@ def events(page: str):
                 while stack[-1][0] != name:
                     stack.pop()
                 _, _, skipped, content = stack.pop()
-                yield "close", name, "", skipped, content
+                yield "close", name, "", skipped > 0, content
             continue
         if name in _P_ENDS and name != "hr":
             # a new block ends an open paragraph and what stands in it
@@ -94,9 +96,15 @@ def events(page: str):
         _, _, skipped, content = top()
         marks = [v.strip("\"'").lower() for _, v in _MARK.findall(m.group(3))] if m.group(3) else []
         words = {w for v in marks for w in _WORDS.findall(v)}
-        skipped = skipped or name in SKIP or (bool(words & HINTS) and name not in ("html", "body", *CONTENT))
+        hint = bool(words & HINTS)
+        if name in SKIP:
+            skipped = 2
+        elif name in CONTENT:
+            skipped = skipped if hint or skipped == 2 else 0
+        elif hint and name not in ("html", "body"):
+            skipped = max(skipped, 1)
         content = content or name in CONTENT
-        yield "open", name, "", skipped, content
+        yield "open", name, "", skipped > 0, content
         if name in VOID or m.group(3).endswith("/"):
             continue
         cls = min(words) if words else ""

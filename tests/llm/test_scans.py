@@ -176,3 +176,14 @@ def test_odd_documents_score(spark):
     docs = odd_documents(spark)
     lab = spark.createDataFrame([(5, 1), (12, 0), (14, 0), (6, 1)], "doc_id long, toxic int")
     assert toxicity.score(docs, toxicity.fit(docs, lab)).count() == docs.count()
+
+
+def test_a_hinted_wrapper_does_not_cover_the_article():
+    page = "<body><div class='layout has-sidebar'><div>menu words</div><article><p>{}</p>" \
+           "<div class='share'>send it</div></article></div>{}</body>"
+    text = "The text of the article"
+    assert html_text.extract(page.format(text, ""), {}) == text
+    assert html_text.extract(page.replace("article", "main").format(text, ""), {}).startswith("The text")
+    for hidden in ("<div class='comments'><article class='comment'><p>not this one</p></article></div>",
+                   "<aside><article><p>nor this one</p></article></aside>"):
+        assert html_text.extract(page.format(text, hidden), {}) == text
