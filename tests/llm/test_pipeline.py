@@ -1,7 +1,10 @@
 """The corpus pipeline, stage by stage, on the smallest tables."""
 
+import random
+
 import corpus_pipeline
-from test_duplicates import brute
+from odd import documents
+from test_duplicates import accepted, bench, brute
 
 
 def test_stages(spark):
@@ -24,6 +27,27 @@ def test_stages(spark):
         before = after
 
 
+def test_benchmark_stage_equals_brute_force(spark, tmp):
+    rng = random.Random(12)
+    items = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(16 + 5 * i))) for i in range(6)]
+    docs = [(k, " ".join(f"w{rng.randrange(300)}" for _ in range(80))) for k in range(30)]
+    for _, t in items:
+        for share in (0, 20, 30, 40):  # words replaced, with and without the answer
+            for end in (5, 0):
+                w = t.split()
+                for p in rng.sample(range(len(w) - end), min(len(w) - end, len(w) * share // 100)):
+                    w[p] = "changed"
+                body = [f"o{rng.randrange(10**6)}" for _ in range(90)]
+                docs.append((len(docs), " ".join(body[:40] + w + body[40:])))
+    bench(spark, items).write.parquet(f"{tmp}/stage/benchmark.parquet")
+    df = documents(spark, docs)
+    kept = dict(corpus_pipeline.STAGES)["benchmark"](spark, df, f"{tmp}/stage")
+    assert kept.columns == df.columns
+    want = {d for d, t in docs if not any(accepted(t, x) for _, x in items)}
+    assert 30 < len(want) < len(docs) - 20
+    assert {r.doc_id for r in kept.collect()} == want
+
+
 def test_registered():
     import __spark_entry__ as entry
     names = list(entry.queries())
