@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import html_text, latent, licenses, near_dedup, order_minhash, packing, preference, tokens, toxicity, \
+from flowlens.llm import byte_codec, html_text, latent, licenses, near_dedup, order_minhash, packing, preference, tokens, toxicity, \
     warc
 from flowlens.llm.common import table
 from flowlens.session import checkpoint_dir
@@ -72,3 +72,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_codec.round_trip(table(spark, sf_dir, "documents"))
