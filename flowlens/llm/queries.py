@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import byte_codec, html_text, latent, licenses, near_dedup, order_minhash, packing, preference, tokens, toxicity, \
+from flowlens.llm import byte_codec, collocations, html_text, latent, licenses, near_dedup, order_minhash, packing, preference, tokens, toxicity, \
     warc
 from flowlens.llm.common import table
 from flowlens.session import checkpoint_dir
@@ -77,3 +77,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_codec.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_collocations"] = collocations.oracle_sql()
