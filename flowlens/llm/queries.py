@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flowlens.llm import byte_codec, collocations, html_text, latent, licenses, near_dedup, order_minhash, packing, preference, tokens, toxicity, \
-    warc
+    vector_codes, warc
 from flowlens.llm.common import table
 from flowlens.session import checkpoint_dir
 
@@ -74,6 +74,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op11_vector_codes"] = vector_codes.oracle_sql()
+
+
 @query
 def op12_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_codec.round_trip(table(spark, sf_dir, "documents"))
