@@ -7,17 +7,18 @@
    they stand.  Chunks are counted per language into a dictionary of distinct
    chunks with parse frequencies, which is all that later passes read.
 2. Counting.  An n-gram belongs to the chunk in whose own part it starts, so
-   overlaps count once; a chunk counts with its frequency.  Levels 1 to 5 are
-   counted one after the other over the distinct chunks: an n-gram can only
-   reach ``min_count`` when both its (n-1)-grams do.  Which of those do is
-   told by a bitmap of at most 2**``MAP_BITS`` bits (a fixed broadcast bound);
-   where a bitmap says yes wrongly, the n-gram is counted exactly all the same
-   and falls to ``min_count``, so counts are exact at any size.
-3. Scoring.  Parts of a candidate are n-grams of a lower level, so their
+   overlaps count once; a chunk counts with its frequency.  Three passes over
+   the distinct chunks count words, pairs and longer phrases: an n-gram can
+   only reach ``min_count`` when all its words (a pair) or all its pairs (a
+   longer one) do.  Which of those do is told by a bitmap of at most
+   2**``MAP_BITS`` bits (a fixed broadcast bound); where a bitmap says yes
+   wrongly, the n-gram is counted exactly all the same and falls to
+   ``min_count``, so counts are exact at any size.
+3. Scoring.  Parts of a candidate are shorter n-grams that are known, so their
    counts are joined; products are decimals of 38 digits.
 
 Words are told apart by a 64-bit hash of language and word.  After the first
-level one grouping over all distinct words proves that no two share a hash;
+pass one grouping over all distinct words proves that no two share a hash;
 if two did, another seed would be taken.
 
 Hot languages, passages or words: rows are summed inside each slice and again
@@ -163,21 +164,27 @@ class Grams:
         at = np.flatnonzero(n)
         return [self.words[i] for i in at], self.hash[at], n[at]
 
-    def counted(self, k: int, frequent):
+    def passing(self, part: int, frequent) -> np.ndarray:
+        """Of each place: whether the ``part`` words that start there pass
+        ``frequent`` (by their hashes)."""
+        words = self.hash[self.ids]
+        n = max(len(words) - part + 1, 0)
+        return frequent(folded([words[j:n + j] for j in range(part)]))
+
+    def counted(self, k: int, part: int, passes: np.ndarray):
         """Hashes of the words (k columns) and occurrences of the distinct
-        n-grams of ``k`` words whose parts pass ``frequent``."""
-        none = np.zeros((0, k), np.uint64), np.zeros(0, np.int64)
+        n-grams of ``k`` words all of whose n-grams of ``part`` words pass."""
         n = len(self.ids) - k + 1
         if n <= 0:
-            return none
+            return np.zeros((0, k), np.uint64), np.zeros(0, np.int64)
         places = self.own[:n].copy()
         for j in range(1, k):
             places &= ~self.stop[j:n + j]
-        words = self.hash[self.ids]
-        part = frequent(folded([words[j:n + 1 + j] for j in range(k - 1)]))
-        at = np.flatnonzero(places & part[:n] & part[1:n + 1])
+        for j in range(k - part + 1):
+            places &= passes[j:n + j]
+        at = np.flatnonzero(places)
         if not len(at):
-            return none
+            return np.zeros((0, k), np.uint64), np.zeros(0, np.int64)
         # exact grouping: the local word numbers of a place as one number
         key, size, most = self.ids[at].astype(np.int64), len(self.words), len(self.words)
         for j in range(1, k):
@@ -188,7 +195,7 @@ class Grams:
         _, first, group = np.unique(key, return_index=True, return_inverse=True)
         total = np.zeros(len(first), np.int64)
         np.add.at(total, group, self.weight[at])
-        return np.stack([words[at[first] + j] for j in range(k)], axis=1), total
+        return np.stack([self.hash[self.ids[at[first] + j]] for j in range(k)], axis=1), total
 
 
 def folded(columns: list[np.ndarray]) -> np.ndarray:
@@ -258,19 +265,17 @@ def word_counts(chunks: DataFrame) -> tuple[DataFrame, int]:
     raise RuntimeError("no seed keeps the words apart")  # pragma: no cover
 
 
-def hash_columns(k: int) -> list[str]:
-    return [f"h{j + 1}" for j in range(k)]
-
-
-def bitmap(grams: DataFrame, k: int, n: int, max_bits: int = MAP_BITS) -> tuple[np.ndarray, int]:
-    """The bits of the n-grams in ``grams`` (``n`` rows): one in 32 bits is
-    set, or more beyond ``max_bits``.  At most 2**``max_bits`` / 8 bytes."""
+def bitmap(grams: DataFrame, n: int, max_bits: int = MAP_BITS) -> tuple[np.ndarray, int]:
+    """The bits of the n-grams in ``grams`` (``n`` rows, equal lengths): one in
+    32 bits is set, or more beyond ``max_bits``.  At most 2**``max_bits`` / 8
+    bytes."""
     bits = min(max_bits, max(15, (32 * n - 1).bit_length()))
 
     def run(part: pa.RecordBatch):
-        columns = [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in part.columns]
-        yield [_signed(places(folded(columns), bits)) + 1]
-    at = _arrow(grams.select(*hash_columns(k)), run, "at long")
+        keys = part.column(0)
+        columns = keys.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(keys), -1)
+        yield [_signed(places(folded(list(columns.T)), bits)) + 1]
+    at = _arrow(grams.select("key"), run, "at long")
     blocks = at.groupBy(F.bitmap_bucket_number("at").alias("block")) \
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     out = np.zeros(1 << (bits - 3), np.uint8)
@@ -279,26 +284,31 @@ def bitmap(grams: DataFrame, k: int, n: int, max_bits: int = MAP_BITS) -> tuple[
     return out, bits
 
 
-def gram_counts(chunks: DataFrame, k: int, seed: int, shorter: DataFrame, min_count: int,
+def gram_counts(chunks: DataFrame, ks: range, seed: int, shorter: DataFrame, part: int, min_count: int,
                 max_bits: int = MAP_BITS) -> DataFrame | None:
-    """``h1 .. hk, a`` of the n-grams of ``k`` words with a count of at least
-    ``min_count``, stored; ``shorter`` are those of k - 1 words."""
+    """``key`` (hashes of the words), ``a`` of the n-grams of ``ks`` words with
+    a count of at least ``min_count``, stored; ``shorter`` are those of
+    ``part`` words."""
     n = shorter.count()
     if not n:
         return None
-    found, bits = bitmap(shorter, k - 1, n, max_bits)
+    found, bits = bitmap(shorter, n, max_bits)
     sent = chunks.sparkSession.sparkContext.broadcast(found)
+    names = [f"h{j + 1}" for j in range(ks[-1])]
 
-    def run(part: pa.RecordBatch):
+    def run(rows: pa.RecordBatch):
         def frequent(hashes):
             at = places(hashes, bits)
             return (sent.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        for _, grams in _by_lang(part, seed):
-            hashes, total = grams.counted(k, frequent)
-            yield [*[_signed(hashes[:, j]) for j in range(k)], total]
-    names = hash_columns(k)
+        for _, grams in _by_lang(rows, seed):
+            passes = grams.passing(part, frequent)
+            for k in ks:
+                hashes, total = grams.counted(k, part, passes)
+                nothing = pa.nulls(len(total), pa.int64())
+                yield [*[_signed(hashes[:, j]) if j < k else nothing for j in range(len(names))], total]
     rows = _arrow(chunks, run, ", ".join(f"{h} long" for h in names) + ", n long")
-    return stored(rows.groupBy(*names).agg(F.sum("n").alias("a")).where(F.col("a") >= min_count), f"grams{k}")
+    counts = rows.groupBy(*names).agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
+    return stored(counts.select(F.array_compact(F.array(*names)).alias("key"), "a"), f"grams{ks[-1]}")
 
 
 def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT,
@@ -308,16 +318,13 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     chunks = stored(dictionary(df, text_col, lang_col), "chunks")
     words, seed = word_counts(chunks)
     of_lang = words.groupBy("lang").agg(F.sum("a").alias("n"))
-    levels = [words.where(F.col("a") >= min_count)]
-    for k in range(2, MAX_WORDS + 1):
-        grams = gram_counts(chunks, k, seed, levels[-1], min_count, max_bits)
-        if grams is None:
-            break
-        levels.append(grams)
-    keyed = [g.select(F.array(*hash_columns(k)).alias("key"), "a") for k, g in enumerate(levels, 1)]
-    known = keyed[0]
-    for g in keyed[1:]:
-        known = known.unionByName(g)
+    frequent = words.where(F.col("a") >= min_count)
+    known = frequent.select(F.array("h1").alias("key"), "a")
+    pairs = gram_counts(chunks, range(2, 3), seed, known, 1, min_count, max_bits)
+    if pairs is not None:
+        known = known.unionByName(pairs)
+        phrases = gram_counts(chunks, range(3, MAX_WORDS + 1), seed, pairs, 2, min_count, max_bits)
+        known = known if phrases is None else known.unionByName(phrases)
     longer = known.where(F.size("key") > 1)
     size = F.size("key")
 
@@ -329,7 +336,7 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     left = longer.join(covers, "key", "left").where(F.col("more").isNull() | (F.col("more") < F.col("a"))).drop("more")
 
     spelled = left.select("key", "a", F.posexplode("key").alias("at", "h1")) \
-        .join(levels[0].select("h1", "lang", "word"), "h1") \
+        .join(frequent.select("h1", "lang", "word"), "h1") \
         .groupBy("key", "a").agg(F.max("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
     spelled = spelled.select("key", "a", "lang", F.concat_ws(" ", F.transform("w", lambda x: x["word"].cast("string")))
                              .alias("phrase")).join(of_lang, "lang")

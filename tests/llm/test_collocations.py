@@ -90,7 +90,7 @@ def grams_of(texts_):
     found, hashes, n = grams.totals()
     got = Counter({(w.decode(),): int(v) for w, v in zip(found, n)})
     for k in range(2, 6):
-        rows, total = grams.counted(k, lambda h: np.ones(len(h), bool))
+        rows, total = grams.counted(k, 1, grams.passing(1, lambda h: np.ones(len(h), bool)))
         got.update({tuple(word[int(h)] for h in r): int(v) for r, v in zip(rows, total)})
     return got
 
