@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.packets import FLAG_NAMES, flag_bit
+from flowlens.operators.scan import few
 from flowlens.operators.segment import KEY5
+from flowlens.session import reliable_checkpoint
 
 EMPTY_STAT = 1e-6
 # Column-metadata tag naming the slot layout of f0..f77 (models remember it).
@@ -187,26 +189,31 @@ def packet_flows(packets: DataFrame, timeout_s: float, key: Sequence[str] = KEY5
                  direction: str = "directed", emit_open: bool = False, live: bool = False) -> DataFrame:
     """Packets -> one aggregate row per emitted flow (segmentation + A1-A4).
 
-    The text label rides through the sweep and the aggregate as a 64-bit
-    hash code (fixed-width buffers keep the aggregate hash-based instead of
-    sort-based) and is decoded afterwards by joining the distinct labels,
-    a class-name table that AQE broadcasts when it is small.
+    One aggregate over (key, label) gives both the rows of each key, by which
+    hot keys are split, and the distinct labels.  The text label rides through
+    the sweep and the aggregate as a number of that label table (fixed-width
+    buffers keep the aggregate hash-based instead of sort-based) and is decoded
+    afterwards.  The table has one row per class name and is broadcast when
+    its checked size allows.
     """
+    # hot keys are segmented in parallel chunks, directed and bidirectional alike
+    from flowlens.operators.hotkeys import segment_flows_split
     anchor = ("src_ip", "src_port", "dst_port") if direction != "directed" else ()
     if direction != "directed":
         packets = bidirectional_key(packets)
         key = BIDIR_KEY
     has_label = "label" in packets.columns
-    labels = None
+    labels = counts = None
     if has_label:
-        labels = packets.select("label").distinct().withColumn("_label_code", F.xxhash64("label"))
-        packets = packets.withColumn("_label_code", F.xxhash64("label")).drop("label")
-    # hot keys are segmented in parallel chunks, directed and bidirectional alike
-    from flowlens.operators.hotkeys import segment_flows_split
-    seg = segment_flows_split(packets, timeout_s, key=key, anchor_cols=anchor)
+        profile = reliable_checkpoint(packets.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("_n")))
+        counts = profile.groupBy(*key).agg(F.sum("_n").alias("_hn"))
+        labels = few(reliable_checkpoint(profile.select(F.col("label").alias("_label")).distinct()
+                                         .withColumn("_label_code", F.monotonically_increasing_id())))
+        packets = packets.join(labels, packets["label"].eqNullSafe(labels["_label"])).drop("label", "_label")
+    seg = segment_flows_split(packets, timeout_s, key=key, anchor_cols=anchor, counts=counts)
     flows = flow_aggregates(seg, key=key, direction=direction, live=live, with_label=has_label)
     if not emit_open:
         flows = flows.where("closed")
     if has_label:
-        flows = flows.join(labels, "_label_code", "left").drop("_label_code")
+        flows = flows.join(labels, "_label_code").drop("_label_code").withColumnRenamed("_label", "label")
     return flows

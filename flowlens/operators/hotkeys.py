@@ -12,14 +12,21 @@ jobs:
    earlier timestamp of the key, so only the records up to that plus T matter.
    For each of them, and for "no open flow", the exit state comes from pointer
    doubling over the chunk's next-anchor links.  Timestamps need not rise.
-   The table leaves as pieces of ``PIECE`` entries.
-2. Per key: one streaming pass over the pieces, sorted by chunk, carries the
-   state from chunk to chunk; it holds one piece at a time, whatever the
-   length of T or the size of a key.
-3. Per chunk (parallel): the ordinary sweep, started from its entry state.
+   The function is a table of rows ``lo <= limit < hi -> exit``.
+2. A tree of such functions.  Two neighbouring groups of chunks compose: each
+   exit of the left one that leaves a flow open is looked up in the right one
+   (an as-of lookup over range partitions, ``operators.scan``, so no task holds
+   a group's table), and the right one's records above the left one's largest
+   timestamp join behind.  What no entry can reach within T is left out.
+   log2(chunks) levels later every key has one function.
+3. Back down the tree: a group's left half starts in the group's entry state,
+   its right half where the left half's function leads.  One row per group.
+4. Per chunk (parallel): the ordinary sweep, started from its entry state.
 
 The result equals the sequential sweep row for row.  Keys below
-``HOT_KEY_ROWS`` take the plain sweep, which has O(1) state.
+``HOT_KEY_ROWS`` take the plain sweep, which has O(1) state.  No step runs
+through a key's chunks one after the other, and no task reads more of a key
+than a range partition or one chunk.
 """
 
 from __future__ import annotations
@@ -32,37 +39,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlens.operators.segment import KEY5, _null_aware_change, _Sweep, segment_flows
+from flowlens.operators.scan import as_of, few
+from flowlens.operators.segment import KEY5, _Sweep, closing_rows, segment_flows
 from flowlens.session import reliable_checkpoint
 
 HOT_KEY_ROWS = 2_000_000
 CHUNK_ROWS = 500_000
-PIECE = 512
-BROADCAST_ROWS = 200_000
-
-_NONE, _NEW = 0, 1
-
-
-def closing_rows(ts: np.ndarray, t: int) -> np.ndarray:
-    """For a flow anchored at each row: the first later row with a timestamp
-    above the anchor's plus ``t`` (the row count when there is none)."""
-    m = len(ts)
-    limit = ts + t
-    if m < 2 or bool(np.all(ts[1:] >= ts[:-1])):
-        return np.searchsorted(ts, limit, side="right")
-    # maxima of blocks of 2^k rows; skip blocks without a larger timestamp
-    low = np.iinfo(np.int64).min
-    maxima = [ts]
-    while (1 << len(maxima)) <= m:
-        last, half = maxima[-1], 1 << (len(maxima) - 1)
-        maxima.append(np.maximum(last, np.r_[last[half:], np.full(half, low)]))
-    at = np.arange(m)
-    for k in range(len(maxima) - 1, -1, -1):
-        inside = at < m
-        skip = np.zeros(m, bool)
-        skip[inside] = maxima[k][at[inside]] <= limit[inside]
-        at = np.where(skip, np.minimum(at + (1 << k), m), at)
-    return at
+_LOW = -2 ** 62   # below every limit
 
 
 def exits(ts: np.ndarray, t: int):
@@ -81,14 +64,15 @@ def exits(ts: np.ndarray, t: int):
     return succ, add
 
 
-_TABLE = [("_chunk", T.LongType()), ("piece", T.LongType()), ("last_ts", T.LongType()),
-          ("none_kind", T.IntegerType()), ("none_anchor", T.LongType()), ("none_id", T.LongType()),
-          ("none_closes", T.LongType()), ("tab_ts", T.ArrayType(T.LongType())),
-          ("tab_kind", T.ArrayType(T.IntegerType())), ("tab_anchor", T.ArrayType(T.LongType())),
-          ("tab_id", T.ArrayType(T.LongType())), ("tab_closes", T.ArrayType(T.LongType()))]
+#: A transition: an entry state and the exit state it leads to.  Entry: a flow
+#: open with lo <= limit < hi (closed by the record ``hi``), or none open
+#: (lo and hi are null).  Exit: the flow that is left open (anchor time and
+#: id) or none, and the flows closed on the way.
+_EXIT = ["is_open", "anchor", "anchor_id", "closes"]
+TRANSITIONS = "_k long, g long, lo long, hi long, is_open boolean, anchor long, anchor_id long, closes long"
 
 
-def _chunk_tables(key: Sequence[str], t: int):
+def _chunk_transitions(t: int):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
         ts, ids = pdf["ts_us"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64)
@@ -101,127 +85,126 @@ def _chunk_tables(key: Sequence[str], t: int):
             record = record[:int(np.searchsorted(ts[record], int(before) + t, side="right")) + 1]
         else:
             record = record[:0]  # the key's first chunk: no flow is open yet
-
-        def after(start):  # a flow starts at row ``start`` (m: nothing left)
-            end = succ[start]
-            opened = end < m
-            at = np.minimum(end, m - 1)
-            return (np.where(opened, _NEW, _NONE), np.where(opened, ts[at], 0), np.where(opened, ids[at], 0), add[start])
-        kind, anchor, anchor_id, closes = after(record + 1)
-        none = [int(v) for v in after(np.int64(0))]
-        head = [pdf[c].iat[0] for c in key] + [int(pdf["_chunk"].iat[0])]
-        rows = []
-        for n, a in enumerate(range(0, max(len(record), 1), PIECE)):
-            b = a + PIECE
-            rows.append([*head, n, int(ts[-1]), *none, ts[record[a:b]].tolist(), kind[a:b].tolist(),
-                         anchor[a:b].tolist(), anchor_id[a:b].tolist(), (closes[a:b] + 1).tolist()])
-        return pd.DataFrame(rows, columns=[*key, *[n for n, _ in _TABLE]])
-    return fn
-
-
-def _entries(key: Sequence[str]):
-    """Streams the pieces of a key in chunk order; one row per chunk with the
-    state at its first row."""
-    columns = [*key, "_chunk", "_e_open", "_e_start", "_e_prev", "_e_seg", "_e_id"]
-
-    def fn(batches, t):
-        now = None                               # key of the state below
-        is_open, anchor, anchor_id, prev, seg = False, 0, 0, 0, 0
-        found, chunk, last_ts, entry_limit = True, None, 0, 0
-        for pdf in batches:
-            change = np.zeros(len(pdf), bool)
-            for c in key:
-                change |= _null_aware_change(pdf[c])
-            out = []
-            for i, row in enumerate(pdf.itertuples(index=False)):
-                values = tuple(None if pd.isna(v) else v for v in row[:len(key)])
-                if change[i] and values != now:
-                    now, is_open, anchor, anchor_id, prev, seg, chunk = values, False, 0, 0, 0, 0, None
-                if row[len(key)] != chunk:
-                    if chunk is not None:
-                        prev = last_ts
-                    chunk = row[len(key)]
-                    out.append([*values, int(chunk), is_open, anchor, prev, seg, anchor_id])
-                    found = not is_open
-                    entry_limit = anchor + t
-                    (_, _, last_ts, kind, a, aid, n, *_) = row[len(key):]
-                    last_ts = int(last_ts)
-                    if found:                    # a flow starts at the chunk's first row
-                        is_open, anchor, anchor_id, seg = bool(kind == _NEW), int(a), int(aid), seg + int(n)
-                if not found:
-                    tab_ts, kinds, anchors, ids, closes = row[len(key) + 7:]
-                    r = int(np.searchsorted(np.asarray(tab_ts, np.int64), entry_limit, side="right"))
-                    if r < len(tab_ts):          # the open flow closes here
-                        found = True
-                        is_open, anchor, anchor_id = bool(kinds[r] == _NEW), int(anchors[r]), int(ids[r])
-                        seg += int(closes[r])
-            if out:
-                yield pd.DataFrame(out, columns=columns)
+        start = np.r_[0, record + 1]             # where the next flow starts: none open, or after each record
+        end = succ[start]
+        opened = end < m
+        at = np.minimum(end, m - 1)
+        closed = add[start] + np.r_[0, np.ones(len(record), np.int64)]
+        hi = pd.array(np.r_[0, ts[record]], dtype="Int64")
+        lo = pd.array(np.r_[0, _LOW, ts[record][:-1]][:len(hi)], dtype="Int64")
+        hi[0] = lo[0] = pd.NA
+        return pd.DataFrame({"_k": pdf["_k"].iat[0], "g": pdf["_g"].iat[0], "lo": lo, "hi": hi, "is_open": opened,
+                             "anchor": np.where(opened, ts[at], 0), "anchor_id": np.where(opened, ids[at], 0),
+                             "closes": closed})
     return fn
 
 
-def _attached(rows: DataFrame, small: DataFrame, key: Sequence[str], how: str = "inner") -> DataFrame:
-    """``rows`` with the columns of ``small`` (one row per key and chunk);
-    broadcast when its checked size allows.  NULL is a valid key value."""
-    right = small.toDF(*[f"_r{i}" for i in range(len(key))], "_rchunk", *small.columns[len(key) + 1:])
-    cond = [rows[c].eqNullSafe(right[f"_r{i}"]) for i, c in enumerate(key)] + [rows["_chunk"] == right["_rchunk"]]
-    few = small.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(right) if few else right, cond, how).drop(*[f"_r{i}" for i in range(len(key))], "_rchunk")
+def _composed(table: DataFrame, groups: DataFrame, t: int) -> DataFrame:
+    """The transitions of pairs of groups (2g, 2g + 1), as those of group g;
+    ``groups``: per pair, ``top`` of its left half and ``before`` of the pair."""
+    sided = table.withColumn("_right", F.col("g") % 2 == 1).withColumn("g", F.shiftright("g", 1))
+    left, right = sided.where("NOT _right").drop("_right"), sided.where("_right").drop("_right")
+    idle = right.where("hi IS NULL").select("_k", "g", F.struct(*_EXIT).alias("then"))
+    steps = right.where("hi IS NOT NULL")
+    entry = ["_k", "g", "lo", "hi"]
+    # a flow left open meets the right half's records; none open, its first row
+    found = as_of(left.where("is_open").withColumn("_limit", F.col("anchor") + t),
+                  steps.select("_k", "g", "lo", "hi", *_EXIT), ["_k", "g"], "_limit", "lo", "then") \
+        .withColumn("then", F.when(F.col("_limit") < F.col("then.hi"), F.struct(*[F.col(f"then.{c}").alias(c) for c in _EXIT])))
+    met = found.drop("_limit").unionByName(left.where("NOT is_open").join(few(idle), ["_k", "g"], "left"))
+    now = [F.when(F.col("then").isNull(), F.col(c)).otherwise(F.col(f"then.{c}")).alias(c) for c in _EXIT[:-1]]
+    met = met.select(*entry, *now, (F.col("closes") + F.coalesce("then.closes", F.lit(0))).alias("closes"))
+    # limits above the left half's timestamps pass through it
+    beyond = steps.join(few(groups), ["_k", "g"]).withColumn("lo", F.greatest("lo", "top")) \
+        .where((F.col("hi") > F.col("lo")) & (F.col("lo") <= F.col("before") + t))
+    return met.unionByName(beyond.select(*entry, *_EXIT))
+
+
+def _entries(table: DataFrame, chunks: DataFrame, t: int) -> DataFrame:
+    """``_k, g, e_open, e_start, e_id, e_seg``: the state in which each chunk
+    is entered.  ``chunks``: ``_k, g, top, before`` of every chunk."""
+    last = chunks.agg(F.max("g")).first()[0] or 0
+    levels = [table]
+    for level in range(int(last).bit_length()):
+        half = F.shiftright("g", level)
+        halves = chunks.groupBy("_k", half.alias("h")).agg(F.max("top").alias("top"), F.min_by("before", "g").alias("before"))
+        groups = halves.where("h % 2 = 0").select("_k", F.shiftright("h", 1).alias("g"), "top", "before")
+        levels.append(reliable_checkpoint(_composed(levels[-1], groups, t)))
+    none = [F.lit(False).alias("e_open"), *[F.lit(0).cast("long").alias(c) for c in ("e_start", "e_id", "e_seg")]]
+    entries = chunks.select("_k").distinct().select("_k", F.lit(0).cast("long").alias("g"), *none)
+    for level in range(len(levels) - 2, -1, -1):
+        there = chunks.select("_k", F.shiftright("g", level).alias("g")).distinct()
+        left = levels[level].where("g % 2 = 0").withColumn("g", F.shiftright("g", 1))
+        limit = F.col("e_start") + t
+        reached = F.when(F.col("e_open"), (F.col("lo") <= limit) & (limit < F.col("hi"))).otherwise(F.col("hi").isNull())
+        hits = left.join(few(entries), ["_k", "g"]).where(reached).select("_k", "g", F.struct(*_EXIT).alias("then"))
+        state = entries.join(hits, ["_k", "g"], "left")
+        passed = F.col("then").isNull()          # the open flow passes through the left half
+        second = state.select(
+            "_k", (2 * F.col("g") + 1).alias("g"),
+            *[F.when(passed, F.col(e)).otherwise(F.col(f"then.{c}")).alias(e)
+              for e, c in (("e_open", "is_open"), ("e_start", "anchor"), ("e_id", "anchor_id"))],
+            (F.col("e_seg") + F.coalesce("then.closes", F.lit(0))).alias("e_seg"))
+        first = entries.withColumn("g", 2 * F.col("g"))
+        entries = reliable_checkpoint(first.unionByName(second).join(there, ["_k", "g"], "left_semi"))
+    return entries
+
+
+def key_counts(packets: DataFrame, key: Sequence[str]) -> DataFrame:
+    return packets.groupBy(*key).agg(F.count(F.lit(1)).alias("_hn"))
 
 
 def segment_flows_split(packets: DataFrame, timeout_s: float, key: Sequence[str] = KEY5,
                         hot_key_rows: int | None = None, chunk_rows: int | None = None,
-                        anchor_cols: Sequence[str] = ()) -> DataFrame:
+                        anchor_cols: Sequence[str] = (), counts: DataFrame | None = None) -> DataFrame:
     """Same output as :func:`segment_flows` (order column ``id``, time
     ``ts_us``), with keys of at least ``hot_key_rows`` rows segmented in
-    parallel chunks."""
+    parallel chunks.  ``counts``: the rows of each key (``_hn``), where they
+    are known already."""
     key, anchor_cols = list(key), list(anchor_cols)
     hot_key_rows, chunk_rows = hot_key_rows or HOT_KEY_ROWS, chunk_rows or CHUNK_ROWS
     t = int(round(timeout_s * 1_000_000))
     # at most N / hot_key_rows rows: materialised once, so an input without
     # hot keys keeps the plain one-sweep plan
-    hot = reliable_checkpoint(packets.groupBy(*key).agg(F.count(F.lit(1)).alias("_hn"))
-                              .where(F.col("_hn") >= hot_key_rows))
+    hot = reliable_checkpoint((key_counts(packets, key) if counts is None else counts)
+                              .where(F.col("_hn") >= hot_key_rows).withColumn("_k", F.monotonically_increasing_id()))
     n_hot = hot.agg(F.sum("_hn")).first()[0]
     if not n_hot:
         return segment_flows(packets, timeout_s, key=key, anchor_cols=anchor_cols)
-    hot = hot.toDF(*[f"_hk{i}" for i in range(len(key))], "_hn")
     names = [f"_hk{i}" for i in range(len(key))]
+    hot = few(hot.select(*[F.col(c).alias(n) for c, n in zip(key, names)], "_k"))
     cond = [packets[c].eqNullSafe(hot[n]) for c, n in zip(key, names)]
-    few = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
-    plain = packets.join(few, cond, "left_anti")
-    chunks = max(1, -(-n_hot // chunk_rows))
-    rows = reliable_checkpoint(packets.join(few, cond, "left_semi").repartitionByRange(int(chunks), *key, "id")
+    plain = packets.join(hot, cond, "left_anti")
+    parts = max(1, -(-n_hot // chunk_rows))
+    rows = reliable_checkpoint(packets.join(hot, cond).drop(*names).repartitionByRange(int(parts), "_k", "id")
                                .withColumn("_chunk", F.spark_partition_id().cast("long")))
 
-    order = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per key and chunk; the window's groups are a key's chunks
-    stats = reliable_checkpoint(rows.groupBy(*key, "_chunk").agg(F.max("ts_us").alias("_top"))
-                                .withColumn("_before", F.max("_top").over(order)).drop("_top"))
-    key_fields = [packets.schema[c] for c in key]
-    tables = _attached(rows.select(*key, "_chunk", "id", "ts_us"), stats, key).groupBy(*key, "_chunk").applyInPandas(
-        _chunk_tables(key, t), T.StructType(key_fields + [T.StructField(n, d) for n, d in _TABLE]))
-    entry_fields = [T.StructField("_chunk", T.LongType()), T.StructField("_e_open", T.BooleanType()),
-                    *[T.StructField(n, T.LongType()) for n in ("_e_start", "_e_prev", "_e_seg", "_e_id")]]
-    scan = _entries(key)
-    entries = reliable_checkpoint(tables.repartition(*key).sortWithinPartitions(*key, "_chunk", "piece").mapInPandas(
-        lambda batches: scan(batches, t), T.StructType(key_fields + entry_fields)))
+    order = Window.partitionBy("_k").orderBy("_chunk")   # a key's chunks, one row each
+    chunks = reliable_checkpoint(
+        rows.groupBy("_k", "_chunk").agg(F.max("ts_us").alias("top"), F.max_by("ts_us", "id").alias("last_ts"))
+        .select("_k", "_chunk", "top", (F.row_number().over(order) - 1).cast("long").alias("g"),
+                F.max("top").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+                F.coalesce(F.lag("last_ts").over(order), F.lit(0).cast("long")).alias("e_prev")))
+    small = few(chunks.select("_k", "_chunk", F.col("g").alias("_g"), F.col("before").alias("_before")))
+    table = reliable_checkpoint(rows.select("_k", "_chunk", "id", "ts_us").join(small, ["_k", "_chunk"])
+                                .groupBy("_k", "_chunk").applyInPandas(_chunk_transitions(t), TRANSITIONS))
+    entries = _entries(table, chunks.select("_k", "g", "top", "before"), t)
+    entries = entries.join(chunks.select("_k", "g", "_chunk", "e_prev"), ["_k", "g"]).drop("g")
     if anchor_cols:  # the values of the rows at which the entry flows began
-        began = rows.select(F.col("id").alias("_e_id"), *[F.col(c).alias(f"_e_anchor_{c}") for c in anchor_cols])
-        entries = reliable_checkpoint(entries.join(began, "_e_id", "left").select(
-            *key, "_chunk", "_e_open", "_e_start", "_e_prev", "_e_seg", *[f"_e_anchor_{c}" for c in anchor_cols]))
-    else:
-        entries = entries.drop("_e_id")
-    entry_cols = entries.columns[len(key) + 1:]
-    sweep_in = _attached(rows, entries, key).select(*packets.columns, "_chunk", *entry_cols)
+        began = rows.join(few(entries.select("_k", F.col("e_id").alias("id")).distinct()), ["_k", "id"]) \
+            .select("_k", F.col("id").alias("e_id"), *[F.col(c).alias(f"e_anchor_{c}") for c in anchor_cols])
+        entries = entries.join(began, ["_k", "e_id"], "left")
+    state = ["e_open", "e_start", "e_prev", "e_seg", *[f"e_anchor_{c}" for c in anchor_cols]]
+    entries = few(reliable_checkpoint(entries.select("_k", "_chunk", *state)))
+    sweep_in = rows.join(entries, ["_k", "_chunk"]).select(*packets.columns, "_k", "_chunk", *state)
     out_schema = T.StructType(list(sweep_in.schema.fields) + [
         T.StructField("seg_no", T.LongType(), False), T.StructField("start_us", T.LongType(), False),
         T.StructField("iat_us", T.LongType(), True), T.StructField("closes", T.BooleanType(), False)]
         + [T.StructField("anchor_" + c, packets.schema[c].dataType, True) for c in anchor_cols])
 
     def sweep(batches):
-        yield from _Sweep([*key, "_chunk"], "ts_us", t, anchor_cols, entry_cols=entry_cols).run(batches)
+        yield from _Sweep(["_k", "_chunk"], "ts_us", t, anchor_cols, entry_cols=state).run(batches)
 
-    swept = sweep_in.repartition(*key, "_chunk").sortWithinPartitions(*key, "_chunk", "id") \
-        .mapInPandas(sweep, out_schema).drop("_chunk", *entry_cols)
+    swept = sweep_in.repartition("_k", "_chunk").sortWithinPartitions("_k", "_chunk", "id") \
+        .mapInPandas(sweep, out_schema).drop("_k", "_chunk", *state)
     return segment_flows(plain, timeout_s, key=key, anchor_cols=anchor_cols).unionByName(swept)

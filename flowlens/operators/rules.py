@@ -5,26 +5,29 @@ event-time ``added_at_us`` and ``expiry_us`` (NULL = permanent); unblocks and
 timer expiries are derived state over that table.  Times are microseconds
 since the epoch (LONG), so no session time zone is involved.
 
-Enforcement (``mark_blocked``) is an interval-membership join that stays
-linear even when one source address owns a third of all rules and flows:
-rules are first merged per address into disjoint intervals, the timed
-intervals are cut into fixed time buckets, and flows join them on
-(address, bucket) — each flow meets at most the few disjoint intervals of
-its bucket.  Open-ended (permanent) blocks are one row per address.
+Intervals are merged and looked up by running values over range partitions
+(``operators.scan``), so one address may own a third of all rules and flows, a
+rule may last for years, and no row is repeated per hour or per rule:
+
+* ``blocked_intervals`` merges each address's rules into disjoint intervals;
+* ``mark_blocked`` looks up, for each flow, the last interval of its address
+  that starts at or before it; being disjoint, no other can hold it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.operators import scan
+from flowlens.session import reliable_checkpoint
+
 # Fixed values of the rule table.
 ACTION_DROP = "DROP"
 REASON_AUTO = "auto-detect"
 REASON_NO_ROOT_DEFAULT = "blocked (no-root)"
 NO_ROOT_SUFFIX = " (no-root)"
 LIVE_TTL_S = 600
-BUCKET_US = 3600 * 1_000_000
 _OPEN_END = 2 ** 62  # stands for "no expiry" inside the interval merge
 
 RULE_COLUMNS = ["rule_id", "added_at_us", "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
@@ -88,61 +91,33 @@ def active_at(rules: DataFrame, t_us) -> DataFrame:
     return rules.where((F.col("added_at_us") <= t) & (F.col("expiry_us").isNull() | (F.col("expiry_us") > t)))
 
 
-def blocked_intervals(rules: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
+def blocked_intervals(rules: DataFrame) -> DataFrame:
     """Per address, the union of its rule intervals [added, expiry) as
     disjoint intervals (touching ones merged; NULL end = still blocked).
 
-    Gaps and islands without a window over a whole address (one address may
-    own a third of all rules): rows are ordered inside (address, hour
-    bucket) windows, and what precedes a bucket comes from a running max
-    over the per-bucket table (one row per address and hour).  A row opens
-    an island when it starts after every earlier row has ended; its island
-    is the latest island start at or before it.
-    """
+    Gaps and islands: a rule opens an island when it starts after every
+    earlier one of its address has ended; its island is the latest island start
+    at or before it.  Both are running values over range partitions."""
     end = F.coalesce(F.col("expiry_us"), F.lit(_OPEN_END))
     r = rules.select("src_ip", F.col("added_at_us").alias("s"), end.alias("e"), "rule_id")
-    r = r.withColumn("_b", F.floor(F.col("s") / bucket_us))
-    wb = Window.partitionBy("src_ip", "_b").orderBy("s", "e", "rule_id")
-    before = wb.rowsBetween(Window.unboundedPreceding, -1)
-    upto = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wip = Window.partitionBy("src_ip").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-
-    r = r.withColumn("_pin", F.max("e").over(before))
-    bt = r.groupBy("src_ip", "_b").agg(F.max("e").alias("_bmax"))
-    bt = bt.select("src_ip", "_b", F.max("_bmax").over(wip).alias("_pb"))
-    r = r.join(bt, ["src_ip", "_b"])
-    prev = F.greatest(F.col("_pin"), F.col("_pb"))  # NULL only when nothing precedes
-    r = r.withColumn("_ns", F.when(prev.isNull() | (F.col("s") > prev), F.col("s")))
-    r = r.withColumn("_is_in", F.max("_ns").over(upto))
-    bt2 = r.groupBy("src_ip", "_b").agg(F.max("_ns").alias("_bns"))
-    bt2 = bt2.select("src_ip", "_b", F.max("_bns").over(wip).alias("_pbs"))
-    r = r.join(bt2, ["src_ip", "_b"]).withColumn("_island", F.coalesce("_is_in", "_pbs"))
-    iv = r.groupBy("src_ip", "_island").agg(F.min("s").alias("start_us"), F.max("e").alias("_e"),
-                                             F.count(F.lit(1)).alias("n_rules"))
+    order = ["s", "e", "rule_id"]
+    rows = scan.ordered_parts(r, ["src_ip"], order)
+    rows = scan.running(rows, ["src_ip"], order, {"_prev": ("max", "e")})
+    opens = F.col("_prev").isNull() | (F.col("s") > F.col("_prev"))
+    rows = reliable_checkpoint(rows.withColumn("_opens", F.when(opens, F.col("s"))))
+    rows = scan.running(rows, ["src_ip"], order, {"_island": ("max", "_opens")}, own=True)
+    iv = rows.groupBy("src_ip", "_island").agg(F.min("s").alias("start_us"), F.max("e").alias("_e"),
+                                               F.count(F.lit(1)).alias("n_rules"))
     return iv.select("src_ip", "start_us",
                      F.when(F.col("_e") < _OPEN_END, F.col("_e")).alias("end_us"), "n_rules")
 
 
 def mark_blocked(traffic: DataFrame, rules: DataFrame, ts_col: str = "start_us",
-                 flag: str = "blocked", bucket_us: int = BUCKET_US) -> DataFrame:
+                 flag: str = "blocked") -> DataFrame:
     """Flag each traffic row whose source is blocked at ``ts_col``:
-    some rule of that address has added_at <= t < expiry (or no expiry).
-
-    The merged-interval table (at most one row per rule, usually far fewer)
-    is materialised once in the shared checkpoint folder because both the
-    open and the timed branch read it."""
-    from flowlens.session import reliable_checkpoint
-    iv = reliable_checkpoint(blocked_intervals(rules))
-    open_iv = iv.where(F.col("end_us").isNull()).select("src_ip", F.col("start_us").alias("_open_from"))
-    timed = (iv.where(F.col("end_us").isNotNull())
-               .withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start_us") / bucket_us),
-                                                           F.floor((F.col("end_us") - 1) / bucket_us))))
-               .select("src_ip", "_bucket", F.col("start_us").alias("_s"), F.col("end_us").alias("_e")))
-    t = traffic.withColumn("_bucket", F.floor(F.col(ts_col) / bucket_us))
-    cond = ((t["src_ip"] == timed["src_ip"]) & (t["_bucket"] == timed["_bucket"])
-            & (t[ts_col] >= timed["_s"]) & (t[ts_col] < timed["_e"]))
-    # merged intervals are disjoint, so a row meets at most one of them
-    hit = t.join(timed, cond, "left").select(t["*"], timed["_s"].isNotNull().alias("_hit_t"))
-    hit = hit.join(open_iv, "src_ip", "left")
-    blocked = F.col("_hit_t") | F.coalesce(F.col(ts_col) >= F.col("_open_from"), F.lit(False))
-    return hit.withColumn(flag, blocked).drop("_bucket", "_hit_t", "_open_from")
+    some rule of that address has added_at <= t < expiry (or no expiry).  A
+    NULL source or time is never blocked."""
+    iv = blocked_intervals(rules).where(F.col("src_ip").isNotNull()).select("src_ip", "start_us", "end_us")
+    rows = scan.as_of(traffic, iv.withColumnRenamed("start_us", "_from"), ["src_ip"], ts_col, "_from", "_last")
+    live = F.col("_last").isNotNull() & (F.col("_last.end_us").isNull() | (F.col(ts_col) < F.col("_last.end_us")))
+    return rows.withColumn(flag, F.coalesce(live & F.col(ts_col).isNotNull(), F.lit(False))).drop("_last")

@@ -1,14 +1,18 @@
-"""Exact sampling, splitting and top-k without a single-partition sort.
-
-The exact-n cut (``exact_cut``): rows get a bucket number that is monotone in
-their order key (the first 5 hex digits of a seeded md5, or an id range).
-Counting rows per (class, bucket) gives a table of at most 2^20 rows per
-class; a running sum over that small table finds, per class, the bucket
-where the quota is reached.  That one-row-per-class cut table is broadcast
-when its checked size allows (without classes it is two literals); whole buckets before the cut are in
-and only the rows of the cut bucket (~N / 2^20 of a class) are ranked with
-``row_number``.  The result equals a global rank, with no global sort and
-no skewed window.
+"""Exact sampling, splitting and top-k by distributed selection.
+
+An exact cut finds one threshold and then filters; no rows are sorted,
+shuffled or ranked.
+
+* ``nth`` (T3, W4) finds the n-th value of ordering columns.  A mergeable
+  quantile sketch gives a grid of values of whatever is still in question; the
+  two that enclose the n-th are counted exactly, and only what lies strictly
+  between them stays in question.  The sketch works on ranks, so far outliers
+  and clusters of ids make no difference.  A round leaves a few thousandths of
+  the rows, so from the second round on the scan is a narrow pushed-down filter.
+* ``hash_cut`` (T5, T6) cuts each class by a seeded hash.  The hash is uniform,
+  so the cut of a class of N rows lies within a few sqrt(N) ranks of where its
+  share says; one aggregate counts the rows below that bracket and lists those
+  inside.  Should the exact cut lie outside after all, the bracket grows.
 """
 
 from __future__ import annotations
@@ -18,13 +22,17 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_BUCKET_HEX = 5            # 2^20 buckets
-BROADCAST_CLASSES = 100_000
+from flowlens.operators.scan import few, same
+from flowlens.session import reliable_checkpoint
 
-
-def _per_class(df: DataFrame) -> DataFrame:
-    """A table of one row per class, broadcast when its checked size allows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_CLASSES else df
+#: Grid of the quantile sketch, and its accuracy (ranks are right to N / ACCURACY).
+GRID, ACCURACY = 1000, 10_000
+#: Rows in question that are ordered directly.
+DIRECT = 50_000
+#: Bits of the hash that the bracket of a class is taken from.
+HASH_HEX = 15
+#: Half the width of a bracket, in standard deviations of the cut's rank.
+SPREAD = 6.0
 
 
 def seeded_hash(id_col: str, seed: int) -> Column:
@@ -32,64 +40,113 @@ def seeded_hash(id_col: str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))))
 
 
-def _hash_bucket(h: Column) -> Column:
-    return F.conv(F.substring(h, 1, HASH_BUCKET_HEX), 16, 10).cast("long")
-
-
-def exact_cut(df: DataFrame, bucket: Column, order: Sequence[Column], quota,
-              class_col: str | None = None, flag: str | None = None) -> DataFrame:
-    """First ``quota.n`` rows per class in ``order``; ``bucket`` must be
-    monotone in ``order``.  ``quota`` is a number without ``class_col``; with
-    it, a table (class_col, n) or a function of the (class, bucket) count table
-    returning one (so per-class quotas cost no extra scan of the input).
-
-    With ``flag`` the rows are all kept and ``flag`` says whether each is in.
-    """
+def _leading(h: Column) -> Column:
+    """The first hex digits of a hash as a number, in hash order."""
+    return F.conv(F.substring(h, 1, HASH_HEX), 16, 10).cast("long")
+
+
+def nth(df: DataFrame, order: Sequence[str], n: int, direct: int = DIRECT, grid: int = GRID) -> tuple | None:
+    """The ``n``-th (from 1) smallest tuple of the numeric, non-null columns
+    ``order``; None where there are fewer rows."""
+    scope, known, need = df.select(*order), [], n
+    for column in order:
+        c = F.col(column)
+        while True:
+            if need < 1:
+                return None
+            sketch = scope.agg(F.count(F.lit(1)).alias("n"),
+                               F.percentile_approx(c, [i / grid for i in range(grid + 1)], ACCURACY).alias("q")).first()
+            total = sketch["n"]
+            if need > total:
+                return None
+            if total <= direct:  # a measured, small rest
+                row = scope.orderBy(*order).offset(need - 1).limit(1).first()
+                return tuple(row)
+            q, slack = sketch["q"], 1 + grid // ACCURACY + 1
+            at = need * grid / total
+            lo, hi = q[max(0, int(at) - slack)], q[min(grid, int(at) + 1 + slack)]
+            count = scope.agg(*[F.count_if(x).alias(k) for k, x in
+                                (("a", c < lo), ("b", c <= lo), ("c", c < hi), ("d", c <= hi))]).first()
+            if need <= count["a"]:
+                scope = scope.where(c < lo)
+            elif need <= count["b"]:
+                scope, need, value = scope.where(c == lo), need - count["a"], lo
+                break
+            elif need <= count["c"]:
+                scope, need = scope.where((c > lo) & (c < hi)), need - count["b"]
+            elif need <= count["d"]:
+                scope, need, value = scope.where(c == hi), need - count["c"], hi
+                break
+            else:
+                scope, need = scope.where(c > hi), need - count["d"]
+        known.append(value)
+    return tuple(known)
+
+
+def _upto(order: Sequence[str], limit: tuple) -> Column:
+    """Rows whose ``order`` is at or before ``limit``."""
+    out = F.lit(True)
+    for c, v in reversed(list(zip(order, limit))):
+        out = (F.col(c) < F.lit(v)) | ((F.col(c) == F.lit(v)) & out)
+    return out
+
+
+def hash_cut(df: DataFrame, id_col: str, seed: int, quota, class_col: str | None = None,
+             spread: float = SPREAD) -> DataFrame:
+    """``df`` with ``_in``: whether a row is among the first ``n`` of its class
+    in the order of the seeded hash of its id (then of the id).  ``quota`` is n;
+    with ``class_col``, a function from the (class, ``_n_rows``) table to the
+    (class, n) table.  Ids are unique inside a class."""
     cls = [class_col] if class_col else []
-    b = df.withColumn("_b", bucket)
-    # the count table (<= classes x 2^20 rows) feeds the quota, the running
-    # sum and both output branches: materialise it once in the shared folder
-    from flowlens.session import reliable_checkpoint
-    counts = reliable_checkpoint(b.groupBy(*cls, "_b").agg(F.count(F.lit(1)).alias("_c")))
-    if callable(quota):
-        quota = quota(counts.withColumnRenamed("_c", "_n_rows"))
-    w = Window.partitionBy(*cls).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("_cum", F.sum("_c").over(w))
+    hashed = df.withColumn("_h", seeded_hash(id_col, seed))
     if cls:
-        counts = counts.join(_per_class(reliable_checkpoint(quota)), on=cls, how="inner")
+        sizes = reliable_checkpoint(df.groupBy(*cls).agg(F.count(F.lit(1)).alias("_n_rows")))
+        right, cond = same(sizes, quota(sizes), cls)
+        sizes = sizes.join(right, cond).select(*cls, "_n_rows", F.col("n").cast("long").alias("_n"))
     else:
-        counts = counts.withColumn("n", F.lit(int(quota)).cast("long"))
-    # per class: the first bucket where the running count reaches n
-    cut = (counts.where(F.col("_cum") >= F.col("n"))
-                 .groupBy(*cls)
-                 .agg(F.min_by(F.struct("_b", (F.col("n") - F.col("_cum") + F.col("_c")).alias("_need")),
-                               F.col("_b")).alias("_cut")))
-    cut = cut.select(*cls, F.col("_cut._b").alias("_cut_b"), F.col("_cut._need").alias("_need"))
-    # classes whose quota exceeds their size take everything (no cut row)
+        sizes = df.agg(F.count(F.lit(1)).alias("_n_rows")).withColumn("_n", F.lit(int(quota)).cast("long"))
+    share, top = F.col("_n") / F.greatest(F.col("_n_rows"), F.lit(1)), float(16 ** HASH_HEX)
+    part = [F.col("_n") >= F.col("_n_rows"), F.col("_n") <= 0]
+    while True:
+        half = spread * F.sqrt(share * (1 - share) / F.col("_n_rows")) + spread * spread / F.col("_n_rows")
+        plan = few(reliable_checkpoint(sizes.withColumns({
+            "_lo": F.when(part[0] | part[1], None).otherwise((F.greatest(share - half, F.lit(0.0)) * top).cast("long")),
+            "_hi": F.when(part[0] | part[1], None).otherwise((F.least(share + half, F.lit(1.0)) * top).cast("long"))})))
+        rows = hashed.withColumn("_lead", _leading(F.col("_h")))
+        if cls:
+            right, cond = same(rows, plan, cls)
+            rows = rows.join(right, cond).drop(*[f"_r_{c}" for c in cls])
+        else:
+            one = plan.first()
+            rows = rows.withColumns({c: F.lit(one[c]).cast("long") for c in ("_n", "_n_rows", "_lo", "_hi")})
+        # one pass: rows below the bracket collapse to a count, those inside stay
+        inside = F.col("_lead") >= F.col("_lo")
+        near = rows.where(F.col("_lead") <= F.col("_hi")).groupBy(
+            *cls, "_n", F.when(inside, F.col("_h")).alias("_th"), F.when(inside, F.col(id_col)).alias("_tid")) \
+            .agg(F.count(F.lit(1)).alias("_c"))
+        # a class has O(sqrt(N)) rows here
+        w = Window.partitionBy(*cls).orderBy(F.col("_th").asc_nulls_first(), "_tid") \
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = reliable_checkpoint(near.withColumn("_cum", F.sum("_c").over(w))
+                                    .where("_th IS NOT NULL AND _cum = _n").select(*cls, "_th", "_tid"))
+        if found.count() == sizes.where("_n > 0 AND _n < _n_rows").count():
+            break
+        spread *= 4
+    whole = sizes.where("_n >= _n_rows").select(*cls, F.lit("~").alias("_th"))   # above every hex digit
+    found = found.unionByName(whole, allowMissingColumns=True)
     if cls:
-        joined = b.join(_per_class(reliable_checkpoint(cut)), on=cls, how="left")
-    else:  # one row at most: literals
-        row = cut.first()
-        joined = b.withColumns({c: F.lit(row[c] if row else None).cast("long") for c in ("_cut_b", "_need")})
-    whole = F.col("_cut_b").isNull() | (F.col("_b") < F.col("_cut_b"))
-    at_cut = F.col("_b") == F.col("_cut_b")
-    rank_w = Window.partitionBy(*cls, "_b").orderBy(*order)
-    ranked = (joined.where(at_cut)
-                    .withColumn("_rn", F.row_number().over(rank_w))
-                    .withColumn("_in", F.col("_rn") <= F.col("_need"))
-                    .drop("_rn"))
-    drop = ["_b", "_cut_b", "_need"]
-    if flag is None:
-        return (joined.where(whole).drop(*drop)
-                .unionByName(ranked.where("_in").drop("_in", *drop)))
-    return (joined.where(~at_cut | F.col("_cut_b").isNull()).withColumn(flag, whole).drop(*drop)
-            .unionByName(ranked.withColumnRenamed("_in", flag).drop(*drop)))
+        right, cond = same(hashed, found, cls)
+        out = hashed.join(few(right), cond, "left").drop(*[f"_r_{c}" for c in cls])
+    else:
+        one = found.first()
+        out = hashed.withColumns({c: F.lit(one[c] if one else None).cast(found.schema[c].dataType) for c in ("_th", "_tid")})
+    taken = (F.col("_h") < F.col("_th")) | ((F.col("_h") == F.col("_th")) & (F.col(id_col) <= F.col("_tid")))
+    return out.withColumn("_in", F.coalesce(taken, F.lit(False))).drop("_h", "_th", "_tid")
 
 
 def sample_exact_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
     """T5: exactly ``n`` rows without replacement (all rows if fewer exist)."""
-    withh = df.withColumn("_h", seeded_hash(id_col, seed))
-    return exact_cut(withh, _hash_bucket(F.col("_h")), [F.col("_h"), F.col(id_col)], n).drop("_h")
+    return hash_cut(df, id_col, seed, n).where("_in").drop("_in")
 
 
 def stratified_quota(df: DataFrame, class_col: str, test_size: float = 0.2,
@@ -116,38 +173,28 @@ def stratified_split(df: DataFrame, class_col: str, id_col: str, test_size: floa
                      seed: int = 42, split_col: str = "split") -> DataFrame:
     """Every row tagged 'train' or 'test'; per-class test quotas exact."""
     quota = lambda counts: stratified_quota(counts, class_col, test_size, "_n_rows")
-    withh = df.withColumn("_h", seeded_hash(id_col, seed))
-    out = exact_cut(withh, _hash_bucket(F.col("_h")), [F.col("_h"), F.col(id_col)], quota,
-                    class_col=class_col, flag="_test")
-    return out.withColumn(split_col, F.when(F.col("_test"), "test").otherwise("train")).drop("_h", "_test")
-
-
-def _range_bucket(df: DataFrame, order_col: str, n_buckets: int):
-    """Row count and a bucket column monotone in ``order_col`` (equal-width
-    ranges between the column's min and max).  The min/max/count come back
-    as one row (a bounded result) and enter the plan as literals."""
-    st = df.agg(F.count(F.lit(1)).alias("n"), F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    lo, hi = (st["lo"] or 0), (st["hi"] or 0)
-    width = float(hi - lo + 1)
-    bucket = F.floor((F.col(order_col) - F.lit(lo)).cast("double") / F.lit(width) * n_buckets).cast("long")
-    return int(st["n"]), bucket
+    out = hash_cut(df, id_col, seed, quota, class_col=class_col)
+    return out.withColumn(split_col, F.when(F.col("_in"), "test").otherwise("train")).drop("_in")
 
 
-def first_n(df: DataFrame, order_col: str, n: int, n_buckets: int = 1 << 20) -> DataFrame:
-    """The ``n`` rows with the smallest ``order_col`` (ties by value
-    order), without a single-task top-n merge: exact cut on range buckets."""
-    _, bucket = _range_bucket(df, order_col, n_buckets)
-    return exact_cut(df, bucket, [F.col(order_col)], n)
+def first_n(df: DataFrame, order_col: str, n: int, direct: int = DIRECT) -> DataFrame:
+    """The ``n`` rows with the smallest ``order_col`` (unique, numeric; all
+    rows where fewer exist): a threshold and a filter, no top-n merge."""
+    limit = nth(df, [order_col], n, direct)
+    if limit is not None:
+        return df.where(_upto([order_col], limit))
+    return df if n > 0 else df.limit(0)
 
 
 def split_positional(df: DataFrame, order_col: str, train_fraction: float = 0.9,
-                     split_col: str = "split", n_buckets: int = 1 << 20) -> DataFrame:
-    """First int(N * fraction) rows in ``order_col`` order are 'train',
-    the rest 'val' (no shuffle of rows, exact cut)."""
-    n_rows, bucket = _range_bucket(df, order_col, n_buckets)
+                     split_col: str = "split", direct: int = DIRECT) -> DataFrame:
+    """First int(N * fraction) rows in ``order_col`` order (unique,
+    numeric) are 'train', the rest 'val'."""
+    n_rows = df.count()
     n_train = int(n_rows * float(train_fraction))  # int(N * fraction), as in a Python slice bound
-    out = exact_cut(df, bucket, [F.col(order_col)], n_train, flag="_train")
-    return out.withColumn(split_col, F.when(F.col("_train"), "train").otherwise("val")).drop("_train")
+    limit = nth(df, [order_col], n_train, direct)
+    train = _upto([order_col], limit) if limit is not None else F.lit(n_train > 0)
+    return df.withColumn(split_col, F.when(train, "train").otherwise("val"))
 
 
 def random_row(df: DataFrame, id_col: str, seed: int = 42, k: int = 1) -> DataFrame:

@@ -29,10 +29,13 @@ from typing import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlens.operators.scan import few, same
+from flowlens.session import reliable_checkpoint
+
 KEY5 = ("src_ip", "dst_ip", "src_port", "dst_port", "protocol")
 
 
@@ -48,6 +51,28 @@ def _null_aware_change(s: pd.Series) -> np.ndarray:
     return out
 
 
+def closing_rows(ts: np.ndarray, t: int) -> np.ndarray:
+    """For a flow anchored at each row: the first later row with a timestamp
+    above the anchor's plus ``t`` (the row count when there is none)."""
+    m = len(ts)
+    limit = ts + t
+    if m < 2 or bool(np.all(ts[1:] >= ts[:-1])):
+        return np.searchsorted(ts, limit, side="right")
+    # maxima of blocks of 2^k rows; skip blocks without a larger timestamp
+    low = np.iinfo(np.int64).min
+    maxima = [ts]
+    while (1 << len(maxima)) <= m:
+        last, half = maxima[-1], 1 << (len(maxima) - 1)
+        maxima.append(np.maximum(last, np.r_[last[half:], np.full(half, low)]))
+    at = np.arange(m)
+    for k in range(len(maxima) - 1, -1, -1):
+        inside = at < m
+        skip = np.zeros(m, bool)
+        skip[inside] = maxima[k][at[inside]] <= limit[inside]
+        at = np.where(skip, np.minimum(at + (1 << k), m), at)
+    return at
+
+
 class _Sweep:
     """State carried across the Arrow batches of one partition."""
 
@@ -124,6 +149,8 @@ class _Sweep:
         iat[b] = ts[0] - self.prev if self.open else 0
         iat_null[b] = not self.open
         monotone = m < 2 or bool(np.all(ts[1:] >= ts[:-1]))
+        closing = None if monotone else closing_rows(ts, self.t)
+        carried = self.open
         pos = 0
         while pos < m:
             if not self.open:
@@ -136,10 +163,12 @@ class _Sweep:
             if monotone:
                 c = int(np.searchsorted(ts, limit, side="right"))
                 c = max(c, pos)
+            elif carried:  # a flow of an earlier batch: its first row is not here
+                over = ts > limit
+                c = int(over.argmax()) if over.any() else m
             else:
-                c = pos
-                while c < m and ts[c] <= limit:
-                    c += 1
+                c = int(closing[pos])
+            carried = False
             if c >= m:  # the flow stays open past this run
                 self._fill(b + pos, e, self.next_seg, self.start, seg, start, anchors, self.anchor_vals)
                 pos = m
@@ -191,15 +220,16 @@ def segment_flows(
 def closed_flow_rows(segmented: DataFrame, key: Sequence[str] = KEY5, emit_open: bool = False) -> DataFrame:
     """Keep rows of emitted flows: closed ones, plus open ones if ``emit_open``.
 
-    A flow is closed iff one of its rows has ``closes``.  Whether a row's
-    flow closes is only known after the flow's last row, so the per-packet
-    listing takes ``bool_or(closes)`` over the flow (a window on
-    (key, seg_no): one more shuffle of the packet rows, spill-safe, and the
-    sweep runs once).  Per-flow results do not need this: they aggregate
-    first and filter on the aggregated flag.
-    """
+    A key numbers its flows from 0 and only its last one can be open, so the
+    flows below the key's count of closing rows are the closed ones: one row
+    per key, joined back (broadcast when its checked size allows).  The packet
+    rows are not shuffled again, and no task gathers a flow.  The swept rows
+    are written once, as both sides read them: select the columns you need
+    before (the key, ``seg_no`` and ``closes`` among them).  Per-flow results
+    do not need this: they aggregate first and filter on the aggregated flag."""
     if emit_open:
         return segmented
-    w = Window.partitionBy(*key, "seg_no")
-    return (segmented.withColumn("_flow_closed", F.max(F.col("closes")).over(w))
-                     .where("_flow_closed").drop("_flow_closed"))
+    rows = reliable_checkpoint(segmented)
+    closed = rows.groupBy(*key).agg(F.count_if("closes").alias("_closed"))
+    right, cond = same(rows, closed, key)
+    return rows.join(few(right), [*cond, rows["seg_no"] < right["_closed"]], "left_semi")

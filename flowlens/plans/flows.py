@@ -103,6 +103,10 @@ def _round_std(df: DataFrame) -> DataFrame:
     return df.withColumns({f"f{i}": rnd(f"f{i}", 6) for i in STD_SLOTS})
 
 
+def _listed(segmented: DataFrame) -> DataFrame:
+    return closed_flow_rows(segmented.select(*KEY5, "id", "seg_no", "closes"))
+
+
 # --------------------------------------------------------------------------
 
 @query("flow_segments", fx.with_views(_flow_rows_sql(TIMEOUT_S) + """
@@ -110,7 +114,7 @@ SELECT id, seg_no FROM fp""", "packets"))
 def flow_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every packet of a closed flow with its flow number (T = 21600 s)."""
     pk = fx.packets(spark, sf_dir).select(*KEY5, "id", "ts_us")  # prune before the sweep
-    return closed_flow_rows(segment_flows_split(pk, TIMEOUT_S)).select("id", "seg_no")
+    return _listed(segment_flows_split(pk, TIMEOUT_S)).select("id", "seg_no")
 
 
 @query("flow_segments_t10", fx.with_views(_flow_rows_sql(TIMEOUT_SHORT_S) + """
@@ -118,7 +122,7 @@ SELECT id, seg_no FROM fp""", "packets"))
 def flow_segments_t10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W3 with the short offline timeout (mostly two-packet flows)."""
     pk = fx.packets(spark, sf_dir).select(*KEY5, "id", "ts_us")
-    return closed_flow_rows(segment_flows_split(pk, TIMEOUT_SHORT_S)).select("id", "seg_no")
+    return _listed(segment_flows_split(pk, TIMEOUT_SHORT_S)).select("id", "seg_no")
 
 
 @query("flow_segments_split", fx.with_views(_flow_rows_sql(TIMEOUT_S) + """
@@ -128,7 +132,7 @@ def flow_segments_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks of about 100 rows (T covers many chunks); same oracle."""
     pk = fx.packets(spark, sf_dir).select(*KEY5, "id", "ts_us")
     seg = segment_flows_split(pk, TIMEOUT_S, hot_key_rows=50, chunk_rows=100)
-    return closed_flow_rows(seg).select("id", "seg_no")
+    return _listed(seg).select("id", "seg_no")
 
 
 @query("flow_totals", fx.with_views(_flow_rows_sql(TIMEOUT_S) + """
@@ -205,7 +209,7 @@ SELECT id, seg_no, 1 AS is_fwd FROM fp""", "packets"))
 def flow_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packet direction inside its flow (directed key: always forward)."""
     pk = fx.packets(spark, sf_dir).select(*KEY5, "id", "ts_us")
-    seg = closed_flow_rows(segment_flows_split(pk, TIMEOUT_S))
+    seg = _listed(segment_flows_split(pk, TIMEOUT_S))
     return seg.select("id", "seg_no", feat.direction_column("directed").cast("int").alias("is_fwd"))
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from flowlens.functions.packets import FLAG_MASKS, FLAG_NAMES
-from flowlens.operators.segment import KEY5
+from flowlens.operators.segment import KEY5, closing_rows
 
 STATE_SCHEMA = (
     "seg_no long, open boolean, start_us long, prev_us long, first_id long, last_id long, "
@@ -168,16 +168,14 @@ def _state_fn(timeout_us: int, key_names: Sequence[str], out_cols: Sequence[str]
         lab = pdf["label"].to_numpy(object) if "label" in pdf else np.full(len(pdf), None, dtype=object)
         rows = []
         m = len(ts)
-        monotone = m < 2 or bool(np.all(ts[1:] >= ts[:-1]))
+        closing = closing_rows(ts, timeout_us)
         pos = 0
         while pos < m:
-            start = int(ts[pos]) if not f.open else f.start
-            limit = start + timeout_us
-            if monotone:
-                c = max(int(np.searchsorted(ts, limit, side="right")), pos)
+            if f.open:  # a flow of an earlier micro-batch
+                over = ts > f.start + timeout_us
+                c = int(over.argmax()) if over.any() else m
             else:
-                over = np.flatnonzero(ts[pos:] > limit)
-                c = pos + int(over[0]) if len(over) else m
+                c = int(closing[pos])
             end = min(c + 1, m)
             f.add_slice(ids, ts, ln, fl, pr, lab, pos, end)
             if c < m:  # row c closed the flow

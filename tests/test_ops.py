@@ -111,7 +111,7 @@ def test_blocked_intervals_random_small_buckets(spark):
     rnd = random.Random(11)
     rules = [(i, rnd.randint(0, 10**9), rnd.choice("ab"), rnd.choice([0, 1, 30, 120, 400])) for i in range(300)]
     r = _rules(spark, rules)
-    got = sorted((x["src_ip"], x["start_us"], x["end_us"]) for x in R.blocked_intervals(r, bucket_us=10**7).collect())
+    got = sorted((x["src_ip"], x["start_us"], x["end_us"]) for x in R.blocked_intervals(r).collect())
     want = []
     for ip in "ab":
         iv = sorted((a, a + ttl * 1_000_000 if ttl else None) for _, a, rip, ttl in rules if rip == ip)
@@ -168,3 +168,38 @@ def test_model_refuses_other_layout(spark):
     cic = flow_features_cicids(flows, keep=["close_id"])
     with pytest.raises(ValueError):
         MD.score(model, cic, "lr")
+
+
+def test_nth_by_refinement(spark):
+    """Clusters of ids, a far outlier and repeated values; tiny grids force
+    several rounds, and no rest is ordered directly until it is small."""
+    rnd = random.Random(8)
+    rows = [(i * 2 if i < 900 else 10**15 + i, rnd.randrange(40)) for i in range(1000)] + [(-10**17, 3), (10**18, 4)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "k long, id long, v long")
+    ids = sorted(r[0] for r in rows)
+    pairs = sorted((r[1], k) for k, r in enumerate(rows))
+    for n in (1, 2, 450, 901, 1001, 1002):
+        for direct, grid in ((4, 8), (50_000, 1000)):
+            assert SM.nth(df, ["id"], n, direct, grid) == (ids[n - 1],)
+            assert SM.nth(df, ["v", "k"], n, direct, grid) == pairs[n - 1]
+    assert SM.nth(df, ["id"], 1003) is None and SM.nth(df, ["id"], 0) is None
+    assert sorted(r["id"] for r in SM.first_n(df, "id", 777, direct=4).collect()) == ids[:777]
+    assert SM.first_n(df, "id", 5000).count() == 1002 and SM.first_n(df, "id", 0).count() == 0
+    out = SM.split_positional(df, "id", 0.5, direct=4)
+    assert sorted(r["id"] for r in out.where("split = 'train'").collect()) == ids[:501]
+    assert SM.split_positional(df.limit(0), "id").count() == 0
+
+
+def test_hash_cut_with_narrow_brackets(spark):
+    """Brackets that miss the cut grow until they hold it; null classes and
+    quotas of nothing or everything are exact, too."""
+    rows = [(i, None if i % 5 == 0 else i % 3) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, y int")
+    want = {None: 40, 0: 0, 1: 10**6, 2: 1}
+    table = spark.createDataFrame(list(want.items()), "y int, n long")
+    got = {}
+    for r in SM.hash_cut(df, "id", 42, lambda counts: table, "y", spread=0.01).where("_in").collect():
+        got.setdefault(r["y"], set()).add(r["id"])
+    for y, n in want.items():
+        members = [i for i, c in rows if c == y]
+        assert got.get(y, set()) == set(_hash_order(members, 42)[:n])

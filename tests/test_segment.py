@@ -140,28 +140,61 @@ def test_hot_key_split_equals_loop(spark, seed, t, chunk):
 def test_chunks_follow_row_counts_not_id_widths(spark):
     """One far id does not put a key's rows into one chunk."""
     from flowlens.operators import hotkeys
-    plain = hotkeys._chunk_tables
+    plain = hotkeys._chunk_transitions
     rows = [(i if i < 3999 else 10**15, "a", i, 1, "x") for i in range(4000)]
     df = spark.createDataFrame(rows, SCHEMA)
     acc = spark.sparkContext.accumulator(0)
 
-    def watched(key, t):
-        fn = plain(key, t)
+    def watched(t):
+        fn = plain(t)
 
         def run(pdf):
             acc.add(len(pdf) > 1000)
             return fn(pdf)
         return run
-    hotkeys._chunk_tables = watched
+    hotkeys._chunk_transitions = watched
     try:
         out = hotkeys.segment_flows_split(df, 10 / 1e6, key=KEY, hot_key_rows=50, chunk_rows=500)
         assert out.count() == 4000 and acc.value == 0
     finally:
-        hotkeys._chunk_tables = plain
+        hotkeys._chunk_transitions = plain
+
+
+def test_dense_key_with_a_timeout_over_many_chunks(spark):
+    """A timeout of 60 chunks: the tree holds transitions of limits that can
+    occur, one row each, and the result is that of one sweep."""
+    from flowlens.operators import hotkeys
+    rnd = random.Random(9)
+    rows, ts = [], 0
+    for i in range(3000):
+        ts += rnd.randint(1, 3)
+        rows.append((i, "a", ts, 1, "x"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    sizes, composed = [], hotkeys._composed
+
+    def watched(table, groups, t):
+        out = composed(table, groups, t)
+        sizes.append(out.count())
+        return out
+    hotkeys._composed = watched
+    try:
+        out = hotkeys.segment_flows_split(df, 1200 / 1e6, key=KEY, hot_key_rows=50, chunk_rows=50)
+        cols = ["id", "seg_no", "start_us", "iat_us", "closes"]
+        assert sorted(map(tuple, out.select(cols).collect())) == sorted(
+            map(tuple, segment_flows(df, 1200 / 1e6, key=KEY).select(cols).collect()))
+    finally:
+        hotkeys._composed = composed
+    assert len(sizes) >= 5 and max(sizes) <= 3000 + 64
+
+
+def test_only_the_last_flow_of_a_key_is_left_out(spark):
+    rows = [(i, k, i * 10, 1, "x") for i, k in enumerate(["a", "a", "a", None, "b", None, None, "a", "b", "a"])]
+    got = run(spark, rows, 15)
+    assert got == plain_loop(rows, 15)
 
 
 def test_closing_rows_equal_loop():
-    from flowlens.operators.hotkeys import closing_rows
+    from flowlens.operators.segment import closing_rows
     rnd = np.random.default_rng(2)
     for m in (0, 1, 2, 7, 64, 65, 300):
         for ts in (rnd.integers(0, 200, m), np.sort(rnd.integers(0, 200, m))):
