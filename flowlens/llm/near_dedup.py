@@ -8,13 +8,14 @@
    of pairs is linear in the number of rows.
 3. Pairs get a joint maximum-likelihood estimate from their registers; those
    that may reach the limit are confirmed on the full sets.
-4. Confirmed links give components (alternating minimum labels).  What a key
-   leaves undecided are pairs of different components.  Keys of at most
+4. Confirmed links give components (``graph``).  What a key leaves undecided
+   are pairs of different components.  Keys of at most
    ``SMALL`` classes compare these pairs (a linear bound).  Larger ones are
    joined to clusters of ``BLOCK`` members a block, and pairs of blocks of
    different components are compared on the full sets by a matrix product in
-   one task each, which gives only the links.  A group whose members are all
-   linked needs none of this; so no pair that shares a key stays undecided.
+   one task each (``COLUMNS`` shingles at a time), which gives only the links.
+   A group whose members are all linked needs none of this; so no pair that
+   shares a key stays undecided.
 
 At likeness 0.8, 40 bands of 5 registers miss a pair with a probability of
 about 1e-7.  Joins on hot keys are ordinary sort-merge joins that adaptive
@@ -22,8 +23,8 @@ execution splits.  Intermediate tables lie in the shared checkpoint folder.
 
 Defined cases: a null or blank text has no shingles and is linked with
 nothing (component: itself); a null id has a null component and is kept; of
-rows that share an id each gets the component of its own text; an empty
-table an empty result; other columns are not read (``keep_one`` keeps them
+rows that share an id each gets the component of its own text (a class is
+known by the digest of its set, not by an id); an empty table an empty result; other columns are not read (``keep_one`` keeps them
 and leaves one row of each kept id).
 """
 
@@ -41,15 +42,22 @@ from pyspark.sql.types import StructType
 
 from flowlens.llm import setsketch as ss
 from flowlens.llm.common import bounded_batches, slices, stored, whole_text
+from flowlens.llm.graph import components
 
 PERCENT = 80
 SLICE = 2 << 20
 SMALL, BLOCK = 32, 512
+#: Shingles of a block pair that one product compares.
+COLUMNS = 1 << 14
 BROADCAST_ROWS = 200_000
 
 SKETCH = "id long, n long, digest binary, bands array<long>"
 
 
+def set_digest(members: np.ndarray) -> bytes:
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
     ddl = StructType.fromDDL(SKETCH)
@@ -61,7 +69,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sets = ss.shingle_sets(part.column("text").to_pylist())
                 keys = ss.bands(ss.registers(sets))
                 n = pa.array([len(s) for s in sets], pa.int64())
-                digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                digest = [set_digest(s) for s in sets]
                 per = keys.shape[1]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * per),
                                                  pa.array(keys.reshape(-1)))
@@ -71,13 +79,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         .mapInArrow(run, ddl)
 
 
-def set_table(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def set_table(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, members`` (sorted hashes as bytes) and ``regs`` (registers, then
-    the set's size) of some documents."""
+    the set's size) of the ``classes`` (id, rep, digest), from the texts of
+    their smallest documents."""
+    ids = classes.select(F.col("rep").alias("doc")).distinct()
     few = ids.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text")) \
-        .join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    ddl = StructType.fromDDL("id long, members binary, regs binary")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), whole_text(text_col).alias("text")) \
+        .join(F.broadcast(ids) if few else ids, "doc", "left_semi").select("text")
+    ddl = StructType.fromDDL("digest binary, members binary, regs binary")
 
     def run(batches):
         schema = to_arrow_schema(ddl)
@@ -86,10 +96,12 @@ def set_table(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
                 sets = ss.shingle_sets(part.column("text").to_pylist())
                 regs = ss.registers(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary()),
+                    [pa.array([set_digest(s) for s in sets], pa.binary()),
+                     pa.array([s.tobytes() for s in sets], pa.binary()),
                      pa.array([r.tobytes() + len(s).to_bytes(4, "little") for r, s in zip(regs, sets)], pa.binary())],
                     schema=schema)
-    return texts.mapInArrow(run, ddl)
+    return texts.mapInArrow(run, ddl).dropDuplicates(["digest"]) \
+        .join(classes.select("id", "digest"), "digest").drop("digest")
 
 
 def _pair_columns(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -161,13 +173,18 @@ def block_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         row = np.repeat(np.arange(len(n)), n)
         often = np.bincount(at) > 1  # a shingle of one member is in no intersection
         place = np.cumsum(often) - 1
-        use = often[at]
-        seen = np.zeros((len(n), int(often.sum())), np.float32)
-        seen[row[use], place[at[use]]] = 1
+        use = np.flatnonzero(often[at])
+        use = use[np.argsort(place[at[use]], kind="stable")]
+        row, column = row[use], place[at[use]]
         side, comp, ids = (pdf[c].to_numpy() for c in ("side", "component", "id"))
         x = np.flatnonzero(side == 0)
         y = np.flatnonzero(side == 1) if side.any() else x
-        both = np.rint(seen[x] @ seen[y].T).astype(np.int64)
+        both = np.zeros((len(x), len(y)), np.int64)
+        for lo in range(0, int(often.sum()), COLUMNS):
+            i, k = np.searchsorted(column, [lo, lo + COLUMNS])
+            seen = np.zeros((len(n), COLUMNS), np.float32)
+            seen[row[i:k], column[i:k] - lo] = 1
+            both += np.rint(seen[x] @ seen[y].T).astype(np.int64)
         good = (100 * both >= percent * (n[x][:, None] + n[y][None, :] - both)) & (comp[x][:, None] != comp[y][None, :])
         i, k = np.nonzero(good)
         a, b = ids[x[i]], ids[y[k]]
@@ -178,32 +195,6 @@ def block_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.groupBy("cluster", "block", "block2").applyInPandas(compare, "a long, b long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``id, component`` (smallest id) of all ends of ``links(a, b)``: each
-    round joins every node to the smallest label around it and its label's
-    label; labels at least halve their distance, so few rounds are needed."""
-    edges = stored(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                   .distinct(), "edges")
-    labels = stored(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l"))
-                    .select(F.col("a").alias("id"), "l"), "labels")
-    while True:
-        # hook: the smallest label among the neighbours goes to the own label's node, too
-        around = edges.join(labels.select(F.col("id").alias("b"), F.col("l").alias("m")), "b") \
-            .groupBy("a").agg(F.min("m").alias("m"))
-        step = labels.join(around.withColumnRenamed("a", "id"), "id") \
-            .select("id", "l", F.least("l", "m").alias("m"))
-        proposals = step.select("id", "m").unionAll(step.where("m < l").select(F.col("l").alias("id"), "m")) \
-            .groupBy("id").agg(F.min("m").alias("m"))
-        # jump: the label of the label
-        jumped = proposals.join(proposals.select(F.col("id").alias("m"), F.col("m").alias("mm")), "m", "left") \
-            .select("id", F.least("m", "mm").alias("l"))
-        new = stored(jumped, "labels")
-        changed = new.withColumnRenamed("l", "new").join(labels, "id").where("new <> l").limit(1).count()
-        labels = new
-        if not changed:
-            return labels.select("id", F.col("l").alias("component"))
-
-
 def merged(label: DataFrame, links: DataFrame) -> DataFrame:
     """The components after more links: only the components that these touch
     are joined anew."""
@@ -220,22 +211,23 @@ def merged(label: DataFrame, links: DataFrame) -> DataFrame:
 def link(docs: DataFrame, id_col: str, text_col: str, percent: int):
     """(sketch table, digest -> component of every class that has company)."""
     sketch = stored(sketches(docs, id_col, text_col), "sketch")
-    with_words = sketch.where("n > 0 AND id IS NOT NULL")
-    classes = stored(with_words.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies")),
-                     "classes")
-    # one row per class and band key: that of the class's smallest id
-    keyed = with_words.join(classes.where("copies > 1").select("digest", "rep"), "digest", "left") \
-        .where("rep IS NULL OR rep = id").select("id", F.explode("bands").alias("key")).distinct()
+    # equal sets have equal bands; a class gets a number of its own, which
+    # writing it fixes
+    classes = stored(sketch.where("n > 0 AND id IS NOT NULL").groupBy("digest")
+                     .agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+                     .withColumn("id", F.monotonically_increasing_id()), "classes")
+    keyed = classes.select("id", F.explode(F.array_distinct("bands")).alias("key"))
     hot = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("centre")).where("c > 1")
     members = stored(keyed.join(hot.select("key", "centre", "c"), "key"), "members")
-    ids = stored(members.select("id").distinct(), "ids")
-    sets = stored(set_table(docs, ids, id_col, text_col).dropDuplicates(["id"]), "sets")
+    known = classes.select("id", "rep", "digest").join(members.select("id").distinct(), "id", "left_semi")
+    sets = stored(set_table(docs, known, id_col, text_col), "sets")
 
     def ordered(x, y):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
     tested = stored(members.where("id <> centre").select(*ordered("id", "centre")).distinct(), "pairs")
     links = stored(confirmed(tested, sets, percent), "links")
     label = components(links)
+
     def open_keys(label, sizes):
         """Members of keys whose classes are in several components."""
         placed = members.where(sizes).join(label, "id", "left") \
@@ -262,9 +254,10 @@ def link(docs: DataFrame, id_col: str, text_col: str, percent: int):
         more = stored(block_links(placed, sets, percent), "links")
         if not more.isEmpty():
             label = merged(label, more)
-    found = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left") \
-        .where("copies > 1 OR component IS NOT NULL") \
-        .select("digest", F.coalesce("component", "rep").alias("component"))
+    found = stored(classes.select("id", "digest", "rep", "copies").join(label, "id", "left")
+                   .where("copies > 1 OR component IS NOT NULL"), "found")
+    least = found.groupBy("component").agg(F.min("rep").alias("least"))
+    found = found.join(least, "component", "left").select("digest", F.coalesce("least", "rep").alias("component"))
     return sketch, stored(found, "components")
 
 

@@ -4,9 +4,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 from odd import documents, odd_documents, prose, texts
 
-from flowlens.llm import latent, near_dedup
+from flowlens.llm import graph, latent, near_dedup
 from flowlens.llm import setsketch as ss
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -84,12 +85,26 @@ def test_odd_rows(spark):
     assert near_dedup.near_duplicates(empty).count() == 0 and near_dedup.keep_one(empty).count() == 0
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("most", [0, 40, None])
+def test_components_of_chains(spark, most):
+    """A long chain, a star, small groups; with and without rounds of stars."""
     ends = list(range(200))
     random.Random(1).shuffle(ends)
-    links = spark.createDataFrame([*zip(ends, ends[1:]), (500, 501), (501, 502), (600, 600)], "a long, b long")
-    got = {r.id: r.component for r in near_dedup.components(links).collect()}
-    assert all(got[i] == 0 for i in ends) and got[502] == 500 and got[600] == 600
+    star = [(700, 701 + i) for i in range(60)]
+    links = spark.createDataFrame([*zip(ends, ends[1:]), *star, (500, 501), (501, 502), (600, 600), (9, -4)],
+                                  "a long, b long")
+    got = {r.id: r.component for r in graph.components(links, most).collect()}
+    assert all(got[i] == -4 for i in ends) and got[502] == 500 and all(got[i] == 700 for _, i in star)
+    assert got.get(600, 600) == 600 and len(got) >= 200 + 61 + 3 + 1
+    assert graph.components(links.limit(0), most).count() == 0
+
+
+def test_texts_that_share_an_id(spark):
+    """Each of two texts under one id keeps its own links."""
+    a, b = prose(31, 60), prose(32, 60)
+    rows = near_dedup.near_duplicates(documents(spark, [(5, a), (5, b), (2, a + " z"), (3, b + " y"), (9, prose(33, 60))])) \
+        .collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(2, 2), (3, 3), (5, 2), (5, 3), (9, 9)]
 
 
 def test_registers_estimate_the_likeness():
