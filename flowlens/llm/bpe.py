@@ -5,13 +5,12 @@ rank (leftmost on ties) is popped again and again, its two symbols become one
 in the linked list, and the two new neighbours are pushed.  A stale heap entry
 is recognised because the pair at its position no longer has its rank.
 
-Texts are cut into pre-tokens first.  A text whose white space is only single
-spaces and newlines between other characters (``plain``) is cut by
-``str.split``: before such a space, and on both sides of such a newline, the
-byte-level pre-tokeniser always has a boundary, so a word can be looked up in
-a memo by itself.  Every other text goes through the full pattern.  Both give
-the same pre-tokens; the memo only saves work on words seen before and is
-bounded by ``MEMO_ENTRIES``.
+Texts are cut into pre-tokens first.  A text in which no white space touches
+white space or an end of the text (``plain``) is cut by ``str.split``: before a
+space, and on both sides of a newline, the byte-level pre-tokeniser then always
+has a boundary, so a word can be looked up in a memo by itself.  Every other
+text goes through the full pattern.  Both give the same pre-tokens; the memo
+only saves work on words seen before and is bounded by ``MEMO_ENTRIES``.
 """
 
 from __future__ import annotations
@@ -19,8 +18,10 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 from array import array
 
+import numpy as np
 import regex
 
 #: Entries of a word memo; longer words are not kept.
@@ -130,10 +131,16 @@ class Memo(dict):
         return value
 
 
+#: White space beside white space or at an end of the text.  The class also
+#: holds U+001C to U+001F, which are no white space of the pre-tokeniser: such
+#: texts only take the longer way.
+_RUNS = re.compile(r"\s(?:\s|\Z)|\A\s").search
+
+
 def plain(text: str) -> bool:
-    """True when all white space is single ' ' or '\\n' between other
-    characters (and the text is not empty)."""
-    return len(text.split()) == text.count(" ") + text.count("\n") + 1
+    """True when all white space stands alone between other characters (and
+    the text is not empty)."""
+    return text != "" and not _RUNS(text)
 
 
 def words(text: str) -> list[str]:
@@ -178,34 +185,43 @@ class Counter:
         return n
 
 
+#: Longest run of white space for the fast merge loop, whose pattern engine
+#: has a bounded stack.
+_LONG_RUN = re.compile(r"\s{5000}").search
+
+
 class Encoder:
-    """Token ids of whole texts, as little-endian unsigned 32-bit bytes.  The
-    ids of each new word come from the library's own model; the memo joins
-    them.  A text with a special string goes through the library whole."""
+    """Token ids of whole texts, as little-endian unsigned 32-bit bytes: those
+    of the ``tokenizers`` file at ``path``.
+
+    The merges of that file run in ``tiktoken``'s loop.  It merges by the rank
+    of the token that a pair makes, the file by the rank of the pair; both are
+    the same, as each token has one pair that makes it.  Texts with a special
+    string or a very long run of white space go through ``tokenizers`` whole.
+    Nothing is kept between texts."""
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
-        tok = self.tok = Tokenizer.from_file(path)
-        model, symbols = tok.model, dict(enumerate(byte_symbols()))
-
-        def ids(pieces: list[str]) -> bytes:
-            return array("I", [t.id for p in pieces
-                               for t in model.tokenize(p.encode().decode("latin-1").translate(symbols))]).tobytes()
+        self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.specials = [t["content"] for t in json.load(f).get("added_tokens", [])]
-        # ids take more room than counts: a smaller memo
-        self.piece = Memo(lambda p: ids([p]), MEMO_ENTRIES // 10)
-        self.word = Memo(lambda w: ids(pretokens(unit(w))), MEMO_ENTRIES * 6 // 10)
-        self.newline = len(ids(["\n"]))
+            spec = json.load(f)
+        vocab, symbols = spec["model"]["vocab"], byte_symbols()
+        byte_of = {c: b for b, c in enumerate(symbols)}
+        made = [a + b for a, b in (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])]
+        tokens = [*symbols, *made]
+        if len(set(tokens)) < len(tokens):
+            raise ValueError("a token of this vocabulary is made by two merges")
+        self.specials = [t["content"] for t in spec.get("added_tokens", [])]
+        self.ids = np.array([vocab[t] for t in tokens], "<u4")
+        self.fast = tiktoken.Encoding("merges", pat_str=PATTERN.replace(_SPACE, r"\s").replace(r"\P{White_Space}", r"\S"),
+                                      mergeable_ranks={bytes([byte_of[c] for c in t]): r for r, t in enumerate(tokens)},
+                                      special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.specials):
+        if any(s in text for s in self.specials) or _LONG_RUN(text):
             return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
-        if plain(text):
-            return b"".join(map(self.word.__getitem__, words(text)))[self.newline:]
-        return b"".join(map(self.piece.__getitem__, pretokens(text)))
+        return self.ids[self.fast.encode_ordinary(text)].tobytes() if text else b""
 
 
 @functools.lru_cache(4)

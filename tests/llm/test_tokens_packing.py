@@ -1,10 +1,12 @@
 """Operators 3 and 6 against the tokenizers library."""
 
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from odd import documents, odd_documents, texts
 from tokenizers import Tokenizer
 
@@ -43,6 +45,28 @@ def test_whitespace_paths_agree(library):
         assert encode(text) == np.array(want, "<u4").tobytes(), repr(text)
 
 
+def test_random_white_space(library):
+    """Every character that is white space to Python or to the pre-tokeniser."""
+    count, encode = bpe.counter(PATH), bpe.encoder(PATH)
+    spaces = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000
+              and (chr(c).isspace() or regex.match(r"\p{White_Space}", chr(c)))]
+    assert "\xa0" in spaces and "\u3000" in spaces and "\x1c" in spaces
+    r = random.Random(11)
+    some = [*spaces, *" \n" * 12, *"aab1'.", "'s", "word", "\u200b", "\u65e5\u672c", "\u00e9", "<|endoftext|>"]
+    made = ["price\xa010 ", "a\xa0b  c", "\u4e00\u3000\u4e8c ", "\xa0\u3000\xa0'LL"]
+    made += ["".join(r.choice(some) for _ in range(r.randint(0, 12))) for _ in range(30_000)]
+    for text in made:
+        want = ids(library, text)
+        assert count(text) == len(want), repr(text)
+        assert encode(text) == np.array(want, "<u4").tobytes(), repr(text)
+
+
+def test_long_runs(library):
+    encode = bpe.encoder(PATH)
+    for text in [" " * 200_000 + "x", "\n" * 100_000, "x" * 100_000, "1" * 100_000, ".!" * 50_000, "a " * 100_000]:
+        assert encode(text) == np.array(ids(library, text), "<u4").tobytes()
+
+
 def test_memo_stays_bounded():
     m = bpe.Memo(len, 10)
     for i in range(1000):
