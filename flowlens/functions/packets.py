@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # TCP flag names in the order the feature slots use them, and
 # their bits in the TCP header flags byte.
@@ -43,33 +42,46 @@ def is_valid_ipv4(ip) -> Column:
     return F.coalesce(_c(ip).rlike(IPV4_PATTERN), F.lit(False))
 
 
-@F.pandas_udf(T.StringType())
-def _canonical_ip_any(ips):
-    """Arrow-batched: canonical text of a v4 or v6 address, NULL if invalid."""
-    import ipaddress
-
-    import pandas as pd
-
-    def one(x):
-        if x is None:
-            return None
-        try:
-            return str(ipaddress.ip_address(x))
-        except ValueError:
-            return None
-    return pd.Series([one(x) for x in ips], dtype=object)
+# Fixed value: one or more groups of up to four hex digits.
+_GROUPS = "^[0-9a-f]{1,4}(:[0-9a-f]{1,4})*$"
+
+
+def canonical_ipv6(ip) -> Column:
+    """The canonical text of an IPv6 address (lower case, no leading
+    zeros, the longest run of two or more zero groups as ``::``, the leftmost
+    of equal ones; a dotted-quad tail as two groups; a zone after ``%`` as it
+    is), NULL when invalid."""
+    zone = F.regexp_extract(_c(ip), "(%.*)$", 1)
+    text = F.lower(F.regexp_replace(_c(ip), "%.*$", ""))
+    # a dotted-quad tail becomes two groups
+    tail = F.regexp_extract(text, r"([^:]*)$", 1)
+    octets = F.transform(F.split(tail, r"\."), lambda x: x.try_cast("int"))
+    pair = [F.lower(F.hex((octets[i] * 256 + octets[i + 1]).cast("long"))) for i in (0, 2)]
+    text = F.when(tail.rlike(IPV4_PATTERN),
+                  F.concat(F.regexp_replace(text, "[^:]*$", ""), pair[0], F.lit(":"), pair[1])).otherwise(text)
+    halves = F.split(text, "::", -1)
+    lists = [F.when(h == "", F.array().cast("array<string>")).when(h.rlike(_GROUPS), F.split(h, ":"))
+             for h in (halves[0], F.get(halves, F.lit(1)))]
+    n = F.size(lists[0]) + F.size(lists[1])
+    groups = F.when((F.size(halves) == 1) & (F.size(lists[0]) == 8), lists[0]) \
+        .when((F.size(halves) == 2) & lists[0].isNotNull() & lists[1].isNotNull() & (n <= 7),
+              F.concat(lists[0], F.array_repeat(F.lit("0"), 8 - n), lists[1]))
+    full = F.array_join(F.transform(groups, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+    out = full
+    for run in range(2, 9):  # the longest run that occurs is tried first
+        pattern = rf"^(?:(.*?):)??0(?::0){{{run - 1}}}(?::(.*))?$"
+        out = F.when(full.rlike(pattern), F.regexp_replace(full, pattern, "$1::$2")).otherwise(out)
+    return F.when((zone == "") | zone.rlike("^%[^%]+$"), F.concat(out, zone))
+
+
+def is_valid_ipv6(ip) -> Column:
+    return canonical_ipv6(ip).isNotNull()
 
 
 def canonical_ip(df, ip_col: str, out: str = "ip_canonical"):
-    """P18 (v4 and v6): canonical address text, NULL when invalid.
-
-    The Python parser runs once per *distinct* address (an address set is
-    far smaller than the packet table), then a join puts the result back on
-    every row; the join side is left to AQE (broadcast when small).
-    """
-    distinct = df.select(F.col(ip_col).alias("_ip")).where(F.col("_ip").isNotNull()).distinct()
-    canon = distinct.select("_ip", _canonical_ip_any(F.col("_ip")).alias(out))
-    return df.join(canon, df[ip_col] == canon["_ip"], "left").drop("_ip")
+    """P18 (v4 and v6): ``df`` with the canonical address text, NULL when
+    invalid."""
+    return df.withColumn(out, F.when(is_valid_ipv4(ip_col), F.col(ip_col)).otherwise(canonical_ipv6(ip_col)))
 
 
 def port_of(tcp_col: str, udp_col: str, default: int | None = 0) -> Column:

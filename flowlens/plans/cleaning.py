@@ -167,6 +167,36 @@ def valid_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", "ip", PK.is_valid_ipv4("ip").alias("valid"))
 
 
+# Forms of IPv6 text by event id (n = user_id % 15 + 1, m = event_id): the text
+# and, as SQL, its canonical form (NULL where the text is no address).
+_V6_FORMS = [
+    ("concat('2001:DB8:0:0:', n16, ':0:0:', m16)", "concat('2001:db8::', n16, ':0:0:', m16)"),
+    ("concat('FE80::0', n16, ':', m16)", "concat('fe80::', n16, ':', m16)"),
+    ("concat('0:0:0:', n16, ':0:0:0:0')", "concat('0:0:0:', n16, '::')"),
+    ("concat('2001:db8:0:1:', n16, ':0001:1:', m16)", "concat('2001:db8:0:1:', n16, ':1:1:', m16)"),
+    ("concat('2001:db8::', n16, '::1')", "NULL"),
+    ("concat('::ffff:10.0.', n10, '.7')", "concat('::ffff:a00:', n16, '07')"),
+    ("concat(n16, ':', m16, ':3:4:5:6:7')", "NULL"),
+    ("concat('::', n16, ':12345')", "NULL"),
+    ("concat('10.0.', n10, '.1')", "concat('10.0.', n10, '.1')"),
+    ("'::'", "'::'"),
+]
+
+
+@query("valid_ip_v6", f"""
+WITH e AS (SELECT event_id AS id, CAST(user_id % 15 + 1 AS VARCHAR) AS n10, printf('%x', user_id % 15 + 1) AS n16,
+  printf('%x', event_id % 65535 + 1) AS m16, event_id % {len(_V6_FORMS)} AS form FROM events)
+SELECT id, CASE form {" ".join(f"WHEN {i} THEN {t}" for i, (t, _) in enumerate(_V6_FORMS))} END AS ip,
+  CASE form {" ".join(f"WHEN {i} THEN {c}" for i, (_, c) in enumerate(_V6_FORMS))} END AS ip_canonical FROM e""")
+def valid_ip_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical IPv6 (and IPv4) text, NULL for what is no address."""
+    e = fx.table(spark, sf_dir, "events").selectExpr(
+        "event_id AS id", "CAST(user_id % 15 + 1 AS STRING) AS n10", "lower(hex(user_id % 15 + 1)) AS n16",
+        "lower(hex(event_id % 65535 + 1)) AS m16", f"event_id % {len(_V6_FORMS)} AS form")
+    forms = " ".join(f"WHEN {i} THEN {t}" for i, (t, _) in enumerate(_V6_FORMS))
+    return PK.canonical_ip(e.selectExpr("id", f"CASE form {forms} END AS ip"), "ip")
+
+
 @query("incremental_packets", fx.with_views("""
 SELECT * FROM packets WHERE id > -1""", "packets"))
 def incremental_packets(spark: SparkSession, sf_dir: str) -> DataFrame:

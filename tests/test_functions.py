@@ -71,3 +71,35 @@ def test_canonical_ip_v4_v6(spark):
     got = {r["ip"]: r["ip_canonical"] for r in PK.canonical_ip(df, "ip").collect()}
     assert got == {"10.0.0.1": "10.0.0.1", "FE80:0:0:0:0:0:0:1": "fe80::1", "::1": "::1",
                    "01.2.3.4": None, "junk": None, None: None}
+
+
+def test_canonical_ipv6_equals_the_address_parser(spark):
+    import ipaddress
+    import random
+    r = random.Random(6)
+
+    def parsed(text):
+        try:
+            a = ipaddress.ip_address(text)
+        except ValueError:
+            return None
+        if a.version == 4 or a.ipv4_mapped is None:
+            return str(a)
+        low = int(a) & 0xFFFFFFFF
+        return f"::ffff:{low >> 16:x}:{low & 0xFFFF:x}"
+    made = ["", ":", "::", ":::", "1::", "::1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::2::3", ":1::2",
+            "1:2:3:4:5:6:7::8", "g::", "12345::", "::1.2.3.4", "::1.2.3.256", "::01.2.3.4", "1.2.3.4", "01.2.3.4",
+            "::1.2.3.4:5", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "0:0:0:0:0:0:0:0", "0:0:1:0:0:0:1:0", " ::1",
+            "1:0:0:2:0:0:0:3", "0:0:1:1:0:0:1:1", "fe80::%1", "FE80::1%Eth0", "::%", "::%a%b", "%1", "::ffff:0:0", "1:0:2:0:3:0:4:0"]
+    for _ in range(1500):
+        groups = [r.choice(["0", "0", "0", "00", "0000", "1", "0a", "FfFf", "12", ""]) for _ in range(r.randint(1, 9))]
+        text = ":".join(groups)
+        if r.random() < 0.4:
+            at = r.randrange(len(text) + 1)
+            text = text[:at] + r.choice(["::", ":", "::"]) + text[at:]
+        made.append(text)
+    rows = [(t,) for t in made] + [(None,)]
+    got = {x["ip"]: x["c"] for x in spark.createDataFrame(rows, "ip string").select(
+        "ip", F.when(PK.is_valid_ipv4("ip"), F.col("ip")).otherwise(PK.canonical_ipv6("ip")).alias("c")).collect()}
+    assert got[None] is None
+    assert {t: got[t] for t in made} == {t: parsed(t) for t in made}
