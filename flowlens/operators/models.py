@@ -9,7 +9,7 @@ Spark's ``StandardScaler`` uses the sample std and zeroes constant columns.
 from __future__ import annotations
 
 import time
-from typing import Sequence
+from typing import Iterable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException, IllegalArgumentException
@@ -132,15 +132,39 @@ def score_or_null(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
         return df.withColumns({f"pred_{name}": F.lit(None).cast("int"), f"conf_{name}": F.lit(None).cast("double")})
 
 
-def model_votes(models: dict[str, PipelineModel]):
-    """Function features -> features with ``pred_<name>`` of every model, with
-    the failure rule (one failed model: all predictions -1)."""
-    def fn(feats: DataFrame) -> DataFrame:
+class ModelVotes:
+    """Features -> features with ``pred_<name>`` of every model, with the
+    failure rule (one failed model: all predictions -1)."""
+
+    def __init__(self, models: dict[str, PipelineModel], failed: Iterable[str] = ()):
+        self.models, self.failed = models, frozenset(failed)
+
+    def __call__(self, feats: DataFrame) -> DataFrame:
         out = feats
-        for name, model in models.items():
-            out = score_or_null(model, out, name)
-        return out.withColumns(V.failure_rule([f"pred_{n}" for n in models]))
-    return fn
+        for name, model in self.models.items():
+            if name in self.failed:
+                out = out.withColumn(f"pred_{name}", F.lit(None).cast("int"))
+            else:
+                out = score_or_null(model, out, name)
+        return out.withColumns(V.failure_rule([f"pred_{n}" for n in self.models]))
+
+    def without(self, failed: Iterable[str]) -> "ModelVotes":
+        return ModelVotes(self.models, self.failed | set(failed))
+
+    def failing(self, feats: DataFrame) -> set[str]:
+        """The models that fail on these rows, each run alone."""
+        out = set()
+        for name, model in self.models.items():
+            if name not in self.failed:
+                try:
+                    score_or_null(model, feats, name).select(f"pred_{name}").write.format("noop").mode("overwrite").save()
+                except Exception:  # noqa: BLE001 - whatever a model raises in a task
+                    out.add(name)
+        return out
+
+
+def model_votes(models: dict[str, PipelineModel]) -> ModelVotes:
+    return ModelVotes(models)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

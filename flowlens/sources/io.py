@@ -11,11 +11,13 @@ import secrets
 import time
 from typing import Sequence
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlens.operators.clean import find_label_column, strip_headers
+from flowlens.session import reliable_checkpoint
 
 # ---------------------------------------------------------------- schemas (K8)
 
@@ -122,34 +124,69 @@ def label_column_of(spark: SparkSession, path: str) -> str:
     return find_label_column(header_columns(spark, path), exact_first=False)
 
 
+def parsed_records(lines: DataFrame, schema: T.StructType = PACKETS, fmt: str = "json") -> DataFrame:
+    """Text lines (``value``; batch or stream) -> ``record`` (the fields of
+    ``schema``), ``malformed``, ``raw`` and the other columns.  Lines are parsed
+    with ``from_json``/``from_csv`` in PERMISSIVE mode: a malformed one does not
+    fail the job."""
+    bad = "_corrupt_record"
+    full = T.StructType(list(schema.fields) + [T.StructField(bad, T.StringType(), True)])
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}
+    parse = F.from_json if fmt == "json" else F.from_csv
+    parsed = lines.withColumn("_r", parse(F.col("value"), full if fmt == "json" else full.simpleString(), opts))
+    return parsed.select(F.struct(*[F.col(f"_r.{f.name}").alias(f.name) for f in schema]).alias("record"),
+                         F.col(f"_r.{bad}").isNotNull().alias("malformed"), F.col("value").alias("raw"),
+                         *[c for c in lines.columns if c != "value"])
+
+
 def read_packet_records(spark: SparkSession, path: str, schema: T.StructType = PACKETS,
                         fmt: str = "json") -> tuple[DataFrame, DataFrame]:
-    """Packet records (JSON or CSV lines) with a fixed schema; malformed
-    records do not fail the job: they come back separately with their raw
-    text (the notice), the good rows go on.  Lines are parsed with
-    ``from_json``/``from_csv`` in PERMISSIVE mode, so either side is one
-    plain scan (no cache of the input)."""
-    bad_col = "_corrupt_record"
-    full = T.StructType(list(schema.fields) + [T.StructField(bad_col, T.StringType(), True)])
-    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad_col}
-    parse = F.from_json if fmt == "json" else F.from_csv
-    rec = spark.read.text(path).select(parse(F.col("value"), full if fmt == "json" else full.simpleString(),
-                                             opts).alias("r"))
-    good = rec.where(F.col(f"r.{bad_col}").isNull()).select("r.*").drop(bad_col)
-    bad = rec.where(F.col(f"r.{bad_col}").isNotNull()).select(F.col(f"r.{bad_col}").alias(bad_col))
-    return good, bad
+    """Packet records (JSON or CSV lines) with a fixed schema: the good
+    rows, and the malformed ones with their raw text (the notice).  Either side
+    is one plain scan (no cache of the input); ``streaming.jobs.packet_intake``
+    writes both from one."""
+    rec = parsed_records(spark.read.text(path), schema, fmt)
+    return rec.where("NOT malformed").select("record.*"), rec.where("malformed").select(F.col("raw").alias("_corrupt_record"))
 
 
 def read_chunks(spark: SparkSession, path: str, skip_corrupt: bool = False):
     """Every normalised chunk file at once.  A corrupt file fails the
-    job; with ``skip_corrupt`` it is left out and the result is (rows, files
-    that gave no row), the notice."""
+    job; with ``skip_corrupt`` it is left out and the result is (rows, table of
+    the files left out: ``path``, ``reason``).
+
+    A scan without columns reads footers only and gives the files that have
+    rows.  The others, few, are empty or broken: their bytes are probed, one
+    small task each, and the broken ones are told with the reason.  Files are
+    known by their whole path."""
     if not skip_corrupt:
         return spark.read.parquet(path)
     rows = spark.read.options(ignoreCorruptFiles=True, mergeSchema=True).parquet(path)  # any readable footer
-    read = {r[0] for r in rows.select(F.col("_metadata.file_name")).distinct().collect()}  # one name per file
-    names = {f.rsplit("/", 1)[-1] for f in rows.inputFiles()}
-    return rows, sorted(names - read)
+    whole = rows.select(F.col("_metadata.file_path").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True) \
+        .load(path)
+    named = F.regexp_replace(F.col("path"), "^([a-z0-9]+):/+", "$1:/")
+    missing = files.select("path").withColumn("_p", named).join(
+        whole.select(named.alias("_p")), "_p", "left_anti").select("path").collect()  # one name per unread file
+    probe = "path string, reason string"
+    if not missing:
+        return rows, spark.createDataFrame([], probe)
+
+    def look(frames):
+        import io as bytes_io
+
+        import pandas as pd
+        import pyarrow.parquet as pq
+        for pdf in frames:
+            found = []
+            for name, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    pq.ParquetFile(bytes_io.BytesIO(content))
+                except Exception as e:  # noqa: BLE001 - any failure is the reason
+                    found.append((name, f"{type(e).__name__}: {e}"[:200]))
+            if found:
+                yield pd.DataFrame(found, columns=["path", "reason"])
+    left = spark.read.format("binaryFile").load([r["path"] for r in missing]).select("path", "content")
+    return rows, reliable_checkpoint(left.mapInPandas(look, probe))
 
 
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
@@ -162,11 +199,11 @@ def read_labels_if_valid(spark: SparkSession, path: str, expected_rows: int) ->
     -> None (the caller then skips the metrics)."""
     try:
         y = spark.read.parquet(path)
-        if y.count() != expected_rows:
-            return None
-        return y
-    except Exception:  # noqa: BLE001 - any failure means "no labels"
+        n = y.count()
+    except (AnalysisException, PySparkException) as e:  # no such path, no readable footer, no schema
+        print(f"labels of {path} not used: {type(e).__name__}")
         return None
+    return y if n == expected_rows else None
 
 
 # ---------------------------------------------------------------- writers

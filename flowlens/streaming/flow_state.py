@@ -1,24 +1,29 @@
 """Structured Streaming flow assembly (anchored timeout, per-key state).
 
-``groupBy(key).applyInPandasWithState``: the state of a key is O(1) running
-statistics of its open flow (counts, sums, Welford mean/M2, min, max, flag
-counts, label of the last row) — never the packet list.  A flow closes
-when a packet arrives more than ``timeout`` after the flow's first packet;
-that packet belongs to the closed flow, which is emitted as one aggregate
-row with the same columns as the batch ``flow_aggregates``, so the same
-feature projection serves batch and stream.
-
-Idle flows: by default (as in the batch rule) a flow that never sees a
-closing packet is never emitted; with ``idle_timeout_s`` the state is
-dropped once the event-time watermark passes the flow's last packet plus
-that time (``emit_idle=True`` emits it first, marked ``closed = false``).
+``groupBy(key).transformWithStateInPandas`` over the RocksDB state store.  A
+key has a value state ``flow`` only while one of its flows is open: O(1)
+running statistics (counts, sums, Welford mean/M2, min, max, flag counts,
+label of the last row), never the packet list.  So the state is bounded by the
+open flows.  A flow closes when a packet arrives more than ``timeout`` after
+the flow's first packet; that packet belongs to the closed flow, which is
+emitted as one aggregate row with the same columns as the batch
+``flow_aggregates``, so the same feature projection serves batch and stream.
+Where flows are to be numbered over a key's whole life, a second value state
+keeps the next number (one long per key ever seen).
+
+Idle flows: with ``idle_timeout_s`` a flow ends when its key is silent for
+longer than that in event time: either the next packet tells, or a timer that
+fires once the watermark has passed the flow's last packet plus that time.
+``emit_idle=True`` emits it then, marked ``closed = false``.  Both ways give
+the same flows, wherever micro-batches are cut.  Without it, a flow that never
+sees a closing packet is never emitted, as in the batch rule.
+
 Within one micro-batch a key's rows are put back in arrival (id) order and
-processed like the batch sweep: the closing row of each flow is one
-``searchsorted`` and the statistics of a flow's slice are numpy reductions
-merged into the carried state, so Python runs once per flow, not per
-packet.  The rows of one key in one micro-batch are held together, so size
-micro-batches (``maxFilesPerTrigger`` / ``maxBytesPerTrigger``) for the
-hottest key.
+processed like the batch sweep: closing rows come from one table and the
+statistics of a flow's slice are numpy reductions merged into the carried
+state, so Python runs once per flow, not per packet.  Of a key's packets in a
+micro-batch a few numbers each are held together; ``maxFilesPerTrigger`` or
+``maxBytesPerTrigger`` bounds them.
 """
 
 from __future__ import annotations
@@ -28,19 +33,28 @@ from typing import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowlens.functions.packets import FLAG_MASKS, FLAG_NAMES
 from flowlens.operators.segment import KEY5, closing_rows
 
-STATE_SCHEMA = (
-    "seg_no long, open boolean, start_us long, prev_us long, first_id long, last_id long, "
+FLOW_STATE = (
+    "start_us long, prev_us long, first_id long, last_id long, "
     "n long, fwd_n long, fwd_sum long, fwd_mean double, fwd_m2 double, fwd_min int, fwd_max int, "
     "iat_n long, iat_sum long, iat_mean double, iat_m2 double, iat_min long, iat_max long, "
-    + ", ".join(f"f_{n.lower()} long" for n in FLAG_NAMES) + ", label string"
+    + ", ".join(f"f_{n.lower()} long" for n in FLAG_NAMES) + ", label string, timer long"
 )
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store that value states and timers need; changes only are
+    written at each micro-batch."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def output_schema(key_schema: str) -> str:
@@ -73,12 +87,12 @@ def _fold(fn, cur, v):
 class _Flow:
     """Running stats of one open flow (all packets forward: directed key)."""
 
-    __slots__ = ("seg_no", "open", "start", "prev", "first_id", "last_id", "n", "fwd_n", "fwd_sum",
+    __slots__ = ("open", "start", "prev", "first_id", "last_id", "n", "fwd_n", "fwd_sum",
                  "fwd_mean", "fwd_m2", "fwd_min", "fwd_max", "iat_n", "iat_sum", "iat_mean", "iat_m2",
                  "iat_min", "iat_max", "flags", "label")
 
-    def __init__(self, seg_no=0):
-        self.seg_no, self.open = seg_no, False
+    def __init__(self):
+        self.open = False
         self.reset()
 
     def reset(self):
@@ -92,18 +106,19 @@ class _Flow:
     @classmethod
     def from_state(cls, t):
         f = cls()
-        (f.seg_no, f.open, f.start, f.prev, f.first_id, f.last_id, f.n, f.fwd_n, f.fwd_sum, f.fwd_mean,
+        f.open = True
+        (f.start, f.prev, f.first_id, f.last_id, f.n, f.fwd_n, f.fwd_sum, f.fwd_mean,
          f.fwd_m2, f.fwd_min, f.fwd_max, f.iat_n, f.iat_sum, f.iat_mean, f.iat_m2, f.iat_min,
-         f.iat_max) = t[:19]
-        f.flags = list(t[19:19 + len(FLAG_NAMES)])
-        f.label = t[19 + len(FLAG_NAMES)]
+         f.iat_max) = t[:17]
+        f.flags = list(t[17:17 + len(FLAG_NAMES)])
+        f.label = t[17 + len(FLAG_NAMES)]
         return f
 
-    def to_state(self):
-        return (self.seg_no, self.open, self.start, self.prev, self.first_id, self.last_id, self.n,
+    def to_state(self, timer):
+        return (self.start, self.prev, self.first_id, self.last_id, self.n,
                 self.fwd_n, self.fwd_sum, self.fwd_mean, self.fwd_m2, self.fwd_min, self.fwd_max,
                 self.iat_n, self.iat_sum, self.iat_mean, self.iat_m2, self.iat_min, self.iat_max,
-                *self.flags, self.label)
+                *self.flags, self.label, timer)
 
     def add_slice(self, ids, ts, ln, fl, pr, labels, lo, hi):
         """Add rows [lo, hi) of one key's id-ordered arrays in one step:
@@ -133,9 +148,9 @@ class _Flow:
                 self.flags[i] += int(np.count_nonzero(f & FLAG_MASKS[name]))
         self.prev, self.last_id, self.label = int(ts[hi - 1]), int(ids[hi - 1]), labels[hi - 1]
 
-    def emit(self, key, closed: bool):
+    def emit(self, key, seg_no: int, closed: bool):
         std = lambda m2, n: math.sqrt(m2 / n) if n else None
-        row = [*key, self.seg_no, self.n, self.fwd_n, 0, self.fwd_sum, 0, self.fwd_min, self.fwd_max,
+        row = [*key, seg_no, self.n, self.fwd_n, 0, self.fwd_sum, 0, self.fwd_min, self.fwd_max,
                std(self.fwd_m2, self.fwd_n), None, None, None, self.start, self.prev,
                self.iat_n, self.iat_sum if self.iat_n else None, self.iat_min, self.iat_max,
                std(self.iat_m2, self.iat_n), closed, self.first_id, self.last_id]
@@ -145,76 +160,112 @@ class _Flow:
         return row
 
 
-def _state_fn(timeout_us: int, key_names: Sequence[str], out_cols: Sequence[str], idle_us: int | None,
-              emit_idle: bool, drop_closed: bool = False):
-    def fn(key, frames: Iterator[pd.DataFrame], state):
-        if state.hasTimedOut:
-            rows = []
-            if emit_idle and state.exists:
-                f = _Flow.from_state(state.get)
-                if f.open:
-                    rows.append(f.emit(key, False))
-            state.remove()
-            if rows:
-                yield pd.DataFrame(rows, columns=out_cols)
-            return
-        f = _Flow.from_state(state.get) if state.exists else _Flow()
-        pdf = pd.concat(list(frames), ignore_index=True).sort_values("id", kind="stable")
-        ids = pdf["id"].to_numpy(np.int64)
-        ts = pdf["ts_us"].to_numpy(np.int64)
-        ln = pdf["length"].fillna(0).to_numpy(np.int64)
-        fl = pdf["tcp_flags"].fillna(0).to_numpy(np.int64)
-        pr = pdf["protocol"].fillna(-1).to_numpy(np.int64)
-        lab = pdf["label"].to_numpy(object) if "label" in pdf else np.full(len(pdf), None, dtype=object)
-        rows = []
-        m = len(ts)
-        closing = closing_rows(ts, timeout_us)
+_PANDAS = {"bigint": "Int64", "int": "Int32", "double": "float64", "boolean": "bool"}
+
+
+class FlowProcessor(StatefulProcessor):
+    """Assembles the flows of one key.  ``numbered``: flows are numbered over
+    the key's whole life, else from 0 in each run of its state."""
+
+    def __init__(self, timeout_us: int, schema: T.StructType, idle_us: int | None, emit_idle: bool, numbered: bool):
+        self.timeout_us, self.idle_us, self.emit_idle, self.numbered = timeout_us, idle_us, emit_idle, numbered
+        self.columns = [(f.name, _PANDAS.get(f.dataType.simpleString(), "object")) for f in schema]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.flow = handle.getValueState("flow", FLOW_STATE)
+        if self.numbered:
+            self.number = handle.getValueState("number", "next long")
+
+    def _frames(self, rows: list) -> Iterator[pd.DataFrame]:
+        if rows:
+            values = list(zip(*rows))
+            yield pd.DataFrame({name: pd.Series(v, dtype=kind) for (name, kind), v in zip(self.columns, values)})
+
+    def _keep(self, f: _Flow, timer) -> None:
+        """Write the state back, with the timer of an open flow."""
+        due = int(f.prev // 1000 + self.idle_us // 1000 + 1) if f.open and self.idle_us is not None else None
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is not None and timer != due:
+            self.handle.registerTimer(due)
+        if f.open:
+            self.flow.update(f.to_state(due))
+        elif self.flow.exists():
+            self.flow.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = self.flow.get() if self.flow.exists() else None
+        f, timer = (_Flow.from_state(state), state[-1]) if state is not None else (_Flow(), None)
+        next_seg = self.number.get()[0] if self.numbered and self.number.exists() else 0
+        parts = [(p["id"].to_numpy(np.int64), p["ts_us"].to_numpy(np.int64), p["length"].fillna(0).to_numpy(np.int64),
+                  p["tcp_flags"].fillna(0).to_numpy(np.int64), p["protocol"].fillna(-1).to_numpy(np.int64),
+                  p["label"].to_numpy(object) if "label" in p else np.full(len(p), None, dtype=object)) for p in rows]
+        order = np.argsort(np.concatenate([p[0] for p in parts]), kind="stable")
+        ids, ts, ln, fl, pr, lab = (np.concatenate(c)[order] for c in zip(*parts))
+        m, seg, out = len(ts), next_seg, []
+        closing = closing_rows(ts, self.timeout_us)
+        silent = np.zeros(0, np.int64)          # rows that come after a silence
+        if self.idle_us is not None:
+            silent = np.flatnonzero(np.diff(ts, prepend=f.prev if f.open else ts[0]) > self.idle_us)
         pos = 0
         while pos < m:
             if f.open:  # a flow of an earlier micro-batch
-                over = ts > f.start + timeout_us
-                c = int(over.argmax()) if over.any() else m
+                over = ts > f.start + self.timeout_us
+                c, after = int(over.argmax()) if over.any() else m, 0
             else:
-                c = int(closing[pos])
-            end = min(c + 1, m)
-            f.add_slice(ids, ts, ln, fl, pr, lab, pos, end)
-            if c < m:  # row c closed the flow
-                rows.append(f.emit(key, True))
-                f.open = False
-                f.seg_no += 1
+                c, after = int(closing[pos]), pos + 1
+            at = int(np.searchsorted(silent, after))
+            gap = int(silent[at]) if at < len(silent) else m
+            end = gap if gap <= c else min(c + 1, m)
+            if end > pos:
+                f.add_slice(ids, ts, ln, fl, pr, lab, pos, end)
+            if gap <= c and gap < m:             # it ended in silence before row ``gap``
+                if self.emit_idle:
+                    out.append(f.emit(key, seg, False))
+                f.open, seg = False, seg + 1
+            elif c < m:                          # row c closed it
+                out.append(f.emit(key, seg, True))
+                f.open, seg = False, seg + 1
             pos = end
-        if drop_closed and not f.open:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(f.to_state())
-        if idle_us is not None and f.open:
-            state.setTimeoutTimestamp(int(f.prev // 1000 + idle_us // 1000))
-        if rows:
-            yield pd.DataFrame(rows, columns=out_cols)
-    return fn
+        self._keep(f, timer)
+        if self.numbered and seg != next_seg:
+            self.number.update((seg,))
+        yield from self._frames(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.flow.exists():
+            f = _Flow.from_state(self.flow.get())
+            seg = self.number.get()[0] if self.numbered and self.number.exists() else 0
+            if self.emit_idle:
+                out.append(f.emit(key, seg, False))
+            self.flow.clear()
+            if self.numbered:
+                self.number.update((seg + 1,))
+        yield from self._frames(out)
+
+    def close(self) -> None:
+        pass
 
 
 def assemble_flows(packets: DataFrame, timeout_s: float, key: Sequence[str] = KEY5,
                    idle_timeout_s: float | None = None, emit_idle: bool = False,
                    watermark: str = "1 hour", drop_closed: bool = False) -> DataFrame:
-    """ST1-ST3: streaming (or batch) packets -> one aggregate row per flow.
+    """ST1-ST3: streaming packets -> one aggregate row per flow.
 
-    ``drop_closed`` frees a key's state when its flow closes: state is then
-    bounded by the open flows, and ``seg_no`` begins anew (``first_id`` and
-    ``close_id`` stay unique)."""
+    ``drop_closed`` keeps nothing of a key whose flow has closed: ``seg_no``
+    begins anew (``first_id`` and ``close_id`` stay unique)."""
+    use_rocksdb(packets.sparkSession)
     key = list(key)
     key_schema = ", ".join(f"{c} {packets.schema[c].dataType.simpleString()}" for c in key)
-    out_schema = output_schema(key_schema)
-    out_cols = [c.strip().split(" ")[0] for c in out_schema.split(",")]
+    schema = T.StructType.fromDDL(output_schema(key_schema))
     idle_us = int(idle_timeout_s * 1_000_000) if idle_timeout_s is not None else None
     df = packets
-    timeout_conf = GroupStateTimeout.NoTimeout
     if idle_us is not None:
         df = df.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", watermark)
-        timeout_conf = GroupStateTimeout.EventTimeTimeout
-    fn = _state_fn(int(round(timeout_s * 1_000_000)), key, out_cols, idle_us, emit_idle, drop_closed)
     cols = [*key, "id", "ts_us", "length", "tcp_flags", "protocol"] + (["label"] if "label" in df.columns else [])
     cols = list(dict.fromkeys(cols + (["event_time"] if idle_us is not None else [])))
-    return df.select(*cols).groupBy(*key).applyInPandasWithState(
-        fn, out_schema, STATE_SCHEMA, "append", timeout_conf)
+    processor = FlowProcessor(int(round(timeout_s * 1_000_000)), schema, idle_us, emit_idle, not drop_closed)
+    return df.select(*cols).groupBy(*key).transformWithStateInPandas(
+        processor, schema, "append", "EventTime" if idle_us is not None else "None")
