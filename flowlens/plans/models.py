@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +23,14 @@ from flowlens.functions import labels as L
 from flowlens.functions import votes as V
 from flowlens.operators import features as feat
 from flowlens.operators import metrics as MT
+from flowlens.operators import mlp as MLP
 from flowlens.operators import models as MD
 from flowlens.operators import sampling as SM
 from flowlens.plans import flows as FL
 from flowlens.plans.registry import query
 from flowlens.plans.sampling import split_ctes
 from flowlens.session import checkpoint_dir, reliable_checkpoint
+from flowlens.sources import io as IO
 from flowlens.sources import fixtures as fx
 
 FEATURES = feat.FEATURE_NAMES
@@ -171,6 +174,77 @@ def model_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("f1_weighted").between(0, 1 + 1e-9).alias("f1_ok"))
 
 
+def _scaled_split(spark: SparkSession, sf_dir: str):
+    """All rows scaled on the training rows' 90 % head, and that head and its
+    tail (positional cut by flow id)."""
+    data = training_set(spark, sf_dir)
+    pos = SM.split_positional(data.where("split = 'train'").drop("split"), "close_id", 0.9, split_col="part")
+    pos = reliable_checkpoint(pos)
+    scale = MD.scaler_stage(pos.where("part = 'train'"), FEATURES)
+    scaled = reliable_checkpoint(scale.transform(pos))
+    return scale.transform(data), scaled.where("part = 'train'"), scaled.where("part = 'val'")
+
+
+@query("model_mlp_adam", model_sql("""SELECT id AS close_id, cls AS y, true AS pred_ok, true AS conf_ok, true AS fits_train,
+  true AS gradient_ok, true AS loss_ok, 80 AS epochs FROM split WHERE split = 'test'"""))
+def model_mlp_adam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3/M5: relu layers (48, 24), Adam, mini-batches of 512, 80 epochs.
+    Checked besides the output: the gradient against finite differences on 50
+    rows, the last training loss below the initial and the first one, accuracy
+    on the training rows not below their larger class."""
+    data, train, val = _scaled_split(spark, sf_dir)
+    net, state = MLP.train_adam(train, val, FEATURES, "close_id")
+    some = train.orderBy("close_id").limit(50).select("y", *FEATURES).toPandas()
+    x, y = some[FEATURES].to_numpy(float), some["y"].to_numpy(int)
+    start = MLP.initial(net.layers)
+    gradient_ok = MLP.gradient_error(net.flat, net.layers, x, y) < 1e-4 and MLP.gradient_error(start, net.layers, x, y) < 1e-4
+    losses = [r[1] for r in state.rows]
+    loss_ok = losses[-1] < losses[0] and losses[-1] < MLP.summed_loss(start, net.layers, x, y) / max(len(y), 1)
+    out = reliable_checkpoint(net.score(data, FEATURES, "mlp").select("close_id", "y", "split", "pred_mlp", "conf_mlp"))
+    row = out.where("split = 'train'").agg(F.avg((F.col("y") == F.col("pred_mlp")).cast("double")).alias("acc"),
+                                           F.avg("y").alias("ones")).first()  # two numbers
+    fits = row["acc"] is None or row["acc"] >= max(row["ones"], 1 - row["ones"])
+    return out.where("split = 'test'").select(
+        "close_id", "y", domain_ok("mlp").alias("pred_ok"), confidence_ok("mlp").alias("conf_ok"),
+        F.lit(fits).alias("fits_train"), F.lit(bool(gradient_ok)).alias("gradient_ok"), F.lit(bool(loss_ok)).alias("loss_ok"),
+        F.lit(len(state.rows)).alias("epochs"))
+
+
+@query("mlp_early_stop", model_sql("""SELECT count(*) FILTER (WHERE rn <= floor(n * 0.9::DOUBLE))::BIGINT AS n_train,
+  count(*) FILTER (WHERE rn > floor(n * 0.9::DOUBLE))::BIGINT AS n_val,
+  true AS stopped_ok, true AS best_ok, true AS resumed_ok, true AS logged_ok
+FROM (SELECT row_number() OVER (ORDER BY id) AS rn, count(*) OVER () AS n FROM split WHERE split = 'train')"""))
+def mlp_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training that stops when the validation loss has not
+    improved for 5 epochs.  Checked: it stops then and not before; the kept
+    network is that of the smallest validation loss; a run resumed from the
+    stored state of its third epoch takes the same steps; the epoch rows are
+    appended to the ``epochs`` table."""
+    _, train, val = _scaled_split(spark, sf_dir)
+    patience, most, at = 5, 60, 3
+    base = os.path.join(checkpoint_dir(spark), "jobs", f"mlp-{uuid.uuid4().hex}")
+
+    def keep(state):
+        if state.epoch == at:
+            MLP.save_state(spark, state, base + "/state")
+    net, state = MLP.train_adam(train, val, FEATURES, "close_id", epochs=most, patience=patience, on_epoch=keep)
+    losses = [r[2] for r in state.rows]
+    early = [MLP.stale(state.rows[:k]) < patience for k in range(1, len(losses))]
+    stopped = all(early) and (MLP.stale(state.rows) >= patience or len(losses) == most)
+    held = MLP.Blocks(MLP.blocks(val, FEATURES, "close_id", "y", 1, 1, MLP.SEED), net.layers[0])
+    best = abs(held.loss(net.flat, net.layers) - min(losses)) < 1e-9
+    held.release()
+    again, second = MLP.train_adam(train, val, FEATURES, "close_id", epochs=most, patience=patience,
+                                   state=MLP.load_state(spark, base + "/state"))
+    resumed = len(second.rows) == len(state.rows) and bool(np.allclose(again.flat, net.flat, rtol=0, atol=1e-9))
+    table = IO.create_tables(spark, base, ["epochs"])["epochs"]
+    IO.append(spark.createDataFrame(state.rows, IO.EPOCH_LOG), table)
+    logged = [tuple(r) for r in spark.read.parquet(table).orderBy("epoch").collect()] == state.rows
+    return spark.createDataFrame([(train.count(), val.count(), stopped, best, resumed, logged)],
+                                 "n_train long, n_val long, stopped_ok boolean, best_ok boolean, resumed_ok boolean, "
+                                 "logged_ok boolean")
+
+
 @query("epoch_log", """SELECT range::INTEGER AS epoch, true AS loss_ok, true AS val_loss_ok, true AS time_ok,
   true AS improved FROM range(1, 81)""")
 def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
