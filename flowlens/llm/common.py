@@ -38,16 +38,16 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES):
             yield batch.slice(at, min(step, n - at))
 
 
-def map_columns(df: DataFrame, fn, schema: str) -> DataFrame:
+def map_columns(df: DataFrame, fn, schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` of ``fn(dict of lists) -> dict of lists``, by slices of
-    bounded size."""
+    about ``limit`` bytes."""
     ddl = StructType.fromDDL(schema)
     bounded_batches(df.sparkSession)
 
     def run(batches):
         out = to_arrow_schema(ddl)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit):
                 yield pa.RecordBatch.from_pydict(fn(part.to_pydict()), schema=out)
     return df.mapInArrow(run, ddl)
 

@@ -3,10 +3,10 @@
 1. One pass tokenises each document (its ids, then an end id), cuts it into
    pieces and gives each piece's checksum; only these small rows go on.  A
    document gives full windows first; what remains is cut at ``MAX_PIECE``.
-2. Pieces are dealt to groups by a hash of (document, start, digest), about
-   ``GROUP_WINDOWS`` windows each, so a document of any length and any hot
-   source spread evenly.  A group is a bounded input of one
-   ``applyInPandas`` call.
+2. Pieces are dealt to groups by a hash of (document, start, digest, place in
+   the stored table), about ``GROUP_WINDOWS`` windows each, so a document of any
+   length, any hot source and any row that is often repeated spread evenly.  A
+   group is a bounded input of one ``applyInPandas`` call.
 3. In a group, pieces of a whole window stand alone and the others are
    partitioned by multiway differencing into near-equal windows; the window
    count rises whenever a window exceeds the capacity.
@@ -39,6 +39,8 @@ CAPACITY = 2048
 MAX_PIECE = 512
 GROUP_WINDOWS = 256
 END_ID = 1
+#: Text bytes that are tokenised at a time.
+SLICE = 2 << 20
 _BITS = 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -68,7 +70,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str,
                 out["doc_tokens"].append(n)
         return out
     picked = df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return map_columns(picked, tokenise, PIECES)
+    return map_columns(picked, tokenise, PIECES, SLICE)
 
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -98,6 +100,6 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         pdf["sequence_id"] = (int(key[0]) << _BITS) + window
         pdf["offset"] = offset
         return pdf.drop(columns="grp")
-    grp = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
+    grp = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
     return cut_up.withColumn("grp", grp).groupBy("grp") \
         .applyInPandas(pack_group, PIECES + ", sequence_id long, offset long")

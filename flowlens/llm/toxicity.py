@@ -1,7 +1,8 @@
 """Operator 5, toxicity: a linear-chain CRF tags toxic spans.
 
-1. Labelled rows: at most ``MAX_LABELLED`` documents with a label, chosen by a
-   hash of their id (the only sampled step; the bound is a parameter).
+1. Labelled rows: about ``MAX_LABELLED`` documents with a label at most, those
+   with a hash of their id below a threshold (a filter; the only sampled step,
+   whose bounds ``limit`` and ``sequences`` are parameters).
 2. Token features are a word and its prefixes.  Spark counts in how many toxic
    and other labelled documents each occurs; those that are significantly
    toxic (log-likelihood ratio) form the lexicon, at most ``MAX_FEATURES``.
@@ -40,8 +41,10 @@ from flowlens.llm.common import bounded_batches, map_columns, slices, stored, wh
 
 MAX_LABELLED = 16_000
 MAX_FEATURES = 4_000
-#: Documents of each class whose token sequences train the CRF.
+#: Documents of each class, about, whose token sequences train the CRF.
 MAX_SEQUENCES = 800
+#: Text bytes that one call tags.
+SLICE = 2 << 20
 #: Words whose emission a worker remembers; others are computed anew.
 MEMO_WORDS = 100_000
 PREFIXES = (3, 4, 5, 6)
@@ -161,17 +164,26 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
 
+def about(rows: DataFrame, n: int, limit: int, salt: str) -> DataFrame:
+    """``rows`` (``n`` of them, with an ``id``), or about ``limit`` of them by a
+    threshold on a hash of the id."""
+    if n <= limit:
+        return rows
+    return rows.where(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 40)) < int(limit / n * (1 << 40)))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
                     limit: int) -> DataFrame:
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")) \
         .where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(id_col)) \
-        .groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(limit)
+        .groupBy("id").agg(F.max("y").alias("y"))
+    rows = about(rows, rows.count(), limit, "labelled")
     texts = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     return texts.join(F.broadcast(rows), "id").select("id", "text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", limit: int = MAX_LABELLED) -> Model:
+        label_col: str = "toxic", limit: int = MAX_LABELLED, sequences: int = MAX_SEQUENCES) -> Model:
     sample = stored(labelled_sample(docs, labels, id_col, text_col, label_col, limit), "labelled")
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sum(n for y, n in sizes.items() if y != 1)
@@ -183,11 +195,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def count(rows):
         found: dict[str, list[int]] = {}
         for text, y in zip(rows["text"], rows["y"]):
-            for f in {f for w in set(_WORD.findall(text.lower())) if len(w) <= 64 for f in features(w)}:
+            for f in {f for w in set(_WORD.findall(text.lower())) for f in features(w)}:
                 found.setdefault(f, [0, 0])[y == 1] += 1
         return {"f": list(found), "other": [v[0] for v in found.values()], "toxic": [v[1] for v in found.values()]}
     # copies of one text speak once
-    counts = map_columns(sample.select("text", "y").dropDuplicates(), count, "f string, other long, toxic long") \
+    counts = map_columns(sample.select("text", "y").dropDuplicates(), count, "f string, other long, toxic long", SLICE) \
         .groupBy("f").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")) \
         .where(F.col("toxic") >= 3) \
         .where((F.col("toxic") + 0.5) / (F.col("other") + 0.5) >= MIN_ODDS * (toxic / other)) \
@@ -199,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     number = {f: i for i, f in enumerate(sorted(counts["f"]))}
 
     # token sequences for the CRF: where the lexicon's words stand
-    def sequences(rows):
+    def tokens_of(rows):
         out = {"y": rows["y"], "n": [], "at": [], "words": []}
         for text in rows["text"]:
             words = _WORD.findall(text.lower())
@@ -208,10 +220,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             out["at"].append(at)
             out["words"].append([words[i] for i in at])
         return out
-    chosen = sample.where("y = 1").orderBy(F.xxhash64("id"), "id").limit(MAX_SEQUENCES) \
-        .unionAll(sample.where("y <> 1").orderBy(F.xxhash64("id"), "id").limit(MAX_SEQUENCES))
-    seq = map_columns(chosen.select("text", "y"), sequences,
-                      "y int, n long, at array<long>, words array<string>").collect()
+    chosen = about(sample.where("y = 1"), toxic, sequences, "crf") \
+        .unionAll(about(sample.where("y <> 1"), other, sequences, "crf"))
+    seq = map_columns(chosen.select("text", "y"), tokens_of,
+                      "y int, n long, at array<long>, words array<string>", SLICE).collect()
     lengths = np.array([r.n for r in seq], np.int64)
     start = np.cumsum(lengths) - lengths
     y = np.zeros(int(lengths.sum()), np.int64)
@@ -230,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def aggregate(rows):
         stats, _ = Tagger(model)(rows["text"], with_spans=False)
         return {"y": rows["y"], **{f"s{i}": stats[:, i].tolist() for i in range(3)}}
-    stats = map_columns(sample.select("text", "y"), aggregate, "y int, s0 double, s1 double, s2 double").toPandas()
+    stats = map_columns(sample.select("text", "y"), aggregate, "y int, s0 double, s1 double, s2 double", SLICE).toPandas()
     model.logit = fit_logistic(stats[["s0", "s1", "s2"]].to_numpy(), (stats["y"] == 1).to_numpy().astype(float))
     return model
 
@@ -252,7 +264,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 "predicted": (s >= threshold).astype(int).tolist(), "spans": spans}
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"),
                          whole_text(text_col).alias("text"))
-    return map_columns(picked, run, SCHEMA)
+    return map_columns(picked, run, SCHEMA, SLICE)
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -262,7 +274,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     def run(batches):
         tagger = Tagger(model)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE):
                 texts = [t or "" for t in part.column(text_col).to_pylist()]
                 stats, _ = tagger(texts, with_spans=False)
                 yield part.filter(pa.array(tagger.score(stats) < threshold))
