@@ -5,17 +5,23 @@ stand in (its name and first class), tags by their name; the weights are
 log-odds of standing inside the content, learned from labelled pages: a
 bounded sample (``LABELLED_PAGES``) of pages whose own markup names the
 content element.  A linear scan finds the contiguous region of the largest
-sum.  Elements that are never article text (``SKIP`` and the ``HINTS`` in
-class, id or role) hardly count and are left out of the region; an article or
-main without a hint of its own counts inside a hinted element, not inside a
-``SKIP`` one.  Blocks are decoded, their white space made single spaces, and
-joined by an empty line.
+sum.  Elements that are never article text hardly count and are left out of
+the region: those named in ``SKIP``, and those with one of ``HINTS`` as a whole
+word of their class, id or role (``share``).  A part of a longer name
+(``share-price``) is a hint outside an article or main only; inside one such an
+element scores by its learned weight.  An article or main without a hint of its
+own counts inside a hinted element, not inside a ``SKIP`` one.  Blocks are
+decoded, their white space made single spaces, and joined by an empty line.
+
+A page is read once, from left to right; open elements are looked up by name,
+so the time is linear in the page whatever its markup.
 
 Defined cases: null or empty html, or no region of positive score, gives an
 empty text; an element that is never closed ends with the page; a page
 without labelled pages to learn from uses ``DEFAULT`` weights; among regions
 of equal score the first, shortest one counts; repeated rows give repeated
-results; an empty table an empty one; other columns are not read.
+results; an empty table an empty one; other columns are not read; what follows a tag that
+no ``>`` ends is text, and a quote that none closes is an ordinary character.
 """
 
 from __future__ import annotations
@@ -49,72 +55,164 @@ DEFAULT = {"p": 1.0, "h1": 1.0, "h2": 1.0, "h3": 1.0, "li": 0.5, "td": 0.3, "div
 WORD_DEFAULT, TAG_DEFAULT, SKIP_WORD = 0.1, -0.5, -0.05
 CLAMP = 4.0
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>|</[^a-zA-Z][^>]*>""",
-                  re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOPS = re.compile(r"""[>"']""")
 _MARK = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORDS = re.compile(r"[a-z0-9]+")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _P_ENDS = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li table section article main blockquote pre footer "
                     "header nav aside form dl figure hr".split())
 
 
-def events(page: str):
-    """("text", string, key, skipped, content), ("open" | "close", name, "",
-    skipped, content) in page order.  ``key`` names the element around."""
-    stack: list[tuple[str, str, int, bool]] = []  # name, key, skipped (1 by a hint, 2 by its name), in content
+def tokens(page: str):
+    """("text", string, ""), ("open", name, attributes), ("close", name, "") and
+    ("void", name, attributes) for a tag that ends itself, in page order.  The
+    contents of raw elements and comments are left out."""
     at, n = 0, len(page)
+    unpaired = {'"': n + 1, "'": n + 1}     # from here on no such quote is closed
 
-    def top():
-        return stack[-1] if stack else ("", "", 0, False)
-    while at < n:
-        m = _TAG.search(page, at)
-        if m is None or m.start() > at:
-            end = n if m is None else m.start()
-            _, key, skipped, content = top()
-            yield "text", page[at:end], key, skipped > 0, content
-            at = end
+    def end_of_tag(i: int) -> int:
+        """Place of the ``>`` of a tag, quotes skipped; -1 if there is none."""
+        while (m := _STOPS.search(page, i)) is not None:
+            i, c = m.end(), m.group()
+            if c == ">":
+                return m.start()
+            if i < unpaired[c]:
+                close = page.find(c, i)
+                if close < 0:
+                    unpaired[c] = i
+                else:
+                    i = close + 1
+        return -1
+    text = 0
+    while (at := page.find("<", at)) >= 0:
+        start, follows = at, page[at + 1:at + 2]
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = n if end < 0 else end + 3
+            kind = name = attributes = ""
+        elif follows in ("!", "?") and follows:
+            end = page.find(">", at)
+            at = n if end < 0 else end + 1
+            kind = name = attributes = ""
+        else:
+            closing = follows == "/"
+            m = _NAME.match(page, at + 1 + closing)
             if m is None:
-                return
-        at = m.end()
-        name = (m.group(2) or "").lower()
-        if not name:
+                at += 1
+                if closing and (end := page.find(">", at)) >= 0:  # "</" without a name hides up to its end
+                    at, kind, name, attributes = end + 1, "", "", ""
+                else:
+                    continue
+            else:
+                end = end_of_tag(m.end())
+                if end < 0:
+                    break
+                name, attributes = m.group().lower(), page[m.end():end]
+                kind = "close" if closing else "void" if attributes.endswith("/") or name in VOID else "open"
+                at = end + 1
+        if start > text:
+            yield "text", page[text:start], ""
+        if kind:
+            yield kind, name, attributes
+            if kind == "open" and name in RAW:
+                m = _RAW_END[name].search(page, at)
+                end = page.find(">", m.end()) if m else -1
+                at = n if end < 0 else end + 1
+                yield "close", name, ""
+        text = at
+    if text < n:
+        yield "text", page[text:], ""
+
+
+class _Open:
+    """The open elements, with their names counted and the places of
+    paragraphs and of what a paragraph's end does not pass."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, str, int, bool]] = []  # name, key, skipped (1 by a hint, 2 by its name), in content
+        self.names: Counter = Counter()
+        self.paragraphs: list[int] = []
+        self.walls: list[int] = []
+
+    def top(self):
+        return self.stack[-1] if self.stack else ("", "", 0, False)
+
+    def push(self, element) -> None:
+        name = element[0]
+        if name == "p":
+            self.paragraphs.append(len(self.stack))
+        elif name not in INLINE:
+            self.walls.append(len(self.stack))
+        self.names[name] += 1
+        self.stack.append(element)
+
+    def pop(self):
+        element = self.stack.pop()
+        self.names[element[0]] -= 1
+        for places in (self.paragraphs, self.walls):
+            if places and places[-1] == len(self.stack):
+                places.pop()
+        return element
+
+    def close(self, name: str):
+        """Close the innermost element of that name, and all in it."""
+        if not self.names[name]:
+            return None
+        while True:
+            element = self.pop()
+            if element[0] == name:
+                return element
+
+    def end_paragraph(self) -> None:
+        """A new block ends an open paragraph and what stands in it."""
+        if self.paragraphs and (not self.walls or self.walls[-1] < self.paragraphs[-1]):
+            at = self.paragraphs[-1]
+            while len(self.stack) > at:
+                self.pop()
+
+
+def hinted(attributes: str, content: bool) -> tuple[bool, str]:
+    """Whether class, id or role name what is no article text, and the word
+    that stands for the class in a key."""
+    marks = [v.strip("\"'").lower() for _, v in _MARK.findall(attributes)] if attributes else []
+    words = {w for v in marks for w in _WORDS.findall(v)}
+    whole = {w for v in marks for w in v.split()}
+    return bool((whole if content else words) & HINTS), min(words) if words else ""
+
+
+def events(page: str):
+    """("text", string, key, skipped, content), ("open" | "close", name, "",
+    skipped, content) in page order.  ``key`` names the element around."""
+    around = _Open()
+    for kind, value, attributes in tokens(page):
+        _, key, skipped, content = around.top()
+        if kind == "text":
+            yield "text", value, key, skipped > 0, content
             continue
-        if m.group(1):
-            if any(e[0] == name for e in stack):
-                while stack[-1][0] != name:
-                    stack.pop()
-                _, _, skipped, content = stack.pop()
-                yield "close", name, "", skipped > 0, content
+        if kind == "close":
+            if (element := around.close(value)) is not None:
+                yield "close", value, "", element[2] > 0, element[3]
             continue
-        if name in _P_ENDS and name != "hr":
-            # a new block ends an open paragraph and what stands in it
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-        _, _, skipped, content = top()
-        marks = [v.strip("\"'").lower() for _, v in _MARK.findall(m.group(3))] if m.group(3) else []
-        words = {w for v in marks for w in _WORDS.findall(v)}
-        hint = bool(words & HINTS)
-        if name in SKIP:
+        if value in _P_ENDS and value != "hr":
+            around.end_paragraph()
+            _, key, skipped, content = around.top()
+        hint, word = hinted(attributes, content)
+        if value in SKIP:
             skipped = 2
-        elif name in CONTENT:
+        elif value in CONTENT:
             skipped = skipped if hint or skipped == 2 else 0
-        elif hint and name not in ("html", "body"):
+        elif hint and value not in ("html", "body"):
             skipped = max(skipped, 1)
-        content = content or name in CONTENT
-        yield "open", name, "", skipped > 0, content
-        if name in VOID or m.group(3).endswith("/"):
+        content = content or value in CONTENT
+        yield "open", value, "", skipped > 0, content
+        if kind == "void":
             continue
-        cls = min(words) if words else ""
-        around = top()[1]
-        key = around + ">a" * (name == "a") if name in INLINE else f"{name}.{cls}" if cls else name
-        stack.append((name, key, skipped, content))
-        if name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else n
-            stack.pop()
+        if value in INLINE:
+            key = f"{key}>a" if value == "a" and not key.endswith(">a") else key
+        else:
+            key = f"{value}.{word}" if word else value
+        around.push((value, key, skipped, content))
 
 
 def key_of(kind: str, value: str, key: str) -> str:
@@ -148,8 +246,8 @@ def learn(counts: Counter) -> dict[str, float]:
 
 def word_weight(key: str, weights: dict[str, float]) -> float:
     """The learned weight, else that of the element around, else a default."""
-    while f"w:{key}" not in weights and key not in DEFAULT and ">" in key:
-        key = key.rpartition(">")[0]
+    if f"w:{key}" not in weights and key not in DEFAULT:
+        key = key.partition(">")[0]
     return weights.get(f"w:{key}", DEFAULT.get(key, WORD_DEFAULT))
 
 
@@ -195,13 +293,14 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
         sample: int = LABELLED_PAGES) -> dict[str, float]:
-    """Weights from at most ``sample`` labelled pages, chosen by a hash of
-    their id; Spark counts, the driver gets one row per element name."""
-    ids = pages.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull()) \
-        .orderBy(F.xxhash64("id"), "id").limit(sample)
-    chosen = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")) \
-        .join(F.broadcast(ids.distinct()), "id", "left_semi") \
-        .where(F.lower("html").rlike("<(article|main)\\b"))
+    """Weights from about ``sample`` pages at most, those with a hash of their
+    id below a threshold; Spark counts, the driver gets one row per element
+    name."""
+    chosen = pages.where(F.col(id_col).isNotNull())
+    n = chosen.count()
+    if n > sample:
+        chosen = chosen.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40)) < int(sample / n * (1 << 40)))
+    chosen = chosen.select(F.col(html_col).alias("html")).where(F.lower("html").rlike("<(article|main)\\b"))
 
     def count(rows):
         total: Counter = Counter()
