@@ -3,13 +3,17 @@
 1. One pass over the payloads takes their SHA-1 and size in the JVM; digests
    that occur more than once get their smallest id by a pre-aggregated
    ``groupBy`` on (digest, id) rows only.
-2. Records are range-partitioned and sorted by (id, digest); each task writes
-   its shard: one gzip member per record (no time stamps), headers and
-   digests made from the payload, a new file whenever the compressed size
-   passes ``FILE_BYTES``.  A file is written under ``_temporary`` and renamed
-   when it is complete, so a repeated attempt puts the same bytes in its
-   place.
-3. The tasks' rows are the manifest, committed by Spark's own writer after
+2. Records are sorted by (id, digest) into shards: a shard begins wherever the
+   exact running sum of payload bytes passes another ``shard_bytes`` (a
+   two-level scan over ids and sizes only), so the same rows give the same
+   shards, however they are partitioned.  The shards' first keys, one for each
+   ``shard_bytes`` of payload, are what the driver holds.
+3. A task writes whole shards: one gzip member per record (no time stamps),
+   headers and digests made from the payload, a new file whenever the
+   compressed size passes ``FILE_BYTES``.  A file is written under ``_temporary``
+   and renamed when it is complete; a repeated attempt finds the same bytes in
+   its place and leaves them.
+4. The tasks' rows are the manifest, committed by Spark's own writer after
    all files are in place; the reader takes only files that it names.
 
 Records of equal payloads of at least ``min_bytes``: that of the smallest id
@@ -25,6 +29,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import math
 import uuid
 import zlib
 
@@ -36,6 +42,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from flowlens.llm.common import bounded_batches, scratch
+from flowlens.operators.scan import ordered_parts, running
 from flowlens.session import checkpoint_dir
 
 SHARD_BYTES = 24 << 20   # payload bytes of a shard
@@ -96,6 +103,20 @@ class ShardWriter:
         self.rows: list[dict] = []
         self.out = None
 
+    def commit(self, temporary: str, target: str) -> None:
+        """Give a complete file its name.  One that is there already is that of
+        an earlier attempt: it stays if it is whole, and goes if not (renaming
+        onto a file is refused by some file systems)."""
+        there = self.fs.get_file_info(target)
+        if there.is_file:
+            if there.size == self.size:
+                with self.fs.open_input_stream(target, compression=None) as f:
+                    if hashlib.sha256(f.read()).digest() == self.sha.digest():
+                        self.fs.delete_file(temporary)
+                        return
+            self.fs.delete_file(target)
+        self.fs.move(temporary, target)
+
     def open(self, page_id):
         self.name = f"shard-{self.shard:06d}-{len(self.rows):05d}.warc.gz"
         self.temporary = f"{self.root}/_temporary/{self.attempt}-{self.name}"
@@ -124,18 +145,58 @@ class ShardWriter:
         if self.out is not None:
             self.out.close()
             self.out = None
-            self.fs.move(self.temporary, f"{self.root}/data/{self.name}")
+            self.commit(self.temporary, f"{self.root}/data/{self.name}")
             self.rows.append({"file": self.name, "bytes": self.size, "sha256": self.sha.hexdigest(),
                               "records": self.records, "first_id": self.first, "last_id": self.last})
 
 
+def _key(id_col: str = "id"):
+    """Ordering of records; a null id sorts first."""
+    return F.struct(F.col(id_col).isNotNull().cast("int").alias("k"), F.coalesce(F.col(id_col), F.lit(0)).alias("i"),
+                    F.col("digest").alias("d"))
+
+
+def shard_starts(keyed: DataFrame, shard_bytes: int) -> list:
+    """The first key of each shard, in order: a shard begins with the first
+    record before which the payloads have passed another ``shard_bytes``."""
+    rows = keyed.select(_key().alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n")) \
+        .select(F.col("key.k").alias("k"), F.col("key.i").alias("i"), F.col("key.d").alias("d"), "n")
+    order = ["k", "i", "d"]
+    before = running(ordered_parts(rows, [], order), [], order, {"before": ("sum", "n")})
+    shard = F.floor(F.coalesce(F.col("before"), F.lit(0)) / F.lit(shard_bytes))
+    first = before.groupBy(shard.alias("s")).agg(F.min(F.struct(*order)).alias("key")).orderBy("s")
+    return [tuple(r["key"]) for r in first.collect()]
+
+
+def shard_of(starts: list):
+    """The number of the shard of a record: the last start at or before its
+    key, found in blocks of about the square root of their number."""
+    size = max(1, math.isqrt(len(starts)))
+    parts = [starts[at:at + size] for at in range(0, len(starts), size)]
+    kind = "struct<k: int, i: bigint, d: string>"
+
+    def table(value, ddl):
+        return F.from_json(F.lit(json.dumps(value)), ddl)
+
+    def of(keys):
+        return [{"k": k, "i": i, "d": d} for k, i, d in keys]
+    key = _key()
+    block = F.size(F.filter(table(of(p[0] for p in parts), f"array<{kind}>"), lambda x: x <= key))
+    fine = F.element_at(table([of(p) for p in parts], f"array<array<{kind}>>"), F.greatest(block, F.lit(1)))
+    return ((F.greatest(block, F.lit(1)) - 1) * size + F.size(F.filter(fine, lambda x: x <= key)) - 1).cast("int")
+
+
 def write_warc(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                min_bytes: int = 0, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> None:
     """Write ``pages`` under the folder URI ``root`` (``data/``, ``manifest/``)."""
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     keyed = pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(payload.cast("binary")).alias("digest"),
                          F.octet_length(payload).cast("long").alias("n"))
-    total = keyed.agg(F.sum("n")).first()[0] or 0
+    starts = shard_starts(keyed, shard_bytes)
+    if not starts:
+        spark = pages.sparkSession
+        spark.createDataFrame([], MANIFEST).write.parquet(f"{root}/manifest")
+        return
     # smallest id of each digest that occurs again; a null id is smaller than any
     again = keyed.where(F.col("n") >= min_bytes).groupBy("digest") \
         .agg(F.count("*").alias("c"), F.count("id").alias("with_id"), F.min("id").alias("least")) \
@@ -146,35 +207,55 @@ def write_warc(pages: DataFrame, root: str, id_col: str = "page_id", url_col: st
                            .alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"))
     small = again.count() <= BROADCAST_ROWS
     records = records.join(F.broadcast(again) if small else again, "digest", "left")
-    shards = max(1, -(-total // shard_bytes))
-    placed = records.repartitionByRange(shards, "id", "digest").sortWithinPartitions("id", "digest")
+    placed = records.withColumn("shard", shard_of(starts)).repartition(len(starts), "shard") \
+        .sortWithinPartitions("shard", "id", "digest", "url")
 
     ddl = StructType.fromDDL(MANIFEST)
 
     def write(batches):
-        task = TaskContext.get()
-        out = ShardWriter(root, task.partitionId(), task.taskAttemptId(), file_bytes)
-        last, nth = None, 0
+        attempt = TaskContext.get().taskAttemptId()
+        schema = to_arrow_schema(ddl)
+        out, last, nth = None, None, 0
         for batch in batches:
             for row in batch.to_pylist():
+                if out is None or out.shard != row["shard"]:
+                    if out is not None:
+                        out.close()
+                        yield pa.RecordBatch.from_pylist(out.rows, schema=schema)
+                    out, last = ShardWriter(root, row["shard"], attempt, file_bytes), None
                 nth = nth + 1 if last == (row["id"], row["digest"]) else 0
                 last = (row["id"], row["digest"])
                 is_revisit = bool(row["again"]) and (row["id"] != row["least"] or nth > 0)
                 url = row["url"] or f"urn:page:{row['id']}"
                 out.write(row["id"], page_record(row["id"], url, row["html"].encode("utf-8"), row["least"],
                                                  is_revisit, nth))
-        out.close()
-        if out.rows:
-            yield pa.RecordBatch.from_pylist(out.rows, schema=to_arrow_schema(ddl))
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_pylist(out.rows, schema=schema)
     placed.mapInArrow(write, MANIFEST).write.parquet(f"{root}/manifest")
 
 
+#: Compressed bytes that the reader hands to the decompressor at a time.
+FEED = 1 << 16
+
+
+def members(data: bytes):
+    """The gzip members of a file, decompressed one by one."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("a record is cut off")
+            fed = view[at:at + FEED]
+            out.append(z.decompress(fed))
+            at += len(fed) - len(z.unused_data)
+        yield b"".join(out)
+
+
 def parse(data: bytes):
     """(headers, block) of each record of a WARC file; digests are checked."""
-    while data:
-        z = zlib.decompressobj(31)
-        record = z.decompress(data) + z.flush()
-        data = z.unused_data
+    for record in members(data):
         head, _, rest = record.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         headers = dict(line.split(": ", 1) for line in lines[1:])
@@ -222,14 +303,32 @@ def read_warc(spark: SparkSession, root: str) -> DataFrame:
     return named.select("content", "sha256").mapInArrow(read, RECORDS)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system, the default one where it names none."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.makeQualified(p).toString()
+    return f"file://{out[5:]}" if out.startswith("file:/") and not out.startswith("file://") else out
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for the round trip of ``pages`` (unique, non-null ids)."""
+    letters = "".join(chr(c) for c in range(ord("A"), ord("Z") + 1)) + "234567"
+    base32 = " || ".join(f"substr('{letters}', ((('0x' || substr(h, {5 * j + 1}, 5))::BIGINT >> {sh}) & 31)::INTEGER + 1, 1)"
+                         for j in range(8) for sh in (15, 10, 5, 0))
+    return f"""WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, {base32} AS payload_digest,
+  min(page_id) OVER (PARTITION BY body) AS least FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> least THEN least END AS refers_to FROM q"""
+
+
 def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Write the pages to a new folder of the shared checkpoint place and
     read the archives back."""
     spark = pages.sparkSession
     checkpoint_dir(spark)
     bounded_batches(spark)
-    root = scratch(spark, "warc")
-    if root.startswith("/"):
-        root = f"file://{root}"
+    root = qualified(spark, scratch(spark, "warc"))
     write_warc(pages, root, **options)
     return read_warc(spark, root)
