@@ -4,7 +4,12 @@ Words are runs of ASCII letters (lower-cased), digits and non-ASCII
 characters.  One Aho-Corasick pass over the words joined by spaces finds the
 notice phrases; where it meets an identifier tag, a second pass over the raw
 text finds the tags' places and a shunting-yard parser evaluates the
-and/or/with expression up to the end of the line.
+and/or/with expression up to the end of the line.  What it evaluates to is
+part of the result: ``binding`` are the labels that bind whichever alternative
+is chosen (``and`` binds both sides, ``or`` what both have, ``with`` its
+licence), ``expressions`` the evaluated expressions in a normal form (operands
+sorted, repeats left out, exceptions kept), so "MIT OR GPL-2.0" and "MIT AND
+GPL-2.0" differ in both.
 
 ``score`` is 1 - prod(1 - weight) over the distinct kinds of evidence in the
 document (each phrase, each tagged licence), so it is 0 without any.
@@ -87,33 +92,43 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
     return out + stack[::-1]
 
 
-def evaluate(postfix: list[str]) -> tuple[frozenset, frozenset]:
-    """(labels of all licences named, labels that bind whatever is chosen):
-    ``and`` binds both sides, ``or`` what both have, ``with`` its licence."""
+def evaluate(postfix: list[str]) -> tuple[frozenset, frozenset, str]:
+    """(labels of all licences named, labels that bind whatever is chosen,
+    normal form)."""
     stack = []
     for t in postfix:
         if t not in _PRECEDENCE:
             one = frozenset([family(t)])
-            stack.append((one, one))
+            stack.append((one, one, None, frozenset([family(t)])))
             continue
-        (right, r), (left, m) = stack.pop(), stack.pop()
+        (right, r, rop, rparts), (left, m, lop, lparts) = stack.pop(), stack.pop()
         if t == "with":
-            stack.append((left, m))
-        else:
-            stack.append((left | right, m | r if t == "and" else m & r))
-    return stack[0]
+            stack.append((left, m, None, frozenset([f"{_form(lop, lparts, True)} WITH {_form(rop, rparts, True)}"])))
+            continue
+        # operands of the same operator join one set, in any order and once
+        parts = [p if op in (t, None) else frozenset([_form(op, p, True)]) for op, p in ((lop, lparts), (rop, rparts))]
+        both = parts[0] | parts[1]
+        stack.append((left | right, m | r if t == "and" else m & r, t if len(both) > 1 else None, both))
+    labels, binds, op, parts = stack[0]
+    return labels, binds, _form(op, parts, False)
+
+
+def _form(op: str | None, parts: frozenset, inside: bool) -> str:
+    text = f" {op.upper()} ".join(sorted(parts)) if op else next(iter(parts))
+    return f"({text})" if inside and op else text
 
 
-def expression(line: str) -> tuple[frozenset, bool]:
-    """(labels, whether the line holds an expression).  What follows an
-    expression on its line, such as a comment's end, is not part of it."""
+def expression(line: str) -> tuple[frozenset, frozenset, str | None]:
+    """(labels, labels that bind, normal form); the form is None where the line
+    holds no expression.  What follows an expression on its line, such as a
+    comment's end, is not part of it."""
     tokens = _TOKEN.findall(line.lower())
     whole = tokens
     while whole and (post := to_postfix(whole)) is None:
         whole = whole[:-1]
     if whole:
-        return evaluate(post)[0], True
-    return frozenset(family(t) for t in tokens[:1] if t not in _PRECEDENCE and t not in "()"), False
+        return evaluate(post)
+    return frozenset(family(t) for t in tokens[:1] if t not in _PRECEDENCE and t not in "()"), frozenset(), None
 
 
 @functools.lru_cache(1)
@@ -132,7 +147,8 @@ def automata():
 
 
 def scan(text: str) -> tuple:
-    """(n_words, n_base, first_word, last_word, base_labels, labels, score)."""
+    """(n_words, n_base, first_word, last_word, base_labels, labels, score,
+    binding, expressions)."""
     phrases, tags = automata()
     words = text.encode("utf-8").translate(_LOWER).split()
     norm = f" {b' '.join(words).decode('utf-8')} "
@@ -150,24 +166,29 @@ def scan(text: str) -> tuple:
         found.sort()
         first = norm.count(" ", 0, found[0][0] + 1) - 1
         last = first + norm.count(" ", found[0][0] + 1, found[-1][0] + 1)
+    binding, forms = set(), set()
     if tagged:
         low = text.lower()
         for end, _ in tags.iter(low):
             stop = low.find("\n", end)
-            labels, whole = expression(low[end + 1:stop if stop >= 0 else len(low)])
+            labels, binds, form = expression(low[end + 1:stop if stop >= 0 else len(low)])
+            if form is not None:
+                binding |= binds
+                forms.add(form)
             for label in labels:
-                evidence["tag", label] = TAG_WEIGHT if whole else 0.0
+                key = "tag", label
+                evidence[key] = max(evidence.get(key, 0.0), TAG_WEIGHT if form is not None else 0.0)
     miss = 1.0
     for key in sorted(evidence):
         miss *= 1 - evidence[key]
     base = {label for _, label in found}
     every = base | {label for _, label in evidence}
     return (len(words), len(found), first, last, ",".join(sorted(base)), ",".join(sorted(every)),
-            round(1 - miss, 9))
+            round(1 - miss, 9), ",".join(sorted(binding)), "; ".join(sorted(forms)))
 
 
 SCHEMA = ("doc_id long, n_words long, n_base long, first_word long, last_word long, "
-          "base_labels string, labels string, score double")
+          "base_labels string, labels string, score double, binding string, expressions string")
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

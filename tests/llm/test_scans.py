@@ -40,11 +40,21 @@ def test_shunting_yard():
     assert post("( a or b ) and c with d".split()) == ["a", "b", "or", "c", "d", "with", "and"]
     for bad in ("a or", "or a", "( a", "a )", "a b", ""):
         assert post(bad.split()) is None
-    every, bound = ev(post("( mit or gpl-2.0 ) and bsd-3-clause".split()))
-    assert every == {"mit", "gpl", "bsd"} and bound == {"bsd"}
+    every, bound, form = ev(post("( mit or gpl-2.0 ) and bsd-3-clause".split()))
+    assert every == {"mit", "gpl", "bsd"} and bound == {"bsd"} and form == "(gpl OR mit) AND bsd"
+    assert ev(post("gpl-2.0 or mit or gpl-3.0".split()))[1:] == (frozenset(), "gpl OR mit")
+    assert ev(post("mit and mit".split())) == ({"mit"}, {"mit"}, "mit")
+    assert ev(post("( mit or isc ) with x-exception".split()))[2] == "(isc OR mit) WITH x-exception"
+    for text, binding, forms in (("MIT OR GPL-2.0", "", "gpl OR mit"), ("MIT AND GPL-2.0", "gpl,mit", "gpl AND mit"),
+                                 ("(MIT OR ISC) AND (ISC OR MIT)", "", "(isc OR mit)"),
+                                 ("GPL-2.0 WITH classpath AND MIT", "gpl,mit", "gpl WITH classpath AND mit")):
+        got = licenses.scan(f"// SPDX-License-Identifier: {text}\n")
+        assert got[7] == binding and got[8].strip("()") == forms.strip("()"), got
+    two = licenses.scan("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: ISC OR MPL-2.0\n")
+    assert two[7:] == ("mit", "isc OR mpl; mit")
     n = licenses.scan("// SPDX-License-Identifier: (MIT OR Apache-2.0) AND LGPL-2.1-only WITH x-exception */\nnext")
     assert n[5] == "apache,lgpl,mit" and n[6] > 0.9
-    assert licenses.scan("SPDX-License-Identifier:")[5:] == ("", 0.0)
+    assert licenses.scan("SPDX-License-Identifier:")[5:] == ("", 0.0, "", "")
     assert licenses.scan("spdx-license-identifier: mit and")[5] == "mit"
 
 
@@ -187,3 +197,35 @@ def test_a_hinted_wrapper_does_not_cover_the_article():
     for hidden in ("<div class='comments'><article class='comment'><p>not this one</p></article></div>",
                    "<aside><article><p>nor this one</p></article></aside>"):
         assert html_text.extract(page.format(text, hidden), {}) == text
+
+
+def test_odd_markup_takes_linear_time():
+    """Pages of about 1 MB that used to take minutes."""
+    import time
+    n = 1 << 20
+    for piece in ("<a>x ", "<p ", "<p \"", "<b><div/>", "<div>y ", "</title ", "<p><q><b>", "<!-", "<title></title", "<a '\">",
+                  "<p><custom><b>", "</x>", "<", "&amp;", "<li>z"):
+        page = "<main><p>Some words of the text.</p>" + piece * (n // len(piece))
+        t = time.time()
+        assert html_text.extract(page, {}).startswith("Some words of the text")
+        assert time.time() - t < 12, piece
+    nested = "<p><custom>" + "<b>" * 50_000 + "<div/>" * 50_000 + "words"
+    t = time.time()
+    html_text.extract(nested, {})
+    assert time.time() - t < 5
+
+
+def test_parts_of_longer_names_are_no_hints_inside_an_article():
+    page = "<body><article><p>First part.</p><div class='share-price'>The price rose.</div>" \
+           "<div class='share'>Send this</div><p>Last part.</p></article><div class='share-buttons'>Mail</div></body>"
+    assert html_text.extract(page, {}) == "First part.\n\nThe price rose.\n\nLast part."
+
+
+def test_tokens_of_broken_tags():
+    t = lambda page: [x[:2] for x in html_text.tokens(page)]
+    assert t("a < b <p>c") == [("text", "a < b "), ("open", "p"), ("text", "c")]
+    assert t("<p title='a>b'>c</p>") == [("open", "p"), ("text", "c"), ("close", "p")]
+    assert t("<p title='a>c") == [("open", "p"), ("text", "c")]
+    assert t("x<!-- <p> -->y<br/>z<?q ?></ >w") == [("text", "x"), ("text", "y"), ("void", "br"), ("text", "z"), ("text", "w")]
+    assert t("<script>a<p></SCRIPT >b<p") == [("open", "script"), ("close", "script"), ("text", "b<p")]
+    assert t("<textarea>q") == [("open", "textarea"), ("close", "textarea")]
