@@ -1,7 +1,9 @@
 """Operator 2, document fingerprints: Order MinHash in DataFrame functions.
 
 A text's k-mers are its runs of ``K`` words (cut short at the end), each with
-the number of its occurrence.  A hash of (k-mer, occurrence) places it in one
+the number of its occurrence.  Words end at white space of any kind; of a text
+whose words are longer than ``LONG_WORDS`` on average (one written without
+spaces) the characters take the words' place.  A hash of (k-mer, occurrence) places it in one
 of ``SKETCHES`` buckets; the ``PER_SKETCH`` smallest of a bucket, put back in
 text order, are hashed as a tuple.  Tuples of two texts agree only where the
 same k-mers are smallest and stand in the same order, so likeness falls with
@@ -12,10 +14,13 @@ is sorted twice, once to number occurrences and once to find the smallest of
 each bucket, O(n log n) for n words.  ``let`` binds a value once.
 
 Edited texts need the next document by id.  Documents are dealt to blocks of
-``BLOCK`` consecutive ids (one shuffle of the texts); inside a block the next
-one is ``lead``.  The first document of each following block (found on ids
-alone, by two levels of small windows) is added to the block before it as a
-last row that only ``lead`` sees.
+about ``BLOCK`` consecutive documents (one shuffle of the texts); inside a block
+the next one is ``lead``.  A grid of at most ``CELLS`` quantiles of the ids cuts
+them into cells of equal numbers, and each cell into ranges of equal width, so
+blocks follow documents and not ids: sparse, hashed or clustered ids and far
+outliers change little.  The first document of each following block (found on
+ids alone, by a window in each cell and one over the cells) is added to the
+block before it as a last row that only ``lead`` sees.
 
 Defined cases: a null text is an empty one; an empty text has a fingerprint
 of its own; of documents that share an id the smaller text comes first; a
@@ -35,7 +40,8 @@ K = 2
 SKETCHES_BITS = 6           # 64 sketches
 PER_SKETCH = 2
 POSITION_BITS = 26
-BLOCK, SUPER = 1024, 4096
+LONG_WORDS = 40
+BLOCK, CELLS = 1024, 128
 BROADCAST_ROWS = 50_000
 NULL_SALTS = 256
 
@@ -85,7 +91,10 @@ def fingerprint(text: Column) -> Column:
                 lambda e: e["h"]),
             lambda chosen: F.shiftleft(F.shiftrightunsigned(first, 64 - SKETCHES_BITS), 32).bitwiseOR(
                 F.shiftrightunsigned(F.xxhash64(chosen), 32)))))
-    return let(F.split(text, " "), lambda w: let(sorted_kmers(w), lambda s: let(numbered(s), tuples)))
+    def pieces(t):
+        return let(F.split(t, r"(?U)\s+"), lambda w: F.when(
+            F.char_length(t) > LONG_WORDS * F.size(w), F.split(t, "")).otherwise(w))
+    return let(pieces(text), lambda w: let(sorted_kmers(w), lambda s: let(numbered(s), tuples)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -99,29 +108,51 @@ def as_text(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda v: F.hex(v)), ".")
 
 
-def block_ends(ids: DataFrame) -> DataFrame:
+def block_of(ids: DataFrame):
+    """``id -> block`` as a column function: cell * 2**32 + range in the cell.
+    ``ids(id)`` has no nulls."""
+    found = ids.agg(F.count(F.lit(1)).alias("n"),
+                    F.percentile_approx("id", [i / CELLS for i in range(CELLS + 1)], 10_000).alias("q")).first()
+    q = sorted(set(found["q"] or [0]))              # at most CELLS + 1 numbers
+    starts, ends = q[:-1] or q, q[1:] or q
+    share = max(1.0, found["n"] / len(starts) / BLOCK)   # blocks of a cell
+    width = [max(1.0, (e - s) / share) for s, e in zip(starts, ends)]
+    cells = F.array(*[F.lit(x).cast("long") for x in starts])
+    widths = F.array(*[F.lit(float(w)) for w in width])
+
+    def block(i: Column) -> Column:
+        at = F.greatest(F.size(F.filter(cells, lambda x: x <= i)), F.lit(1))
+        inside = (i - F.element_at(cells, at)).cast("double") / F.element_at(widths, at)
+        # ids that the grid's accuracy leaves outside it join the nearest range
+        return at.cast("long") * (1 << 32) + F.greatest(F.least(F.floor(inside), F.lit(int(2 * share) + 1)), F.lit(0))
+    return block
+
+
+def block_ends(ids: DataFrame, block) -> DataFrame:
     """``block, donor``: the first id after each block; for the last block
     the first id of all.  ``ids(id)`` has no nulls."""
-    firsts = ids.groupBy(F.floor(F.col("id") / BLOCK).alias("block")).agg(F.min("id").alias("first")) \
-        .withColumn("super", F.floor(F.col("block") / SUPER))
-    inner = firsts.withColumn("donor", F.lead("first").over(Window.partitionBy("super").orderBy("block")))
-    # one row per SUPER * BLOCK ids
-    supers = firsts.groupBy("super").agg(F.min("first").alias("sfirst"))
-    everything = Window.orderBy("super")
-    supers = supers.select("super", F.lead("sfirst").over(everything).alias("after"),
-                           F.first("sfirst").over(everything).alias("least"))
-    return inner.join(supers, "super").select("block", F.coalesce("donor", "after", "least").alias("donor"))
+    firsts = ids.groupBy(block(F.col("id")).alias("block")).agg(F.min("id").alias("first")) \
+        .withColumn("cell", F.shiftright("block", 32))
+    inner = firsts.withColumn("donor", F.lead("first").over(Window.partitionBy("cell").orderBy("block")))
+    # at most CELLS rows
+    cells = firsts.groupBy("cell").agg(F.min("first").alias("cfirst"))
+    everything = Window.orderBy("cell")
+    cells = cells.select("cell", F.lead("cfirst").over(everything).alias("after"),
+                         F.first("cfirst").over(everything).alias("least"))
+    return inner.join(cells, "cell").select("block", F.coalesce("donor", "after", "least").alias("donor"))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, text, fp, next_text, next_fp`` of every document."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    ends = block_ends(texts.where("id IS NOT NULL").select("id")).checkpoint()
+    known_ids = texts.where("id IS NOT NULL").select("id")
+    block = block_of(known_ids)
+    ends = block_ends(known_ids, block).checkpoint()
     donors = texts.join(F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends,
                         F.col("id") == F.col("donor")) \
         .withColumn("nth", F.row_number().over(Window.partitionBy("block").orderBy("text"))).where("nth = 1") \
         .select("id", "text", "block", F.lit(0).alias("salt"), F.lit(True).alias("ghost"))
-    own = texts.select("id", "text", F.floor(F.col("id") / BLOCK).alias("block"),
+    own = texts.select("id", "text", block(F.col("id")).alias("block"),
                        F.when(F.col("id").isNull(), F.pmod(F.xxhash64("text"), F.lit(NULL_SALTS)).cast("int"))
                        .otherwise(0).alias("salt"), F.lit(False).alias("ghost"))
     dealt = own.unionByName(donors).repartition("block", "salt").withColumn("fp", fingerprint(F.col("text")))

@@ -11,8 +11,11 @@ of the same first turn stand together.  Rare first turns share buckets by a
 hash, a first turn of more than ``GROUP`` conversations is salted into
 buckets of its own.  In a bucket the conversations of one first turn form
 pairs by id, and only the last one of each odd group is paired with that of the
-next first turn left over.  Buckets are small whatever the data, so no task
-gets a hot group.
+next first turn left over.  Such a pair has nothing in common; its rejected
+side is derived: the chosen conversation up to its last assistant turn, which
+is exchanged for the other's last one (``exchanged``; not where either has
+none).  So every pair is about one prompt.  Buckets are small whatever the
+data, so no task gets a hot group.
 
 DataFrame functions only.  Defined cases: a conversation's turns are ordered
 by (turn, role, text), nulls first; rows without a conversation id belong to
@@ -76,6 +79,16 @@ def format_preferences(pairs: DataFrame, chosen: str = "chosen", rejected: str =
         .drop(chosen, rejected)
 
 
+def exchanged(chosen: Column, other: Column) -> Column:
+    """``chosen`` up to its last assistant turn, which is the last assistant
+    turn of ``other``; ``other`` itself where either has none."""
+    def last(turns):
+        return F.array_max(F.filter(F.transform(turns, lambda t, i: F.when(t["role"] == TRAINED, i)), lambda i: i.isNotNull()))
+    mine, theirs = last(chosen), last(other)
+    return F.when(mine.isNull() | theirs.isNull(), other) \
+        .otherwise(F.concat(F.slice(chosen, F.lit(1), mine), F.slice(other, theirs + 1, F.lit(1))))
+
+
 def _number(text: Column) -> Column:
     """A number from the first 8 hex digits of the MD5."""
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
@@ -108,11 +121,13 @@ def pair_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: st
         F.lead("id").over(alike).isNull() & (F.row_number().over(alike) % 2 == 1)).alias("alone"))
     # pairs of one first turn stand before the ones left over, and their number is even
     order = Window.partitionBy("bucket").orderBy("alone", "key", "id")
-    return talks.select("id", "turns", F.row_number().over(order).alias("nth"), F.lead("id").over(order).alias("other"),
-                        F.lead("turns").over(order).alias("other_turns")) \
-        .where("nth % 2 = 1") \
-        .select(F.col("id").alias("chosen_id"), F.col("other").alias("rejected_id"), F.col("turns").alias("chosen"),
-                F.coalesce("other_turns", F.slice("turns", 1, 0)).alias("rejected"))
+    paired = talks.select("id", "turns", F.row_number().over(order).alias("nth"), F.lead("id").over(order).alias("other"),
+                          (F.lead("key").over(order) == F.col("key")).alias("alike"),
+                          F.lead("turns").over(order).alias("other_turns")).where("nth % 2 = 1")
+    rejected = F.when(F.col("alike"), F.col("other_turns")).when(
+        F.col("other").isNotNull(), exchanged(F.col("turns"), F.col("other_turns"))).otherwise(F.slice("turns", 1, 0))
+    return paired.select(F.col("id").alias("chosen_id"), F.col("other").alias("rejected_id"),
+                         F.col("turns").alias("chosen"), rejected.alias("rejected"))
 
 
 def preference_pairs(turns: DataFrame, **columns) -> DataFrame:
@@ -140,9 +155,15 @@ dealt AS (SELECT *, CASE WHEN n > {GROUP}
     THEN key || '/' || (('0x' || substr(md5(id::VARCHAR), 1, 8))::BIGINT % ceil(n / {GROUP})::BIGINT)::VARCHAR
     ELSE (('0x' || substr(md5(key), 1, 8))::BIGINT % greatest(1, ceil(total / {GROUP}))::BIGINT)::VARCHAR END AS bucket
   FROM sized),
-placed AS (SELECT id, turns, row_number() OVER w AS nth, lead(id) OVER w AS other,
+marked AS (SELECT *, lead(id) OVER k IS NULL AND row_number() OVER k % 2 = 1 AS alone
+  FROM dealt WINDOW k AS (PARTITION BY bucket, key ORDER BY id)),
+joined AS (SELECT id, turns, row_number() OVER w AS nth, lead(id) OVER w AS other, lead(key) OVER w = key AS alike,
     coalesce(lead(turns) OVER w, turns[1:0]) AS other_turns
-  FROM dealt WINDOW w AS (PARTITION BY bucket ORDER BY key, id)),
+  FROM marked WINDOW w AS (PARTITION BY bucket ORDER BY alone, key, id)),
+spoken AS (SELECT *, list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = '{TRAINED}')) AS mine,
+    list_max(list_filter(range(1, len(other_turns) + 1), lambda i: other_turns[i].role = '{TRAINED}')) AS theirs FROM joined),
+placed AS (SELECT id, turns, nth, other, CASE WHEN NOT alike AND mine IS NOT NULL AND theirs IS NOT NULL
+    THEN list_concat(turns[1:mine - 1], [other_turns[theirs]]) ELSE other_turns END AS other_turns FROM spoken),
 pairs AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(turns), len(other_turns)) + 1),
       lambda i: turns[i].role IS DISTINCT FROM other_turns[i].role OR turns[i].text IS DISTINCT FROM other_turns[i].text)) - 1,
       least(len(turns), len(other_turns))) AS p

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 from odd import documents, prose, texts
 from pyspark.sql import functions as F
@@ -80,9 +81,36 @@ def test_no_pair_of_one_first_turn_is_torn(spark):
     assert sum(p.rejected_id is None for p in pairs) <= -(-len(firsts) // 64)
 
 
+def test_odd_groups_match_the_oracle_and_share_a_prompt(spark, tmp):
+    """First turns of one to three conversations, some without an answer."""
+    import duckdb
+    rng = random.Random(12)
+    data, c = [], 0
+    for q in range(120):
+        for _ in range(rng.randint(1, 3)):
+            parts = [("user", f"question {q}")]
+            for k in range(rng.randint(0, 3)):
+                parts += [("assistant", f"answer {c}.{k}"), ("user", rng.choice(["why", "more", None]))]
+            data += talk(c, *parts)
+            c += 1
+    df = turns(spark, data)
+    got = preference.preference_pairs(df).collect()
+    df.write.parquet(f"{tmp}/c.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp}/c.parquet/*.parquet'")
+    key = lambda r: tuple((x is not None, x if x is not None else 0) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(con.execute(preference.ORACLE).fetchall(), key=key)
+    answered = {x for x, _, r, _ in data if r == "assistant"}
+    for r in got:
+        if r.rejected_id is not None and {r.chosen_id, r.rejected_id} <= answered:
+            assert r.prompt_turns >= 1 and r.rejected_loss
+
+
 def brute_sketches(spark, text):
     """Order MinHash of one text with plain loops; Spark only hashes."""
-    w = text.split(" ")
+    w = re.split(r"\s+", text)
+    if len(text) > order_minhash.LONG_WORDS * len(w):
+        w = list(text)
     kmers = [w[i:i + order_minhash.K] for i in range(len(w))]
     df = spark.createDataFrame([(k[0], k[1] if len(k) > 1 else None) for k in kmers], "a string, b string")
     h = [r[0] for r in df.select(F.xxhash64("a", "b")).collect()]
@@ -105,7 +133,8 @@ def brute_sketches(spark, text):
 
 
 def test_fingerprint_equals_brute_force(spark):
-    for text in ["", "one", "a b a b a b a", prose(4, 150), "the the the cat"]:
+    for text in ["", "one", "a b a b a b a", prose(4, 150), "the the the cat", "a\tb\u3000c\xa0d\n", "\u65e5\u672c\U0001f642" * 30,
+                 "x" * 60]:
         df = spark.createDataFrame([(text,)], "t string")
         got = df.select(order_minhash.fingerprint(F.col("t")).alias("f")).first().f
         assert {x % 2**64 for x in got} == brute_sketches(spark, text), text
@@ -136,6 +165,35 @@ def test_edited_texts_across_blocks(spark):
     assert rows[5 * 700 + 2].near_next == 1.0  # document 6 has the same text
 
 
+def test_one_word_of_many_falls_little_whatever_the_spaces(spark):
+    words = prose(21, 300).split()
+    other = [*words[:150], "different", *words[151:]]
+    rows = [(k, sep.join(a)) for k, sep in enumerate((" ", "\n", "\t", "\u3000", "")) for a in (words, other)]
+    fp = [r.f for r in spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "i long, t string")
+          .select("i", order_minhash.fingerprint(F.col("t")).alias("f")).orderBy("i").collect()]
+    for k in range(0, len(fp), 2):
+        a, b = set(fp[k]), set(fp[k + 1])
+        assert a != b and len(a & b) / 64 > 0.8, rows[k][0]
+
+
+def test_blocks_follow_documents_and_not_ids(spark):
+    """Dense, hashed and clustered ids and a far outlier: blocks stay small."""
+    r = random.Random(5)
+    for ids in (list(range(40_000)), [r.randrange(-2**62, 2**62) for _ in range(40_000)],
+                [*range(20_000), *range(10**12, 10**12 + 20_000), 10**18, -10**18]):
+        df = spark.createDataFrame([(i,) for i in ids], "id long")
+        block = order_minhash.block_of(df)
+        sizes = [x["n"] for x in df.groupBy(block(F.col("id")).alias("b")).agg(F.count("*").alias("n")).collect()]
+        assert max(sizes) <= 4 * order_minhash.BLOCK and len(sizes) < 700
+        ends = {x["block"]: x["donor"] for x in order_minhash.block_ends(df, block).collect()}
+        by = {}
+        for x in df.distinct().select("id", block(F.col("id")).alias("b")).collect():
+            by.setdefault(x["b"], []).append(x["id"])
+        order = sorted(by)
+        assert all(max(by[a]) < min(by[b]) for a, b in zip(order, order[1:]))
+        assert ends == {a: min(by[b]) for a, b in zip(order, [*order[1:], order[0]])}
+
+
 def test_odd_ids(spark):
     t = "some words of a text here"
     rows = order_minhash.fingerprints(documents(spark, [(None, t), (None, None), (1, t), (1, t), (2, "x y z")])).collect()
