@@ -148,15 +148,38 @@ def covered(counts) -> set[str]:
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, l2: float = 1e-2) -> np.ndarray:
-    """Newton's method with a small ridge; no weight but the bias is negative."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, l2: float = 1e-2) -> np.ndarray:
+    """Newton's method with a small ridge; no weight but the bias is negative.
+    Weights that the bound holds at 0 stay out of a step, and a step is halved
+    until it lowers the loss, so it converges on separable classes, too."""
     x = np.c_[np.ones(len(x)), x]
     w = np.zeros(x.shape[1])
+
+    def loss(w):
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + l2 / 2 * w @ w)
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w))
-        w = w + np.linalg.solve(h, x.T @ (y - p) - l2 * w)
-        w[1:] = np.maximum(w[1:], 0)
+        gradient = x.T @ (y - p) - l2 * w
+        free = (w > 0) | (gradient > 0)
+        free[0] = True
+        part = x[:, free]
+        h = (part * (p * (1 - p))[:, None]).T @ part + l2 * np.eye(int(free.sum()))
+        step = np.zeros_like(w)
+        step[free] = np.linalg.solve(h, gradient[free])
+        size = 1.0
+        while size > 1e-9:
+            new = w + size * step
+            new[1:] = np.maximum(new[1:], 0)
+            if (then := loss(new)) < now:
+                break
+            size /= 2
+        else:
+            break
+        done, w, now = now - then < 1e-10 * max(1.0, now), new, then
+        if done:
+            break
     return w
 
 

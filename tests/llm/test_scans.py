@@ -229,3 +229,27 @@ def test_tokens_of_broken_tags():
     assert t("x<!-- <p> -->y<br/>z<?q ?></ >w") == [("text", "x"), ("text", "y"), ("void", "br"), ("text", "z"), ("text", "w")]
     assert t("<script>a<p></SCRIPT >b<p") == [("open", "script"), ("close", "script"), ("text", "b<p")]
     assert t("<textarea>q") == [("open", "textarea"), ("close", "textarea")]
+
+
+def test_logistic_fit_converges():
+    """Separable, nearly separable, constant and one-sided columns: finite
+    weights, a loss below the start's, and no smaller one nearby."""
+    r = np.random.default_rng(4)
+    for k in range(40):
+        n = 400
+        y = (r.random(n) < 0.1).astype(float)
+        top = np.where(y == 1, 0.9, 0.05) + r.normal(0, 10.0 ** -r.integers(0, 6), n)
+        x = np.c_[np.log1p(np.abs(top) * r.integers(1, 9)), top, r.normal(0, 1e-6, n)]
+        if k % 4 == 0:
+            x[:, 0] = 0.0
+        w = toxicity.fit_logistic(x, y)
+        full = np.c_[np.ones(n), x]
+
+        def loss(w):
+            z = full @ w
+            return np.logaddexp(0, z).sum() - y @ z + 0.005 * w @ w
+        assert np.isfinite(w).all() and (w[1:] >= 0).all() and loss(w) < loss(np.zeros(4))
+        for _ in range(60):
+            near = w + r.normal(0, 0.05, 4)
+            near[1:] = np.maximum(near[1:], 0)
+            assert loss(near) >= loss(w) - 1e-6 * max(1.0, loss(w))
