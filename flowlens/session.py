@@ -95,4 +95,8 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(dirpath, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(zpath)
+    # Python workers that the driver itself starts (a stateful processor's
+    # schema is asked for there) know no added files, only this path
+    path = sc.environment.get("PYTHONPATH", "")
+    sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in (path, zpath) if p)
     _SHIPPED.add(app)

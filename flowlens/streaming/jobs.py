@@ -129,16 +129,13 @@ def decision_sink(log_path: str, rules_path: str, models: Callable[[DataFrame],
             dec.unpersist()
 
     def fn(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():  # no folders for idle triggers
-            return
-        if not isinstance(models, ModelVotes):
-            write(batch, batch_id, models)
-            return
-        batch = batch.persist()  # a failing batch is read again
+        batch = batch.persist()  # the state runs once, however often the batch is read
         try:
+            if not batch.count():  # one pass over all of the state; no folders for idle triggers
+                return
             write(batch, batch_id, models)
         except Exception:  # noqa: BLE001 - whatever a model raised in a task
-            failed = models.failing(batch)
+            failed = models.failing(batch) if isinstance(models, ModelVotes) else set()
             if not failed:
                 raise
             print(f"batch {batch_id}: models {sorted(failed)} failed")
