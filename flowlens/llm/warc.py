@@ -207,7 +207,7 @@ def write_warc(pages: DataFrame, root: str, id_col: str = "page_id", url_col: st
                            .alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"))
     small = again.count() <= BROADCAST_ROWS
     records = records.join(F.broadcast(again) if small else again, "digest", "left")
-    placed = records.withColumn("shard", shard_of(starts)).repartition(len(starts), "shard") \
+    placed = records.withColumn("shard", shard_of(starts)).repartitionByRange(len(starts), "shard") \
         .sortWithinPartitions("shard", "id", "digest", "url")
 
     ddl = StructType.fromDDL(MANIFEST)
