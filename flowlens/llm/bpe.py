@@ -202,8 +202,7 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
+        self.path, self.tok = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, symbols = spec["model"]["vocab"], byte_symbols()
@@ -218,9 +217,16 @@ class Encoder:
                                       mergeable_ranks={bytes([byte_of[c] for c in t]): r for r, t in enumerate(tokens)},
                                       special_tokens={})
 
+    def library(self):
+        """The file's own tokeniser, loaded where a text needs it."""
+        if self.tok is None:
+            from tokenizers import Tokenizer
+            self.tok = Tokenizer.from_file(self.path)
+        return self.tok
+
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.specials) or _LONG_RUN(text):
-            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+            return array("I", self.library().encode(text, add_special_tokens=False).ids).tobytes()
         return self.ids[self.fast.encode_ordinary(text)].tobytes() if text else b""
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import uuid
 
@@ -29,6 +30,15 @@ def whole_text(col) -> "F.Column":
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker serves many tasks of
+    many queries, and would keep the largest size it ever had."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES):
     """Parts of a batch of about ``limit`` bytes, at least one row each."""
     n = batch.num_rows
@@ -36,6 +46,7 @@ def slices(batch: pa.RecordBatch, limit: int = SLICE_BYTES):
         step = max(1, int(n * limit / max(batch.nbytes, 1)))
         for at in range(0, n, step):
             yield batch.slice(at, min(step, n - at))
+        give_back()
 
 
 def map_columns(df: DataFrame, fn, schema: str, limit: int = SLICE_BYTES) -> DataFrame:
