@@ -2,11 +2,12 @@
 
 1. The vocabulary is the words of the benchmark items.  One pass over all
    documents counts in how many each stands; IDF covers the whole corpus.
-2. TF-IDF passages (all items, and passages of at most ``SAMPLE_DOCS``
-   documents, the bound of the index's fit) go through a distributed
-   randomised SVD: each task sends its part of A^T (A Q), a matrix of
-   vocabulary x rank; the driver orthonormalises.  ``rank`` singular vectors
-   give the latent space.
+2. The TF-IDF passages of all documents and items go through a distributed
+   randomised SVD: one more pass sums A^T A over the passages, and Spark jobs
+   over its rows give A^T A Q, a matrix of vocabulary x rank; the driver
+   orthonormalises.  A vocabulary of more than ``GRAM_WORDS`` words, whose A^T A
+   would be too large for a task, takes A^T (A Q) from the stored passages
+   instead.  ``rank`` singular vectors give the latent space.
 3. Every document is cut into overlapping passages of 16, 24, 32, ... words, each
    compared with the items of its length class.  Two bounds that follow from the
    rule of step 4 pick the pairs of passage and item (``Bounds``): a paraphrase
@@ -36,6 +37,7 @@ all documents; other columns are kept by ``keep_clean`` and not read by
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +50,8 @@ from flowlens.llm import setsketch as ss
 from flowlens.llm.common import bounded_batches, slices, stored, whole_text
 
 BLOCK_ITEMS = 4000
-SAMPLE_DOCS = 2000
+GRAM_WORDS = 5000          # a task's part of A^T A: at most 100 MB
+STRIPE = 64                # rows of A^T A that are dense at a time
 RANK, OVERSAMPLE, ITERATIONS = 128, 16, 2
 LCS, LCS_ANSWER, ANSWER = 0.8, 0.6, 5
 SHORTEST = 16
@@ -221,58 +224,161 @@ def window_of(n: int) -> int:
     return w
 
 
-def passages_of(docs: DataFrame, model_vocabulary: Vocabulary, id_col: str, text_col: str, n_docs: int,
-                sample_docs: int) -> DataFrame:
-    """``words array<int>``: vocabulary words of 32-word passages of the
-    sampled documents (by a hash of their id)."""
-    every = max(1, -(-n_docs // sample_docs))
-    picked = docs.where(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(every)) == 0)) \
-        .select(whole_text(text_col).alias("text"))
+def passages_of(texts: list[str], whole: list[bool], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(vocabulary words, first word of each passage and the end): a text is
+    cut every 32 words, or one passage where ``whole``."""
+    h, first = words_of(texts)
+    at = vocabulary(h)
+    text, k = ragged(np.zeros(len(texts), np.int64), np.where(whole, 1, -(-np.diff(first) // 32)))
+    known = np.flatnonzero(at >= 0)
+    return at[known], np.searchsorted(known, np.r_[first[text] + 32 * k, len(at)])
 
-    def run(batches):
+
+def _pieces(vocabulary: Vocabulary | None):
+    """Reads batches of rows (text, whole) as ``passages_of`` gives them;
+    without a vocabulary, of rows ``words array<int>``, a passage each."""
+    def read(batches):
         for batch in batches:
             for part in slices(batch, SLICE):
-                h, first = words_of(part.column("text").to_pylist())
-                at = model_vocabulary(h)
-                rows = [at[a:min(a + 32, e)] for s, e in zip(first[:-1], first[1:]) for a in range(s, e, 32)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[r >= 0].tolist() for r in rows],
-                                                           pa.list_(pa.int32()))], names=["words"])
-    return picked.mapInArrow(run, "words array<int>")
+                if vocabulary is None:
+                    words = part.column("words")
+                    yield (words.flatten().to_numpy(zero_copy_only=False),
+                           np.r_[0, np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))])
+                else:
+                    yield passages_of(part.column("text").to_pylist(), part.column("whole").to_pylist(), vocabulary)
+    return read
 
 
-def times_gram(passages: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """A^T (A q), A's rows the unit TF-IDF vectors of the passages; each task
-    sums its own part."""
-    shape = q.shape
+def weighed(w: np.ndarray, first: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, word, weight) of the passages' unit TF-IDF vectors, in order."""
+    passage = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    cell, tf = np.unique(passage * len(idf) + w, return_counts=True)
+    row, w = np.divmod(cell, len(idf))
+    x = tf * idf[w]
+    return row, w, x / np.sqrt(np.bincount(row, x * x))[row]
+
+
+#: A part of a matrix's row ``word``: columns (int32) and values (float64).
+CELLS = "word int, columns binary, cells binary"
 
+
+def _written(rows):
+    rows = iter(rows)
+    while group := list(islice(rows, STRIPE)):
+        yield pa.RecordBatch.from_arrays([
+            pa.array([w for w, _, _ in group], pa.int32()),
+            pa.array([c.astype(np.int32).tobytes() for _, c, _ in group], pa.binary()),
+            pa.array([x.tobytes() for _, _, x in group], pa.binary())], names=["word", "columns", "cells"])
+
+
+def _read(batch: pa.RecordBatch):
+    for w, c, x in zip(*(batch.column(k).to_pylist() for k in ("word", "columns", "cells"))):
+        yield w, np.frombuffer(c, np.int32), np.frombuffer(x)
+
+
+def summed(parts: DataFrame, width: int) -> DataFrame:
+    """The sum of each word's parts, one row per word."""
     def run(batches):
-        total = np.zeros(shape)
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for words in batch.column("words").to_pylist():
-                if words:
-                    w, tf = np.unique(np.array(words), return_counts=True)
-                    x = tf * idf[w]
-                    x = x / np.sqrt((x * x).sum())
-                    total[w] += np.outer(x, x @ q[w])
+            for w, c, x in _read(batch):
+                if w not in total:
+                    total[w] = np.zeros(width)
+                total[w][c] += x
+        yield from _written((w, np.flatnonzero(x), x[x != 0]) for w, x in total.items())
+    return parts.repartition("word").mapInArrow(run, CELLS)
+
+
+def gram(passages: DataFrame, idf: np.ndarray, vocabulary: Vocabulary | None) -> DataFrame:
+    """A^T A, A's rows the unit TF-IDF vectors of the passages: the cells
+    (word, column <= word) in one pass; a task sums its own part."""
+    n, read = len(idf), _pieces(vocabulary)
+
+    def run(batches):
+        total = np.zeros(n * (n + 1) // 2)
+        for w, first in read(batches):
+            row, w, x = weighed(w, first, idf)
+            line, near = w * (w + 1) // 2, np.arange(len(w))
+            for k in range(n):  # each word and the k-th one behind it in its passage
+                near = near[near < len(w) - k]
+                near = near[row[near + k] == row[near]]
+                if not len(near):
+                    break
+                np.add.at(total, line[near + k] + w[near], x[near] * x[near + k])
+        lines = ((i, total[i * (i + 1) // 2:(i + 1) * (i + 2) // 2]) for i in range(n))
+        yield from _written((i, np.flatnonzero(x), x[x != 0]) for i, x in lines if x.any())
+    return stored(summed(passages.mapInArrow(run, CELLS), n), "gram")
+
+
+def gram_times(cells: DataFrame, q: np.ndarray) -> np.ndarray:
+    """(A^T A) q of the cells that ``gram`` gives."""
+    def run(batches):
+        total = np.zeros(q.shape)
+        for batch in batches:
+            for at in range(0, batch.num_rows, STRIPE):
+                rows = list(_read(batch.slice(at, STRIPE)))
+                word, lines = np.array([w for w, _, _ in rows]), np.zeros((len(rows), len(q)))
+                for line, (_, c, x) in zip(lines, rows):
+                    line[c] = x
+                total[word] += lines @ q
+                lines[np.arange(len(word)), word] = 0
+                total += lines.T @ q[word]
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
-    parts = passages.coalesce(8).mapInArrow(run, "part binary").toLocalIterator()
-    return sum((np.frombuffer(r.part).reshape(shape) for r in parts), np.zeros(shape))
+    parts = cells.coalesce(8).mapInArrow(run, "part binary").toLocalIterator()
+    return sum((np.frombuffer(r.part).reshape(q.shape) for r in parts), np.zeros(q.shape))
+
+
+def times_gram(passages: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """A^T (A q) from the passages' words; a task sums its own part."""
+    width, read = q.shape[1], _pieces(None)
+
+    def starts(x):
+        return np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+
+    def run(batches):
+        total = np.zeros(q.shape)
+        for w, first in read(batches):
+            rows, words, weights = weighed(w, first, idf)
+            cut = np.searchsorted(rows, np.arange(0, len(first) + 255, 256))
+            for a, b in zip(cut[:-1], cut[1:]):
+                if a < b:
+                    row, w, x = rows[a:b], words[a:b], weights[a:b, None]
+                    begin = starts(row)
+                    y = np.add.reduceat(x * q[w], begin).repeat(np.diff(np.r_[begin, len(row)]), 0) * x
+                    order = np.argsort(w, kind="stable")
+                    begin = starts(w[order])
+                    total[w[order][begin]] += np.add.reduceat(y[order], begin)
+        yield from _written((i, np.arange(width), x) for i, x in enumerate(total) if x.any())
+    out = np.zeros(q.shape)
+    for r in summed(passages.mapInArrow(run, CELLS), width).toLocalIterator():
+        out[r.word, np.frombuffer(r.columns, np.int32)] = np.frombuffer(r.cells)
+    return out
 
 
-def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int) -> np.ndarray:
-    """The leading right singular vectors of the passages' matrix."""
+def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int, vocabulary: Vocabulary | None = None) -> np.ndarray:
+    """The leading right singular vectors of the passages' matrix; rows as
+    ``_pieces`` reads them."""
     n = len(idf)
+    if n <= GRAM_WORDS:
+        cells = gram(passages, idf, vocabulary)
+    elif vocabulary is not None:
+        def rows(batches):
+            for w, first in _pieces(vocabulary)(batches):
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(first.astype(np.int32), w)], names=["words"])
+        passages = stored(passages.mapInArrow(rows, "words array<int>"), "passages")
+
+    def times(q):
+        return gram_times(cells, q) if n <= GRAM_WORDS else times_gram(passages, idf, q)
     width = min(n, rank + OVERSAMPLE)
     q = np.linalg.qr(np.random.default_rng(8).normal(size=(n, width)))[0]
     for _ in range(ITERATIONS):
-        q = np.linalg.qr(times_gram(passages, idf, q))[0]
-    values, vectors = np.linalg.eigh(q.T @ times_gram(passages, idf, q))
+        q = np.linalg.qr(times(q))[0]
+    values, vectors = np.linalg.eigh(q.T @ times(q))
     best = np.argsort(-values)[:min(rank, width)]
     return q @ vectors[:, best]
 
 
-def fit(docs: DataFrame, items: list[tuple[int, str]], id_col: str = "doc_id", text_col: str = "text",
-        rank: int = RANK, sample_docs: int = SAMPLE_DOCS) -> Model | None:
+def fit(docs: DataFrame, items: list[tuple[int, str]], text_col: str = "text", rank: int = RANK) -> Model | None:
     """The model of one block of items; None when they have no words."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -283,10 +389,9 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], id_col: str = "doc_id", t
     vocabulary = Vocabulary(np.unique(h))
     df, n_docs = document_frequencies(docs, vocabulary, text_col)
     idf = np.log((n_docs + 1) / (df + 0.5)).clip(0.05)
-    item_rows = spark.createDataFrame([(vocabulary(x).tolist(),) for _, x in found], "words array<int>")
-    passages = stored(passages_of(docs, vocabulary, id_col, text_col, n_docs, sample_docs).unionAll(item_rows),
-                      "passages")
-    space = randomised_svd(passages, idf, rank).astype(np.float32)
+    item_rows = spark.createDataFrame([(t, True) for _, t in items], "text string, whole boolean").coalesce(1)
+    passages = docs.select(whole_text(text_col).alias("text"), F.lit(False).alias("whole")).unionAll(item_rows)
+    space = randomised_svd(passages, idf, rank, vocabulary).astype(np.float32)
     latent, energy = np.zeros((len(found), space.shape[1]), np.float32), []
     for i, (_, x) in enumerate(found):
         at = vocabulary(x)
@@ -382,7 +487,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], schema=schema)
         return run
     for n, block in enumerate(_blocks(items, item_col, item_text_col)):
-        model = fit(docs, block, id_col, text_col)
+        model = fit(docs, block, text_col)
         if model:
             found = picked.mapInArrow(search(model), ddl)
             out = found if n == 0 else out.unionAll(found)
@@ -401,7 +506,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         return run
     out = docs
     for block in _blocks(items, item_col, item_text_col):
-        model = fit(docs, block, id_col, text_col)
+        model = fit(docs, block, text_col)
         if model:
             out = out.mapInArrow(clean(model), docs.schema)
     return out

@@ -245,3 +245,47 @@ def test_randomised_svd_finds_the_leading_space(spark):
     s = np.linalg.svd(a, compute_uv=False)
     assert np.allclose(v.T @ v, np.eye(8), atol=1e-8)
     assert np.linalg.norm(a @ v) ** 2 > 0.98 * (s[:8] ** 2).sum()
+
+
+def test_products_from_passages_equal_those_of_the_gram_matrix(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [rng.integers(0, 70, n).tolist() for n in rng.integers(0, 40, 700)]
+    idf = rng.uniform(1, 3, 70)
+    df = spark.createDataFrame([(r,) for r in rows], "words array<int>").repartition(3)
+    a = latent.randomised_svd(df, idf, 5)
+    monkeypatch.setattr(latent, "GRAM_WORDS", 0)
+    b = latent.randomised_svd(df, idf, 5)
+    assert np.allclose(a, b, atol=1e-8)
+
+
+def latent_corpus():
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(20)]
+    items = [(i, " ".join(words[i * 4:i * 4 + 8])) for i in range(4)]
+    weights = [20 - i for i in range(20)]
+    docs = [(d if d % 7 else None, " ".join(rng.choices(words + ["other"], weights + [9], k=rng.randint(0, 90))))
+            for d in range(2500)]
+    return docs, items
+
+
+def leading(docs, items, model, rank):
+    """The space of every passage and item, by a plain eigendecomposition."""
+    place = {int(h): i for i, h in enumerate(model.vocabulary.hashes)}
+    passages = [t.split()[k:k + 32] for _, t in docs for k in range(0, len(t.split()), 32)] + [t.split() for _, t in items]
+    known = {w: place[int(latent.words_of([w])[0][0])] for _, t in items for w in t.split()}
+    a = np.zeros((len(passages), len(place)))
+    for x, p in zip(a, passages):
+        for w in p:
+            if w in known:
+                x[known[w]] += model.idf[known[w]]
+    a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
+    return np.linalg.eigh(a.T @ a)[1][:, -rank:]
+
+
+@pytest.mark.parametrize("gram_words", [5000, 0])
+def test_the_latent_space_is_of_all_documents(spark, monkeypatch, gram_words):
+    monkeypatch.setattr(latent, "GRAM_WORDS", gram_words)
+    docs, items = latent_corpus()
+    model = latent.fit(documents(spark, docs), items, rank=6)
+    want = leading(docs, items, model, 6)
+    assert np.allclose(np.linalg.svd(want.T @ model.space, compute_uv=False), 1, atol=1e-6)
