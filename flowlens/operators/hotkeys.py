@@ -2,8 +2,9 @@
 
 The sequential rule (a flow starts at the row after the previous flow's
 close) makes a key's sweep a chain.  For keys that hold many packets the
-chain is cut into chunks of about ``CHUNK_ROWS`` rows (a range partitioning by
-key and id, so chunks follow row counts, not id widths) and solved by Spark
+chain is cut into chunks of at most ``CHUNK_ROWS`` rows (range partitions by
+key and id, cut by row numbers, so chunks follow row counts, not id widths, and
+the number of tasks does not follow that of the chunks) and solved by Spark
 jobs:
 
 1. Per chunk (parallel): its exit state as a function of its entry state.  An
@@ -45,6 +46,7 @@ from flowlens.session import reliable_checkpoint
 
 HOT_KEY_ROWS = 2_000_000
 CHUNK_ROWS = 500_000
+PART_ROWS = 500_000   # rows of a range partition, which holds one or more chunks
 _LOW = -2 ** 62   # below every limit
 
 
@@ -120,16 +122,18 @@ def _composed(table: DataFrame, groups: DataFrame, t: int) -> DataFrame:
     return met.unionByName(beyond.select(*entry, *_EXIT))
 
 
-def _entries(table: DataFrame, chunks: DataFrame, t: int) -> DataFrame:
+def _entries(table: DataFrame, chunks: DataFrame, t: int, parts: int) -> DataFrame:
     """``_k, g, e_open, e_start, e_id, e_seg``: the state in which each chunk
-    is entered.  ``chunks``: ``_k, g, top, before`` of every chunk."""
+    is entered.  ``chunks``: ``_k, g, top, before`` of every chunk.  A level is
+    a union of parts of the last one: without a bound its partitions would
+    double at every level; it is written in at most ``parts``."""
     last = chunks.agg(F.max("g")).first()[0] or 0
     levels = [table]
     for level in range(int(last).bit_length()):
         half = F.shiftright("g", level)
         halves = chunks.groupBy("_k", half.alias("h")).agg(F.max("top").alias("top"), F.min_by("before", "g").alias("before"))
         groups = halves.where("h % 2 = 0").select("_k", F.shiftright("h", 1).alias("g"), "top", "before")
-        levels.append(reliable_checkpoint(_composed(levels[-1], groups, t)))
+        levels.append(reliable_checkpoint(_composed(levels[-1], groups, t).coalesce(parts)))
     none = [F.lit(False).alias("e_open"), *[F.lit(0).cast("long").alias(c) for c in ("e_start", "e_id", "e_seg")]]
     entries = chunks.select("_k").distinct().select("_k", F.lit(0).cast("long").alias("g"), *none)
     for level in range(len(levels) - 2, -1, -1):
@@ -146,7 +150,7 @@ def _entries(table: DataFrame, chunks: DataFrame, t: int) -> DataFrame:
               for e, c in (("e_open", "is_open"), ("e_start", "anchor"), ("e_id", "anchor_id"))],
             (F.col("e_seg") + F.coalesce("then.closes", F.lit(0))).alias("e_seg"))
         first = entries.withColumn("g", 2 * F.col("g"))
-        entries = reliable_checkpoint(first.unionByName(second).join(there, ["_k", "g"], "left_semi"))
+        entries = reliable_checkpoint(first.unionByName(second).join(there, ["_k", "g"], "left_semi").coalesce(parts))
     return entries
 
 
@@ -175,9 +179,12 @@ def segment_flows_split(packets: DataFrame, timeout_s: float, key: Sequence[str]
     hot = few(hot.select(*[F.col(c).alias(n) for c, n in zip(key, names)], "_k"))
     cond = [packets[c].eqNullSafe(hot[n]) for c, n in zip(key, names)]
     plain = packets.join(hot, cond, "left_anti")
-    parts = max(1, -(-n_hot // chunk_rows))
-    rows = reliable_checkpoint(packets.join(hot, cond).drop(*names).repartitionByRange(int(parts), "_k", "id")
-                               .withColumn("_chunk", F.spark_partition_id().cast("long")))
+    usual = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(max(min(-(-n_hot // chunk_rows), usual), -(-n_hot // max(chunk_rows, PART_ROWS))))
+    part = 1 << 33   # monotonically_increasing_id: the partition's number times this, and the row's number in it
+    rows = reliable_checkpoint(packets.join(hot, cond).drop(*names).repartitionByRange(parts, "_k", "id")
+                               .sortWithinPartitions("_k", "id").withColumn("_row", F.monotonically_increasing_id())
+                               .withColumn("_chunk", F.expr(f"_row - _row % {part} + _row % {part} DIV {chunk_rows}")).drop("_row"))
 
     order = Window.partitionBy("_k").orderBy("_chunk")   # a key's chunks, one row each
     chunks = reliable_checkpoint(
@@ -188,7 +195,7 @@ def segment_flows_split(packets: DataFrame, timeout_s: float, key: Sequence[str]
     small = few(chunks.select("_k", "_chunk", F.col("g").alias("_g"), F.col("before").alias("_before")))
     table = reliable_checkpoint(rows.select("_k", "_chunk", "id", "ts_us").join(small, ["_k", "_chunk"])
                                 .groupBy("_k", "_chunk").applyInPandas(_chunk_transitions(t), TRANSITIONS))
-    entries = _entries(table, chunks.select("_k", "g", "top", "before"), t)
+    entries = _entries(table, chunks.select("_k", "g", "top", "before"), t, max(usual, parts))
     entries = entries.join(chunks.select("_k", "g", "_chunk", "e_prev"), ["_k", "g"]).drop("g")
     if anchor_cols:  # the values of the rows at which the entry flows began
         began = rows.join(few(entries.select("_k", F.col("e_id").alias("id")).distinct()), ["_k", "id"]) \

@@ -201,3 +201,28 @@ def test_closing_rows_equal_loop():
             for t in (0, 10, 500):
                 want = [next((i for i in range(j, m) if ts[i] > ts[j] + t), m) for j in range(m)]
                 assert closing_rows(ts.astype(np.int64), t).tolist() == want
+
+
+def test_tasks_do_not_follow_the_number_of_chunks(spark, monkeypatch):
+    """60 chunks lie in as many range partitions as any shuffle has."""
+    from flowlens.operators import hotkeys
+    rnd = random.Random(10)
+    rows, ts = [], 0
+    for i in range(1200):
+        ts += rnd.randint(0, 3)
+        rows.append((i * 7, rnd.choice(["a", None]), ts, 1, "x"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    parts, chunks, plain = [], [], hotkeys.reliable_checkpoint
+
+    def watched(frame):
+        out = plain(frame)
+        parts.append(out.select(F.spark_partition_id()).distinct().count())
+        if "_chunk" in out.columns:
+            chunks.append(out.select("_k", "_chunk").distinct().count())
+        return out
+    monkeypatch.setattr(hotkeys, "reliable_checkpoint", watched)
+    out = hotkeys.segment_flows_split(df, 40 / 1e6, key=KEY, hot_key_rows=50, chunk_rows=20)
+    cols = ["id", "seg_no", "start_us", "iat_us", "closes"]
+    assert sorted(map(tuple, out.select(cols).collect())) == sorted(
+        map(tuple, segment_flows(df, 40 / 1e6, key=KEY).select(cols).collect()))
+    assert min(chunks) >= 60 and max(parts) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
