@@ -3,8 +3,11 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from odd import documents
-from test_duplicates import accepted, bench, brute
+from test_duplicates import accepted, bench, brute, latent_corpus, leading
+
+from flowlens.llm import latent
 
 
 def test_stages(spark):
@@ -48,6 +51,20 @@ def test_benchmark_stage_equals_brute_force(spark, tmp):
     assert {r.doc_id for r in kept.collect()} == want
 
 
+def test_benchmark_stage_learns_from_all_documents(spark, tmp, monkeypatch):
+    docs, items = latent_corpus()
+    bench(spark, items).write.parquet(f"{tmp}/whole/benchmark.parquet")
+    models, fit = [], latent.fit
+
+    def watched(*args, **named):
+        models.append(fit(*args, **named, rank=6))
+        return models[-1]
+    monkeypatch.setattr(latent, "fit", watched)
+    dict(corpus_pipeline.STAGES)["benchmark"](spark, documents(spark, docs), f"{tmp}/whole")
+    want = leading(docs, items, models[0], 6)
+    assert np.allclose(np.linalg.svd(want.T @ models[0].space, compute_uv=False), 1, atol=1e-6)
+
+
 def test_registered():
     import __spark_entry__ as entry
     names = list(entry.queries())
