@@ -1,17 +1,18 @@
 """Operator 5, toxicity: a linear-chain CRF tags toxic spans.
 
-1. Labelled rows: about ``MAX_LABELLED`` documents with a label at most, those
-   with a hash of their id below a threshold (a filter; the only sampled step,
-   whose bounds ``limit`` and ``sequences`` are parameters).
+1. Labelled rows: all documents with a label that are not held out; equal texts
+   of one label are one row with a count.  Every step learns from all of them.
 2. Token features are a word and its prefixes.  Spark counts in how many toxic
    and other labelled documents each occurs; those that are significantly
    toxic (log-likelihood ratio) form the lexicon, at most ``MAX_FEATURES``.
 3. Labelled tokens: in a toxic document those with a lexicon feature, no
-   others.  The CRF is trained on them; its forward-backward marginals tag
+   others.  The CRF is trained on the places of these tokens in all labelled
+   documents, by gradients that Spark sums; a class of more than ``SEQUENCES``
+   documents weighs as much as so many.  Its forward-backward marginals tag
    every token of every document.
 4. A document's marginals aggregate to their sum, largest value and share; a
-   logistic model, fitted on the labelled documents, turns these into the
-   score.  Spans are runs of tokens with a marginal of at least 0.5, given as
+   logistic model, fitted on the labelled documents by Newton's method with
+   sums from Spark, turns these into the score.  Spans are runs of tokens with a marginal of at least 0.5, given as
    character offsets.
 
 Scores use the text only.  Scoring is a map over rows, without a shuffle;
@@ -32,6 +33,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +41,13 @@ from flowlens.llm import crf
 from flowlens.llm.bpe import Memo
 from flowlens.llm.common import bounded_batches, map_columns, slices, stored, whole_text
 
-MAX_LABELLED = 16_000
 MAX_FEATURES = 4_000
-#: Documents of each class, about, whose token sequences train the CRF.
-MAX_SEQUENCES = 800
+#: Documents that a class weighs at most in the CRF's training.
+SEQUENCES = 800
+#: Documents, and about tokens of them, that a training step holds at a time.
+BLOCK_ROWS, BLOCK_TOKENS = 8192, 1 << 18
+#: Step sizes of Newton's method that one Spark job tries.
+AHEAD = 4
 #: Text bytes that one call tags.
 SLICE = 2 << 20
 #: Words whose emission a worker remembers; others are computed anew.
@@ -71,6 +76,12 @@ class Model:
         return self.bias + sum(w.get(f, 0.0) for f in features(word))
 
 
+def aggregates(p: np.ndarray) -> tuple[float, float, float]:
+    """What a document's marginals add up to."""
+    total = float(p.sum())
+    return np.log1p(total), float(p.max(initial=0.0)), total / max(len(p), 1)
+
+
 class Tagger:
     """Applies a model to slices of texts."""
 
@@ -96,10 +107,8 @@ class Tagger:
         for i, n in enumerate(lengths.tolist()):
             q = p[at:at + n]
             at += n
-            top = float(q.max()) if n else 0.0
-            total = float(q.sum())
-            stats[i] = np.log1p(total), top, total / max(n, 1)
-            spans.append(offsets(texts[i], q) if with_spans and top >= 0.5 else [])
+            stats[i] = aggregates(q)
+            spans.append(offsets(texts[i], q) if with_spans and stats[i, 1] >= 0.5 else [])
         return stats, spans
 
     def score(self, stats: np.ndarray) -> np.ndarray:
@@ -148,68 +157,114 @@ def covered(counts) -> set[str]:
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, l2: float = 1e-2) -> np.ndarray:
+def logistic_sums(x: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """(loss, gradient, curvature) of rows that count ``n`` times each, flat."""
+    z = x @ w
+    p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+    return np.r_[float(n @ np.logaddexp(0, z) - (n * y) @ z), x.T @ (n * (y - p)),
+                 ((x * (n * p * (1 - p))[:, None]).T @ x).ravel()]
+
+
+def newton(sums, width: int, steps: int, l2: float, ahead: int) -> np.ndarray:
     """Newton's method with a small ridge; no weight but the bias is negative.
     Weights that the bound holds at 0 stay out of a step, and a step is halved
-    until it lowers the loss, so it converges on separable classes, too."""
-    x = np.c_[np.ones(len(x)), x]
-    w = np.zeros(x.shape[1])
-
-    def loss(w):
-        z = x @ w
-        return float(np.logaddexp(0, z).sum() - y @ z + l2 / 2 * w @ w)
-    now = loss(w)
+    until it lowers the loss, so it converges on separable classes, too.
+    ``sums`` gives the rows' ``logistic_sums`` at up to ``ahead`` places."""
+    def at(places):
+        return [(s[0] + l2 / 2 * w @ w, s[1:1 + width] - l2 * w, s[1 + width:].reshape(width, width))
+                for w, s in zip(places, sums(places))]
+    w = np.zeros(width)
+    (now, gradient, h), = at([w])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        gradient = x.T @ (y - p) - l2 * w
         free = (w > 0) | (gradient > 0)
         free[0] = True
-        part = x[:, free]
-        h = (part * (p * (1 - p))[:, None]).T @ part + l2 * np.eye(int(free.sum()))
         step = np.zeros_like(w)
-        step[free] = np.linalg.solve(h, gradient[free])
-        size = 1.0
-        while size > 1e-9:
-            new = w + size * step
-            new[1:] = np.maximum(new[1:], 0)
-            if (then := loss(new)) < now:
-                break
-            size /= 2
-        else:
+        step[free] = np.linalg.solve(h[np.ix_(free, free)] + l2 * np.eye(int(free.sum())), gradient[free])
+        size, better = 1.0, None
+        while size > 1e-9 and better is None:
+            new = [w + size / 2 ** k * step for k in range(ahead)]
+            for v in new:
+                v[1:] = np.maximum(v[1:], 0)
+            better = next(((v, found) for v, found in zip(new, at(new)) if found[0] < now), None)
+            size /= 2 ** ahead
+        if better is None:
             break
-        done, w, now = now - then < 1e-10 * max(1.0, now), new, then
+        w, (then, gradient, h) = better
+        done, now = now - then < 1e-10 * max(1.0, now), then
         if done:
             break
     return w
 
 
-def held_out(id_col: str = "doc_id"):
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
+def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, l2: float = 1e-2) -> np.ndarray:
+    """``newton`` on the rows of an array."""
+    x, n = np.c_[np.ones(len(x)), x], np.ones(len(x))
+    return newton(lambda places: [logistic_sums(x, y, n, w) for w in places], x.shape[1], steps, l2, 1)
 
 
-def about(rows: DataFrame, n: int, limit: int, salt: str) -> DataFrame:
-    """``rows`` (``n`` of them, with an ``id``), or about ``limit`` of them by a
-    threshold on a hash of the id."""
-    if n <= limit:
-        return rows
-    return rows.where(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 40)) < int(limit / n * (1 << 40)))
+def fit_logistic_blocks(blocks: RDD, width: int, steps: int = 100, l2: float = 1e-2) -> np.ndarray:
+    """``newton`` on blocks (x, y, n) of rows of ``width`` columns."""
+    def sums(places):
+        def run(part):
+            total = np.zeros((len(places), 1 + (width + 1) * (width + 2)))
+            for x, y, n in part:
+                x = np.c_[np.ones(len(x)), x]
+                total += [logistic_sums(x, y, n, w) for w in places]
+            yield total
+        return sum(blocks.mapPartitions(run).collect())
+    return newton(sums, width + 1, steps, l2, AHEAD)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
-                    limit: int) -> DataFrame:
+def held_out(id_col: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """``text, y, copies`` of all labelled documents.  The labels are broadcast, an
+    id and a number a row: a join by shuffle would move nearly all texts."""
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")) \
         .where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(id_col)) \
         .groupBy("id").agg(F.max("y").alias("y"))
-    rows = about(rows, rows.count(), limit, "labelled")
     texts = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-    return texts.join(F.broadcast(rows), "id").select("id", "text", "y")
+    return texts.join(F.broadcast(rows), "id").groupBy("text", (F.col("y") == 1).cast("int").alias("y")) \
+        .agg(F.count("*").alias("copies"))
+
+
+def _blocks(rows):
+    """Rows of ``sequences`` in lists of bounded size."""
+    part, tokens = [], 0
+    for r in rows:
+        if part and (len(part) == BLOCK_ROWS or tokens + r.n > BLOCK_TOKENS):
+            yield part
+            part, tokens = [], 0
+        part.append(r)
+        tokens += r.n
+    if part:
+        yield part
+
+
+def crf_block(rows, weight: list[float]) -> crf.Block:
+    return crf.block([r.n for r in rows], [r.y for r in rows], [weight[r.y] * r.copies for r in rows],
+                     [r.at for r in rows], [r.features for r in rows])
+
+
+def logistic_block(rows, weights: np.ndarray, bias: float, trans: np.ndarray):
+    """(aggregates, labels, copies) of rows of ``sequences``."""
+    lengths = np.array([r.n for r in rows], np.int64)
+    start = np.cumsum(lengths) - lengths
+    emission = np.full(int(lengths.sum()), bias)
+    token = [s + i for s, r in zip(start.tolist(), rows) for i, f in zip(r.at, r.features) for _ in f]
+    np.add.at(emission, np.array(token, np.int64), weights[[i for r in rows for f in r.features for i in f]])
+    p = crf.marginals(emission, lengths, trans)
+    stats = [aggregates(p[s:s + n]) for s, n in zip(start.tolist(), lengths.tolist())]
+    return np.array(stats), np.array([r.y for r in rows], float), np.array([r.copies for r in rows], float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", limit: int = MAX_LABELLED, sequences: int = MAX_SEQUENCES) -> Model:
-    sample = stored(labelled_sample(docs, labels, id_col, text_col, label_col, limit), "labelled")
-    sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    toxic, other = sizes.get(1, 0), sum(n for y, n in sizes.items() if y != 1)
+        label_col: str = "toxic") -> Model:
+    known = stored(labelled(docs, labels, id_col, text_col, label_col), "labelled")
+    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.sum("copies").alias("n")).collect()}
+    toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     model = Model()
     if not toxic or not other:
         model.logit = np.array([35.0 if toxic else -35.0, 0.0, 0.0, 0.0])
@@ -219,10 +274,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         found: dict[str, list[int]] = {}
         for text, y in zip(rows["text"], rows["y"]):
             for f in {f for w in set(_WORD.findall(text.lower())) for f in features(w)}:
-                found.setdefault(f, [0, 0])[y == 1] += 1
+                found.setdefault(f, [0, 0])[y] += 1
         return {"f": list(found), "other": [v[0] for v in found.values()], "toxic": [v[1] for v in found.values()]}
     # copies of one text speak once
-    counts = map_columns(sample.select("text", "y").dropDuplicates(), count, "f string, other long, toxic long", SLICE) \
+    counts = map_columns(known.select("text", "y"), count, "f string, other long, toxic long", SLICE) \
         .groupBy("f").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")) \
         .where(F.col("toxic") >= 3) \
         .where((F.col("toxic") + 0.5) / (F.col("other") + 0.5) >= MIN_ODDS * (toxic / other)) \
@@ -233,40 +288,36 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = counts[counts["llr"] >= MIN_LLR].sort_values(["llr", "f"], ascending=[False, True])[:MAX_FEATURES]
     number = {f: i for i, f in enumerate(sorted(counts["f"]))}
 
-    # token sequences for the CRF: where the lexicon's words stand
+    # where the lexicon's words stand
     def tokens_of(rows):
-        out = {"y": rows["y"], "n": [], "at": [], "words": []}
+        memo = Memo(lambda w: [number[f] for f in features(w) if f in number], MEMO_WORDS)
+        out = {"y": rows["y"], "copies": rows["copies"], "n": [], "at": [], "features": []}
         for text in rows["text"]:
-            words = _WORD.findall(text.lower())
-            at = [i for i, w in enumerate(words) if any(f in number for f in features(w))]
-            out["n"].append(len(words))
+            found = list(map(memo.__getitem__, _WORD.findall(text.lower())))
+            at = [i for i, f in enumerate(found) if f]
+            out["n"].append(len(found))
             out["at"].append(at)
-            out["words"].append([words[i] for i in at])
+            out["features"].append([found[i] for i in at])
         return out
-    chosen = about(sample.where("y = 1"), toxic, sequences, "crf") \
-        .unionAll(about(sample.where("y <> 1"), other, sequences, "crf"))
-    seq = map_columns(chosen.select("text", "y"), tokens_of,
-                      "y int, n long, at array<long>, words array<string>", SLICE).collect()
-    lengths = np.array([r.n for r in seq], np.int64)
-    start = np.cumsum(lengths) - lengths
-    y = np.zeros(int(lengths.sum()), np.int64)
-    token_of, feature_of = [], []
-    for s, r in zip(start.tolist(), seq):
-        for i, w in zip(r["at"], r["words"]):
-            y[s + i] = int(r.y == 1)
-            for f in features(w):
-                if f in number:
-                    token_of.append(s + i)
-                    feature_of.append(number[f])
-    weight, model.bias, model.trans = crf.train(np.array(token_of, np.int64), np.array(feature_of, np.int64),
-                                                y, lengths, len(number))
-    model.weight = {f: float(weight[i]) for f, i in number.items()}
-
-    def aggregate(rows):
-        stats, _ = Tagger(model)(rows["text"], with_spans=False)
-        return {"y": rows["y"], **{f"s{i}": stats[:, i].tolist() for i in range(3)}}
-    stats = map_columns(sample.select("text", "y"), aggregate, "y int, s0 double, s1 double, s2 double", SLICE).toPandas()
-    model.logit = fit_logistic(stats[["s0", "s1", "s2"]].to_numpy(), (stats["y"] == 1).to_numpy().astype(float))
+    key = ["y", "n", "at", "features"]
+    sequences = map_columns(known, tokens_of, "y int, copies long, n long, at array<long>, features array<array<int>>", SLICE) \
+        .groupBy(*key).agg(F.sum("copies").alias("copies"))
+    rows = stored(sequences.sortWithinPartitions(*key), "sequences").rdd
+    weight = [min(1.0, SEQUENCES / n) for n in (other, toxic)]
+    blocks = rows.mapPartitions(lambda part: (crf_block(b, weight) for b in _blocks(part))) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        weights, bias, trans = crf.train(blocks, len(number), weight[0] * other + weight[1] * toxic)
+    finally:
+        blocks.unpersist()
+    model.bias, model.trans = bias, trans
+    model.weight = {f: float(weights[i]) for f, i in number.items()}
+    blocks = rows.mapPartitions(lambda part: (logistic_block(b, weights, bias, trans) for b in _blocks(part))) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model.logit = fit_logistic_blocks(blocks, 3)
+    finally:
+        blocks.unpersist()
     return model
 
 

@@ -7,7 +7,7 @@ import numpy as np
 from odd import documents
 from test_duplicates import accepted, bench, brute, latent_corpus, leading
 
-from flowlens.llm import latent
+from flowlens.llm import crf, latent, toxicity
 
 
 def test_stages(spark):
@@ -65,6 +65,33 @@ def test_benchmark_stage_learns_from_all_documents(spark, tmp, monkeypatch):
     assert np.allclose(np.linalg.svd(want.T @ models[0].space, compute_uv=False), 1, atol=1e-6)
 
 
+def test_toxicity_stage_learns_from_all_labelled_rows(spark, tmp, monkeypatch):
+    rows = [(i, f"text {i} of many " + ("zonk" if i % 2 else "words") + " here" * (i % 7)) for i in range(2400)]
+    rows += [(10**6 + i, rows[i][1]) for i in range(5)]  # copies
+    spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int").write.parquet(f"{tmp}/all/labels.parquet")
+    docs, seen, train, fit = documents(spark, rows), [], crf.train, toxicity.fit_logistic_blocks
+
+    def watched_train(blocks, n_features, n_docs):
+        for b in blocks.collect():
+            last = np.cumsum(b.pieces) - 1
+            seen.append(("crf", b.label[last], b.weight[last]))
+        return train(blocks, n_features, n_docs)
+
+    def watched_fit(blocks, width):
+        seen.extend(("logistic", y, n) for _, y, n in blocks.collect())
+        return fit(blocks, width)
+    monkeypatch.setattr(crf, "train", watched_train)
+    monkeypatch.setattr(toxicity, "fit_logistic_blocks", watched_fit)
+    kept = dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, f"{tmp}/all")
+    known = [r.doc_id % 2 for r in docs.where(~toxicity.held_out()).collect()]
+    sizes = [known.count(k) for k in (0, 1)]
+    assert min(sizes) > toxicity.SEQUENCES  # a class's weight is bounded, its documents are not
+    for k in (0, 1):
+        assert sum(n[y == k].sum() for what, y, n in seen if what == "logistic") == sizes[k]
+        assert np.isclose(sum(w[y == k].sum() for what, y, w in seen if what == "crf") / toxicity.SEQUENCES, 1)
+    assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows if i % 2 == 0}
+
+
 def test_registered():
     import __spark_entry__ as entry
     names = list(entry.queries())

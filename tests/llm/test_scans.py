@@ -128,6 +128,31 @@ def test_marginals_equal_the_loop():
     assert crf.marginals(np.zeros(0), np.zeros(3, int), trans).size == 0
 
 
+def test_gradient_by_runs_equals_that_by_tokens():
+    rng = np.random.default_rng(7)
+    lengths, labels, copies = np.array([0, 1, 3, 33, 200, 1000, 40]), [1, 1, 0, 1, 0, 1, 1], [1, 2, 1, 3, 1, 1, 0.5]
+    places = [[], [0], [], [0, 1, 2, 32], [5, 90, 199], sorted(rng.choice(1000, 70, replace=False).tolist()), [*range(40)]]
+    features = [[rng.choice(6, rng.integers(1, 4), replace=False).tolist() for _ in at] for at in places]
+    theta = rng.normal(0, 1, 10)
+    trans = np.array([[0, theta[7]], [theta[8], theta[9]]])
+    want = np.zeros(10)
+    for n, label, weight, at, found in zip(lengths, labels, copies, places, features):
+        e, y = np.full(n, theta[6]), np.zeros(n, int)
+        for i, f in zip(at, found):
+            e[i] += theta[f].sum()
+            y[i] = label
+        p, a, b, x = crf.forward_backward(e, np.array([n]), trans)
+        t = np.exp(trans)
+        pair = np.array([a[0] * t[0, 0] * b[0], a[0] * t[0, 1] * x * b[1], a[1] * t[1, 0] * b[0], a[1] * t[1, 1] * x * b[1]])
+        seen = np.bincount(2 * np.r_[0, y][:n] + y, minlength=4)
+        for i, f in zip(at, found):
+            want[f] += weight * (y[i] - p[i])
+        want[6] += weight * (y - p).sum()
+        want[7:] += weight * (seen - (pair / pair.sum(0)).sum(1))[1:]
+    block = crf.block(lengths.tolist(), labels, copies, places, features)
+    assert np.allclose(crf.gradient(block, theta), want, rtol=1e-9, atol=1e-9)
+
+
 def toxic_corpus():
     rng, rows, labels = random.Random(9), [], []
     for i in range(600):
