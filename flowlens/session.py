@@ -69,7 +69,26 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     jobs (epoch loops) do not recompute from the source scan.
     """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _without_vast_estimate(df.checkpoint(eager=True))
+
+
+def _without_vast_estimate(df: DataFrame) -> DataFrame:
+    """``df`` (a checkpoint) without the size Spark estimated for its plan, if
+    that is no long any more.
+
+    A checkpoint keeps that estimate, and a join's is the product of its
+    sides': from one round of a loop of joins and checkpoints to the next the
+    number has several times as many digits, up to gigabytes in the driver.
+    Rows, partitioning and order stay; Spark's default size takes its place.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.stats().sizeInBytes() < 2 ** 63:
+        return df
+    spark = df.sparkSession
+    jvm, none = spark.sparkContext._jvm, spark.sparkContext._jvm.scala.Option.empty()
+    bare = plan.copy(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), False, none,
+                     spark._jsparkSession, none, jvm.scala.Some(plan.constraints()))
+    return type(df)(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, bare), spark)
 
 
 _SHIPPED: set[str] = set()

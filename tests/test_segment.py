@@ -226,3 +226,40 @@ def test_tasks_do_not_follow_the_number_of_chunks(spark, monkeypatch):
     assert sorted(map(tuple, out.select(cols).collect())) == sorted(
         map(tuple, segment_flows(df, 40 / 1e6, key=KEY).select(cols).collect()))
     assert min(chunks) >= 60 and max(parts) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_size_estimates_do_not_multiply_over_the_tree(spark, monkeypatch):
+    """A checkpoint keeps the size estimated for its plan, and a join's is the
+    product of its sides': over the tree's levels it must stay a long."""
+    from flowlens.operators import hotkeys, scan
+    rows, ts, rnd = [], 0, random.Random(11)
+    for i in range(160):
+        ts += rnd.randint(0, 3)
+        rows.append((i, "a", ts, 1, "x"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    sizes, plain = [], hotkeys.reliable_checkpoint
+
+    def watched(frame):
+        out = plain(frame)
+        sizes.append(out._jdf.queryExecution().analyzed().stats().sizeInBytes())
+        return out
+    for module in (hotkeys, scan):
+        monkeypatch.setattr(module, "reliable_checkpoint", watched)
+    out = hotkeys.segment_flows_split(df, 40 / 1e6, key=KEY, hot_key_rows=50, chunk_rows=20)
+    cols = ["id", "seg_no", "start_us", "iat_us", "closes"]
+    assert sorted(map(tuple, out.select(cols).collect())) == sorted(
+        map(tuple, segment_flows(df, 40 / 1e6, key=KEY).select(cols).collect()))
+    assert max(sizes) < 2 ** 63
+
+
+def test_checkpoints_without_the_estimate_keep_rows_and_columns(spark):
+    from flowlens.session import reliable_checkpoint
+    rows = [(1, None), (2, "x"), (2, "x"), (None, "y")]
+    df = first = spark.createDataFrame(rows, "a int, b string")
+    other = spark.range(50).select(F.col("id").cast("int").alias("c"))
+    for _ in range(8):  # each round squares the estimate
+        df = reliable_checkpoint(df.join(df.select(F.col("a").alias("c")).join(other, "c", "left_anti"), F.col("a") < F.col("c"), "left")
+                                 .select("a", "b"))
+        assert df._jdf.queryExecution().analyzed().stats().sizeInBytes() < 2 ** 63
+    assert df.schema == first.schema
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(rows, key=str)
